@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelore.runtime import checkpointed
+from changelore.runtime import checkpointed, checkpointed_count
 
 MAX_ROUNDS = 10_000
 
@@ -35,7 +35,7 @@ def topological_order(commits: DataFrame, parents: DataFrame) -> DataFrame:
             .agg((F.max("_p") + 1).alias("_needed"))
         )
         lifted = F.coalesce(F.col("_needed") > F.col("order_time"), F.lit(False))
-        state = checkpointed(
+        state, moved = checkpointed_count(
             state.drop("_raised")
             .join(needed, ["repo_id", "sha"], "left")
             .select(
@@ -43,70 +43,69 @@ def topological_order(commits: DataFrame, parents: DataFrame) -> DataFrame:
                 "sha",
                 F.when(lifted, F.col("_needed")).otherwise(F.col("order_time")).alias("order_time"),
                 lifted.alias("_raised"),
-            )
+            ),
+            F.col("_raised"),
         )
-        if state.where("_raised").isEmpty():
+        if moved == 0:
             return state.drop("_raised")
     raise RuntimeError("the parent edges contain a cycle")
 
 
-def jump_tables(parents: DataFrame) -> list[DataFrame]:
-    """First-parent jumps of 1, 2, 4, ... steps: (repo_id, sha, target_sha).
+def shortcuts(parents: DataFrame) -> DataFrame:
+    """Jumps of 1, 2, 4, ... steps along parents of the same position.
 
-    The list has log2(depth) entries, so a linear history of a million commits
-    needs twenty rounds.
+    Columns repo_id, sha, target_sha.  A commit has one parent per position, so
+    the first-parent line and the lines of merged parents are each doubled by a
+    self join: a linear history of a million commits takes twenty rounds and
+    twenty edges per commit.
     """
-    step = parents.where(F.col("position") == 0).select(
-        "repo_id", F.col("child_sha").alias("sha"), F.col("parent_sha").alias("target_sha")
+    key = ["repo_id", "position"]
+    step, size = checkpointed_count(
+        parents.select(
+            *key, F.col("child_sha").alias("sha"), F.col("parent_sha").alias("target_sha")
+        ),
+        F.lit(True),
     )
-    step = checkpointed(step)
-    jumps: list[DataFrame] = []
-    while not step.isEmpty():
-        jumps.append(step)
+    edges = step
+    while size:
         second = step.select(
-            "repo_id", F.col("sha").alias("target_sha"), F.col("target_sha").alias("_next")
+            *key, F.col("sha").alias("target_sha"), F.col("target_sha").alias("_next")
         )
-        step = checkpointed(
-            step.join(second, ["repo_id", "target_sha"]).select(
-                "repo_id", "sha", F.col("_next").alias("target_sha")
-            )
+        step, size = checkpointed_count(
+            step.join(second, [*key, "target_sha"]).select(
+                *key, "sha", F.col("_next").alias("target_sha")
+            ),
+            F.lit(True),
         )
-    return jumps
+        edges = edges.unionByName(step)
+    return checkpointed(edges.select("repo_id", "sha", "target_sha").distinct())
 
 
 def ancestors(heads: DataFrame, parents: DataFrame) -> DataFrame:
     """Every commit reachable from each head, the head included.
 
-    A round takes the whole first-parent line of every new commit with the jump
-    tables and then crosses one merge edge, so the rounds count merge hops, not
-    commits.
+    A breadth-first search over the shortcut edges: a commit d steps along one
+    line of parents is found after at most log2(d) rounds, so the rounds follow
+    the nesting of merges, not the length of the history.  A commit is expanded
+    once.
     """
-    jumps = jump_tables(parents)
+    edges = shortcuts(parents)
     key = ["repo_id", "head_sha", "sha"]
-    merges = parents.where(F.col("position") > 0).select(
-        "repo_id", F.col("child_sha").alias("sha"), F.col("parent_sha").alias("_merged")
+    frontier = checkpointed(
+        heads.select("repo_id", "head_sha", F.col("head_sha").alias("sha")).distinct()
     )
-    frontier = heads.select("repo_id", "head_sha", F.col("head_sha").alias("sha")).distinct()
-    reached: DataFrame | None = None
+    reached = frontier
     for _ in range(MAX_ROUNDS):
-        line = frontier
-        for jump in jumps:
-            further = line.join(jump, ["repo_id", "sha"]).select(
-                "repo_id", "head_sha", F.col("target_sha").alias("sha")
-            )
-            line = line.unionByName(further).distinct()
-        new = line if reached is None else line.join(reached, key, "left_anti")
-        new = checkpointed(new)
-        reached = new if reached is None else checkpointed(reached.unionByName(new))
-        crossed = (
-            new.join(merges, ["repo_id", "sha"])
-            .select("repo_id", "head_sha", F.col("_merged").alias("sha"))
-            .distinct()
+        found = frontier.join(edges, ["repo_id", "sha"]).select(
+            "repo_id", "head_sha", F.col("target_sha").alias("sha")
         )
-        frontier = checkpointed(crossed.join(reached, key, "left_anti"))
-        if frontier.isEmpty():
+        frontier, size = checkpointed_count(
+            found.distinct().join(reached, key, "left_anti"), F.lit(True)
+        )
+        if size == 0:
             return reached
-    raise RuntimeError("the parent edges contain a cycle")
+        reached = reached.unionByName(frontier)
+    raise RuntimeError("the search did not end")
 
 
 def resolve_chain(links: DataFrame, keys: list[str], node: str, target: str) -> DataFrame:
@@ -117,13 +116,14 @@ def resolve_chain(links: DataFrame, keys: list[str], node: str, target: str) ->
     """
     nodes = links.select(*keys, node).distinct().withColumn("_inner", F.lit(True))
     target_key = nodes.select(*keys, F.col(node).alias("last"), "_inner")
-    state = checkpointed(
+    state, pending = checkpointed_count(
         links.select(*keys, node, F.col(target).alias("last"), F.lit(1).cast("long").alias("hops"))
         .join(target_key, [*keys, "last"], "left")
-        .select(*keys, node, "last", "hops", F.col("_inner").isNotNull().alias("_open"))
+        .select(*keys, node, "last", "hops", F.col("_inner").isNotNull().alias("_open")),
+        F.col("_open"),
     )
     for _ in range(64):
-        if state.where("_open").isEmpty():
+        if pending == 0:
             return state.drop("_open")
         step = state.select(
             *keys,
@@ -143,5 +143,7 @@ def resolve_chain(links: DataFrame, keys: list[str], node: str, target: str) ->
                 F.col("_still").alias("_open"),
             )
         )
-        state = checkpointed(state.where("NOT _open").unionByName(moved))
+        state, pending = checkpointed_count(
+            state.where("NOT _open").unionByName(moved), F.col("_open")
+        )
     raise RuntimeError("the links contain a cycle")

@@ -11,15 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
-    """Dense 1-based numbers inside each key group, in a fixed (hash bucket, order) order.
+    """Dense 1-based numbers inside each key group, ordered by md5 bucket, then by `order`.
 
-    `order` must identify a row inside its group.
+    The bucket is the first two digits of the md5 of the order columns; `order`
+    must identify a row inside its group.
     """
-    bucket = F.pmod(F.xxhash64(*order), F.lit(BUCKETS))
+    bucket = F.left(F.md5(F.concat_ws("|", *order)), F.lit(2))
     bucketed = df.withColumn("_b", bucket)
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = (

@@ -186,7 +186,7 @@ FILE_FEATURES_SQL = """kinds AS (
   SELECT *, doc_id // 6 AS commit_no,
     CASE WHEN doc_id % 6 = 5 AND (doc_id // 6) % 5 = 0 THEN 2 ELSE (doc_id // 6) % 6 END AS kind,
     len(string_split(text, chr(10))) AS n_lines,
-    len(list_filter(string_split(text, chr(10)), x -> trim(x) != '')) AS n_full
+    len([x for x in string_split(text, chr(10)) if trim(x) != '']) AS n_full
   FROM documents
 ), per_file AS (
   SELECT md5(CAST(commit_no AS VARCHAR)) AS sha, doc_id, kind,
@@ -194,8 +194,8 @@ FILE_FEATURES_SQL = """kinds AS (
     CASE WHEN kind IN (0, 2, 5) THEN n_lines ELSE 0 END AS deletions,
     kind = 4 AS unreadable, kind = 3 AS renamed, kind != 3 AS text_changed,
     kind IN (0, 3) AS same_words, kind IN (1, 2, 5) OR (kind = 0 AND n_full > 0) AS has_nonblank,
-    kind IN (1, 3) OR (kind IN (0, 2) AND len(list_filter(string_split(text, chr(10)),
-      x -> (kind = 2 OR trim(x) != '') AND NOT regexp_matches(trim(x), '^(//|/[*]|[*]|#|<!--|%|;|--)'))) = 0)
+    kind IN (1, 3) OR (kind IN (0, 2) AND len([x for x in string_split(text, chr(10)) if
+      (kind = 2 OR trim(x) != '') AND NOT regexp_matches(trim(x), '^(//|/[*]|[*]|#|<!--|%|;|--)')]) = 0)
       AS all_comments
   FROM kinds
 ), features AS (

@@ -323,13 +323,16 @@ def comment_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "detect_renames",
     r"""WITH f AS (
-      SELECT md5(CAST(substr(source, 4) AS VARCHAR)) AS sha, doc_id, doc_id % 2 = 0 AS gone, text,
+      SELECT md5(lang) AS sha, doc_id, doc_id % 2 = 0 AS gone, text,
         list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_$]+')) AS words
       FROM documents
     ), numbered AS (
-      SELECT *, COUNT(*) FILTER (gone) OVER (PARTITION BY sha, text) AS n_gone,
-        COUNT(*) FILTER (NOT gone) OVER (PARTITION BY sha, text) AS n_came FROM f
-    ), dup AS (SELECT doc_id FROM numbered WHERE n_gone > 0 AND n_came > 0
+      SELECT *, 'd' || CAST(doc_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY sha, text, gone
+        ORDER BY left(md5('d' || CAST(doc_id AS VARCHAR)), 2), 'd' || CAST(doc_id AS VARCHAR)) AS nth FROM f
+    ), exact AS (
+      SELECT a.sha, a.path AS old_path, b.path, a.doc_id AS old_id, b.doc_id AS new_id
+      FROM numbered a JOIN numbered b ON a.sha = b.sha AND a.text = b.text AND a.nth = b.nth AND a.gone AND NOT b.gone
+    ), dup AS (SELECT old_id AS doc_id FROM exact UNION ALL SELECT new_id FROM exact
     ), p AS (
       SELECT a.sha, a.doc_id AS old_id, b.doc_id AS new_id,
         len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) AS s
@@ -340,23 +343,20 @@ def comment_lines(spark: SparkSession, folder: str) -> DataFrame:
       FROM p WHERE s >= 0.5
     ), per_new AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY sha, path ORDER BY s DESC, old_path) = 1
     ), best AS (SELECT * FROM per_new QUALIFY row_number() OVER (PARTITION BY sha, old_path ORDER BY s DESC, path) = 1)
-    SELECT sha, old_path, path, round(s, 6) AS similarity FROM best""",
+    SELECT sha, old_path, path, round(s, 6) AS similarity FROM best
+    UNION ALL SELECT sha, old_path, path, 1.0 FROM exact""",
 )
 def detect_renames(spark: SparkSession, folder: str) -> DataFrame:
-    """documents of a source as one commit: even ids deleted, odd ids added.
-
-    Pairs with equal content are left to the tests, their pairing order is by
-    hash bucket; the copies stay whole on both sides here.
-    """
+    """documents of a language as one commit: even ids deleted, odd ids added."""
     files = A.table(spark, folder, "documents").select(
         F.lit(0).alias("repo_id"),
-        F.md5(F.expr("substring(source, 4)")).alias("sha"),
+        F.md5("lang").alias("sha"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"),
         F.when(F.col("doc_id") % 2 == 0, "deleted").otherwise("added").alias("status"),
         "text",
     )
     pairs = features.detect_renames(files)
-    return pairs.where(F.col("similarity") < 1.0).select(
+    return pairs.select(
         "sha", "old_path", "path", F.round("similarity", 6).alias("similarity")
     )
 
@@ -640,7 +640,7 @@ def over_cap(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {A.REPOS_SQL}, asked AS (
       SELECT c_custkey, 'owner' || CAST(c_nationkey % 6 AS VARCHAR) || '/NATION_' || CAST(c_nationkey AS VARCHAR) AS repo
       FROM customer)
-    SELECT a.c_custkey, r.id AS repo_id, r.id IS NOT NULL AS known_repo FROM asked a LEFT JOIN repos r ON r.name = a.repo""",
+    SELECT a.c_custkey, coalesce(r.id, -1) AS repo_id, r.id IS NOT NULL AS known_repo FROM asked a LEFT JOIN repos r ON r.name = a.repo""",
 )
 def repo_lookup(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("c_nationkey").cast("string")
@@ -650,7 +650,8 @@ def repo_lookup(spark: SparkSession, folder: str) -> DataFrame:
             F.lit("owner"), (F.col("c_nationkey") % 6).cast("string"), F.lit("/NATION_"), key
         ).alias("repo"),
     )
-    return catalog.resolve_repos(asked, A.repos(spark, folder)).drop("repo")
+    found = catalog.resolve_repos(asked, A.repos(spark, folder))
+    return found.select("c_custkey", F.coalesce("repo_id", F.lit(-1)).alias("repo_id"), "known_repo")
 
 
 # ------------------------------------------------------------------ export

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -22,6 +23,7 @@ def local_session(app: str = "changelore", cores: str | int = "*") -> SparkSessi
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -42,9 +44,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job at a reliable (shared) checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of an iterative job at a written table in the shared folder.
+
+    Unlike an eager `checkpoint()`, which computes its input twice, the write
+    runs once, survives lost executors and is read back column by column.
+    """
+    return checkpointed_count(df, F.lit(True))[0]
+
+
+def checkpointed_count(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """`checkpointed` and the number of rows that meet a condition, in one job."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, F.count_if(condition).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
 def broadcast_if_small(
