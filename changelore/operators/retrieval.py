@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,8 +195,6 @@ def dense_topk_approx(
 
 
 def _sign_buckets(bits: int, tables: int, seed: int) -> Callable[[str], Column]:
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def buckets(vectors: pd.Series) -> pd.Series:
         if len(vectors) == 0:
@@ -442,6 +441,16 @@ def search_outcome(queries: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
+def every_repo(queries: DataFrame, repos: DataFrame) -> DataFrame:
+    """One row per question and repository: the searches of a question to all repositories.
+
+    Meets on a constant key because every combination is a search that was asked
+    for; the repository dimension is small and checked to be.
+    """
+    dimension = broadcast_if_small(repos.select("repo_id").distinct().withColumn("_all", F.lit(0)))
+    return queries.withColumn("_all", F.lit(0)).join(dimension, "_all").drop("_all")
+
+
 def multi_repo_search(per_repo: DataFrame, n: int = C.MAX_QUESTION_HITS) -> DataFrame:
     """Merge per-repository result lists: query_id, repo_id, chunk_id, rank.
 

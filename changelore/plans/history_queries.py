@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelore import constants as C
 from changelore.operators import catalog, export, features, graph, labels, snapshot, stats
 from changelore.plans import adapters as A
 from changelore.plans.registry import query
@@ -687,5 +686,3 @@ def chunkable_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     return chunks.count_chunkable(A.commits(spark, folder))
 
-
-assert C.FEATURE_VERSION == "v1.floor"

@@ -178,13 +178,9 @@ def approx_recall(spark: SparkSession, folder: str) -> DataFrame:
 def multi_repo_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Every question is put to every repository; the lists are merged by rank."""
     corpus = _vector_chunks(spark, folder)
-    in_repo = corpus.select("repo_id").distinct()
-    asked = (
-        A.questions(spark, folder)
-        .select("query_id", "vector")
-        .withColumn("repo_id", F.explode(F.lit(list(range(10)))))
-        .join(in_repo, "repo_id", "left_semi")
-        .withColumn("query_id", F.struct("query_id", "repo_id"))
+    questions = A.questions(spark, folder).select("query_id", "vector")
+    asked = retrieval.every_repo(questions, corpus).withColumn(
+        "query_id", F.struct("query_id", "repo_id")
     )
     lists = retrieval.dense_topk(asked, corpus, k=10, scope=["repo_id"])
     per_repo = lists.select("query_id.query_id", "query_id.repo_id", "chunk_id", "rank")
