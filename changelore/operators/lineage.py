@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ from changelore.runtime import checkpointed
 
 FILE = ["repo_id", "path"]
 BLOCK_HUNKS = 50_000
-SYMBOLS_PER_TASK = 256
+TASK_HUNKS = 25_000
+SYMBOLS_PER_TASK = 1_024
 _FINE = 512
 
 
@@ -80,92 +83,99 @@ def rename_chain(changes: DataFrame, width: int = 1 << 20) -> DataFrame:
 # ------------------------------------------------------------------- range walk
 
 
-def _walk() -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(key: tuple, spans: pd.DataFrame, hunks: pd.DataFrame) -> pd.DataFrame:
-        """Carry every open range of one file back through one block of hunks, newest first."""
-        starts = spans["start_line"].to_numpy(np.int64)
-        ends = spans["end_line"].to_numpy(np.int64)
-        symbols = spans["symbol"].to_numpy()
-        open_ = np.ones(len(spans), dtype=bool)
-        touched: list[tuple[int, object]] = []
-        newest = hunks.sort_values(["ord", "new_start"], ascending=[False, True], kind="stable")
-        cuts = np.flatnonzero(np.diff(newest["ord"].to_numpy())) + 1
-        shas = newest["sha"].to_numpy()
-        ords = newest["ord"].to_numpy()
-        columns = [newest[c].to_numpy(np.int64) for c in ("new_start", "new_len", "old_start", "old_len")]
-        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(newest)], strict=True):
-            if hi == lo or not open_.any():
-                continue
-            new_start, new_len, old_start, old_len = (c[lo:hi] for c in columns)
-            first, last = _new_bounds(new_start, new_len)
-            live = np.flatnonzero(open_)
-            s, e = starts[live], ends[live]
-            # A deletion sits between two lines: it touches ranges that hold both.
-            overlap = np.where(
-                new_len[:, None] > 0,
-                (first[:, None] <= e) & (last[:, None] >= s),
-                (first[:, None] > s) & (first[:, None] <= e),
-            )
-            hit = overlap.any(axis=0)
-            for i in live[hit]:
-                touched.append((int(i), shas[lo], int(ords[lo])))
-            old_s = _map_line(s, first, last, new_len, old_start, old_len, at_end=False)
-            old_e = _map_line(e, first, last, new_len, old_start, old_len, at_end=True)
-            starts[live], ends[live] = old_s, old_e
-            open_[live] = old_s <= old_e
-        out = [
-            pd.DataFrame(
-                {
-                    "symbol": [symbols[i] for i, _, _ in touched],
-                    "sha": [sha for _, sha, _ in touched],
-                    "ord": [o for _, _, o in touched],
-                    "start_line": 0,
-                    "end_line": 0,
-                    "is_state": False,
-                }
-            ),
-            pd.DataFrame(
-                {
-                    "symbol": symbols[open_],
-                    "sha": None,
-                    "ord": 0,
-                    "start_line": starts[open_],
-                    "end_line": ends[open_],
-                    "is_state": True,
-                }
-            ),
-        ]
-        result = pd.concat([p for p in out if len(p)] or out[:1], ignore_index=True)
-        result["repo_id"], result["path"] = key[0], key[1]
-        return result[["repo_id", "path", "symbol", "sha", "ord", "start_line", "end_line", "is_state"]]
+def _walk(names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(spans: pa.Table, hunks: pa.Table) -> pa.Table:
+        """Carry the open ranges of some files back through one block of their hunks.
+
+        Step k takes the k-th newest hunk of every file at once.  Hunks of one
+        commit speak about the same new text, so shifts add up until the
+        commit's last hunk and are applied together.
+        """
+        starts = spans.column("start_line").to_numpy().copy()
+        ends = spans.column("end_line").to_numpy().copy()
+        of_span, of_hunk = _file_codes(spans, hunks)
+        ords = hunks.column("ord").to_numpy()
+        order = np.lexsort((hunks.column("new_start").to_numpy(), -ords, of_hunk))
+        of_hunk, ords = of_hunk[order], ords[order]
+        new_start, new_len, old_start, old_len = (
+            hunks.column(c).to_numpy()[order].astype(np.int64)
+            for c in ("new_start", "new_len", "old_start", "old_len")
+        )
+        # An empty side lies after its line.
+        first = np.where(new_len > 0, new_start, new_start + 1)
+        last = first + new_len - 1
+        old_first = np.where(old_len > 0, old_start, old_start + 1)
+        old_last = old_first + old_len - 1
+        ends_commit = np.ones(len(ords), dtype=bool)
+        ends_commit[:-1] = (of_hunk[1:] != of_hunk[:-1]) | (ords[1:] != ords[:-1])
+        begin = np.searchsorted(of_hunk, of_span, "left")
+        count = np.searchsorted(of_hunk, of_span, "right") - begin
+
+        size = len(starts)
+        hit = np.zeros(size, dtype=bool)
+        shift = np.zeros((2, size), dtype=np.int64)
+        target = np.full((2, size), -1, dtype=np.int64)
+        open_ = np.ones(size, dtype=bool)
+        active = np.flatnonzero(count > 0)
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
+        step = 0
+        while len(active):
+            h = begin[active] + step
+            s, e = starts[active], ends[active]
+            lo, hi = first[h], last[h]
+            # A pure deletion sits between two lines and touches ranges that hold both.
+            hit[active] |= np.where(new_len[h] > 0, (lo <= e) & (hi >= s), (lo > s) & (lo <= e))
+            for side, line, old in ((0, s, old_first[h]), (1, e, old_last[h])):
+                shift[side, active] += np.where(hi < line, new_len[h] - old_len[h], 0)
+                inside = (lo <= line) & (hi >= line)
+                target[side, active[inside]] = old[inside]
+            done = ends_commit[h]
+            closing = active[done]
+            touched = hit[closing]
+            hits.append((closing[touched], h[done][touched]))
+            # A target of -1 means "in no hunk"; old lines are never negative.
+            for side, lines in ((0, starts), (1, ends)):
+                lines[closing] = np.where(
+                    target[side, closing] >= 0, target[side, closing], lines[closing] - shift[side, closing]
+                )
+            shift[:, closing] = 0
+            target[:, closing] = -1
+            hit[closing] = False
+            open_[closing] = starts[closing] <= ends[closing]
+            step += 1
+            active = active[open_[active] & (count[active] > step)]
+
+        span_of = np.concatenate([a for a, _ in hits]) if hits else np.zeros(0, dtype=np.int64)
+        hunk_of = np.concatenate([b for _, b in hits]) if hits else np.zeros(0, dtype=np.int64)
+        left = np.flatnonzero(open_)
+        rows = spans.take(pa.array(np.r_[span_of, left]))
+        shas = hunks.column("sha").take(pa.array(order[hunk_of])).combine_chunks()
+        none = pa.nulls(len(left), shas.type)
+        zeros = np.zeros(len(span_of), dtype=np.int64)
+        return pa.table(
+            [
+                rows.column("repo_id"),
+                rows.column("path"),
+                rows.column("symbol"),
+                pa.concat_arrays([shas, none]),
+                pa.array(np.r_[ords[hunk_of], np.zeros(len(left), dtype=np.int64)]),
+                pa.array(np.r_[zeros, starts[left]]),
+                pa.array(np.r_[zeros, ends[left]]),
+                pa.array(np.r_[np.zeros(len(span_of), dtype=bool), np.ones(len(left), dtype=bool)]),
+            ],
+            names=names,
+        )
 
     return run
 
 
-def _new_bounds(new_start: np.ndarray, new_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last new line of each hunk; an empty new side lies after `new_start`."""
-    first = np.where(new_len > 0, new_start, new_start + 1)
-    return first, first + new_len - 1
-
-
-def _map_line(
-    line: np.ndarray,
-    first: np.ndarray,
-    last: np.ndarray,
-    new_len: np.ndarray,
-    old_start: np.ndarray,
-    old_len: np.ndarray,
-    at_end: bool,
-) -> np.ndarray:
-    """Old position of a range end: shifted by earlier hunks, or the hunk's old side if inside."""
-    before = last[:, None] < line
-    shifted = line - ((new_len - old_len)[:, None] * before).sum(axis=0)
-    inside = (first[:, None] <= line) & (last[:, None] >= line)
-    within = inside.any(axis=0)
-    which = inside.argmax(axis=0)
-    old_first = np.where(old_len > 0, old_start, old_start + 1)
-    target = old_first + old_len - 1 if at_end else old_first
-    return np.where(within, target[which], shifted)
+def _file_codes(spans: pa.Table, hunks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The same number for the same (repository, path) on both sides."""
+    both = pd.concat(
+        [t.select(FILE).to_pandas() for t in (spans, hunks)], ignore_index=True
+    )
+    codes = both.groupby(FILE, sort=False).ngroup().to_numpy()
+    return codes[: spans.num_rows], codes[spans.num_rows :]
 
 
 def _with_blocks(hunks: DataFrame, block_hunks: int) -> DataFrame:
@@ -206,63 +216,51 @@ def walk_ranges(
     `hunks`: repo_id, path (the file's name at HEAD), sha, ord (commit position,
     one per commit), old_start, old_len, new_start, new_len.
 
-    A range moves through the hunks one commit after the other, so a task takes
-    one block of one file's hunks and some of its symbols.  Almost every file is
-    one block and done in the first round; only the open ranges of larger files
-    go on to their next block.
+    A range moves through the hunks one commit after the other, so a file's
+    hunks stay together, up to a block.  Files and groups of symbols are dealt
+    out to tasks of bounded size.  Almost every file is one block and done in
+    the first round; only the open ranges of larger files go on to their next
+    block.
     """
     blocked = checkpointed(_with_blocks(hunks, block_hunks))
-    last_block = blocked.agg(F.max("block")).first()[0]
+    per_block = {r["block"]: r["n"] for r in blocked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
     groups = (
         spans.groupBy(*FILE)
         .agg(F.ceil(F.count(F.lit(1)) / SYMBOLS_PER_TASK).cast("int").alias("_groups"))
     )
-    state = spans.join(groups, FILE).select(
-        *FILE,
-        F.pmod(F.xxhash64("symbol"), F.col("_groups")).cast("int").alias("_group"),
-        "symbol",
-        F.col("start_line").cast("long").alias("start_line"),
-        F.col("end_line").cast("long").alias("end_line"),
-    )
     grouping = groups.select(*FILE, F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_group"))
-    schema = T.StructType(
-        [
-            T.StructField("repo_id", spans.schema["repo_id"].dataType),
-            T.StructField("path", T.StringType()),
-            T.StructField("symbol", spans.schema["symbol"].dataType),
-            T.StructField("sha", T.StringType()),
-            T.StructField("ord", T.LongType()),
-            T.StructField("start_line", T.LongType()),
-            T.StructField("end_line", T.LongType()),
-            T.StructField("is_state", T.BooleanType()),
-        ]
-    )
-    key = [*FILE, "_group"]
-    touched: DataFrame | None = None
-    for block in range((last_block or 0) + 1):
-        part = (
-            blocked.where(F.col("block") == block)
-            .join(grouping, FILE)
-            .select(*key, "sha", "ord", "new_start", "new_len", "old_start", "old_len")
+    names = ["repo_id", "path", "symbol", "sha", "ord", "start_line", "end_line", "is_state"]
+    types = [spans.schema["repo_id"].dataType, T.StringType(), spans.schema["symbol"].dataType]
+    types += [T.StringType(), T.LongType(), T.LongType(), T.LongType(), T.BooleanType()]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])
+    state = spans
+    touched = spans.sparkSession.createDataFrame([], schema).select(*FILE, "symbol", "sha", "ord")
+    for block in sorted(per_block):
+        tasks = max(1, math.ceil(per_block[block] / TASK_HUNKS))
+        task = F.pmod(F.xxhash64(*FILE, "_group"), F.lit(tasks)).alias("_task")
+        ranges = state.join(groups, FILE).select(
+            *FILE,
+            F.pmod(F.xxhash64("symbol"), F.col("_groups")).cast("int").alias("_group"),
+            "symbol",
+            F.col("start_line").cast("long").alias("start_line"),
+            F.col("end_line").cast("long").alias("end_line"),
         )
+        part = blocked.where(F.col("block") == block).join(grouping, FILE)
         walked = checkpointed(
-            state.groupBy(*key).cogroup(part.groupBy(*key)).applyInPandas(_walk(), schema)
-        )
-        rows = walked.where("NOT is_state").select(*FILE, "symbol", "sha", "ord")
-        touched = rows if touched is None else touched.unionByName(rows)
-        further = blocked.where(F.col("block") == block + 1).select(*FILE).distinct()
-        state = (
-            walked.where("is_state")
-            .join(further, FILE, "left_semi")
-            .join(groups, FILE)
-            .select(
-                *FILE,
-                F.pmod(F.xxhash64("symbol"), F.col("_groups")).cast("int").alias("_group"),
-                "symbol",
-                "start_line",
-                "end_line",
+            ranges.select(task, *FILE, "symbol", "start_line", "end_line")
+            .groupBy("_task")
+            .cogroup(
+                part.select(
+                    task, *FILE, "sha", "ord", "new_start", "new_len", "old_start", "old_len"
+                ).groupBy("_task")
             )
+            .applyInArrow(_walk(names), schema)
         )
+        touched = touched.unionByName(
+            walked.where("NOT is_state").select(*FILE, "symbol", "sha", "ord")
+        )
+        further = blocked.where(F.col("block") == block + 1).select(*FILE).distinct()
+        state = walked.where("is_state").join(further, FILE, "left_semi")
     return touched
 
 
