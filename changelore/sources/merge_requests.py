@@ -12,8 +12,10 @@ from changelore.functions import text as X
 PR_KEY = ["repo_id", "number"]
 
 
-def read_pr_pages(spark: SparkSession, path: str) -> DataFrame:
-    return parse_pr_pages(spark.read.schema(schemas.PR_PAGE).option("multiLine", "true").json(path))
+def read_pr_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Landed pages, one per line (`multi_line`: one per file, in any layout)."""
+    reader = spark.read.schema(schemas.PR_PAGE).option("multiLine", multi_line)
+    return parse_pr_pages(reader.json(path))
 
 
 def comment_text(author: Column, body: Column) -> Column:

@@ -23,14 +23,13 @@ CHUNK_KEY = ["repo_id", "source_type", "source_id"]
 
 
 def read_landed(
-    spark: SparkSession, folder: str, schema: str, fmt: str = "json", max_files: int | None = None
+    spark: SparkSession, folder: str, schema: str, max_files: int | None = None
 ) -> DataFrame:
-    reader = spark.readStream.schema(schema).format(fmt)
-    if fmt == "json":
-        reader = reader.option("multiLine", "true") if schema is schemas.PR_PAGE else reader
+    """Landed JSON lines (one record or page per line) as a stream."""
+    reader = spark.readStream.schema(schema)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(folder)
+    return reader.json(folder)
 
 
 def ingest_commits(
