@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelore.runtime import checkpointed, checkpointed_count
+from changelore.runtime import checkpointed, checkpointed_count, small
 
 MAX_ROUNDS = 10_000
+COMPACT_ROUNDS = 8
 
 
 def topological_order(commits: DataFrame, parents: DataFrame) -> DataFrame:
@@ -18,37 +19,42 @@ def topological_order(commits: DataFrame, parents: DataFrame) -> DataFrame:
     so only commits behind a skewed clock move, and the rounds follow the
     longest run of skewed commits rather than the depth of the history.
     """
-    edges = parents.select("repo_id", F.col("child_sha").alias("sha"), "parent_sha")
-    state = commits.select(
-        "repo_id",
-        "sha",
-        F.coalesce(F.unix_seconds("committed_at"), F.lit(0)).alias("order_time"),
-        F.lit(True).alias("_raised"),
+    key = ["repo_id", "sha"]
+    edges = checkpointed(parents.select("repo_id", F.col("child_sha").alias("sha"), "parent_sha"))
+    own, size = checkpointed_count(
+        commits.select(
+            *key, F.coalesce(F.unix_seconds("committed_at"), F.lit(0)).alias("order_time")
+        ),
+        F.lit(True),
     )
-    for _ in range(MAX_ROUNDS):
-        raised = state.where("_raised").select(
+    frontier = own
+    raised = own.limit(0)
+    for turn in range(MAX_ROUNDS):
+        parent_time = frontier.select(
             "repo_id", F.col("sha").alias("parent_sha"), F.col("order_time").alias("_p")
         )
         needed = (
-            edges.join(raised, ["repo_id", "parent_sha"])
-            .groupBy("repo_id", "sha")
+            edges.join(small(parent_time, size), ["repo_id", "parent_sha"])
+            .groupBy(*key)
             .agg((F.max("_p") + 1).alias("_needed"))
         )
-        lifted = F.coalesce(F.col("_needed") > F.col("order_time"), F.lit(False))
-        state, moved = checkpointed_count(
-            state.drop("_raised")
-            .join(needed, ["repo_id", "sha"], "left")
-            .select(
-                "repo_id",
-                "sha",
-                F.when(lifted, F.col("_needed")).otherwise(F.col("order_time")).alias("order_time"),
-                lifted.alias("_raised"),
-            ),
-            F.col("_raised"),
+        before = raised.groupBy(*key).agg(F.max("order_time").alias("_raised"))
+        frontier, size = checkpointed_count(
+            own.join(needed, key)
+            .where(F.col("_needed") > F.col("order_time"))
+            .join(before, key, "left")
+            .where(F.col("_raised").isNull() | (F.col("_needed") > F.col("_raised")))
+            .select(*key, F.col("_needed").alias("order_time")),
+            F.lit(True),
         )
-        if moved == 0:
-            return state.drop("_raised")
-    raise RuntimeError("the parent edges contain a cycle")
+        if size == 0:
+            break
+        raised = raised.unionByName(frontier)
+        if turn % COMPACT_ROUNDS == COMPACT_ROUNDS - 1:
+            raised = checkpointed(raised.groupBy(*key).agg(F.max("order_time").alias("order_time")))
+    else:
+        raise RuntimeError("the parent edges contain a cycle")
+    return own.unionByName(raised).groupBy(*key).agg(F.max("order_time").alias("order_time"))
 
 
 def shortcuts(parents: DataFrame) -> DataFrame:
@@ -91,12 +97,12 @@ def ancestors(heads: DataFrame, parents: DataFrame) -> DataFrame:
     """
     edges = shortcuts(parents)
     key = ["repo_id", "head_sha", "sha"]
-    frontier = checkpointed(
-        heads.select("repo_id", "head_sha", F.col("head_sha").alias("sha")).distinct()
+    frontier, size = checkpointed_count(
+        heads.select("repo_id", "head_sha", F.col("head_sha").alias("sha")).distinct(), F.lit(True)
     )
     reached = frontier
     for _ in range(MAX_ROUNDS):
-        found = frontier.join(edges, ["repo_id", "sha"]).select(
+        found = edges.join(small(frontier, size), ["repo_id", "sha"]).select(
             "repo_id", "head_sha", F.col("target_sha").alias("sha")
         )
         frontier, size = checkpointed_count(

@@ -22,8 +22,12 @@ def marks(files: DataFrame) -> DataFrame:
 
     Only lines with a mark leave the scan; file contents are not shuffled.
     """
-    lines = code_files(files).select(*FILE, F.posexplode(X.lines("content")).alias("at", "line"))
-    opened = code.declaration("line")
+    lines = (
+        code_files(files)
+        .select(*FILE, F.posexplode(X.lines("content")).alias("at", "line"))
+        .withColumn("opened", code.declaration("line"))
+    )
+    opened = F.col("opened")
     one_line = F.col("line").rlike(r"^[^{]*;\s*$") | (opened["kind"] == "abstract_method_signature")
     declared = F.when(
         opened.isNotNull(),

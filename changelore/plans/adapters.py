@@ -12,12 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelore.operators import lexical, threads
+from changelore.runtime import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 # --------------------------------------------------------------- commits, changes
 
 MESSAGE = """CASE
@@ -147,7 +152,7 @@ def patches(spark: SparkSession, folder: str) -> DataFrame:
     kind follows the commit, so whole commits are noise; the last document of
     every fifth commit changes words.
     """
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     commit = F.floor(F.col("doc_id") / 6)
     kind = F.when((F.col("doc_id") % 6 == 5) & (commit % 5 == 0), 2).otherwise(commit % PATCH_KINDS)
     lines = F.split("text", "\n")
@@ -296,7 +301,7 @@ def doc_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
     Only some documents have a vector.
     """
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("doc_id"), "embedding"
     )

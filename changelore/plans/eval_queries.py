@@ -86,20 +86,22 @@ def truth(spark: SparkSession, folder: str) -> DataFrame:
     Passage and text meet in an equi-join on five words in a row, the opening of
     the passage; only those pairs are compared in full.
     """
-    words = F.split("text", r"\s+")
+    words = F.col("words")
     runs = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(words) - (OPENING - 1), F.lit(1))),
         lambda i: F.xxhash64(F.array_join(F.slice(words, i, OPENING), " ")),
     )
-    asked = A.table(spark, folder, "benchmark").select(
+    split = F.split("text", r"\s+")
+    asked = A.table(spark, folder, "benchmark").withColumn("words", split).select(
         F.col("item_id").alias("query_id"),
         F.col("text").alias("passage"),
         F.xxhash64(F.array_join(F.slice(words, 1, OPENING), " ")).alias("opening"),
     )
     openings = retrieval.broadcast_if_small(asked.select("query_id", "opening"))
-    docs = A.table(spark, folder, "documents")
+    docs = A.documents(spark, folder)
     candidates = (
-        docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("opening"))
+        docs.select("doc_id", split.alias("words"))
+        .select("doc_id", F.explode_outer(F.array_distinct(runs)).alias("opening"))
         .join(openings, "opening")
         .select("query_id", "doc_id")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from changelore.operators import catalog, export, features, graph, labels, snapshot, stats
 from changelore.plans import adapters as A
 from changelore.plans.registry import query
+from changelore.runtime import spread
 from changelore.sources import history, merge_requests, sinks
 
 # ------------------------------------------------------------------ scans
@@ -165,7 +166,7 @@ def blobs(spark: SparkSession, folder: str) -> DataFrame:
     new = old
     for number, (before, after) in NEW_CODE.items():
         new = F.when(F.col("l_linenumber") == number, F.replace(old, F.lit(before), F.lit(after))).otherwise(new)
-    return A.table(spark, folder, "lineitem").select(
+    return spread(A.table(spark, folder, "lineitem"), "l_orderkey").select(
         F.lit(0).alias("repo_id"),
         F.md5(F.col("l_orderkey").cast("string")).alias("sha"),
         F.expr(A.path_of("l_partkey")).alias("path"),
@@ -264,7 +265,7 @@ def relabel_stats(spark: SparkSession, folder: str) -> DataFrame:
 def recompute_degraded(spark: SparkSession, folder: str) -> DataFrame:
     """Re-read every patch as plain additions; every seventh document stays unreadable."""
     added = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+"), x)), "\n")
-    again = A.table(spark, folder, "documents").select(
+    again = A.documents(spark, folder).select(
         F.lit(0).alias("repo_id"),
         F.md5(F.floor(F.col("doc_id") / 6).cast("string")).alias("sha"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"),
@@ -286,7 +287,7 @@ def recompute_degraded(spark: SparkSession, folder: str) -> DataFrame:
 )
 def degraded_counts(spark: SparkSession, folder: str) -> DataFrame:
     before = _features(spark, folder)
-    plain = A.table(spark, folder, "documents").select(
+    plain = A.documents(spark, folder).select(
         F.lit(0).alias("repo_id"),
         F.md5(F.floor(F.col("doc_id") / 6).cast("string")).alias("sha"),
         F.lit("d").alias("path"),
@@ -311,7 +312,7 @@ def comment_lines(spark: SparkSession, folder: str) -> DataFrame:
     from changelore.functions import text as X
 
     split = F.split("text", "\n")
-    return A.table(spark, folder, "documents").select(
+    return A.documents(spark, folder).select(
         "doc_id",
         F.size(split).cast("long").alias("n_lines"),
         F.size(F.filter(split, lambda x: X.is_commentish(x, F.lit(".js")))).cast("long").alias("code_comments"),
@@ -347,7 +348,7 @@ def comment_lines(spark: SparkSession, folder: str) -> DataFrame:
 )
 def detect_renames(spark: SparkSession, folder: str) -> DataFrame:
     """documents of a language as one commit: even ids deleted, odd ids added."""
-    files = A.table(spark, folder, "documents").select(
+    files = A.documents(spark, folder).select(
         F.lit(0).alias("repo_id"),
         F.md5("lang").alias("sha"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"),

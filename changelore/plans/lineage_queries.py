@@ -531,7 +531,7 @@ def hits_bundle(spark: SparkSession, folder: str) -> DataFrame:
 )
 def answer_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Symbol answers of all parts with search outcomes of all documents; a label is a hit."""
-    asked = A.table(spark, folder, "documents").select(F.col("doc_id").alias("query_id"))
+    asked = A.documents(spark, folder).select(F.col("doc_id").alias("query_id"))
     hits = A.table(spark, folder, "labels").select(
         F.col("doc_id").alias("query_id"), F.col("quality").cast("double").alias("liveness_score")
     )

@@ -218,7 +218,7 @@ def search_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 def rerank_batch(spark: SparkSession, folder: str) -> DataFrame:
     """The whole cascade with the default pair scorer on the candidates' whole texts."""
     chunks = A.doc_chunks(spark, folder)
-    bodies = A.table(spark, folder, "documents").select(
+    bodies = A.documents(spark, folder).select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("body")
     )
     hits = retrieval.hybrid_search(
@@ -246,7 +246,7 @@ def rerank_batch(spark: SparkSession, folder: str) -> DataFrame:
 def hit_view(spark: SparkSession, folder: str) -> DataFrame:
     number = F.col("doc_id").cast("string")
     kind = F.col("doc_id") % 3
-    described = A.table(spark, folder, "documents").select(
+    described = A.documents(spark, folder).select(
         F.col("doc_id").alias("chunk_id"),
         F.expr("CAST(substring(source, 4) AS INT)").alias("repo_id"),
         F.when(kind == 0, C.SOURCE_COMMIT).when(kind == 1, C.SOURCE_PR_DISCUSSION).otherwise(C.SOURCE_DOC).alias("source_type"),
@@ -274,7 +274,7 @@ def hit_view(spark: SparkSession, folder: str) -> DataFrame:
 )
 def lexical_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens are filled from title and body where they are missing."""
-    chunks = A.table(spark, folder, "documents").select(
+    chunks = A.documents(spark, folder).select(
         "doc_id",
         F.col("lang").alias("title"),
         F.col("text").alias("body"),
@@ -331,7 +331,7 @@ def quantized_vectors(spark: SparkSession, folder: str) -> DataFrame:
 @query("embed_batch")
 def embed_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of all whole documents with the default encoder."""
-    docs = A.table(spark, folder, "documents").select("doc_id", "text")
+    docs = A.documents(spark, folder).select("doc_id", "text")
     encoded = vectors.embed(docs)
     norm = F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding")))
     return encoded.select(

@@ -19,7 +19,7 @@ from changelore.plans.registry import query
     FROM documents""",
 )
 def text_functions(spark: SparkSession, folder: str) -> DataFrame:
-    return A.table(spark, folder, "documents").select(
+    return A.documents(spark, folder).select(
         "doc_id",
         F.md5(X.first_line("text")).alias("first_line"),
         F.md5(X.collapse_whitespace("text")).alias("collapsed"),

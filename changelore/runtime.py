@@ -61,6 +61,23 @@ def checkpointed_count(df: DataFrame, condition: Column) -> tuple[DataFrame, int
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table whose row count is already known to be small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a table with fewer files than cores out to all cores.
+
+    Meant in front of heavy work on every row.  A table of many files keeps the
+    partitions of its scan, nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def broadcast_if_small(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
