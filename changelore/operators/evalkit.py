@@ -181,18 +181,17 @@ def run(
     cited: DataFrame,
     latencies: DataFrame | None = None,
 ) -> DataFrame:
-    """Score every kind of case with one join each and stack the results."""
-    unknown = ~F.col("kind").isin(ATTRIBUTION, ABSTENTION, RETRIEVAL, KNOWN_GAP, SYNTHESIS)
-    kind = F.when(
-        F.coalesce(unknown, F.lit(True)),
-        F.raise_error(F.concat(F.lit("unknown kind "), F.coalesce("kind", F.lit("none")))).cast("string"),
-    ).otherwise(F.col("kind"))
-    known = cases.withColumn("kind", kind)
+    """Score every kind of case with one join each; a case of unknown kind fails the job."""
+    known = F.coalesce(
+        F.col("kind").isin(ATTRIBUTION, ABSTENTION, RETRIEVAL, KNOWN_GAP, SYNTHESIS), F.lit(False)
+    )
+    failure = F.raise_error(F.concat(F.lit("unknown kind "), F.coalesce("kind", F.lit("none"))))
     out = (
-        score_attribution(known, lineage_answers)
-        .unionByName(score_abstention(known, lineage_answers))
-        .unionByName(score_retrieval(known, hits))
-        .unionByName(score_synthesis(known, checked, cited))
+        score_attribution(cases, lineage_answers)
+        .unionByName(score_abstention(cases, lineage_answers))
+        .unionByName(score_retrieval(cases, hits))
+        .unionByName(score_synthesis(cases, checked, cited))
+        .unionByName(_results(cases.where(~known), F.lit(False), failure.cast("string")))
     )
     if latencies is None:
         return out.withColumn("latency_s", F.lit(None).cast("double"))

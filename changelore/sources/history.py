@@ -82,7 +82,7 @@ def read_docs(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
         .where(F.lower("path").endswith(".md"))
     )
-    return files.select("path", F.decode("content", F.lit("utf-8")).alias("content"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def markdown_files(files: DataFrame) -> DataFrame:
