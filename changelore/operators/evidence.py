@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from changelore import constants as C
 from changelore.functions import text as X
 from changelore.operators import retrieval, skew
-from changelore.runtime import broadcast_if_small
 
 _BUNDLE_WITH_SNIPPETS = C.MAX_BUNDLE + C.MAX_SNIPPETS * C.SNIPPET_CHARS
 
@@ -199,7 +198,7 @@ def arc(points: DataFrame, key: str = "question_id", at: str = "committed_at") -
     span = F.col("_hi") - F.col("_lo")
     position = F.when(span == 0, F.lit(0.0)).otherwise((seconds - F.col("_lo")) / span)
     return (
-        dated.join(broadcast_if_small(bounds), key)
+        dated.join(bounds, key)
         .withColumn("position", F.round(position, 6))
         .drop("_lo", "_hi")
     )

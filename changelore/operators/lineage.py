@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from changelore import constants as C
 from changelore.functions import text as X
 from changelore.operators import graph, skew
-from changelore.runtime import checkpointed
+from changelore.runtime import checkpointed, checkpointed_count, small
 
 FILE = ["repo_id", "path"]
 BLOCK_HUNKS = 50_000
@@ -181,30 +181,40 @@ def _file_codes(spans: pa.Table, hunks: pa.Table) -> tuple[np.ndarray, np.ndarra
 def _with_blocks(hunks: DataFrame, block_hunks: int) -> DataFrame:
     """Number the hunks of a huge file in blocks of bounded size, newest block 0.
 
-    Counts per narrow position bucket are added up per file; a file below the
-    limit is one block.
+    Files below the limit, normally all of them, are block 0 without a join.
+    For a huge file the hunks are counted in narrow position buckets, and the
+    running count says at which buckets its blocks begin; only that short list
+    is joined back.
     """
-    sizes = hunks.groupBy(*FILE).agg(
-        F.count(F.lit(1)).alias("_n"), F.max("ord").alias("_hi"), F.min("ord").alias("_lo")
+    huge, files = checkpointed_count(
+        hunks.groupBy(*FILE)
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("ord").alias("_hi"), F.min("ord").alias("_lo"))
+        .where(F.col("_n") > block_hunks),
+        F.lit(True),
     )
-    sized = hunks.join(sizes, FILE)
-    span = F.col("_hi") - F.col("_lo") + 1
+    if files == 0:
+        return hunks.withColumn("block", F.lit(0))
     buckets = F.ceil(F.col("_n") / block_hunks) * _FINE
+    span = F.col("_hi") - F.col("_lo") + 1
     fine = F.floor((F.col("_hi") - F.col("ord")) * buckets / span).cast("long")
-    marked = sized.withColumn(
-        "_fine", F.when(F.col("_n") <= block_hunks, F.lit(0).cast("long")).otherwise(fine)
-    ).drop("_n", "_hi", "_lo")
     before = W.partitionBy(*FILE).orderBy("_fine").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (
-        marked.groupBy(*FILE, "_fine")
+    begins = (
+        hunks.join(small(huge, files), FILE)
+        .groupBy(*FILE, fine.alias("_fine"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .select(
-            *FILE,
-            "_fine",
-            F.floor(F.coalesce(F.sum("_c").over(before), F.lit(0)) / block_hunks).cast("int").alias("block"),
-        )
+        .withColumn("_block", F.floor(F.coalesce(F.sum("_c").over(before), F.lit(0)) / block_hunks))
+        .groupBy(*FILE, "_block")
+        .agg(F.min("_fine").alias("_begin"))
+        .groupBy(*FILE)
+        .agg(F.sort_array(F.collect_list("_begin")).alias("_begins"))
+    )
+    cuts, files = checkpointed_count(huge.join(begins, FILE), F.lit(True))
+    passed = F.size(F.filter("_begins", lambda b: b <= fine)) - 1
+    return (
+        hunks.join(small(cuts, files), FILE, "left")
+        .withColumn("block", F.when(F.col("_n").isNull(), 0).otherwise(passed))
+        .drop("_n", "_hi", "_lo", "_begins")
     )
-    return marked.join(blocks, [*FILE, "_fine"]).drop("_fine")
 
 
 def walk_ranges(

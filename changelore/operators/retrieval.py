@@ -8,6 +8,7 @@ which chunks a question may see; without it every chunk is a candidate.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -21,10 +22,11 @@ from pyspark.sql import types as T
 from changelore import constants as C
 from changelore.functions import text as X
 from changelore.operators import lexical, skew, snapshot
-from changelore.runtime import broadcast_if_small
+from changelore.runtime import broadcast_if_small, checkpointed_count, is_small, small
 
 SLICE_ROWS = 32_768
 QUERY_BLOCK = 2_048
+BUCKET_ROWS = 4_096
 BM25_K1 = 1.2
 BM25_B = 0.75
 _SCOPE = "_scope"
@@ -78,25 +80,16 @@ def _with_scope(df: DataFrame, scope: Sequence[str]) -> DataFrame:
     return df.withColumn(_SCOPE, F.lit(0).cast("long"))
 
 
-def dense_topk(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int = C.K_DENSE,
-    scope: Sequence[str] = (),
-    slice_rows: int = SLICE_ROWS,
-    query_block: int = QUERY_BLOCK,
+def _best_per_slice(
+    asked: DataFrame, vectors: DataFrame, k: int, slice_rows: int, query_block: int
 ) -> DataFrame:
-    """Exact top k by cosine similarity: query_id, chunk_id, similarity, rank.
+    """Candidate rows (query_id, chunk_id, similarity): k per query, slice and block.
 
-    Each scope is cut into slices of chunks and blocks of queries whose number
-    follows its size, and every (slice, block) is one small matrix product in
-    its own task.  A task returns k rows per query, never all pairs; a scope
-    that holds most of the chunks simply gets more slices.
-    Equal similarities (six decimals) are ordered by chunk id.
+    Both sides carry `_scope`.  A scope is cut into slices of chunks and blocks
+    of queries whose number follows its size, and every (slice, block) is one
+    small matrix product in its own task; pairs never leave it.
     """
-    vectors = _with_scope(chunks.where(F.col("embedding").isNotNull()), scope)
-    asked = _with_scope(queries.where(F.col("vector").isNotNull()), scope)
-    sizes = (
+    sizes, scopes = checkpointed_count(
         vectors.groupBy(_SCOPE)
         .agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("_slices"))
         .join(
@@ -104,20 +97,20 @@ def dense_topk(
                 F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("_blocks")
             ),
             _SCOPE,
-        )
+        ),
+        F.lit(True),
     )
-    last_slice = F.sequence(F.lit(0), F.col("_slices") - 1)
-    last_block = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    sizes = small(sizes, scopes)
     left = asked.join(sizes, _SCOPE).select(
         _SCOPE,
         F.pmod(F.xxhash64("query_id"), F.col("_blocks")).cast("int").alias("_block"),
-        F.explode(last_slice).alias("_slice"),
+        F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"),
         "query_id",
         "vector",
     )
     right = vectors.join(sizes, _SCOPE).select(
         _SCOPE,
-        F.explode(last_block).alias("_block"),
+        F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
         F.pmod(F.xxhash64("chunk_id"), F.col("_slices")).cast("int").alias("_slice"),
         "chunk_id",
         "embedding",
@@ -125,16 +118,34 @@ def dense_topk(
     key = [_SCOPE, "_block", "_slice"]
     schema = T.StructType(
         [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
+            T.StructField("query_id", asked.schema["query_id"].dataType),
+            T.StructField("chunk_id", vectors.schema["chunk_id"].dataType),
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    partial = (
+    return (
         left.groupBy(*key)
         .cogroup(right.groupBy(*key))
         .applyInArrow(_scored_slice(k, schema.fieldNames()), schema)
     )
+
+
+def dense_topk(
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int = C.K_DENSE,
+    scope: Sequence[str] = (),
+    slice_rows: int = SLICE_ROWS,
+    query_block: int = QUERY_BLOCK,
+) -> DataFrame:
+    """Exact top k by cosine similarity: query_id, chunk_id, similarity, rank.
+
+    A scope that holds most of the chunks simply gets more slices.  Equal
+    similarities (six decimals) are ordered by chunk id.
+    """
+    vectors = _with_scope(chunks.where(F.col("embedding").isNotNull()), scope)
+    asked = _with_scope(queries.where(F.col("vector").isNotNull()), scope)
+    partial = _best_per_slice(asked, vectors, k, slice_rows, query_block)
     order = [F.col("similarity").desc(), F.col("chunk_id")]
     return skew.top_per_key(partial, ["query_id"], order, k, "rank")
 
@@ -143,55 +154,31 @@ def dense_topk_approx(
     queries: DataFrame,
     chunks: DataFrame,
     k: int = C.K_DENSE,
-    bits: int = 4,
+    bits: int | None = None,
     tables: int = 12,
     seed: int = 7,
 ) -> DataFrame:
     """Approximate top k: only chunks that share a sign pattern with the query are scored.
 
-    Every vector gets one pattern per table from fixed random planes; question
-    and chunk meet in an equi-join on (table, pattern).  More bits mean fewer
-    candidates, more tables mean higher recall.
+    Every vector gets one pattern per table from fixed random planes, and a
+    pattern is a scope of the exact search, so a crowded pattern is sliced like
+    any other scope.  More bits mean fewer candidates (by default they grow with
+    the corpus), more tables mean higher recall.
     """
+    corpus = chunks.where(F.col("embedding").isNotNull())
+    if bits is None:
+        bits = max(4, math.ceil(math.log2(max(1, corpus.count()) / BUCKET_ROWS + 1)))
     buckets = _sign_buckets(bits, tables, seed)
-    left = queries.where(F.col("vector").isNotNull()).select(
-        "query_id", "vector", F.posexplode(buckets("vector")).alias("table", "pattern")
-    )
-    right = chunks.where(F.col("embedding").isNotNull()).select(
-        "chunk_id", F.posexplode(buckets("embedding")).alias("table", "pattern")
-    )
-    candidates = (
-        broadcast_if_small(left.select("query_id", "table", "pattern"))
-        .join(right, ["table", "pattern"])
-        .select("query_id", "chunk_id")
-        .distinct()
-    )
-    scored = (
-        candidates.join(broadcast_if_small(queries.select("query_id", "vector")), "query_id")
-        .join(chunks.select("chunk_id", "embedding"), "chunk_id")
-        .select("query_id", "chunk_id", "vector", "embedding")
+    pattern = F.posexplode(buckets("vector")).alias("table", "pattern")
+    asked = _with_scope(
+        queries.where(F.col("vector").isNotNull()).select("query_id", "vector", pattern),
+        ["table", "pattern"],
     )
-    schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                left_m = _matrix(pa.chunked_array([b.column("vector")]))
-                right_m = _matrix(pa.chunked_array([b.column("embedding")]))
-                value = np.round(np.einsum("ij,ij->i", left_m, right_m), 6)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("query_id"), b.column("chunk_id"), pa.array(value)],
-                    names=schema.fieldNames(),
-                )
-
+    pattern = F.posexplode(buckets("embedding")).alias("table", "pattern")
+    vectors = _with_scope(corpus.select("chunk_id", "embedding", pattern), ["table", "pattern"])
+    partial = _best_per_slice(asked, vectors, k, SLICE_ROWS, QUERY_BLOCK).distinct()
     order = [F.col("similarity").desc(), F.col("chunk_id")]
-    return skew.top_per_key(scored.mapInArrow(score, schema), ["query_id"], order, k, "rank")
+    return skew.top_per_key(partial, ["query_id"], order, k, "rank")
 
 
 def _sign_buckets(bits: int, tables: int, seed: int) -> Callable[[str], Column]:
@@ -259,24 +246,24 @@ def sparse_topk(
     """
     terms = query_terms(queries, scope)
     key = [*scope, "token"]
-    asked = broadcast_if_small(terms.select(*key).distinct())
-    positions = postings(chunks, scope).join(asked, key)
+    few = is_small(terms)
+    asked = terms.select(*key).distinct()
+    if few:
+        terms, asked = F.broadcast(terms), F.broadcast(asked)
     counted = (
-        positions.repartition("chunk_id")
+        postings(chunks, scope)
+        .join(asked, key)
+        .repartition("chunk_id")
         .groupBy("chunk_id", "chunk_length", *key)
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    small_terms = broadcast_if_small(terms)
     if mode == "tf":
-        weight: Column = F.col("tf")
-        matched = counted.join(small_terms, key)
-        score = F.sum(weight)
+        matched, score = counted, F.sum("tf")
     elif mode == "bm25":
-        matched = _with_bm25(counted, chunks, scope, key).join(small_terms, key)
-        score = F.round(F.sum("_weight"), 6)
+        matched, score = _with_bm25(counted, chunks, scope, key, few), F.round(F.sum("_weight"), 6)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    scored = matched.groupBy("chunk_id", "query_id").agg(score.alias("score"))
+    scored = matched.join(terms, key).groupBy("chunk_id", "query_id").agg(score.alias("score"))
     order = [F.col("score").desc(), F.col("chunk_id")]
     return skew.top_per_key(
         scored.select("query_id", "chunk_id", "score"), ["query_id"], order, k, "rank"
@@ -284,8 +271,9 @@ def sparse_topk(
 
 
 def _with_bm25(
-    counted: DataFrame, chunks: DataFrame, scope: Sequence[str], key: list[str]
+    counted: DataFrame, chunks: DataFrame, scope: Sequence[str], key: list[str], few: bool
 ) -> DataFrame:
+    """BM25 weight per (chunk, token); the weight table has one row per asked token at most."""
     sized = _with_scope(chunks.where(F.col("tokens").isNotNull()), scope)
     totals = sized.groupBy(_SCOPE).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(F.size("tokens")).alias("_avg")
@@ -298,7 +286,7 @@ def _with_bm25(
         .select(*key, "_avg", idf.alias("_idf"))
     )
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("chunk_length") / F.col("_avg"))
-    return counted.join(broadcast_if_small(weights), key).withColumn(
+    return counted.join(F.broadcast(weights) if few else weights, key).withColumn(
         "_weight", F.col("_idf") * F.col("tf") * (BM25_K1 + 1) / norm
     )
 

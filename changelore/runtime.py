@@ -21,6 +21,7 @@ def local_session(app: str = "changelore", cores: str | int = "*") -> SparkSessi
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", os.environ.get("CHANGELORE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -78,18 +79,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def broadcast_if_small(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Broadcast `df` when it is counted to be small, else leave the join to AQE.
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Read at most `max_rows + 1` rows and add up their rendered size.
 
-    Reads at most `max_rows + 1` rows, and adds up their rendered size, before
-    deciding.  A larger side keeps the shuffle join with AQE skew splitting.
+    Meant for tables that are cheap to compute, such as questions.
     """
     rendered = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     seen = df.limit(max_rows + 1).agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(rendered), F.lit(0)).alias("b")
     ).first()
-    if seen["n"] <= max_rows and seen["b"] <= max_bytes:
-        return F.broadcast(df)
-    return df
+    return seen["n"] <= max_rows and seen["b"] <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast a table that was checked to be small, else leave the join to AQE.
+
+    A larger side keeps the shuffle join with AQE skew splitting.
+    """
+    return F.broadcast(df) if is_small(df) else df

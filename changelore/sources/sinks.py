@@ -13,6 +13,7 @@ from pyspark.sql.utils import AnalysisException
 
 from changelore import constants as C
 from changelore import schemas
+from changelore.runtime import broadcast_if_small
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -43,15 +44,22 @@ def child_rows(children: DataFrame, fresh_commits: DataFrame) -> DataFrame:
 def append_new(
     spark: SparkSession, batch: DataFrame, path: str, schema: str, key: list[str]
 ) -> None:
-    """Append the rows of `batch` whose key is not stored yet."""
-    fresh = fresh_rows(read_table(spark, path, schema), batch, key)
+    """Append the rows of `batch` whose key is not stored yet.
+
+    Only the stored partitions of the batch's repositories are read.
+    """
+    stored = read_table(spark, path, schema)
+    touched = broadcast_if_small(batch.select("repo_id").distinct())
+    fresh = fresh_rows(stored.join(touched, "repo_id", "left_semi"), batch, key)
     fresh.select(*schemas.fields(schema)).write.mode("append").partitionBy("repo_id").parquet(path)
 
 
 def write_chunks(spark: SparkSession, chunks: DataFrame, path: str) -> None:
     """Append unseen chunks, title cut, partitioned by repository and source type."""
     stored = read_table(spark, path, schemas.CHUNKS)
-    fresh = fresh_rows(stored, chunks, ["repo_id", "source_type", "source_id"])
+    touched = broadcast_if_small(chunks.select("repo_id").distinct())
+    known = stored.join(touched, "repo_id", "left_semi")
+    fresh = fresh_rows(known, chunks, ["repo_id", "source_type", "source_id"])
     (
         fresh.withColumn("title", F.left("title", F.lit(C.TITLE_CUT)))
         .select(*schemas.fields(schemas.CHUNKS))

@@ -146,8 +146,16 @@ def embed_new(
 def _start(
     stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
+    def once(batch: DataFrame, batch_id: int) -> None:
+        """The steps of a batch share its parsed rows."""
+        batch.persist()
+        try:
+            store(batch, batch_id)
+        finally:
+            batch.unpersist()
+
     return (
-        stream.writeStream.foreachBatch(store)
+        stream.writeStream.foreachBatch(once)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
