@@ -94,6 +94,23 @@ def symbol_index(files: DataFrame) -> DataFrame:
     )
 
 
+def files_with_symbols(files: DataFrame, questions: DataFrame) -> DataFrame:
+    """Code files that mention an asked name: the guard in front of the index.
+
+    One semi join on identifiers instead of a text search per name.
+    """
+    asked = broadcast_if_small(questions.select(F.col("symbol").alias("word")).distinct())
+    words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}_$]+"), F.lit(0)))
+    mentioned = (
+        code_files(files)
+        .select(*FILE, F.explode_outer(words).alias("word"))
+        .join(asked, "word", "left_semi")
+        .select(*FILE)
+        .distinct()
+    )
+    return files.join(mentioned, FILE, "left_semi")
+
+
 def locate(questions: DataFrame, index: DataFrame) -> DataFrame:
     """Span per question (question_id, repo_id, symbol, file): in the given file, else in
     the first path that declares the symbol."""

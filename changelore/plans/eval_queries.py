@@ -429,3 +429,31 @@ def append_idempotent(spark: SparkSession, folder: str) -> DataFrame:
         sinks.append_new(spark, rows, f"{base}/commits", schemas.COMMITS, ["repo_id", "sha"])
     stored = sinks.read_table(spark, f"{base}/commits", schemas.COMMITS)
     return stored.groupBy("repo_id").agg(F.count(F.lit(1)).alias("commits"))
+
+
+@query(
+    "append_traces",
+    """SELECT event_type AS stage, COUNT(*) AS calls, CAST(SUM(floor(value)) AS BIGINT) AS latency_ms FROM events GROUP BY ALL""",
+)
+def append_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """events appended to the trace table and read back."""
+    base = _scratch(spark, "traces")
+    nothing = F.lit(None)
+    rows = A.table(spark, folder, "events").select(
+        F.col("event_type").alias("stage"),
+        F.lit("m").alias("model"),
+        nothing.cast("string").alias("prompt"),
+        nothing.cast("string").alias("response"),
+        F.floor("value").cast("int").alias("latency_ms"),
+        nothing.cast("int").alias("prompt_tokens"),
+        nothing.cast("int").alias("completion_tokens"),
+        nothing.cast("string").alias("eval_case_id"),
+        nothing.cast("int").alias("repo_id"),
+        F.col("props").alias("extra"),
+        F.col("ts").cast("timestamp").alias("created_at"),
+    )
+    sinks.append_traces(rows, f"{base}/traces")
+    stored = sinks.read_table(spark, f"{base}/traces", schemas.TRACES)
+    return stored.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("calls"), F.sum("latency_ms").alias("latency_ms")
+    )

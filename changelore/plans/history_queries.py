@@ -73,6 +73,15 @@ def parent_edges(spark: SparkSession, folder: str) -> DataFrame:
     return history.explode_parents(commit_log(spark, folder)).drop("repo_id")
 
 
+@query(
+    "first_parents",
+    """SELECT md5(CAST(o_orderkey AS VARCHAR)) AS sha, md5(CAST(o_orderkey // 2 AS VARCHAR)) AS parent_sha
+    FROM orders WHERE o_orderkey != 0""",
+)
+def first_parents(spark: SparkSession, folder: str) -> DataFrame:
+    return features.first_parent(history.explode_parents(commit_log(spark, folder))).drop("repo_id")
+
+
 @query(
     "change_scan",
     """SELECT md5(CAST(o_orderkey AS VARCHAR)) AS sha, CAST(i - 1 AS INTEGER) AS seq,

@@ -48,6 +48,18 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.code_files(files(spark, folder)).select("path")
 
 
+@query(
+    "symbol_guard",
+    f"""WITH {SYMBOLS_SQL} SELECT path FROM code WHERE 'make_' || nm IN (SELECT 'make_' || replace(p_name, ' ', '_') FROM part WHERE p_size > 45)""",
+)
+def symbol_guard(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that mention the name of a large part."""
+    asked = A.table(spark, folder, "part").where(F.col("p_size") > 45).select(
+        F.concat(F.lit("make_"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("symbol")
+    )
+    return symbols.files_with_symbols(files(spark, folder), asked).select("path")
+
+
 @query(
     "symbol_index",
     f"""WITH {SYMBOLS_SQL} SELECT path, name, kind, start_line, end_line FROM symbols""",
