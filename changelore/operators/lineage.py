@@ -394,8 +394,10 @@ def why(
 ) -> tuple[DataFrame, DataFrame]:
     """(answers, timeline) of a table of symbol questions.
 
-    Questions about the same span share one walk.
+    Questions about the same span share one walk.  Three steps read the located
+    spans, so they are written once.
     """
+    located = checkpointed(located)
     spans = located.select("repo_id", "path", "symbol", "start_line", "end_line").distinct()
     walked = walk_ranges(spans, hunks)
     per_question = located.select("question_id", "repo_id", "path", "symbol").join(

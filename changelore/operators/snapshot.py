@@ -9,24 +9,21 @@ from changelore import constants as C
 
 
 def head_paths(changes: DataFrame, commits: DataFrame) -> DataFrame:
-    """Paths alive at HEAD: the newest change of a path neither deletes nor renames it away."""
+    """Paths alive at HEAD: the newest change of a path neither deletes nor renames it away.
+
+    A rename speaks about two paths; both come out of the same row, so the
+    history is read and joined once.
+    """
     dated = changes.join(commits.select("repo_id", "sha", "committed_at"), ["repo_id", "sha"])
-    own = dated.select(
-        "repo_id",
-        "path",
-        F.struct("committed_at", "sha", F.lit(1).alias("k")).alias("at"),
-        (F.col("status") != C.DELETED).alias("alive"),
-    )
-    moved = dated.where(F.col("status") == C.RENAMED).select(
-        "repo_id",
-        F.col("old_path").alias("path"),
-        F.struct("committed_at", "sha", F.lit(0).alias("k")).alias("at"),
-        F.lit(False).alias("alive"),
+    own = F.struct(
+        F.col("path").alias("path"), F.lit(1).alias("k"), (F.col("status") != C.DELETED).alias("alive")
     )
+    moved = F.struct(F.col("old_path").alias("path"), F.lit(0).alias("k"), F.lit(False).alias("alive"))
+    said = F.when(F.col("status") == C.RENAMED, F.array(own, moved)).otherwise(F.array(own))
     newest = (
-        own.unionByName(moved)
-        .groupBy("repo_id", "path")
-        .agg(F.max(F.struct("at", "alive")).alias("m"))
+        dated.select("repo_id", "committed_at", "sha", F.explode(said).alias("s"))
+        .groupBy("repo_id", F.col("s.path").alias("path"))
+        .agg(F.max(F.struct("committed_at", "sha", "s.k", "s.alive")).alias("m"))
     )
     return newest.where("m.alive").select("repo_id", "path")
 
