@@ -16,7 +16,7 @@ RETRIEVAL = "retrieval"
 KNOWN_GAP = "known_gap"
 SYNTHESIS = "synthesis"
 
-_RESULT = ["id", "path", "kind", "passed", "skipped", "detail"]
+_ORDER = [ATTRIBUTION, ABSTENTION, RETRIEVAL, KNOWN_GAP, SYNTHESIS]
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -221,25 +221,52 @@ def report(results: DataFrame) -> DataFrame:
     )
 
 
+def report_lines(results: DataFrame, title: str) -> DataFrame:
+    """The report as ordered lines: section, part, id, line."""
+    number = F.lit(None).cast("int")
+    for n, kind in reversed(list(enumerate(_ORDER))):
+        number = F.when(F.col("kind") == kind, n + 1).otherwise(number)
+    ms = "%.0f"
+    score = F.format_string(
+        f"**%d/%d** passed - avg {ms}ms - p95 {ms}ms",
+        F.col("passed"),
+        F.col("total"),
+        F.coalesce("avg_ms", F.lit(0.0)),
+        F.coalesce("p95_ms", F.lit(0.0)),
+    )
+    skipped = F.format_string("**SKIPPED (%d)**", F.col("skipped"))
+    head = F.array(
+        F.concat(F.lit("## "), "kind", F.lit(" ("), "path", F.lit(")")),
+        F.lit(""),
+        F.when(F.col("total") > 0, score).otherwise(skipped),
+        F.lit(""),
+        F.lit("| case | ok | detail | latency ms |"),
+        F.lit("|---|---|---|---|"),
+    )
+    heads = report(results).select(
+        number.alias("section"), F.posexplode(head).alias("part", "line")
+    ).select("section", "part", F.lit("").alias("id"), "line")
+    mark = F.when(F.col("skipped"), "skip").when(F.col("passed"), "yes").otherwise("**NO**")
+    row = F.format_string(
+        f"| %s | %s | %s | {ms} |", "id", mark, "detail", 1000 * F.coalesce("latency_s", F.lit(0.0))
+    )
+    rows = results.select(number.alias("section"), F.lit(6).alias("part"), "id", row.alias("line"))
+    ends = heads.where(F.col("part") == 0).select(
+        "section", F.lit(7).alias("part"), "id", F.lit("").alias("line")
+    )
+    top = results.sparkSession.createDataFrame(
+        [(0, 0, "", f"# {title}"), (0, 1, "", "")], "section INT, part INT, id STRING, line STRING"
+    )
+    return top.unionByName(heads).unionByName(rows).unionByName(ends)
+
+
+def write_report(results: DataFrame, title: str, path: str) -> None:
+    """The report as text, sorted by range, so a large case table stays distributed."""
+    lines = report_lines(results, title).orderBy("section", "part", "id")
+    lines.select("line").write.mode("overwrite").text(path)
+
+
 def report_markdown(results: DataFrame, title: str) -> str:
-    """Render the report; the cases of an evaluation set are few and read by people."""
-    order = ["attribution", "abstention", "retrieval", "known_gap", "synthesis"]
-    groups = {r["kind"]: r for r in report(results).toLocalIterator()}
-    cases = list(results.orderBy("id").toLocalIterator())
-    out = [f"# {title}", ""]
-    for kind in [k for k in order if k in groups]:
-        g = groups[kind]
-        out += [f"## {kind} ({g['path']})", ""]
-        if g["total"]:
-            out.append(
-                f"**{g['passed']}/{g['total']}** passed - avg {g['avg_ms'] or 0:.0f}ms"
-                f" - p95 {g['p95_ms'] or 0:.0f}ms"
-            )
-        else:
-            out.append(f"**SKIPPED ({g['skipped']})**")
-        out += ["", "| case | ok | detail | latency ms |", "|---|---|---|---|"]
-        for r in (c for c in cases if c["kind"] == kind):
-            mark = "skip" if r["skipped"] else ("yes" if r["passed"] else "**NO**")
-            out.append(f"| {r['id']} | {mark} | {r['detail']} | {1000 * (r['latency_s'] or 0):.0f} |")
-        out.append("")
-    return "\n".join(out)
+    """The report of a case table that people read, line by line."""
+    lines = report_lines(results, title).orderBy("section", "part", "id")
+    return "\n".join(r["line"] for r in lines.select("line").toLocalIterator())

@@ -22,7 +22,13 @@ from pyspark.sql import types as T
 from changelore import constants as C
 from changelore.functions import text as X
 from changelore.operators import lexical, skew, snapshot
-from changelore.runtime import broadcast_if_small, checkpointed_count, is_small, small
+from changelore.runtime import (
+    BROADCAST_ROWS,
+    broadcast_if_small,
+    checkpointed_count,
+    is_small,
+    small,
+)
 
 SLICE_ROWS = 32_768
 QUERY_BLOCK = 2_048
@@ -130,6 +136,58 @@ def _best_per_slice(
     )
 
 
+def _scan_corpus(block: pa.Table, vectors: DataFrame, k: int, query_type: T.DataType) -> DataFrame:
+    """k rows per query and partition from one bounded block of queries, no shuffle of the corpus."""
+    schema = T.StructType(
+        [
+            T.StructField("query_id", query_type),
+            T.StructField("chunk_id", vectors.schema["chunk_id"].dataType),
+            T.StructField("similarity", T.DoubleType()),
+        ]
+    )
+    if block.num_rows == 0:
+        return vectors.sparkSession.createDataFrame([], schema)
+    sent = vectors.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        wanted = _matrix(asked.column("vector"))
+        scopes = asked.column(_SCOPE).to_numpy()
+        best = np.full((len(wanted), k), -np.inf)
+        ids = np.zeros((len(wanted), k), dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            corpus = _matrix(pa.chunked_array([batch.column("embedding")]))
+            chunk_ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            chunk_scopes = batch.column(_SCOPE).to_numpy(zero_copy_only=False)
+            for scope in np.intersect1d(scopes, chunk_scopes):
+                q, c = np.flatnonzero(scopes == scope), np.flatnonzero(chunk_scopes == scope)
+                similarity = np.round(wanted[q] @ corpus[c].T, 6)
+                merged = np.concatenate([best[q], similarity], axis=1)
+                named = np.concatenate(
+                    [ids[q], np.broadcast_to(chunk_ids[c], (len(q), len(c)))], axis=1
+                )
+                order = np.lexsort((named, -merged), axis=-1)[:, :k]
+                best[q] = np.take_along_axis(merged, order, axis=1)
+                ids[q] = np.take_along_axis(named, order, axis=1)
+        rows, places = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays(
+            [
+                asked.column("query_id").combine_chunks().take(pa.array(rows)),
+                pa.array(ids[rows, places]).cast(_arrow_int(schema)),
+                pa.array(best[rows, places]),
+            ],
+            names=schema.fieldNames(),
+        )
+
+    return vectors.select(_SCOPE, "chunk_id", "embedding").mapInArrow(run, schema)
+
+
+def _arrow_int(schema: T.StructType) -> pa.DataType:
+    return pa.int32() if isinstance(schema["chunk_id"].dataType, T.IntegerType) else pa.int64()
+
+
 def dense_topk(
     queries: DataFrame,
     chunks: DataFrame,
@@ -140,12 +198,20 @@ def dense_topk(
 ) -> DataFrame:
     """Exact top k by cosine similarity: query_id, chunk_id, similarity, rank.
 
-    A scope that holds most of the chunks simply gets more slices.  Equal
-    similarities (six decimals) are ordered by chunk id.
+    One block of queries goes to every task and the corpus is scanned where it
+    lies.  More queries meet the corpus in slices and blocks; a scope that holds
+    most of the chunks simply gets more slices.  Equal similarities (six
+    decimals) are ordered by chunk id.
     """
     vectors = _with_scope(chunks.where(F.col("embedding").isNotNull()), scope)
     asked = _with_scope(queries.where(F.col("vector").isNotNull()), scope)
-    partial = _best_per_slice(asked, vectors, k, slice_rows, query_block)
+    one_block = None
+    if isinstance(vectors.schema["chunk_id"].dataType, (T.LongType, T.IntegerType)):
+        one_block = asked.select("query_id", _SCOPE, "vector").limit(query_block + 1).toArrow()
+    if one_block is not None and one_block.num_rows <= query_block:
+        partial = _scan_corpus(one_block, vectors, k, asked.schema["query_id"].dataType)
+    else:
+        partial = _best_per_slice(asked, vectors, k, slice_rows, query_block)
     order = [F.col("similarity").desc(), F.col("chunk_id")]
     return skew.top_per_key(partial, ["query_id"], order, k, "rank")
 
@@ -403,13 +469,18 @@ def hybrid_search(
     )
     candidates = fused_candidates(fused, top_n)
     shown = [c for c in chunks.columns if c not in ("tokens", "embedding", *scope)]
+    # At most `per_query` rows per question are left: few questions, few rows.
+    per_query = max(C.MIN_FUSED, top_n)
+    few = is_small(queries.select("query_id", "question"), BROADCAST_ROWS // per_query)
+
+    def hydrate(rows: DataFrame) -> DataFrame:
+        return chunks.select(*shown).join(F.broadcast(rows) if few else rows, "chunk_id")
+
     if scorer is None:
-        ranked = final_order(candidates, top_n)
-        return ranked.join(chunks.select(*shown), "chunk_id")
-    hydrated = candidates.join(chunks.select(*shown), "chunk_id")
-    asked = broadcast_if_small(queries.select("query_id", "question"))
-    scored = rerank(hydrated.join(asked, "query_id"), scorer)
-    return final_order(scored.drop("question"), top_n)
+        return hydrate(final_order(candidates, top_n))
+    asked = queries.select("query_id", "question")
+    pairs = hydrate(candidates).join(F.broadcast(asked) if few else asked, "query_id")
+    return final_order(rerank(pairs, scorer).drop("question"), top_n)
 
 
 def search_outcome(queries: DataFrame, hits: DataFrame) -> DataFrame:

@@ -47,6 +47,47 @@ def eval_report(spark: SparkSession, folder: str) -> DataFrame:
     return evalkit.report(results)
 
 
+@query(
+    "report_lines",
+    f"""WITH r AS (
+      SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'attribution' WHEN 1 THEN 'retrieval' ELSE 'synthesis' END AS kind,
+        user_id % 3 + CASE WHEN user_id % 3 = 0 THEN 1 WHEN user_id % 3 = 1 THEN 2 ELSE 3 END AS section,
+        value / 1000 AS s, value > 20 AS passed, event_type = 'error' AS skipped FROM events
+    ), g AS (
+      SELECT kind, section, COUNT(*) FILTER (NOT skipped AND passed) AS passed, COUNT(*) FILTER (NOT skipped) AS total,
+        round(1000 * AVG(s) FILTER (NOT skipped), 6) AS avg_ms,
+        1000 * list_sort(list(s) FILTER (NOT skipped))[CAST(floor(0.95 * (COUNT(s) FILTER (NOT skipped) - 1)) AS BIGINT) + 1] AS p95_ms
+      FROM r GROUP BY ALL
+    ), l AS (
+      SELECT 0 AS section, 0 AS part, '' AS id, '# Events' AS line UNION ALL SELECT 0, 1, '', ''
+      UNION ALL SELECT section, 0, '', '## ' || kind || ' (A)' FROM g
+      UNION ALL SELECT section, 1, '', '' FROM g
+      UNION ALL SELECT section, 2, '', '**' || CAST(passed AS VARCHAR) || '/' || CAST(total AS VARCHAR) || '** passed - avg '
+        || CAST(CAST(floor(avg_ms + 0.5) AS BIGINT) AS VARCHAR) || 'ms - p95 ' || CAST(CAST(floor(p95_ms + 0.5) AS BIGINT) AS VARCHAR) || 'ms' FROM g
+      UNION ALL SELECT section, 3, '', '' FROM g
+      UNION ALL SELECT section, 4, '', '| case | ok | detail | latency ms |' FROM g
+      UNION ALL SELECT section, 5, '', '|---|---|---|---|' FROM g
+      UNION ALL SELECT section, 6, CAST(event_id AS VARCHAR), '| ' || CAST(event_id AS VARCHAR) || ' | '
+        || CASE WHEN skipped THEN 'skip' WHEN passed THEN 'yes' ELSE '**NO**' END || ' | d | 7 |' FROM r
+      UNION ALL SELECT section, 7, '', '' FROM g)
+    SELECT CAST(section AS INTEGER) AS section, part, id, line FROM l""",
+)
+def report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """events as results of three kinds; the latency column of the cases is fixed in the lines."""
+    p = F.col("user_id") % 3
+    results = A.table(spark, folder, "events").select(
+        F.col("event_id").cast("string").alias("id"),
+        F.lit("A").alias("path"),
+        F.when(p == 0, "attribution").when(p == 1, "retrieval").otherwise("synthesis").alias("kind"),
+        (F.col("value") > 20).alias("passed"),
+        (F.col("event_type") == "error").alias("skipped"),
+        F.lit("d").alias("detail"),
+        (F.col("value") / 1000).alias("latency_s"),
+    )
+    lines = evalkit.report_lines(results, "Events")
+    return lines.withColumn("line", F.regexp_replace("line", r"\| d \| [0-9]+ \|$", "| d | 7 |"))
+
+
 @query(
     "trace_accounting",
     f"""WITH t AS (

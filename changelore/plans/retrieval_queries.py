@@ -128,9 +128,9 @@ ALL_PAIRS_SQL = """e AS (
     FROM pairs QUALIFY rank <= 50""",
 )
 def dense_topk_exact(spark: SparkSession, folder: str) -> DataFrame:
-    """Every vector asks for its fifty nearest; small slices, so several tasks work."""
+    """Every vector asks for its fifty nearest, in slices and blocks."""
     return retrieval.dense_topk(
-        _vector_queries(spark, folder), _vector_chunks(spark, folder), slice_rows=256, query_block=512
+        _vector_queries(spark, folder), _vector_chunks(spark, folder), slice_rows=256, query_block=128
     )
 
 
@@ -328,7 +328,10 @@ def quantized_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return q.select("vec_id", F.round("q.scale", 9).alias("scale"), total.alias("code_sum"))
 
 
-@query("embed_batch")
+@query(
+    "embed_batch",
+    """SELECT doc_id, 384 AS dim, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END AS norm, 'hashing-384' AS embedding_model FROM documents""",
+)
 def embed_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of all whole documents with the default encoder."""
     docs = A.documents(spark, folder).select("doc_id", "text")
