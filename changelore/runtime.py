@@ -68,13 +68,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a table with fewer files than cores out to all cores.
+    """Deal the rows of a table with fewer scan partitions than cores out to all cores.
 
     Meant in front of heavy work on every row.  A table of many files keeps the
     partitions of its scan, nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
 

@@ -44,12 +44,12 @@ def bins(spark, texts: list[str]) -> list[list[str]]:
 
 
 def test_split_discussion_known_cases(spark):
-    ten = SEP.join(f"author{i}: {'x' * 300}" for i in range(10))
+    ten = SEP.join(f"person{i}: {'x' * 300}" for i in range(10))
     big = "op: " + "y" * 4000
-    got = bins(spark, [ten, big, "a: short note", "", "  \n---\n  "])
+    got = bins(spark, [ten, big, "b: brief", "", "  \n---\n  "])
     assert [len(b) for b in got] == [2, 3, 1, 0, 0]
     assert sum(len(b) for b in got[1]) >= 3900
-    assert got[2] == ["a: short note"]
+    assert got[2] == ["b: brief"]
 
 
 def test_split_discussion_matches_brute_force_and_loses_nothing(spark):
@@ -79,10 +79,10 @@ def test_split_markdown(spark):
 
 def test_noise_and_commit_chunks(spark):
     rows = [
-        (1, "1" * 40, None, None, None, None, None, None, "Add lanes scheduler", "We use 31-bit lanes so updates can be\nsplit."),
+        (1, "1" * 40, None, None, None, None, None, None, "Add retry budget", "A budget per caller keeps one client\nfrom using all."),
         (1, "2" * 40, None, None, None, None, None, None, "Merge pull request #100", None),
         (1, "3" * 40, None, None, None, None, None, None, "typo", "fix typo"),
-        (1, "4" * 40, None, None, None, None, None, None, "Explain backoff", "Retry uses exponential backoff because."),
+        (1, "4" * 40, None, None, None, None, None, None, "Explain the cache", "The cache is read first because it is near."),
         (1, "5" * 40, None, None, None, None, None, None, "Tiny (#12)", None),
     ]
     commits = spark.createDataFrame(rows, schemas.COMMITS)
@@ -90,26 +90,26 @@ def test_noise_and_commit_chunks(spark):
         [(1, "1" * 40, i, "modified", f"src/{i}.js", None, 1, 1) for i in range(7)], schemas.FILE_CHANGES
     )
     made = {r["title"]: r for r in chunks.with_text(chunks.commit_chunks(commits, changes)).collect()}
-    assert set(made) == {"Add lanes scheduler", "Explain backoff", "Tiny (#12)"}
+    assert set(made) == {"Add retry budget", "Explain the cache", "Tiny (#12)"}
     assert made["Tiny (#12)"]["body"] == "Tiny (#12)"
-    assert made["Add lanes scheduler"]["text"].startswith(
-        "src/0.js, src/1.js, src/2.js, src/3.js, src/4.js (+2 more)\nAdd lanes scheduler\n---\nWe use"
+    assert made["Add retry budget"]["text"].startswith(
+        "src/0.js, src/1.js, src/2.js, src/3.js, src/4.js (+2 more)\nAdd retry budget\n---\nA budget"
     )
 
 
 def test_render_with_date(spark):
     df = spark.sql("SELECT timestamp'2020-07-01 10:00:00' t, array('src/a.js','src/b.js') f, 2 n")
     text = df.select(
-        chunks.render(F.col("t"), F.col("f"), F.col("n"), F.lit("Use lanes"), F.lit("Because ranges.")).alias("x")
+        chunks.render(F.col("t"), F.col("f"), F.col("n"), F.lit("Use budgets"), F.lit("Because of load.")).alias("x")
     ).first()["x"]
-    assert text == "[2020-07-01] src/a.js, src/b.js\nUse lanes\n---\nBecause ranges."
+    assert text == "[2020-07-01] src/a.js, src/b.js\nUse budgets\n---\nBecause of load."
 
 
-def page(comments: list[tuple[str | None, str]], number: int = 7, body: str = "This adds the widget.") -> dict:
+def page(comments: list[tuple[str | None, str]], number: int = 7, body: str = "The gauge shows the load.") -> dict:
     node = {
-        "number": number, "title": "Add widget", "body": body, "state": "MERGED",
+        "number": number, "title": "Add gauge", "body": body, "state": "MERGED",
         "createdAt": "2020-03-01T10:00:00Z", "mergedAt": "2020-03-02T09:00:00Z",
-        "author": {"login": "seb"}, "mergeCommit": {"oid": "a" * 40} if body else None,
+        "author": {"login": "ann"}, "mergeCommit": {"oid": "a" * 40} if body else None,
         "comments": {
             "totalCount": len(comments),
             "nodes": [{"author": a and {"login": a}, "body": b, "createdAt": None} for a, b in comments],
@@ -127,12 +127,12 @@ def pages(spark, *made: dict):
 def test_pages_to_chunks(spark):
     landed = pages(
         spark,
-        page([("seb", "why this approach? because X"), (None, "agreed"), ("dan", "  ")]),
+        page([("ann", "does it scale? yes"), (None, "agreed"), ("bob", "  ")]),
         page([], number=8, body=""),
     )
     prs = merge_requests.parse_pr_pages(landed).withColumn("repo_id", F.lit(1))
     by_number = {r["number"]: r for r in prs.collect()}
-    assert by_number[7]["discussion"] == "seb: why this approach? because X\n---\nunknown: agreed"
+    assert by_number[7]["discussion"] == "ann: does it scale? yes\n---\nunknown: agreed"
     assert by_number[8]["discussion"] is None and by_number[8]["body"] is None
     assert by_number[8]["merge_sha"] is None
     changes = spark.createDataFrame([(1, "a" * 40, 0, "added", "w.js", None, 1, 0)], schemas.FILE_CHANGES)
@@ -142,7 +142,7 @@ def test_pages_to_chunks(spark):
 
 
 def test_long_discussion_gets_numbered_bins(spark):
-    landed = pages(spark, page([(f"u{i}", f"point {i}: " + "detail " * 200) for i in range(12)]))
+    landed = pages(spark, page([(f"u{i}", f"item {i}: " + "more " * 280) for i in range(12)]))
     prs = merge_requests.parse_pr_pages(landed).withColumn("repo_id", F.lit(1))
     links = merge_requests.pr_links(prs)
     changes = spark.createDataFrame([], schemas.FILE_CHANGES)
@@ -174,19 +174,19 @@ def test_liveness(spark):
 
 def test_slugs_and_symbols(spark):
     raw = {
-        "expressjs/express": "expressjs/express",
-        "https://github.com/expressjs/express": "expressjs/express",
+        "acme/tool": "acme/tool",
+        "https://github.com/acme/tool": "acme/tool",
         "https://github.com/a/b.git": "a/b",
         "github.com/a/b/tree/main": "a/b",
         "www.github.com/a/b?tab=readme": "a/b",
-        "just-a-name": None,
+        "name-only": None,
         "https://gitlab.com/a/b": None,
         "github.com/a": None,
         "a/b/c": None,
     }
     df = spark.createDataFrame([(k,) for k in raw], "raw STRING")
     assert {r["raw"]: r["s"] for r in df.select("raw", X.normalize_slug("raw").alias("s")).collect()} == raw
-    names = spark.createDataFrame([("createRoot",), ("React.memo",), ("why is this",), ("x",)], "q STRING")
+    names = spark.createDataFrame([("makeShape",), ("Shape.draw",), ("why is this",), ("x",)], "q STRING")
     assert [r["s"] for r in names.select(X.looks_like_symbol("q").alias("s")).collect()] == [True, True, False, False]
 
 

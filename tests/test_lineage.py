@@ -12,18 +12,17 @@ from changelore import schemas
 from changelore.operators import evidence, graph, lineage, symbols
 
 FILES = [
-    ("x.js", "\nfunction helper() { return 1; }\n\nexport function calc(a, b) {\n  return a + b;\n}\n"),
-    ("y.js", "\nconst handler = (evt) => {\n  return evt.type;\n};\n\nmodule.exports = { handler };\n"),
+    ("x.js", "\nfunction inner() { return 2; }\n\nexport function area(r) {\n  return r * r;\n}\n"),
+    ("y.js", "\nconst onClick = (event) => {\n  return event.target;\n};\n\nexport default onClick;\n"),
     (
-        "store.ts",
-        "\nclass Store {\n  constructor() { this.n = 0; }\n  increment(step: number): number {\n"
-        "    this.n += step;\n    return this.n;\n  }\n}\n",
+        "box.ts",
+        "\nclass Box {\n  constructor() { this.size = 1; }\n  grow(by: number): number {\n"
+        "    if (by > 0) {\n      this.size += by;\n    }\n    return this.size;\n  }\n}\n",
     ),
     (
-        "flow.js",
-        "/** @flow */\n\nopaque type Handler = (event: Event) => void;\n\nexport type RootType = {\n"
-        "  render(children: ReactNodeList): void,\n};\n\nexport function createRoot(\n  container: Element,\n"
-        "  callback: ?() => mixed,\n): RootType {\n  return root;\n}\n",
+        "typed.js",
+        "// @flow\nopaque type Id = string;\n\nexport type Shape = {\n  draw(canvas: Canvas): void,\n};\n\n"
+        "export function makeShape(\n  id: Id,\n  done: ?() => mixed,\n): Shape {\n  return done ? done() : id;\n}\n",
     ),
     ("core.py", "class Command:\n    def invoke(self):\n        return 1\n"),
 ]
@@ -32,15 +31,16 @@ FILES = [
 def test_symbol_spans(spark):
     files = spark.createDataFrame([(1, p, c) for p, c in FILES], "repo_id INT, path STRING, content STRING")
     got = {(r["path"], r["name"]): (r["kind"], r["start_line"], r["end_line"]) for r in symbols.symbol_index(files).collect()}
-    assert got[("x.js", "calc")] == ("function_declaration", 4, 6)
-    assert got[("x.js", "helper")] == ("function_declaration", 2, 2)
-    assert got[("y.js", "handler")] == ("variable_declarator", 2, 4)
-    assert got[("store.ts", "increment")] == ("method_definition", 4, 7)
-    assert got[("store.ts", "Store")] == ("class_declaration", 2, 8)
-    assert got[("flow.js", "createRoot")][1:] == (9, 14)
+    assert got[("x.js", "area")] == ("function_declaration", 4, 6)
+    assert got[("x.js", "inner")] == ("function_declaration", 2, 2)
+    assert got[("y.js", "onClick")] == ("variable_declarator", 2, 4)
+    assert got[("box.ts", "grow")] == ("method_definition", 4, 9)
+    assert got[("box.ts", "Box")] == ("class_declaration", 2, 10)
+    assert got[("typed.js", "makeShape")][1:] == (8, 13)
+    assert not any(name == "if" for _, name in got)
     assert not any(p == "core.py" for p, _ in got)
     asked = spark.createDataFrame(
-        [(1, 1, "calc", None), (2, 1, "nope", None), (3, 1, "calc", "y.js")],
+        [(1, 1, "area", None), (2, 1, "nope", None), (3, 1, "area", "y.js")],
         "question_id INT, repo_id INT, symbol STRING, file STRING",
     )
     found = {r["question_id"]: r["path"] for r in symbols.locate(asked, symbols.symbol_index(files)).collect()}
@@ -88,14 +88,14 @@ def to_hunks(spark, path: str, history):
 
 
 def test_walk_keeps_only_commits_that_touch_the_range(spark):
-    v1 = "export function calc(a, b) {\n  return a + b;\n}\n"
+    v1 = "export function area(r) {\n  return r * r;\n}\n"
     v2 = v1.replace("  return", "\treturn")
     v3 = "// other\nlet z = 1;\n" + v2
-    v4 = v3.replace("a + b", "Math.min(a + b, 100)")
+    v4 = v3.replace("r * r", "Math.PI * r * r")
     v5 = v4 + "let y = 2;\n"
     texts = ["", v1, v2, v3, v4, v5]
     history = [hunks_of(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-    spans = spark.createDataFrame([(1, "m.js", "calc", 3, 5)], "repo_id INT, path STRING, symbol STRING, start_line INT, end_line INT")
+    spans = spark.createDataFrame([(1, "m.js", "area", 3, 5)], "repo_id INT, path STRING, symbol STRING, start_line INT, end_line INT")
     got = [r["ord"] for r in lineage.walk_ranges(spans, to_hunks(spark, "m.js", history)).orderBy("ord").collect()]
     assert got == [0, 1, 3]
 
@@ -158,19 +158,19 @@ def gate_of(spark, rows, label_rows=()):
 
 
 def test_timeline_and_gate(spark):
-    rows = [("a1", 1, "add calc", "add calc"), ("b2", 2, "reindent", "x"), ("c3", 3, "note", "x"), ("d4", 4, "clamp result", "x")]
+    rows = [("a1", 1, "add area", "add area"), ("b2", 2, "reindent", "x"), ("c3", 3, "note", "x"), ("d4", 4, "use pi", "x")]
     noise = [(1, "b2", "insignificant_whitespace"), (1, "c3", "insignificant_comment")]
     shown = lineage.evidence(timeline_of(spark, rows, noise)).orderBy("ord").collect()
-    assert [(r["subject"], r["role"]) for r in shown] == [("add calc", "introduced"), ("clamp result", "modified")]
+    assert [(r["subject"], r["role"]) for r in shown] == [("add area", "introduced"), ("use pi", "modified")]
     got = gate_of(spark, rows, noise)
     assert (got["status"], got["noise_dropped"], got["introduced_id"]) == ("answered", 2, "a1")
 
 
 def test_gate_outcomes(spark):
-    single = gate_of(spark, [("a1", 1, "add calc", "add calc")])
+    single = gate_of(spark, [("a1", 1, "add area", "add area")])
     assert (single["status"], single["reason"]) == ("low_confidence", "single_uncited_commit")
-    assert gate_of(spark, [("a1", 1, "add calc (#3)", "add calc (#3)")])["status"] == "answered"
-    assert gate_of(spark, [("a1", 1, "add calc", "add calc\n\nbecause of the survey")])["status"] == "answered"
+    assert gate_of(spark, [("a1", 1, "add area (#3)", "add area (#3)")])["status"] == "answered"
+    assert gate_of(spark, [("a1", 1, "add area", "add area\n\nbecause of the survey")])["status"] == "answered"
     noisy = gate_of(spark, [("a1", 1, "add", "add")], [(1, "a1", "insignificant_comment")])
     assert (noisy["status"], noisy["reason"]) == ("abstained", "no_significant_history")
     first_noise = gate_of(spark, [("a1", 1, "add", "add"), ("b2", 2, "fix", "fix")], [(1, "a1", "insignificant_comment")])
@@ -180,9 +180,9 @@ def test_gate_outcomes(spark):
 def test_bundle_is_bounded(spark):
     rows = [(f"{i:040d}", i, f"subject {i}", "b" * 900) for i in range(30)]
     shown = lineage.evidence(timeline_of(spark, rows, [(1, "x", "significant")]))
-    anchors = spark.createDataFrame([(1, "calc", None, None, None)], "question_id INT, symbol STRING, path STRING, start_line INT, end_line INT")
+    anchors = spark.createDataFrame([(1, "area", None, None, None)], "question_id INT, symbol STRING, path STRING, start_line INT, end_line INT")
     text = evidence.bundle(anchors, shown).first()["bundle"]
-    assert text.startswith("Question: why does calc exist?\nAnchor: unresolved\n\nEvidence (chronological):\n[000000000] A: subject 0\n    bbb")
+    assert text.startswith("Question: why does area exist?\nAnchor: unresolved\n\nEvidence (chronological):\n[000000000] A: subject 0\n    bbb")
     assert text.count("subject ") == 14 and "b" * 401 not in text and len(text) <= 9_000
 
 
