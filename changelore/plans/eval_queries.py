@@ -453,7 +453,7 @@ def stream_backfill_prs(spark: SparkSession, folder: str) -> DataFrame:
         ingest.backfill_prs(
             spark, f"{base}/landed", f"{base}/tables", 0, f"{base}/progress", max_pages=2
         ).awaitTermination()
-    rows = ingest.latest_prs(spark, f"{base}/tables")
+    rows = ingest.stored_prs(spark, f"{base}/tables")
     return rows.select("number", "title", "merge_sha")
 
 

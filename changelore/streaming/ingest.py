@@ -7,6 +7,7 @@ be append-only: rewritten commits arrive under new hashes and are added.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,16 +68,17 @@ def backfill_prs(
 ) -> StreamingQuery:
     """Upsert landed merge-request pages; `max_pages` bounds the pages per batch.
 
-    Each batch writes the merged table to a folder of its own version, so a
-    repeated batch rewrites the same version and readers never see half of it.
+    A batch only adds its own rows, in a folder named by the job and the batch,
+    so a repeated batch replaces itself and nothing else is rewritten.
+    `stored_prs` folds the batches to the upserted table.
     """
+    job = zlib.crc32(checkpoint.encode())
 
     def store(batch: DataFrame, batch_id: int) -> None:
         incoming = merge_requests.parse_pr_pages(batch).withColumn("repo_id", F.lit(repo_id))
-        stored = latest_prs(spark, tables, batch_id)
-        columns = schemas.fields(schemas.PULL_REQUESTS)
-        merged = merge_requests.upsert_prs(stored, incoming.select(*columns))
-        merged.write.mode("overwrite").parquet(f"{tables}/pull_requests/version={batch_id}")
+        folder = f"{tables}/pull_requests/repo_id={repo_id}/job={job}/batch={batch_id}"
+        rows = incoming.select(*schemas.fields(schemas.PULL_REQUESTS)).drop("repo_id")
+        rows.withColumn("stored_at", F.current_timestamp()).write.mode("overwrite").parquet(folder)
         sinks.append_new(
             spark,
             merge_requests.pr_links(incoming),
@@ -88,16 +90,29 @@ def backfill_prs(
     return _start(read_landed(spark, landed, schemas.PR_PAGE, max_files=max_pages), store, checkpoint)
 
 
-def latest_prs(spark: SparkSession, tables: str, before: int | None = None) -> DataFrame:
-    """The newest version of the merge-request table (older than `before`, when given)."""
-    versions = sinks.read_table(
-        spark, f"{tables}/pull_requests", f"{schemas.PULL_REQUESTS}, version INT"
+def stored_prs(spark: SparkSession, tables: str, repo_id: int | None = None) -> DataFrame:
+    """The merge requests of all stored batches, as a chain of upserts leaves them.
+
+    The first stored row of a key wins; its discussion is the first that is not
+    missing.  Both choices combine on the map side.
+    """
+    rows = sinks.read_table(
+        spark,
+        f"{tables}/pull_requests",
+        f"{schemas.PULL_REQUESTS}, stored_at TIMESTAMP, job BIGINT, batch BIGINT",
+    )
+    if repo_id is not None:
+        rows = rows.where(F.col("repo_id") == repo_id)
+    key = merge_requests.PR_KEY
+    columns = schemas.fields(schemas.PULL_REQUESTS)
+    others = [c for c in columns if c not in (*key, "discussion")]
+    order = F.struct("stored_at", "job", "batch", F.xxhash64(*others, "discussion"))
+    has_text = F.when(F.col("discussion").isNotNull(), order)
+    folded = rows.groupBy(*key).agg(
+        F.min_by(F.struct(*others), order).alias("r"),
+        F.min_by("discussion", has_text).alias("discussion"),
     )
-    if before is not None:
-        versions = versions.where(F.col("version") < before)
-    newest = versions.agg(F.max("version")).first()[0]
-    rows = versions.where(F.col("version") == (-1 if newest is None else newest))
-    return rows.select(*schemas.fields(schemas.PULL_REQUESTS))
+    return folded.select(*key, "r.*", "discussion").select(*columns)
 
 
 def label_counts(labels: DataFrame) -> DataFrame:

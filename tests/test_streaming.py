@@ -53,7 +53,7 @@ def test_pr_backfill_resumes(spark, tmp_path):
 
     def backfill():
         ingest.backfill_prs(spark, str(landed), f"{tmp_path}/t", 1, f"{tmp_path}/p", max_pages=1).awaitTermination()
-        return {r["number"]: r["discussion"] for r in ingest.latest_prs(spark, f"{tmp_path}/t").collect()}
+        return {r["number"]: r["discussion"] for r in ingest.stored_prs(spark, f"{tmp_path}/t").collect()}
 
     land("1.json", page([]), page([("a", "hello")], number=8))
     land("2.json", page([("b", "late")]))
@@ -65,6 +65,27 @@ def test_pr_backfill_resumes(spark, tmp_path):
     assert links.count() == 3
 
 
+def test_backfill_with_a_new_checkpoint_keeps_what_is_stored(spark, tmp_path):
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    for n, pages in enumerate(([page([])], [page([("a", "late")]), page([("b", "x")], number=8)])):
+        (landed / f"{n}.json").write_text("\n".join(json.dumps(p) for p in pages))
+        ingest.backfill_prs(spark, str(landed), f"{tmp_path}/t", 1, f"{tmp_path}/p{n}").awaitTermination()
+    got = {r["number"]: r["discussion"] for r in ingest.stored_prs(spark, f"{tmp_path}/t").collect()}
+    assert got == {7: "a: late", 8: "b: x"}
+
+
+def test_pr_backfills_of_two_repositories_stay_apart(spark, tmp_path):
+    for repo, number in ((1, 7), (2, 8)):
+        landed = tmp_path / f"landed{repo}"
+        landed.mkdir()
+        (landed / "1.json").write_text(json.dumps(page([("a", f"in {repo}")], number=number)))
+        ingest.backfill_prs(spark, str(landed), f"{tmp_path}/t", repo, f"{tmp_path}/p{repo}").awaitTermination()
+    got = {(r["repo_id"], r["number"], r["discussion"]) for r in ingest.stored_prs(spark, f"{tmp_path}/t").collect()}
+    assert got == {(1, 7, "a: in 1"), (2, 8, "a: in 2")}
+    assert ingest.stored_prs(spark, f"{tmp_path}/t", repo_id=2).count() == 1
+
+
 def test_sinks_and_readers(spark, tmp_path):
     (tmp_path / "docs" / "sub").mkdir(parents=True)
     (tmp_path / "docs" / "sub" / "A.MD").write_text("# Title\ntext\n")
