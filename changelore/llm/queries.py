@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelore.llm import pii, quality_rules
+from changelore.llm import bpe, mixing, pii, quality_rules
 from changelore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +51,16 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pii.digest(base), 256).alias("base_sha256"),
         pii.digest(F.col("pii")).alias("spans"),
     )
+
+
+@query("op3_bpe_backtracking")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op6_source_mix")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
