@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelore.llm import bpe, mixing, pii, quality_rules
+from changelore.llm import bpe, html_extract, mixing, pii, quality_classifier, quality_rules
 from changelore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,20 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, table(spark, folder, "labels"))
+    return quality_classifier.score(docs, model).select(
+        "doc_id",
+        (quality_classifier.fold(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        "predicted",
+    )
+
+
+@query("op9_html_differencing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
