@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelore.llm import bpe, html_extract, mixing, pii, quality_classifier, quality_rules
+from changelore.llm import bpe, html_extract, mixing, pii, quality_classifier, quality_rules, substring_dedup
 from changelore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_html_differencing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op7_passage_automata")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substring_dedup.remove(docs, keep_text=False)
