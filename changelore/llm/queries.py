@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelore.llm import bpe, html_extract, mixing, pii, quality_classifier, quality_rules, substring_dedup
+from changelore.llm import bpe, html_extract, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup
 from changelore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return substring_dedup.remove(docs, keep_text=False)
+
+
+@query("op8_ngram_join")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.groups(table(spark, folder, "documents").select("doc_id", "text"))
