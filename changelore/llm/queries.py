@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelore.llm import bpe, html_extract, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup
+from changelore.llm import bpe, embedding_dedup, html_extract, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup
 from changelore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_join")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op2_embedding_lsh")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, folder, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
