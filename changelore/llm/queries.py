@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelore.llm import bpe, embedding_dedup, html_extract, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup
+from changelore.llm import bpe, embedding_dedup, html_extract, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup
 from changelore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,15 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_embedding_lsh")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.link(table(spark, folder, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    # documents have no path: source and language are folders, with one below for each 500 keys
+    path = F.concat_ws(
+        "/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")),
+        F.floor(F.col("doc_id") / 500).cast("string"), F.col("doc_id").cast("string"),
+    )
+    docs = table(spark, folder, "documents").select("doc_id", "text", path.alias("path"))
+    found = license_scan.scan(docs, license_scan.templates(spark))
+    return found.select("doc_id", "path", "license", "similarity", "origin", "n_statements")
