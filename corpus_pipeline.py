@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelore.llm import pii, quality_rules
+from changelore.llm import bpe, mixing, ngram_join, pii, quality_rules
 from changelore.runtime import checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,13 +24,43 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest key stays; rows without a key stay."""
+    groups = ngram_join.groups(docs.select("doc_id", "text"))
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data is replaced by its kind in brackets."""
     found = pii.masked(pii.find(docs.select(*COLUMNS)))
     return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality), ("personal data", personal_data)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: whole epochs, and once more where the fraction falls.
+
+    The document at which a source's budget ends is taken when at least half of it fits.
+    """
+    mixed = mixing.mix(docs.select(*COLUMNS))
+    copies = F.col("epochs") + ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("long")
+    taken = mixed.withColumn("_copies", copies.cast("int")).where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text of the mix."""
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "token_ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("source mix", source_mix),
+    ("tokens", tokens),
+]
 
 #: Duplicate joins and BPE are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
