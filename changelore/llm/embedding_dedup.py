@@ -170,10 +170,13 @@ def link(
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             whole = frame["cell"].to_numpy() != frame["cell"].iloc[-1]
             held = frame[~whole]
-            if whole.any():
-                yield _cells(frame[whole], least)
-        if held is not None and len(held):
-            yield _cells(held, least)
+            yield from compared(frame[whole])
+        if held is not None:
+            yield from compared(held)
+
+    def compared(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, part in rows.groupby(rows["v"].map(len)):  # a cell has vectors of one length
+            yield _cells(part, least)
 
     found = checkpointed(
         dealt.repartition("cell").sortWithinPartitions("cell", "id").mapInPandas(compare, "id long, n long, root long")

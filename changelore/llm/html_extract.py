@@ -174,20 +174,15 @@ def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
 
 def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each row with the one before and after it in its partition; the first and last row are marked."""
-    held, first = None, True
-    parts = []
-    for frame in frames:
-        parts.append(frame)
+    parts = list(frames)
     if not parts:
         return
-    rows = pd.concat(parts, ignore_index=True)
+    rows = pd.concat(parts, ignore_index=True).astype({"k": "Int64"})  # shifted keys stay whole numbers
     for name in ("host", "path", "k"):
         rows[f"prev_{name}"] = rows[name].shift(1)
         rows[f"next_{name}"] = rows[name].shift(-1)
     rows["edge"] = False
     rows.loc[[0, len(rows) - 1], "edge"] = True
-    rows["prev_k"] = rows["prev_k"].astype("Int64")
-    rows["next_k"] = rows["next_k"].astype("Int64")
     yield rows
 
 
