@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from changelore.llm.common import WORD_RE
 from changelore.llm.components import components
-from changelore.llm.shingles import WordHashes, runs
+from changelore.llm.shingles import WordHashes, member, runs
 from changelore.runtime import checkpointed
 
 SHINGLE = 5
@@ -142,7 +142,7 @@ def _survivors(blocked: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
                     continue
                 extra = max(1, FIRST_EXTRA * len(s) // 100)
                 part = s[: len(s) - _needed(len(s), percent) + extra].view(np.int64)
-                if np.isin(part, hot).sum() >= extra:
+                if member(part, hot).sum() >= extra:
                     out.append((int(i), len(s), s.view(np.int64)))
         return pd.DataFrame(out, columns=["id", "n", "tokens"])
 

@@ -48,6 +48,13 @@ def runs(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     return _mixed(total)
 
 
+def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array; costs a search per value, not a pass over the array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def window_min(values: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbouring values."""
     n = len(values) - w + 1
