@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from changelore.llm.common import WORD_RE
-from changelore.llm.shingles import WordHashes, runs, window_min
+from changelore.llm.shingles import WordHashes, member, runs, window_min
 
 WINDOW = 13
 RUN = 5
@@ -122,7 +122,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             if pd.isna(i):
                 continue
             hashes = known(_words(t))
-            at = np.flatnonzero(np.isin(_signed(_anchors_of(hashes, window)), wanted))
+            at = np.flatnonzero(member(_signed(_anchors_of(hashes, window)), wanted))
             if len(at):
                 keys.append((_signed(runs(hashes, window, 5))[at], _signed(runs(hashes, window, 7))[at]))
                 ids.append(int(i))
