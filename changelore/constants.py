@@ -89,12 +89,10 @@ MAX_HIT_BODY = 350
 SHA_SHOWN = 9
 TITLE_SHOWN = 120
 
-# Repository names: `owner/name`, or an address that holds one.
-REPO_NAME_PART = "[A-Za-z0-9][A-Za-z0-9_.-]{0,80}"
-REPO_HOST = r"(?:https?://)?(?:www\.)?github\.com/"
+# The host whose addresses name repositories.
+REPO_HOST = "github.com"
 
 # Guards.
-MAX_BLOB_BYTES = 500_000
 MAX_HISTORY_COMMITS = 50_000
 
 # Characters that count as white space, and the line breaks among them.

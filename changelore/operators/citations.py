@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelore import constants as C
@@ -24,16 +24,26 @@ def answer_status(answers: DataFrame) -> DataFrame:
     )
 
 
+def _cites(answer: Column, evidence_id: Column) -> Column:
+    opened = F.concat(F.lit("["), evidence_id)
+    whole = answer.contains(F.concat(opened, F.lit("]"))) | (
+        ~evidence_id.contains("#") & answer.contains(F.concat(opened, F.lit("#")))
+    )
+    return F.when(evidence_id.startswith("pr:"), whole).otherwise(answer.contains(opened))
+
+
 def citations(checked: DataFrame, evidence_ids: DataFrame) -> DataFrame:
     """(question_id, evidence_id, direct): ids cited as `[id`, else `#N` mentions among the hits.
 
-    One row per citation, so no answer gathers its evidence in one cell.
+    A hash may be cited with more digits than are shown; a request id must end there or at its part
+    (`#`), so `[pr:71]` does not cite `pr:7`.  One row per citation, so no answer gathers its evidence
+    in one cell.
     """
     answered = checked.where(F.col("status") == C.ANSWERED).select("question_id", "answer_text")
     ids = evidence_ids.select("question_id", "evidence_id").distinct()
     direct = (
         answered.join(ids, "question_id")
-        .where(F.col("answer_text").contains(F.concat(F.lit("["), "evidence_id")))
+        .where(_cites(F.col("answer_text"), F.col("evidence_id")))
         .select("question_id", "evidence_id")
     )
     mentioned = (

@@ -30,8 +30,12 @@ def parse_cases(lines: DataFrame, column: str = "value") -> DataFrame:
     return kept.select(F.from_json(text, schemas.CASES).alias("c")).select("c.*")
 
 
-def _prefix(expected: Column | str) -> Column:
-    return X.cut(expected, C.SHA_SHOWN)
+def _names(expected: Column, found: Column) -> Column:
+    """Whether a found id is the expected one: hashes agree on the shown digits, request ids up to their part."""
+    request = (found == expected) | found.startswith(F.concat(expected, F.lit("#")))
+    return F.when(expected.startswith("pr:"), request).otherwise(
+        found.startswith(X.cut(expected, C.SHA_SHOWN))
+    )
 
 
 def matched_rank(expected: DataFrame, hits: DataFrame) -> DataFrame:
@@ -44,7 +48,7 @@ def matched_rank(expected: DataFrame, hits: DataFrame) -> DataFrame:
     met = (
         expected.join(hits, "query_id")
         .where(
-            F.col("hit_id").startswith(_prefix("expected_id")) & (F.col("rank") <= F.col("top_k"))
+            _names(F.col("expected_id"), F.col("hit_id")) & (F.col("rank") <= F.col("top_k"))
         )
         .groupBy("query_id")
         .agg(F.min(F.struct("nth", "rank", "expected_id")).alias("m"))
@@ -135,7 +139,7 @@ def score_synthesis(cases: DataFrame, checked: DataFrame, cited: DataFrame) -> D
     wanted = asked.select("id", F.explode(F.array_distinct("expected_citations")).alias("wanted"))
     met = (
         wanted.join(cited, "id")
-        .where(F.col("evidence_id").startswith(_prefix("wanted")))
+        .where(_names(F.col("wanted"), F.col("evidence_id")))
         .select("id", "wanted")
         .distinct()
     )

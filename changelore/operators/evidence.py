@@ -73,16 +73,14 @@ def bundle(anchors: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def link_prefix_join(evidence: DataFrame, links: DataFrame) -> DataFrame:
-    """(question_id, repo_id, pr_number): links whose hash starts with a shown id.
+    """(question_id, repo_id, pr_number): links of the commits shown, by their full hash.
 
-    A prefix match on the nine shown characters is an equality on those nine.
+    Nine shown digits name several commits in a large repository.
     """
-    prefixed = links.select(
-        "repo_id", X.cut("sha", C.SHA_SHOWN).alias("evidence_id"), "pr_number"
-    ).distinct()
+    linked = links.select("repo_id", F.col("sha").alias("full_sha"), "pr_number").distinct()
     return (
-        evidence.select("question_id", "repo_id", "evidence_id")
-        .join(prefixed, ["repo_id", "evidence_id"])
+        evidence.select("question_id", "repo_id", "full_sha")
+        .join(linked, ["repo_id", "full_sha"])
         .select("question_id", "repo_id", "pr_number")
         .distinct()
     )

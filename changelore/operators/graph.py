@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from changelore.runtime import checkpointed, checkpointed_count, small
 
-MAX_ROUNDS = 10_000
 COMPACT_ROUNDS = 8
 
 
@@ -29,7 +28,8 @@ def topological_order(commits: DataFrame, parents: DataFrame) -> DataFrame:
     )
     frontier = own
     raised = own.limit(0)
-    for turn in range(MAX_ROUNDS):
+    # without a cycle no run of skewed commits is longer than the history
+    for turn in range(size + 1):
         parent_time = frontier.select(
             "repo_id", F.col("sha").alias("parent_sha"), F.col("order_time").alias("_p")
         )
@@ -72,8 +72,11 @@ def shortcuts(parents: DataFrame) -> DataFrame:
         ),
         F.lit(True),
     )
-    edges = step
+    edges, length, commits = step, 1, size
     while size:
+        if length > commits:
+            raise RuntimeError("the parent edges contain a cycle")
+        length *= 2
         second = step.select(
             *key, F.col("sha").alias("target_sha"), F.col("target_sha").alias("_next")
         )
@@ -101,7 +104,7 @@ def ancestors(heads: DataFrame, parents: DataFrame) -> DataFrame:
         heads.select("repo_id", "head_sha", F.col("head_sha").alias("sha")).distinct(), F.lit(True)
     )
     reached = frontier
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round reaches new commits or is the last one
         found = edges.join(small(frontier, size), ["repo_id", "sha"]).select(
             "repo_id", "head_sha", F.col("target_sha").alias("sha")
         )
@@ -111,7 +114,6 @@ def ancestors(heads: DataFrame, parents: DataFrame) -> DataFrame:
         if size == 0:
             return reached
         reached = reached.unionByName(frontier)
-    raise RuntimeError("the search did not end")
 
 
 def resolve_chain(links: DataFrame, keys: list[str], node: str, target: str) -> DataFrame:

@@ -118,38 +118,39 @@ TRUTH_SQL = """truth AS (
 ), hit_ids AS (SELECT query_id, rank, lpad(CAST(chunk_id AS VARCHAR), 9, '0') AS hit_id FROM sparse WHERE rank <= 10)"""
 
 
-OPENING = 5
+INNER = 3
 
 
 def truth(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a whole passage.
 
-    Passage and text meet in an equi-join on five words in a row, the opening of
-    the passage; only those pairs are compared in full.
+    The first and last word of a passage may go on in the text; the others are whole words there too.  So
+    passage and text meet in an equi-join on three inner words in a row, and only those pairs are compared
+    in full.  Passages with fewer inner words are a checked small set that is held against every text.
     """
     words = F.col("words")
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - (OPENING - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.array_join(F.slice(words, i, OPENING), " ")),
-    )
+    run = lambda i: F.xxhash64(F.array_join(F.slice(words, i, INNER), " "))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (INNER - 1), F.lit(1))), run)
     split = F.split("text", r"\s+")
-    asked = A.table(spark, folder, "benchmark").withColumn("words", split).select(
-        F.col("item_id").alias("query_id"),
-        F.col("text").alias("passage"),
-        F.xxhash64(F.array_join(F.slice(words, 1, OPENING), " ")).alias("opening"),
+    asked = A.table(spark, folder, "benchmark").where(F.col("text").isNotNull()).select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("passage"), split.alias("words")
     )
-    openings = retrieval.broadcast_if_small(asked.select("query_id", "opening"))
-    docs = A.documents(spark, folder)
+    long = F.size("words") >= INNER + 2
+    keys = retrieval.broadcast_if_small(asked.where(long).select("query_id", run(F.lit(2)).alias("inner")))
+    short = retrieval.broadcast_if_small(asked.where(~long).select("query_id", "passage"))
+    docs = A.documents(spark, folder).select("doc_id", "text")
     candidates = (
         docs.select("doc_id", split.alias("words"))
-        .select("doc_id", F.explode_outer(F.array_distinct(runs)).alias("opening"))
-        .join(openings, "opening")
+        .select("doc_id", F.explode_outer(F.array_distinct(runs)).alias("inner"))
+        .join(keys, "inner")
         .select("query_id", "doc_id")
     )
     met = (
         candidates.join(asked.select("query_id", "passage"), "query_id")
-        .join(docs.select("doc_id", "text"), "doc_id")
+        .join(docs, "doc_id")
         .where(F.col("text").contains(F.col("passage")))
+        .select("query_id", "doc_id")
+        .unionByName(docs.join(short, F.col("text").contains(F.col("passage"))).select("query_id", "doc_id"))
     )
     return met.select(
         "query_id",
@@ -291,7 +292,7 @@ def score_abstention(spark: SparkSession, folder: str) -> DataFrame:
     ), c AS (
       SELECT question_id AS id, conv_id, CASE WHEN turn % 2 = 0 THEN 'answer' ELSE 'abstain' END AS expect, status, turn % 7 = 6 AS skipped,
         CASE WHEN EXISTS (SELECT 1 FROM cited x WHERE x.question_id = k.question_id
-          AND starts_with(x.evidence_id, left('pr:' || CAST(conv_id AS VARCHAR), 9))) THEN 0 ELSE 1 END AS missing
+          AND (x.evidence_id = 'pr:' || CAST(conv_id AS VARCHAR) OR starts_with(x.evidence_id, 'pr:' || CAST(conv_id AS VARCHAR) || '#'))) THEN 0 ELSE 1 END AS missing
       FROM checked k)
     SELECT id, 'S' AS path, 'synthesis' AS kind,
       coalesce(CASE WHEN skipped THEN false WHEN expect = 'abstain' THEN status = 'abstained'
@@ -405,7 +406,7 @@ def stream_distinct_commits(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("committed_at"),
     )
     (
-        ingest.distinct_commits(commits, "40 days")
+        ingest.distinct_commits(commits)
         .writeStream.format("parquet")
         .option("path", f"{base}/rows")
         .option("checkpointLocation", f"{base}/progress")

@@ -331,7 +331,7 @@ def comment_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "detect_renames",
-    r"""WITH f AS (
+    r"""WITH RECURSIVE f AS (
       SELECT md5(lang) AS sha, doc_id, doc_id % 2 = 0 AS gone, text,
         list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_$]+')) AS words
       FROM documents
@@ -350,9 +350,18 @@ def comment_lines(spark: SparkSession, folder: str) -> DataFrame:
         AND len(a.words) >= 0.5 * len(b.words) AND len(b.words) >= 0.5 * len(a.words)
     ), scored AS (SELECT *, 'd' || CAST(old_id AS VARCHAR) AS old_path, 'd' || CAST(new_id AS VARCHAR) AS path
       FROM p WHERE s >= 0.5
-    ), per_new AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY sha, path ORDER BY s DESC, old_path) = 1
-    ), best AS (SELECT * FROM per_new QUALIFY row_number() OVER (PARTITION BY sha, old_path ORDER BY s DESC, path) = 1)
-    SELECT sha, old_path, path, round(s, 6) AS similarity FROM best
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY s DESC, old_path, path) AS n FROM scored
+    ), greedy AS (
+      SELECT sha, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS old_path, CAST(NULL AS VARCHAR) AS path, 0.0::DOUBLE AS s
+      FROM (SELECT DISTINCT sha FROM ranked)
+      UNION ALL
+      SELECT r.sha, r.n,
+        CASE WHEN list_contains(g.used, '-' || r.old_path) OR list_contains(g.used, '+' || r.path) THEN g.used
+          ELSE list_concat(g.used, ['-' || r.old_path, '+' || r.path]) END,
+        CASE WHEN list_contains(g.used, '-' || r.old_path) OR list_contains(g.used, '+' || r.path) THEN NULL ELSE r.old_path END,
+        r.path, r.s
+      FROM greedy g JOIN ranked r ON r.sha = g.sha AND r.n = g.n + 1)
+    SELECT sha, old_path, path, round(s, 6) AS similarity FROM greedy WHERE old_path IS NOT NULL
     UNION ALL SELECT sha, old_path, path, 1.0 FROM exact""",
 )
 def detect_renames(spark: SparkSession, folder: str) -> DataFrame:

@@ -403,6 +403,7 @@ ANSWERS_SQL = """answers AS (
 ), ids AS (
   SELECT question_id, 'pr:' || CAST(conv_id AS VARCHAR) AS evidence_id FROM answers
   UNION ALL SELECT question_id, 'pr:' || CAST(conv_id + 2 AS VARCHAR) FROM answers
+  UNION ALL SELECT question_id, 'pr:' || CAST(conv_id // 10 AS VARCHAR) FROM answers WHERE conv_id >= 10
 ), checked AS (
   SELECT *, CASE WHEN starts_with(answer, 'INSUFFICIENT_EVIDENCE') OR trim(answer) = '' THEN 'abstained' ELSE 'answered' END AS status
   FROM answers
@@ -430,8 +431,9 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
 def _answer_ids(spark: SparkSession, folder: str) -> DataFrame:
     return _answers(spark, folder).select(
         "question_id",
-        F.explode(F.array(F.col("conv_id"), F.col("conv_id") + 2)).alias("n"),
-    ).select("question_id", F.concat(F.lit("pr:"), F.col("n").cast("string")).alias("evidence_id"))
+        # the number without its last digit must not count as cited by the whole one
+        F.explode(F.array(F.col("conv_id"), F.col("conv_id") + 2, F.when(F.col("conv_id") >= 10, F.floor(F.col("conv_id") / 10)))).alias("n"),
+    ).where("n IS NOT NULL").select("question_id", F.concat(F.lit("pr:"), F.col("n").cast("string")).alias("evidence_id"))
 
 
 @query(
@@ -452,7 +454,7 @@ def answer_status(spark: SparkSession, folder: str) -> DataFrame:
 
 CITED_SQL = f"""{ANSWERS_SQL}, direct AS (
   SELECT c.question_id, i.evidence_id FROM checked c JOIN ids i USING (question_id)
-  WHERE status = 'answered' AND contains(answer, '[' || i.evidence_id)
+  WHERE status = 'answered' AND (contains(answer, '[' || i.evidence_id || ']') OR contains(answer, '[' || i.evidence_id || '#'))
 ), fallback AS (
   SELECT DISTINCT question_id, 'pr:' || CAST(CAST(m AS BIGINT) AS VARCHAR) AS evidence_id
   FROM (SELECT question_id, unnest(regexp_extract_all(answer, '#([0-9]{{2,6}})', 1)) AS m FROM checked

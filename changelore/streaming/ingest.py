@@ -121,8 +121,13 @@ def label_counts(labels: DataFrame) -> DataFrame:
 
 
 def distinct_commits(commits: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Duplicates dropped in the stream, with state bounded by the event-time watermark."""
-    return commits.withWatermark("committed_at", delay).dropDuplicatesWithinWatermark(COMMIT_KEY)
+    """Duplicates dropped in the stream, with state bounded by the time of arrival.
+
+    Arrival never runs backwards, so no commit is late however old it is.  A repeat that arrives after
+    `delay` passes; the sinks do not store it again.
+    """
+    arrived = commits.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    return arrived.dropDuplicatesWithinWatermark(COMMIT_KEY).drop("_arrived")
 
 
 def embed_new(

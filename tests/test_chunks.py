@@ -1,198 +1,197 @@
+"""Chunks, merge requests, liveness and text helpers: properties of the rules on generated inputs."""
+
 from __future__ import annotations
 
 import json
 import random
+import string
 
 from pyspark.sql import functions as F
 
+from changelore import constants as C
 from changelore import schemas
 from changelore.functions import text as X
 from changelore.operators import chunks, snapshot
 from changelore.sources import merge_requests
 
-SEP = "\n---\n"
-
-
-def pack(text: str, cap: int = 1600) -> list[str]:
-    """Brute-force packing in plain Python, written from the rule."""
-    out: list[str] = []
-    open_bin: list[str] = []
-    used = 0
-    for seg in (s.strip() for s in text.split(SEP)):
-        if not seg:
-            continue
-        if len(seg) > cap:
-            if open_bin:
-                out.append(SEP.join(open_bin))
-            open_bin, used = [], 0
-            while len(seg) > cap:
-                at = seg[:cap].rfind("\n\n")
-                at = at if at > 0 else cap
-                out.append(seg[:at].strip())
-                seg = seg[at:].strip()
-        if open_bin and used + len(seg) > cap:
-            out.append(SEP.join(open_bin))
-            open_bin, used = [], 0
-        open_bin.append(seg)
-        used += len(seg) + len(SEP)
-    return out + ([SEP.join(open_bin)] if open_bin else [])
-
-
-def bins(spark, texts: list[str]) -> list[list[str]]:
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
-    return [r["b"] for r in df.select("i", chunks.split_discussion("t").alias("b")).orderBy("i").collect()]
+SEP = C.COMMENT_SEPARATOR
 
 
-def test_split_discussion_known_cases(spark):
-    ten = SEP.join(f"person{i}: {'x' * 300}" for i in range(10))
-    big = "op: " + "y" * 4000
-    got = bins(spark, [ten, big, "b: brief", "", "  \n---\n  "])
-    assert [len(b) for b in got] == [2, 3, 1, 0, 0]
-    assert sum(len(b) for b in got[1]) >= 3900
-    assert got[2] == ["b: brief"]
-
-
-def test_split_discussion_matches_brute_force_and_loses_nothing(spark):
-    rng = random.Random(3)
-    texts = []
-    for _ in range(120):
-        parts = []
-        for _ in range(rng.randint(1, 9)):
-            words = [rng.choice(["a", "bb" * 40, "\n\n", "c d e", "é" * 200, "\n"]) for _ in range(rng.randint(0, 40))]
-            parts.append(" ".join(words))
-        texts.append(SEP.join(parts))
-    got = bins(spark, texts)
-    assert got == [pack(t) for t in texts]
-    for text, made in zip(texts, got, strict=True):
-        assert "".join("".join(made).split()).replace("---", "") == "".join(text.split()).replace("---", "")
-
-
-def test_split_markdown(spark):
-    para = "p" * 900
-    text = f"intro\n## One\nbody\n## Two\n{para}\n\n{para}\n\n{'q' * 2000}\n### sub\n"
-    df = spark.createDataFrame([(text,), ("## Only\nx",), ("",)], "t STRING")
-    got = [r["b"] for r in df.select(chunks.split_markdown("t").alias("b")).collect()]
-    assert got[0][:2] == ["intro", "## One\nbody"]
-    assert [b[:6] for b in got[0][2:]] == ["## Two", "pppppp", "qqqqqq"]
-    assert got[1] == ["## Only\nx"] and got[2] == []
-
-
-def test_noise_and_commit_chunks(spark):
-    rows = [
-        (1, "1" * 40, None, None, None, None, None, None, "Add retry budget", "A budget per caller keeps one client\nfrom using all."),
-        (1, "2" * 40, None, None, None, None, None, None, "Merge pull request #100", None),
-        (1, "3" * 40, None, None, None, None, None, None, "typo", "fix typo"),
-        (1, "4" * 40, None, None, None, None, None, None, "Explain the cache", "The cache is read first because it is near."),
-        (1, "5" * 40, None, None, None, None, None, None, "Tiny (#12)", None),
-    ]
-    commits = spark.createDataFrame(rows, schemas.COMMITS)
-    changes = spark.createDataFrame(
-        [(1, "1" * 40, i, "modified", f"src/{i}.js", None, 1, 1) for i in range(7)], schemas.FILE_CHANGES
-    )
-    made = {r["title"]: r for r in chunks.with_text(chunks.commit_chunks(commits, changes)).collect()}
-    assert set(made) == {"Add retry budget", "Explain the cache", "Tiny (#12)"}
-    assert made["Tiny (#12)"]["body"] == "Tiny (#12)"
-    assert made["Add retry budget"]["text"].startswith(
-        "src/0.js, src/1.js, src/2.js, src/3.js, src/4.js (+2 more)\nAdd retry budget\n---\nA budget"
-    )
+def split_all(spark, texts: list[str]) -> list[list[str]]:
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    return [r["b"] for r in df.select("i", chunks.split_discussion("t").alias("b")).orderBy("i").collect()]
 
 
-def test_render_with_date(spark):
-    df = spark.sql("SELECT timestamp'2020-07-01 10:00:00' t, array('src/a.js','src/b.js') f, 2 n")
-    text = df.select(
-        chunks.render(F.col("t"), F.col("f"), F.col("n"), F.lit("Use budgets"), F.lit("Because of load.")).alias("x")
-    ).first()["x"]
-    assert text == "[2020-07-01] src/a.js, src/b.js\nUse budgets\n---\nBecause of load."
+def letters(parts: list[str]) -> str:
+    return "".join(c for part in parts for c in part.replace("---", "") if not c.isspace())
 
 
-def page(comments: list[tuple[str | None, str]], number: int = 7, body: str = "The gauge shows the load.") -> dict:
-    node = {
-        "number": number, "title": "Add gauge", "body": body, "state": "MERGED",
-        "createdAt": "2020-03-01T10:00:00Z", "mergedAt": "2020-03-02T09:00:00Z",
-        "author": {"login": "ann"}, "mergeCommit": {"oid": "a" * 40} if body else None,
-        "comments": {
-            "totalCount": len(comments),
-            "nodes": [{"author": a and {"login": a}, "body": b, "createdAt": None} for a, b in comments],
-        },
-    }
-    return {"data": {"repository": {"pullRequests": {"pageInfo": {"hasNextPage": True, "endCursor": "c1"},
-                     "nodes": [node]}}, "rateLimit": {"remaining": 4900, "resetAt": "x"}}}
+def generated_discussions(seed: int, n: int) -> list[list[str]]:
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        comments = []
+        for _ in range(rng.randint(0, 7)):
+            paragraphs = ["".join(rng.choice(string.ascii_letters + "éß ") for _ in range(rng.choice([3, 90, 700, 2300]))) for _ in range(rng.randint(1, 4))]
+            comments.append("\n\n".join(paragraphs))
+        out.append(comments)
+    return out
 
 
-def pages(spark, *made: dict):
-    df = spark.createDataFrame([(json.dumps(p),) for p in made], "value STRING")
-    return df.select(F.from_json("value", schemas.PR_PAGE).alias("p")).select("p.*")
+def test_packed_discussions_lose_nothing_and_are_full(spark):
+    made = generated_discussions(21, 90)
+    for comments, bins in zip(made, split_all(spark, [SEP.join(c) for c in made]), strict=True):
+        # nothing lost, nothing added, order kept
+        assert letters(bins) == letters(comments)
+        assert all(b == b.strip() and b for b in bins)
+        # a bin counts a separator for each comment before its last one
+        assert all(len(b) <= C.MAX_SUBCHUNK + len(SEP) for b in bins)
+        # whole comments stay whole: a separator stands only between comments that were given
+        whole = {c.strip() for c in comments}
+        for b in bins:
+            pieces = b.split(SEP)
+            assert all(p in whole for p in pieces[1:])
 
 
-def test_pages_to_chunks(spark):
-    landed = pages(
-        spark,
-        page([("ann", "does it scale? yes"), (None, "agreed"), ("bob", "  ")]),
-        page([], number=8, body=""),
-    )
-    prs = merge_requests.parse_pr_pages(landed).withColumn("repo_id", F.lit(1))
-    by_number = {r["number"]: r for r in prs.collect()}
-    assert by_number[7]["discussion"] == "ann: does it scale? yes\n---\nunknown: agreed"
-    assert by_number[8]["discussion"] is None and by_number[8]["body"] is None
-    assert by_number[8]["merge_sha"] is None
-    changes = spark.createDataFrame([(1, "a" * 40, 0, "added", "w.js", None, 1, 0)], schemas.FILE_CHANGES)
-    made = chunks.pr_chunks(prs, merge_requests.pr_links(prs), changes).collect()
-    assert {(r["source_type"], r["source_id"]) for r in made} == {("pr_body", "pr:7"), ("pr_discussion", "pr:7#1")}
-    assert all(r["files_head"] == ["w.js"] for r in made)
+def test_neighbouring_bins_of_short_comments_cannot_be_merged(spark):
+    rng = random.Random(5)
+    comments = ["c" * rng.randint(200, 1500) for _ in range(60)]
+    bins = split_all(spark, [SEP.join(comments)])[0]
+    assert [c for b in bins for c in b.split(SEP)] == comments
+    for left, right in zip(bins, bins[1:], strict=False):
+        first = right.split(SEP)[0]
+        assert len(left) + len(SEP) + len(first) > C.MAX_SUBCHUNK
 
 
-def test_long_discussion_gets_numbered_bins(spark):
-    landed = pages(spark, page([(f"u{i}", f"item {i}: " + "more " * 280) for i in range(12)]))
-    prs = merge_requests.parse_pr_pages(landed).withColumn("repo_id", F.lit(1))
-    links = merge_requests.pr_links(prs)
-    changes = spark.createDataFrame([], schemas.FILE_CHANGES)
-    made = chunks.pr_chunks(prs, links, changes).where("source_type = 'pr_discussion'").collect()
-    ids = [r["source_id"] for r in made]
-    assert len(set(ids)) == len(ids) > 5 and all(i.startswith("pr:7#") for i in ids)
+def test_blank_discussions_have_no_bins(spark):
+    assert split_all(spark, ["", "\n\t ", SEP * 3, " x "]) == [[], [], [], ["x"]]
 
 
-def test_upsert_fills_only_missing_discussions(spark):
-    cols = schemas.fields(schemas.PULL_REQUESTS)
+def test_markdown_sections_begin_at_headings(spark):
+    rng = random.Random(8)
+    sections = [f"## Part {k}\n" + "\n\n".join("t" * rng.choice([50, 600, 1900]) for _ in range(rng.randint(1, 5))) for k in range(12)]
+    df = spark.createDataFrame([("lead in\n" + "\n".join(sections),), (None,)], "t STRING")
+    bins, nothing = [r["b"] for r in df.select(chunks.split_markdown("t").alias("b")).collect()]
+    assert not nothing
+    assert bins[0] == "lead in"
+    assert [b.split("\n")[0] for b in bins if b.startswith("## ")] == [f"## Part {k}" for k in range(12)]
+    assert letters(bins) == letters(["lead in", *sections])
 
-    def prs(*made):
-        return merge_requests.parse_pr_pages(pages(spark, *made)).withColumn("repo_id", F.lit(1)).select(*cols)
 
-    stored = prs(page([]), page([("a", "old words")], number=9))
-    new = prs(page([("b", "late")]), page([("b", "other")], number=9), page([("c", "x")], number=10))
-    merged = {r["number"]: r["discussion"] for r in merge_requests.upsert_prs(stored, new).collect()}
-    assert merged == {7: "b: late", 9: "a: old words", 10: "c: x"}
+def commit_row(n: int, subject: str, body: str | None) -> tuple:
+    return (3, f"{n:040x}", None, None, None, None, None, None, subject, body)
 
 
-def test_liveness(spark):
-    files = spark.createDataFrame(
-        [("k", 1, "src/a.js"), ("k", 1, "src/gone.js"), ("none", 1, None)], "key STRING, repo_id INT, path STRING"
+def test_commits_with_too_little_text_are_no_chunks(spark):
+    rows = [
+        commit_row(1, "Merge branch 'x' into y", "a long explanation that would be enough for any other commit"),
+        commit_row(2, "oops", "oops"),
+        commit_row(3, "Lower the timeout of the probe", "Slow disks answered late, and the probe marked them as lost."),
+        commit_row(4, "Drop it (#904)", None),
+    ]
+    touched = [(3, f"{3:040x}", i, "modified", f"lib/part{i}.rs", None, 1, 0) for i in range(11)]
+    made = chunks.with_text(
+        chunks.commit_chunks(spark.createDataFrame(rows, schemas.COMMITS), spark.createDataFrame(touched, schemas.FILE_CHANGES))
+    ).collect()
+    by_title = {r["title"]: r for r in made}
+    assert set(by_title) == {"Lower the timeout of the probe", "Drop it (#904)"}
+    head, rest = by_title["Lower the timeout of the probe"]["text"].split("\n", 1)
+    assert head.count("lib/part") == C.HEADER_PATHS and head.endswith("(+6 more)")
+    assert rest.startswith("Lower the timeout of the probe\n---\nSlow disks")
+
+
+def test_rendered_chunks_show_what_is_known(spark):
+    df = spark.sql("SELECT timestamp'2031-12-05 23:59:59' AS t, array('m/n.go') AS f, 1 AS n")
+    shown = df.select(chunks.render(F.col("t"), F.col("f"), F.col("n"), F.lit("Title"), F.lit("Text")).alias("x"))
+    assert shown.first()["x"].split("\n") == ["[2031-12-05] m/n.go", "Title", "---", "Text"]
+
+
+def request(number: int, body: str, talk: list[tuple[str | None, str]], sha: str | None) -> dict:
+    said = [{"author": None if who is None else {"login": who}, "body": what, "createdAt": None} for who, what in talk]
+    return {
+        "number": number, "title": f"Change {number}", "body": body, "state": "CLOSED", "createdAt": "2033-05-06T07:08:09Z",
+        "mergedAt": None, "author": None, "mergeCommit": None if sha is None else {"oid": sha},
+        "comments": {"totalCount": len(said), "nodes": said},
+    }
+
+
+def landed(spark, *batches: list[dict]):
+    lines = [
+        json.dumps({"data": {"repository": {"pullRequests": {"pageInfo": {"hasNextPage": False, "endCursor": None}, "nodes": nodes}},
+                             "rateLimit": {"remaining": 1, "resetAt": "later"}}})
+        for nodes in batches
+    ]
+    parsed = spark.createDataFrame([(x,) for x in lines], "value STRING").select(F.from_json("value", schemas.PR_PAGE).alias("p"))
+    return merge_requests.parse_pr_pages(parsed.select("p.*")).withColumn("repo_id", F.lit(5))
+
+
+def test_requests_become_body_and_discussion_chunks(spark):
+    sha = "9" * 40
+    prs = landed(
+        spark,
+        [request(31, "Reads go through one queue.", [("zoe", "first"), ("yan", " \n "), (None, "second")], sha)],
+        [request(32, " ", [], None), request(33, "", [("zoe", "only talk, with enough words to be kept")], None)],
     )
-    alive = spark.createDataFrame([(1, "src/a.js")], "repo_id INT, path STRING")
-    got = {r["key"]: r["liveness_score"] for r in snapshot.liveness(files, alive, ["key"]).collect()}
-    assert got == {"k": 0.5, "none": 0.0}
-
-
-def test_slugs_and_symbols(spark):
-    raw = {
-        "acme/tool": "acme/tool",
-        "https://github.com/acme/tool": "acme/tool",
-        "https://github.com/a/b.git": "a/b",
-        "github.com/a/b/tree/main": "a/b",
-        "www.github.com/a/b?tab=readme": "a/b",
-        "name-only": None,
-        "https://gitlab.com/a/b": None,
-        "github.com/a": None,
-        "a/b/c": None,
-    }
-    df = spark.createDataFrame([(k,) for k in raw], "raw STRING")
-    assert {r["raw"]: r["s"] for r in df.select("raw", X.normalize_slug("raw").alias("s")).collect()} == raw
-    names = spark.createDataFrame([("makeShape",), ("Shape.draw",), ("why is this",), ("x",)], "q STRING")
-    assert [r["s"] for r in names.select(X.looks_like_symbol("q").alias("s")).collect()] == [True, True, False, False]
-
-
-def test_whitespace_is_unicode_wide(spark):
-    df = spark.createDataFrame([("   a　b  ",)], "t STRING")
-    row = df.select(X.strip("t").alias("s"), X.collapse_whitespace("t").alias("c")).first()
-    assert row["s"] == "a　b" and row["c"] == "a b"
-    lines = spark.createDataFrame([("a\r\nb\x0bc d\n",)], "t STRING").select(X.lines("t").alias("l")).first()["l"]
-    assert lines == "a\r\nb\x0bc d\n".splitlines()
+    rows = {r["number"]: r for r in prs.collect()}
+    assert sorted(rows) == [31, 32, 33]
+    assert rows[31]["discussion"].split(SEP) == ["zoe: first", "unknown: second"]
+    assert [rows[n]["discussion"] is None for n in (31, 32, 33)] == [False, True, False]
+    assert rows[31]["merge_sha"] == sha and rows[33]["merge_sha"] is None
+    changes = spark.createDataFrame([(5, sha, 0, "deleted", "queue.c", None, 0, 4)], schemas.FILE_CHANGES)
+    made = chunks.pr_chunks(prs, merge_requests.pr_links(prs), changes).collect()
+    assert {r["source_id"] for r in made if r["source_type"] == "pr_body"} == {"pr:31"}
+    assert all(r["files_head"] == ["queue.c"] for r in made if r["source_id"].startswith("pr:31"))
+
+
+def test_parts_of_a_long_discussion_have_their_own_ids(spark):
+    talk = [(f"member{k % 3}", " ".join(["reason"] * 150)) for k in range(25)]
+    prs = landed(spark, [request(640, "", talk, None)])
+    made = chunks.pr_chunks(prs, merge_requests.pr_links(prs), spark.createDataFrame([], schemas.FILE_CHANGES))
+    ids = [r["source_id"] for r in made.where("source_type = 'pr_discussion'").collect()]
+    assert len(ids) > 10 and len(set(ids)) == len(ids) and {i.split("#")[0] for i in ids} == {"pr:640"}
+
+
+def test_a_later_batch_adds_requests_and_missing_discussions_only(spark):
+    columns = schemas.fields(schemas.PULL_REQUESTS)
+    old = landed(spark, [request(1, "b", [], None), request(2, "b", [("u", "kept")], None)]).select(*columns)
+    new = landed(spark, [request(n, "b", [("v", f"new {n}")], None) for n in (1, 2, 3)]).select(*columns)
+    found = {r["number"]: r["discussion"] for r in merge_requests.upsert_prs(old, new).collect()}
+    assert found == {1: "v: new 1", 2: "u: kept", 3: "v: new 3"}
+
+
+def test_liveness_is_the_share_of_living_files(spark):
+    rng = random.Random(4)
+    alive = {f"p{i}" for i in range(30) if rng.random() < 0.4}
+    held = [(f"k{k}", 2, f"p{i}") for k in range(8) for i in rng.sample(range(30), k + 1)] + [("empty", 2, None)]
+    got = snapshot.liveness(
+        spark.createDataFrame(held, "key STRING, repo_id INT, path STRING"),
+        spark.createDataFrame([(2, p) for p in sorted(alive)], "repo_id INT, path STRING"),
+        ["key"],
+    ).collect()
+    for r in got:
+        paths = [p for key, _, p in held if key == r["key"] and p]
+        assert abs(r["liveness_score"] - (sum(p in alive for p in paths) / len(paths) if paths else 0.0)) < 1e-9
+
+
+def test_slugs_from_every_form_of_address(spark):
+    names = ["core", "x.y", "9to5", "a-b_c", "n" * 81]
+    forms = ["{}", "github.com/{}", "www.github.com/{}/", "http://github.com/{}.git", "https://www.github.com/{}/issues/4", "https://github.com/{}#top", "github.com/{}?q=1/2", "  {} "]
+    good = {form.format(f"org/{name}"): f"org/{name}" for form in forms for name in names}
+    bad = ["org", "org/", "/core", "org/core/x", "-org/core", "org/.core", "github.com/org", "GitHub.com/org", "https://example.org/org/core", "https://github.com//core", "org/a b", "org/" + "n" * 82, ""]
+    df = spark.createDataFrame([(k,) for k in [*good, *bad]], "raw STRING").select("raw", X.normalize_slug("raw").alias("s"))
+    assert {r["raw"]: r["s"] for r in df.collect()} == good | dict.fromkeys(bad)
+
+
+def test_questions_that_are_names(spark):
+    asked = {"parseTree": True, "Parser.next": True, "$scope": True, "größe": True, "two words": False, "a.b.c": False, "q": False, "": False}
+    df = spark.createDataFrame([(k,) for k in asked], "q STRING").select("q", X.looks_like_symbol("q").alias("s"))
+    assert {r["q"]: r["s"] for r in df.collect()} == asked
+
+
+def test_white_space_and_line_breaks_are_those_of_unicode(spark):
+    blanks = " \t  　"
+    breaks = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\u0085", " ", " "]
+    text = "".join(f"line{i}{b}" for i, b in enumerate(breaks)) + "last"
+    df = spark.createDataFrame([(f"{blanks}a{blanks}b{blanks}", text)], "t STRING, l STRING")
+    row = df.select(X.strip("t").alias("s"), X.collapse_whitespace("t").alias("c"), X.lines("l").alias("l")).first()
+    assert row["s"] == f"a{blanks}b" and row["c"] == "a b" and row["l"] == text.splitlines()
