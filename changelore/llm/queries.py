@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from changelore.llm import bpe, embedding_dedup, html_extract, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup
 from changelore.llm.common import table
+from changelore.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(name: str):
