@@ -69,7 +69,7 @@ def recall_at_k(expected: DataFrame, hits: DataFrame) -> DataFrame:
 def score_attribution(cases: DataFrame, answers: DataFrame) -> DataFrame:
     """`answers`: id, status, introduced_id."""
     rows = cases.where(F.col("kind") == ATTRIBUTION).join(answers, "id", "left")
-    passed = F.coalesce(F.col("introduced_id").startswith(_prefix("expected_sha")), F.lit(False))
+    passed = F.coalesce(_names(F.col("expected_sha"), F.col("introduced_id")), F.lit(False))
     detail = F.when(passed, F.concat(F.lit("introduced "), "introduced_id")).otherwise(
         F.concat(
             F.lit("expected "),

@@ -20,15 +20,16 @@ def code_files(files: DataFrame) -> DataFrame:
 def marks(files: DataFrame) -> DataFrame:
     """Declarations and braces of every code file, in text order.
 
-    Only lines with a mark leave the scan; file contents are not shuffled.
+    Strings and comments are blanked first, so braces and words inside them count for nothing.  Only
+    lines with a mark leave the scan; file contents are not shuffled.
     """
     lines = (
         code_files(files)
-        .select(*FILE, F.posexplode(X.lines("content")).alias("at", "line"))
+        .select(*FILE, F.posexplode(X.lines(code.blanked("content"))).alias("at", "line"))
         .withColumn("opened", code.declaration("line"))
     )
     opened = F.col("opened")
-    one_line = F.col("line").rlike(r"^[^{]*;\s*$") | (opened["kind"] == "abstract_method_signature")
+    one_line = F.col("line").rlike(r"^[^{]*;\s*$") | opened["kind"].isin(*code.SIGNATURES)
     declared = F.when(
         opened.isNotNull(),
         F.array(

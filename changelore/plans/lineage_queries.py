@@ -21,7 +21,7 @@ CODE = """repeat('// line' || char(10), p_size)
   || repeat('  a += 1;' || char(10), p_size % 7) || '  if (a) { return a; }' || char(10) || '}' || char(10)
   || 'const wrap' || CAST(p_partkey AS STRING) || ' = (evt) => {' || char(10) || '  return { a: evt };' || char(10)
   || '};' || char(10) || 'class Box' || CAST(p_partkey AS STRING) || ' {' || char(10) || '  run(step) {' || char(10)
-  || '    this.n += step;' || char(10) || '  }' || char(10) || '}' || char(10)"""
+  || '    this.n += step; // {' || char(10) || '  }' || char(10) || '}' || char(10)"""
 
 SYMBOLS_SQL = f"""code AS (
   SELECT p_partkey AS f, {A.path_sql("p_partkey")} AS path, replace(p_name, ' ', '_') AS nm,

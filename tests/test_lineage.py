@@ -1,4 +1,4 @@
-"""Symbols, range walks (against real diffs and brute force), gates, graphs."""
+"""Symbols, range walks, gates and graphs, on sources and histories that are put together by rule."""
 
 from __future__ import annotations
 
@@ -8,221 +8,263 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from changelore import constants as C
 from changelore import schemas
 from changelore.operators import evidence, graph, lineage, symbols
 
-FILES = [
-    ("x.js", "\nfunction inner() { return 2; }\n\nexport function area(r) {\n  return r * r;\n}\n"),
-    ("y.js", "\nconst onClick = (event) => {\n  return event.target;\n};\n\nexport default onClick;\n"),
-    (
-        "box.ts",
-        "\nclass Box {\n  constructor() { this.size = 1; }\n  grow(by: number): number {\n"
-        "    if (by > 0) {\n      this.size += by;\n    }\n    return this.size;\n  }\n}\n",
-    ),
-    (
-        "typed.js",
-        "// @flow\nopaque type Id = string;\n\nexport type Shape = {\n  draw(canvas: Canvas): void,\n};\n\n"
-        "export function makeShape(\n  id: Id,\n  done: ?() => mixed,\n): Shape {\n  return done ? done() : id;\n}\n",
-    ),
-    ("core.py", "class Command:\n    def invoke(self):\n        return 1\n"),
-]
-
-
-def test_symbol_spans(spark):
-    files = spark.createDataFrame([(1, p, c) for p, c in FILES], "repo_id INT, path STRING, content STRING")
-    got = {(r["path"], r["name"]): (r["kind"], r["start_line"], r["end_line"]) for r in symbols.symbol_index(files).collect()}
-    assert got[("x.js", "area")] == ("function_declaration", 4, 6)
-    assert got[("x.js", "inner")] == ("function_declaration", 2, 2)
-    assert got[("y.js", "onClick")] == ("variable_declarator", 2, 4)
-    assert got[("box.ts", "grow")] == ("method_definition", 4, 9)
-    assert got[("box.ts", "Box")] == ("class_declaration", 2, 10)
-    assert got[("typed.js", "makeShape")][1:] == (8, 13)
-    assert not any(name == "if" for _, name in got)
-    assert not any(p == "core.py" for p, _ in got)
-    asked = spark.createDataFrame(
-        [(1, 1, "area", None), (2, 1, "nope", None), (3, 1, "area", "y.js")],
-        "question_id INT, repo_id INT, symbol STRING, file STRING",
-    )
-    found = {r["question_id"]: r["path"] for r in symbols.locate(asked, symbols.symbol_index(files)).collect()}
-    assert found == {1: "x.js"}
-
-
-def hunks_of(old: str, new: str) -> list[tuple[int, int, int, int]]:
-    """(old_start, old_len, new_start, new_len) of a context-free diff."""
-    a, b = old.splitlines(), new.splitlines()
-    out = []
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if tag != "equal":
-            old_len, new_len = i2 - i1, j2 - j1
-            out.append((i1 + 1 if old_len else i1, old_len, j1 + 1 if new_len else j1, new_len))
-    return out
-
-
-def brute_walk(start: int, end: int, history: list[list[tuple[int, int, int, int]]]) -> list[int]:
-    """Line by line: follow every line of the range back through each diff."""
-    touched = []
-    for ord_ in range(len(history) - 1, -1, -1):
-        if start > end:
-            break
-        hit, shift_s, shift_e, s, e = False, 0, 0, None, None
-        for old_start, old_len, new_start, new_len in history[ord_]:
-            lo = new_start if new_len else new_start + 1
-            hi = lo + new_len - 1
-            hit |= (lo <= end and hi >= start) if new_len else (start < lo <= end)
-            shift_s += (new_len - old_len) if hi < start else 0
-            shift_e += (new_len - old_len) if hi < end else 0
-            first_old = old_start if old_len else old_start + 1
-            s = first_old if lo <= start <= hi else s
-            e = first_old + old_len - 1 if lo <= end <= hi else e
-        if hit:
-            touched.append(ord_)
-        start, end = s if s is not None else start - shift_s, e if e is not None else end - shift_e
-    return touched
-
-
-def to_hunks(spark, path: str, history):
-    rows = [
-        (1, f"s{o}", path, None, o, h[0], h[1], h[2], h[3]) for o, hs in enumerate(history) for h in hs
-    ]
-    return spark.createDataFrame(rows, schemas.HUNKS)
-
-
-def test_walk_keeps_only_commits_that_touch_the_range(spark):
-    v1 = "export function area(r) {\n  return r * r;\n}\n"
-    v2 = v1.replace("  return", "\treturn")
-    v3 = "// other\nlet z = 1;\n" + v2
-    v4 = v3.replace("r * r", "Math.PI * r * r")
-    v5 = v4 + "let y = 2;\n"
-    texts = ["", v1, v2, v3, v4, v5]
-    history = [hunks_of(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-    spans = spark.createDataFrame([(1, "m.js", "area", 3, 5)], "repo_id INT, path STRING, symbol STRING, start_line INT, end_line INT")
-    got = [r["ord"] for r in lineage.walk_ranges(spans, to_hunks(spark, "m.js", history)).orderBy("ord").collect()]
-    assert got == [0, 1, 3]
-
-
-@pytest.mark.parametrize("block", [1_000, 20])
-def test_walk_matches_brute_force(spark, block):
-    rng = random.Random(11)
-    text: list[str] = []
-    history, counter = [], 0
-    for _ in range(60):
-        new = list(text)
-        for _ in range(rng.randint(1, 3)):
-            at = rng.randint(0, len(new))
-            if new and rng.random() < 0.4:
-                del new[min(at, len(new) - 1) : min(at, len(new) - 1) + rng.randint(1, 2)]
-            else:
-                new[at:at] = [f"l{counter + i}" for i in range(rng.randint(1, 3))]
-                counter += 3
-        history.append(hunks_of("\n".join(text), "\n".join(new)))
-        text = new
-    rows, want = [], set()
-    for i in range(40):
-        start = rng.randint(1, max(1, len(text)))
-        end = min(len(text), start + rng.randint(0, 6))
-        rows.append((1, "f.js", f"s{i}", start, end))
-        want |= {(f"s{i}", o) for o in brute_walk(start, end, history)}
-    spans = spark.createDataFrame(rows, "repo_id INT, path STRING, symbol STRING, start_line INT, end_line INT")
-    got = lineage.walk_ranges(spans, to_hunks(spark, "f.js", history), block_hunks=block)
-    assert {(r["symbol"], r["ord"]) for r in got.collect()} == want
+SPAN = "repo_id INT, path STRING, symbol STRING, start_line INT, end_line INT"
+
+# (kind, name, lines of the declaration); members lie inside the lines of their class
+PARTS = [
+    ("function_declaration", "load", ["async function load(url) {", "  if (!url) {", "    return null;", "  }", "  return get(url);", "}"]),
+    ("variable_declarator", "pick", ["export const pick = (row) => {", "  return row[0];", "};"]),
+    ("function_declaration", "braces", ["function braces() {", "  const s = \"{\"; // {", "  /* { {", "  */", "  return s + '}' + `{`;", "}"]),
+    ("generator_function_declaration", "walk", ["function* walk(tree) {", "  yield tree;", "}"]),
+    ("class_declaration", "Store", ["class Store {", "  size() { return 0; }", "  put(key, value) {", "    this.map[key] = value;", "  }", "}"]),
+    ("function_signature", "outside", ["declare function outside(id: string): void;"]),
+    ("function_declaration", "short", ["function short() { return 1; }"]),
+]
+
+
+def test_spans_are_those_of_the_parts_put_together(spark):
+    rng = random.Random(2)
+    files, want = [], {}
+    for k, suffix in enumerate(["js", "ts", "jsx", "tsx"]):
+        order = rng.sample(PARTS, len(PARTS))
+        lines: list[str] = []
+        for kind, name, body in order:
+            lines += ["// it's a remark {"] * rng.randint(0, 3)
+            want[f"m{k}.{suffix}", name] = (kind, len(lines) + 1, len(lines) + len(body))
+            if name == "Store":
+                want[f"m{k}.{suffix}", "size"] = ("method_definition", len(lines) + 2, len(lines) + 2)
+                want[f"m{k}.{suffix}", "put"] = ("method_definition", len(lines) + 3, len(lines) + 5)
+            lines += body
+        files.append((6, f"m{k}.{suffix}", "\n".join(lines) + "\n"))
+    files.append((6, "script.rb", "\n".join(PARTS[0][2])))
+    index = symbols.symbol_index(spark.createDataFrame(files, "repo_id INT, path STRING, content STRING"))
+    assert {(r["path"], r["name"]): (r["kind"], r["start_line"], r["end_line"]) for r in index.collect()} == want
+
+
+def test_interface_members_are_signatures(spark):
+    text = "interface Port {\n  open(speed: number): boolean;\n  close?(): void,\n  speed: number;\n}\nuse(port);\n"
+    index = symbols.symbol_index(spark.createDataFrame([(6, "port.ts", text)], "repo_id INT, path STRING, content STRING"))
+    assert {(r["name"], r["kind"], r["start_line"], r["end_line"]) for r in index.collect()} == {
+        ("open", "method_signature", 2, 2),
+        ("close", "method_signature", 3, 3),
+    }
 
 
-def test_renames_are_crossed_and_reused_names_kept_apart(spark):
-    changes = spark.createDataFrame(
-        [("renamed", "a", "b", 10), ("renamed", "b", "c", 20), ("renamed", "x", "a", 30)],
-        "status STRING, old_path STRING, path STRING, ord BIGINT",
-    ).withColumn("repo_id", F.lit(1))
-    rows = spark.createDataFrame(
-        [("a", 5), ("b", 15), ("c", 25), ("b", 25), ("a", 40), ("x", 1)], "path STRING, ord BIGINT"
-    ).withColumn("repo_id", F.lit(1))
-    got = {
-        (r["path"], r["ord"]): r["final_path"]
-        for r in lineage.with_final_path(rows, lineage.rename_events(changes), width=8).collect()
-    }
-    assert got == {("a", 5): "c", ("b", 15): "c", ("c", 25): "c", ("b", 25): "b", ("a", 40): "a", ("x", 1): "a"}
+def test_a_name_is_found_in_its_file_or_the_first_path(spark):
+    files = [(6, f"dir{k}/part.js", "function shared() {\n}\n" if k else "let a;\n") for k in range(4)]
+    index = symbols.symbol_index(spark.createDataFrame(files, "repo_id INT, path STRING, content STRING"))
+    asked = [(1, 6, "shared", None), (2, 6, "shared", "dir3/part.js"), (3, 6, "shared", "dir0/part.js"), (4, 9, "shared", None)]
+    found = symbols.locate(spark.createDataFrame(asked, "question_id INT, repo_id INT, symbol STRING, file STRING"), index)
+    assert {r["question_id"]: r["path"] for r in found.collect()} == {1: "dir1/part.js", 2: "dir3/part.js"}
 
 
-def timeline_of(spark, rows, label_rows):
-    walked = spark.createDataFrame([(1, 1, sha, o) for sha, o, _, _ in rows], "question_id INT, repo_id INT, sha STRING, ord BIGINT")
-    commits = spark.createDataFrame(
-        [(1, sha, "A", None, None, None, None, None, subject, body) for sha, _, subject, body in rows], schemas.COMMITS
-    )
-    labelled = spark.createDataFrame(label_rows, "repo_id INT, sha STRING, label STRING")
-    return lineage.timeline(walked, commits, labelled)
-
-
-def gate_of(spark, rows, label_rows=()):
-    questions = spark.createDataFrame([(1,)], "question_id INT")
-    label_rows = list(label_rows) or [(1, "none", "significant")]
-    return lineage.gate(questions, timeline_of(spark, rows, label_rows)).first()
-
-
-def test_timeline_and_gate(spark):
-    rows = [("a1", 1, "add area", "add area"), ("b2", 2, "reindent", "x"), ("c3", 3, "note", "x"), ("d4", 4, "use pi", "x")]
-    noise = [(1, "b2", "insignificant_whitespace"), (1, "c3", "insignificant_comment")]
-    shown = lineage.evidence(timeline_of(spark, rows, noise)).orderBy("ord").collect()
-    assert [(r["subject"], r["role"]) for r in shown] == [("add area", "introduced"), ("use pi", "modified")]
-    got = gate_of(spark, rows, noise)
-    assert (got["status"], got["noise_dropped"], got["introduced_id"]) == ("answered", 2, "a1")
-
-
-def test_gate_outcomes(spark):
-    single = gate_of(spark, [("a1", 1, "add area", "add area")])
-    assert (single["status"], single["reason"]) == ("low_confidence", "single_uncited_commit")
-    assert gate_of(spark, [("a1", 1, "add area (#3)", "add area (#3)")])["status"] == "answered"
-    assert gate_of(spark, [("a1", 1, "add area", "add area\n\nbecause of the survey")])["status"] == "answered"
-    noisy = gate_of(spark, [("a1", 1, "add", "add")], [(1, "a1", "insignificant_comment")])
-    assert (noisy["status"], noisy["reason"]) == ("abstained", "no_significant_history")
-    first_noise = gate_of(spark, [("a1", 1, "add", "add"), ("b2", 2, "fix", "fix")], [(1, "a1", "insignificant_comment")])
-    assert (first_noise["status"], first_noise["introduced_id"]) == ("answered", None)
-
-
-def test_bundle_is_bounded(spark):
-    rows = [(f"{i:040d}", i, f"subject {i}", "b" * 900) for i in range(30)]
-    shown = lineage.evidence(timeline_of(spark, rows, [(1, "x", "significant")]))
-    anchors = spark.createDataFrame([(1, "area", None, None, None)], "question_id INT, symbol STRING, path STRING, start_line INT, end_line INT")
-    text = evidence.bundle(anchors, shown).first()["bundle"]
-    assert text.startswith("Question: why does area exist?\nAnchor: unresolved\n\nEvidence (chronological):\n[000000000] A: subject 0\n    bbb")
-    assert text.count("subject ") == 14 and "b" * 401 not in text and len(text) <= 9_000
-
-
-def edges_of(spark, rows):
-    return spark.createDataFrame([(1, c, p, n) for c, p, n in rows], schemas.COMMIT_PARENTS)
-
-
-def test_ancestors_follow_merges_and_long_lines(spark):
-    line = [(f"c{i}", f"c{i - 1}", 0) for i in range(1, 300)]
-    merge = [("c250", "b5", 1)] + [(f"b{i}", f"b{i - 1}", 0) for i in range(1, 8)] + [("b0", "c10", 0)]
-    heads = spark.createDataFrame([(1, "c260"), (1, "b7")], "repo_id INT, head_sha STRING")
-    got = graph.ancestors(heads, edges_of(spark, line + merge)).collect()
-    from_c = {r["sha"] for r in got if r["head_sha"] == "c260"}
-    from_b = {r["sha"] for r in got if r["head_sha"] == "b7"}
-    assert from_c == {f"c{i}" for i in range(261)} | {f"b{i}" for i in range(6)}
-    assert from_b == {f"c{i}" for i in range(11)} | {f"b{i}" for i in range(8)}
-
-
-def test_topological_order_repairs_skewed_clocks(spark):
-    rng = random.Random(5)
-    edges, times = [], {}
-    for i in range(80):
-        times[i] = 1_700_000_000 + rng.randint(-500, 500) + 10 * i
-        edges += [(i, p, n) for n, p in enumerate({rng.randrange(i) for _ in range(2)})] if i else []
-    commits = spark.createDataFrame([(1, str(i), t) for i, t in times.items()], "repo_id INT, sha STRING, t BIGINT").select(
-        "repo_id", "sha", F.timestamp_seconds("t").alias("committed_at")
-    )
-    order = {
-        int(r["sha"]): r["order_time"]
-        for r in graph.topological_order(commits, edges_of(spark, [(str(c), str(p), n) for c, p, n in edges])).collect()
-    }
-    assert all(order[c] > order[p] for c, p, _ in edges)
-    assert all(order[i] >= t for i, t in times.items())
+# ------------------------------------------------------------------ range walk
 
 
-def test_materialize_reuses_stored_lineage(spark):
-    spans = spark.createDataFrame(
-        [(1, "m.js", "kept", 1, 2, "h"), (1, "m.js", "new", 1, 2, "h")],
-        "repo_id INT, path STRING, symbol STRING, start_line INT, end_line INT, head_sha STRING",
+class History:
+    """A file whose lines know the edits that made them; edits are kept as context-free hunks."""
+
+    def __init__(self, seed: int) -> None:
+        self.rng, self.lines, self.steps = random.Random(seed), [], []
+
+    def edit(self, times: int) -> None:
+        new = list(self.lines)
+        for _ in range(times):
+            at = self.rng.randint(0, len(new))
+            if new and self.rng.random() < 0.35:
+                del new[min(at, len(new) - 1)]
+            else:
+                new[at:at] = [f"{len(self.steps)}/{self.rng.random()}" for _ in range(self.rng.randint(1, 4))]
+        blocks = []
+        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, self.lines, new, autojunk=False).get_opcodes():
+            if tag != "equal":  # an empty side is numbered by the line before it
+                blocks.append((i1 + (i2 > i1), i2 - i1, j1 + (j2 > j1), j2 - j1))
+        self.lines = new
+        self.steps.append(blocks)
+
+    def walked(self, start: int, end: int) -> set[int]:
+        """Steps that touch the range, by moving both ends back through every step."""
+        out = set()
+        for step in reversed(range(len(self.steps))):
+            if start > end:
+                return out
+            ends = []
+            for line in (start, end):
+                moved = line
+                for old, n_old, new, n_new in self.steps[step]:
+                    low = new + (n_new == 0)
+                    if low <= line < low + n_new:
+                        moved = old + (n_old == 0) if line == start and not ends else old + (n_old == 0) + n_old - 1
+                        break
+                    if low + n_new - 1 < line:
+                        moved -= n_new - n_old
+                ends.append(moved)
+            for _, _, new, n_new in self.steps[step]:
+                low = new + (n_new == 0)
+                if (n_new and low <= end and low + n_new > start) or (not n_new and start < low <= end):
+                    out.add(step)
+            start, end = ends
+        return out
+
+    def table(self, spark, path: str):
+        rows = [(6, f"s{k}", path, None, k, *h) for k, hunks in enumerate(self.steps) for h in hunks]
+        return spark.createDataFrame(rows, schemas.HUNKS)
+
+
+@pytest.mark.parametrize("block", [1_000, 15])
+def test_walked_ranges_equal_the_plain_walk(spark, block):
+    history = History(31)
+    for _ in range(45):
+        history.edit(history.rng.randint(1, 3))
+    spans, want = [], set()
+    for k in range(30):
+        start = history.rng.randint(1, len(history.lines))
+        end = min(len(history.lines), start + history.rng.randint(1, 9))
+        spans.append((6, "made.ts", f"r{k}", start, end))
+        want |= {(f"r{k}", step) for step in history.walked(start, end)}
+    got = lineage.walk_ranges(spark.createDataFrame(spans, SPAN), history.table(spark, "made.ts"), block_hunks=block)
+    assert {(r["symbol"], r["ord"]) for r in got.collect()} == want
+
+
+def test_stored_lineage_is_taken_as_it_is(spark):
+    history = History(3)
+    history.edit(2)
+    spans = [(6, "f.js", name, 1, 1, "head") for name in ("old", "fresh")]
+    stored = spark.createDataFrame([(6, "f.js", "old", "head", "stored-sha", 77)], "repo_id INT, path STRING, symbol STRING, head_sha STRING, sha STRING, ord BIGINT")
+    got = lineage.materialize(spark.createDataFrame(spans, SPAN + ", head_sha STRING"), history.table(spark, "f.js"), stored)
+    assert {(r["symbol"], r["sha"], r["cache_hit"]) for r in got.collect()} == {("old", "stored-sha", True), ("fresh", "s0", False)}
+
+
+def test_names_are_followed_through_any_chain_of_renames(spark):
+    rng = random.Random(12)
+    where, events, seen = {f"file{k}": f"file{k}" for k in range(5)}, [], []
+    for step in range(10, 400, 10):
+        # note where every file is now, then rename one to a name nobody has
+        for first, now in where.items():
+            seen.append((first, now, step - 5))
+        first = rng.choice(sorted(where))
+        free = [f"n{k}" for k in range(8) if f"n{k}" not in where.values()]
+        new = rng.choice(free)
+        events.append(("renamed", where[first], new, step))
+        where[first] = new
+    changes = spark.createDataFrame(events, "status STRING, old_path STRING, path STRING, ord BIGINT").withColumn("repo_id", F.lit(6))
+    rows = spark.createDataFrame([(now, at) for _, now, at in seen], "path STRING, ord BIGINT").withColumn("repo_id", F.lit(6))
+    got = lineage.with_final_path(rows, lineage.rename_events(changes), width=16).collect()
+    assert {(r["path"], r["ord"], r["final_path"]) for r in got} == {(now, at, where[first]) for first, now, at in seen}
+
+
+# ------------------------------------------------------------------ timelines and gates
+
+
+def timeline_of(spark, steps: list[tuple[str, str, str, str]]):
+    """Steps are (sha, subject, body, label) in order."""
+    walked = [(4, 6, sha, k) for k, (sha, *_) in enumerate(steps)]
+    commits = [(6, sha, "someone", None, None, None, None, None, subject, body) for sha, subject, body, _ in steps]
+    return lineage.timeline(
+        spark.createDataFrame(walked, "question_id INT, repo_id INT, sha STRING, ord BIGINT"),
+        spark.createDataFrame(commits, schemas.COMMITS),
+        spark.createDataFrame([(6, sha, label) for sha, _, _, label in steps], "repo_id INT, sha STRING, label STRING"),
     )
-    stored = spark.createDataFrame([(1, "m.js", "kept", "h", "zz", 9)], "repo_id INT, path STRING, symbol STRING, head_sha STRING, sha STRING, ord BIGINT")
-    got = lineage.materialize(spans, to_hunks(spark, "m.js", [[(0, 0, 1, 2)]]), stored).collect()
-    assert {(r["symbol"], r["sha"], r["cache_hit"]) for r in got} == {("kept", "zz", True), ("new", "s0", False)}
+
+
+LONG = "subject\n\nwith a reason that is given in the body"
+OK, NOISE = "significant", "insignificant_whitespace"
+
+
+@pytest.mark.parametrize(
+    ("steps", "status", "introduced", "dropped"),
+    [
+        ([("s1", "start", LONG, OK), ("s2", "tidy", LONG, NOISE), ("s3", "more", LONG, OK), ("s4", "tidy", LONG, NOISE)], C.ANSWERED, "s1", 2),
+        ([("s1", "tidy", LONG, NOISE), ("s2", "start", LONG, OK)], C.ANSWERED, None, 1),
+        ([("s1", "tidy", LONG, NOISE)], C.ABSTAINED, None, 1),
+        ([("s1", "start", "start", OK)], "low_confidence", "s1", 0),
+        ([("s1", "start (#12)", "start (#12)", OK)], C.ANSWERED, "s1", 0),
+        ([("s1", "start", LONG, OK)], C.ANSWERED, "s1", 0),
+    ],
+)
+def test_the_gate_judges_the_significant_commits(spark, steps, status, introduced, dropped):
+    got = lineage.gate(spark.createDataFrame([(4,)], "question_id INT"), timeline_of(spark, steps)).first()
+    assert got["status"] == status
+    if status != C.ABSTAINED:
+        assert (got["introduced_id"], got["noise_dropped"]) == (introduced, dropped)
+
+
+def test_only_significant_commits_are_shown_and_the_first_introduces(spark):
+    steps = [(f"s{k}", f"subject {k}", LONG, NOISE if k % 3 == 1 else OK) for k in range(9)]
+    shown = lineage.evidence(timeline_of(spark, steps)).orderBy("ord").collect()
+    assert [r["subject"] for r in shown] == [f"subject {k}" for k in range(9) if k % 3 != 1]
+    assert [r["role"] for r in shown] == [C.INTRODUCED] + [C.ROLE_MODIFIED] * (len(shown) - 1)
+
+
+def test_bundles_stay_within_their_limits(spark):
+    steps = [(f"{k:040x}", f"headline {k}", "z" * 2_000, OK) for k in range(40)]
+    anchors = spark.createDataFrame([(4, "thing", None, None, None)], "question_id INT, symbol STRING, path STRING, start_line INT, end_line INT")
+    text = evidence.bundle(anchors, lineage.evidence(timeline_of(spark, steps))).first()["bundle"]
+    assert len(text) <= C.MAX_BUNDLE
+    assert text.count("headline") == C.MAX_EVIDENCE_COMMITS
+    assert "z" * C.MAX_EVIDENCE_BODY in text and "z" * (C.MAX_EVIDENCE_BODY + 1) not in text
+
+
+def test_links_join_on_the_whole_hash(spark):
+    twins = ["abcdef012" + "1" * 31, "abcdef012" + "2" * 31]  # alike in the nine digits shown
+    shown = lineage.evidence(timeline_of(spark, [(twins[0], "one", LONG, OK)]))
+    links = spark.createDataFrame([(6, twins[0], 10), (6, twins[1], 20)], "repo_id INT, sha STRING, pr_number BIGINT")
+    assert [r["pr_number"] for r in evidence.link_prefix_join(shown, links).collect()] == [10]
+
+
+# ------------------------------------------------------------------ graphs
+
+
+def random_graph(seed: int, n: int) -> list[tuple[int, int, int]]:
+    """(child, parent, position): every commit has one parent or two among the earlier ones."""
+    rng = random.Random(seed)
+    edges = []
+    for child in range(1, n):
+        near = [child - 1] if rng.random() < 0.8 else [rng.randrange(child)]
+        if child > 3 and rng.random() < 0.2:
+            near.append(rng.choice([p for p in range(child) if p not in near]))
+        edges += [(child, p, k) for k, p in enumerate(near)]
+    return edges
+
+
+def edges_of(spark, edges):
+    return spark.createDataFrame([(6, f"c{c}", f"c{p}", k) for c, p, k in edges], schemas.COMMIT_PARENTS)
+
+
+def test_ancestors_of_any_head(spark):
+    edges = random_graph(7, 220)
+    parents: dict[int, list[int]] = {}
+    for c, p, _ in edges:
+        parents.setdefault(c, []).append(p)
+
+    def reach(head: int) -> set[int]:
+        out, todo = set(), [head]
+        while todo:
+            at = todo.pop()
+            if at not in out:
+                out.add(at)
+                todo += parents.get(at, [])
+        return out
+
+    heads = [219, 140, 60, 0]
+    got = graph.ancestors(spark.createDataFrame([(6, f"c{h}") for h in heads], "repo_id INT, head_sha STRING"), edges_of(spark, edges)).collect()
+    for h in heads:
+        assert {r["sha"] for r in got if r["head_sha"] == f"c{h}"} == {f"c{x}" for x in reach(h)}
+
+
+def test_order_time_is_the_latest_time_an_ancestor_forces(spark):
+    edges = random_graph(9, 70)
+    rng = random.Random(9)
+    own = {k: 1_600_000_000 + 40 * k + rng.randint(-400, 400) if rng.random() < 0.9 else None for k in range(70)}
+    want: dict[int, int] = {}
+    for k in range(70):
+        forced = [want[p] + 1 for c, p, _ in edges if c == k]
+        want[k] = max([own[k] or 0, *forced])
+    commits = spark.createDataFrame([(6, f"c{k}", t) for k, t in own.items()], "repo_id INT, sha STRING, t BIGINT")
+    commits = commits.select("repo_id", "sha", F.timestamp_seconds("t").alias("committed_at"))
+    got = graph.topological_order(commits, edges_of(spark, edges)).collect()
+    assert {r["sha"]: r["order_time"] for r in got} == {f"c{k}": t for k, t in want.items()}
