@@ -11,7 +11,8 @@ key.  Three steps over the blocks:
    phrases each, and streams all its documents through them; every occurrence in a later document marks
    its words.
 
-Blocks report a phrase once, however many of their documents hold it, so a passage that a third of all
+Documents whose whole text is that of an earlier one take no part: all their windows are that document's,
+so all their words go.  Blocks report a phrase once, however many of their documents hold it, so a passage that a third of all
 documents share is one row per block, and no task gathers its documents.  All steps share one exchange of
 the texts.
 """
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from changelore.llm.common import WORD_RE
 from changelore.llm.shingles import WordHashes, member, runs, window_min
+from changelore.runtime import checkpointed
 
 WINDOW = 13
 RUN = 5
@@ -50,8 +52,16 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _bounds(keys: list[np.ndarray], ids: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct keys (columns of equal length) with the smallest and largest id each occurs under."""
+def _second(x: np.ndarray) -> np.ndarray:
+    """32 further bits; with the first hash a window has 96."""
+    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _bounds(keys: list[tuple[np.ndarray, ...]], ids: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct keys (columns of equal length) with the smallest and largest id each occurs under.
+
+    Rows come in the order of their smallest id: neighbours are alike and compress in a shuffle.
+    """
     sizes = [len(k[0]) for k in keys]
     columns = [np.concatenate([k[c] for k in keys]) for c in range(len(keys[0]))]
     owner = np.repeat(np.array(ids, dtype=np.int64), sizes)
@@ -61,7 +71,14 @@ def _bounds(keys: list[np.ndarray], ids: list[int]) -> tuple[list[np.ndarray], n
     new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(owner)) - 1
-    return [c[at] for c in columns], owner[at], owner[last]
+    back = np.argsort(owner[at], kind="stable")
+    return [c[at][back] for c in columns], owner[at][back], owner[last][back]
+
+
+def _copies(told: pd.DataFrame) -> set[tuple[int, int]]:
+    """(id, text hash) of the block's copies of earlier documents."""
+    rows = told[told["copy"].notna()]
+    return set(zip(rows["copy"].astype(np.int64).tolist(), rows["h"].astype(np.int64).tolist(), strict=True))
 
 
 class Shard:
@@ -89,75 +106,89 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n_blocks = int(chars // BLOCK_CHARS) + 1
     block = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(-1))), F.lit(n_blocks)).cast("int")
-    blocked = rows.withColumn("block", block)
+    text_ = F.coalesce("text", F.lit(""))
+    blocked = rows.withColumn("block", block).withColumn("k", F.xxhash64(text_))
+    slim = checkpointed(
+        blocked.where(F.col("id").isNotNull()).select("id", "block", "k", F.xxhash64(F.lit(1), text_).alias("k2"))
+    )
+    first_of = slim.groupBy("k", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    copies = slim.join(first_of, ["k", "k2"]).where(F.col("id") > F.col("lo"))
+    copies = checkpointed(copies.select("block", F.col("k").alias("h"), F.col("id").alias("copy")))
+    by_block = blocked.groupBy("block")
 
-    def anchors(frame: pd.DataFrame) -> pd.DataFrame:
-        known, keys, ids = WordHashes(), [], []
-        for i, t in zip(frame["id"], frame["text"], strict=True):
-            found = np.unique(_anchors_of(known(_words(t)), window)) if not pd.isna(i) else []
+    def anchors(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        known, keys, ids, copied = WordHashes(), [], [], _copies(told)
+        for i, k, t in zip(frame["id"], frame["k"], frame["text"], strict=True):
+            if pd.isna(i) or (int(i), int(k)) in copied:
+                continue
+            found = np.unique(_anchors_of(known(_words(t)), window))
             if len(found):
                 keys.append((found,))
                 ids.append(int(i))
         if not keys:
-            return pd.DataFrame({"h": [], "block": [], "lo": [], "hi": []})
+            return pd.DataFrame({"h": [], "block": [], "lo": [], "more": []})
         (h,), lo, hi = _bounds(keys, ids)
-        return pd.DataFrame({"h": _signed(h), "block": frame["block"].iloc[0], "lo": lo, "hi": hi})
+        return pd.DataFrame({"h": _signed(h), "block": frame["block"].iloc[0], "lo": lo, "more": hi - lo})
 
-    reported = blocked.groupBy("block").applyInPandas(anchors, "h long, block int, lo long, hi long")
+    reported = by_block.cogroup(copies.groupBy("block")).applyInPandas(anchors, "h long, block int, lo long, more long")
     every = W.partitionBy("h")  # a row per block at most
     flagged = (
         reported.withColumn("first", F.min("lo").over(every))
-        .withColumn("last", F.max("hi").over(every))
+        .withColumn("last", F.max(F.col("lo") + F.col("more")).over(every))
         .where(F.col("first") < F.col("last"))
-        .select("block", "h")
+        .select("block", "h", F.lit(None).cast("long").alias("copy"))
+        .unionByName(copies)
     )
 
     def windows(frame: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"a": [], "b": [], "block": [], "lo": [], "hi": []})
+        empty = pd.DataFrame({"a": [], "b": [], "block": [], "lo": [], "more": []})
         if not len(frame) or not len(kept):
             return empty
-        wanted = np.unique(kept["h"].to_numpy(np.int64))
-        known, keys, ids = WordHashes(), [], []
-        for i, t in zip(frame["id"], frame["text"], strict=True):
-            if pd.isna(i):
+        wanted = np.unique(kept.loc[kept["copy"].isna(), "h"].to_numpy(np.int64))
+        known, keys, ids, copied = WordHashes(), [], [], _copies(kept)
+        for i, k, t in zip(frame["id"], frame["k"], frame["text"], strict=True):
+            if pd.isna(i) or (int(i), int(k)) in copied:
                 continue
             hashes = known(_words(t))
             at = np.flatnonzero(member(_signed(_anchors_of(hashes, window)), wanted))
             if len(at):
-                keys.append((_signed(runs(hashes, window, 5))[at], _signed(runs(hashes, window, 7))[at]))
+                keys.append((_signed(runs(hashes, window, 5))[at], _second(runs(hashes, window, 7))[at]))
                 ids.append(int(i))
         if not keys:
             return empty
         (a, b), lo, hi = _bounds(keys, ids)
-        return pd.DataFrame({"a": a, "b": b, "block": frame["block"].iloc[0], "lo": lo, "hi": hi})
+        return pd.DataFrame({"a": a, "b": b, "block": frame["block"].iloc[0], "lo": lo, "more": hi - lo})
 
-    by_block = blocked.groupBy("block")
     seen = by_block.cogroup(flagged.groupBy("block")).applyInPandas(
-        windows, "a long, b long, block int, lo long, hi long"
+        windows, "a long, b int, block int, lo long, more long"
     )
     same = W.partitionBy("a", "b")
     confirmed = (
         seen.withColumn("first", F.min("lo").over(same))
-        .where(F.col("first") < F.col("hi"))
-        .select("block", "a", "b", "first")
+        .where(F.col("first") < F.col("lo") + F.col("more"))
+        .select("block", F.col("a").alias("h"), "b", "first", F.lit(None).cast("long").alias("copy"))
     )
+    unset = F.lit(None)
+    confirmed = confirmed.unionByName(copies.select("block", "h", unset.cast("int").alias("b"), unset.cast("long").alias("first"), "copy"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
 
-    def locate(frame: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
-        known, numbers = WordHashes(), {}
-        a = phrases["a"].to_numpy(np.int64)
+    def locate(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        known, numbers, copied = WordHashes(), {}, _copies(told)
+        phrases = told[told["copy"].isna()]
+        a = phrases["h"].to_numpy(np.int64)
         order = np.argsort(a, kind="stable")
-        a, b = a[order], phrases["b"].to_numpy(np.int64)[order]
+        a, b = a[order], phrases["b"].to_numpy(np.int64).astype(np.int32)[order]
         first = phrases["first"].to_numpy(np.int64)[order]
         texts, shards, batch, taken = [], [], {}, np.zeros(len(a), bool)
-        for t in frame["text"]:
+        whole = [not pd.isna(i) and (int(i), int(k)) in copied for i, k in zip(frame["id"], frame["k"], strict=True)]
+        for t, copy in zip(frame["text"], whole, strict=True):
             words = _words(t)
-            ids = tuple([numbers.setdefault(w, len(numbers)) for w in words]) if len(a) else ()
+            ids = tuple([numbers.setdefault(w, len(numbers)) for w in words]) if len(a) and not copy else ()
             texts.append((words, ids))
-            if not len(a) or len(words) < window:
+            if len(ids) < window:
                 continue
             hashes = known(words)
-            wa, wb = _signed(runs(hashes, window, 5)), _signed(runs(hashes, window, 7))
+            wa, wb = _signed(runs(hashes, window, 5)), _second(runs(hashes, window, 7))
             low = np.searchsorted(a, wa)
             for at in np.flatnonzero((low < len(a)) & (a[np.minimum(low, len(a) - 1)] == wa)):
                 k = low[at]
@@ -184,8 +215,8 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                     cover[at - window + 1] += 1
                     cover[at + 1] -= 1
         out = []
-        for (words, _), cover, i in zip(texts, covers, keys, strict=True):
-            gone = np.cumsum(cover[:-1]) > 0
+        for (words, _), cover, i, copy in zip(texts, covers, keys, whole, strict=True):
+            gone = np.cumsum(cover[:-1]) > 0 if not copy else np.full(len(words), len(words) >= window)
             kept = " ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else " ".join(words)
             digest = hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
             out.append((i, len(words), int(gone.sum()), digest, *([kept] if keep_text else [])))
