@@ -3,15 +3,16 @@
 Two sets with Jaccard at least t share at least l tokens among the first `n - ceil(t n) + l` of either, in
 any common order of tokens: the l-prefix.  A longer prefix costs more lookups and demands more matches.
 
-1. Equal sets become one row, their smallest document.
+1. Equal texts become one row, their smallest document.
 2. A first l-prefix in hash order drops documents that cannot have a partner: fewer than l of its tokens
    occur in another set.  Documents are dealt into blocks; a block reports a token once, so a frequent
    shingle is one row per block.
 3. The others order their tokens by true document frequency, rarest first, and each chooses its l by the
    estimated cost of its lists.  A pair must share min(l, l') tokens of these prefixes to be verified.
-4. Documents that share a minimum hash are first compared with the smallest of them only; what that links
-   is contracted, and lists held by one component make no pairs.  All other candidates are verified, so no
-   link between components is lost and groups of near copies never become all their pairs.
+4. In a few rounds, documents that share a minimum hash are compared with one leader only, one document
+   of each component; what that links is contracted, and lists held by one component make no pairs.  All
+   other candidates are verified, so no link between components is lost and groups of near copies never
+   become all their pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,8 +40,8 @@ FIRST_EXTRA = 10
 EXTRA_CHOICES = (0, 2, 5, 10, 15)
 #: Cost of verifying one pair, in list entries read.
 VERIFY_COST = 50
-MIN_HASHES = 3
-FINE_BLOCKS = 64
+#: Rounds of comparing components with leaders; fewer when nothing is left to compare.
+TURNS = 9
 
 
 def _lower(text: str) -> str:
@@ -64,11 +64,6 @@ def _needed(n: int, percent: int = SIMILAR) -> int:
     return -(-percent * n // 100)
 
 
-def _signature(tokens: np.ndarray) -> tuple[int, int]:
-    digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
-    return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
-
-
 def linked(a: Column, b: Column, n_a: Column, n_b: Column, percent: int = SIMILAR) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return 100 * shared >= percent * (n_a + n_b - shared)
@@ -82,18 +77,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(linked(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def _survivors(blocked: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
-    """(id, n, tokens) of the distinct sets that may have a partner."""
+def _first_prefix(n: int, percent: int) -> tuple[int, int]:
+    """Length of the first filter's prefix and the matches it demands."""
+    extra = max(1, FIRST_EXTRA * n // 100)
+    return n - _needed(n, percent) + extra, extra
+
+
+def _picked(blocked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(id, k1, n, tokens) of each class's first document; tokens only where the set may have a partner."""
 
     def report(frame: pd.DataFrame) -> pd.DataFrame:
         known, tokens, owner = WordHashes(), [], []
-        for t in frame["text"]:
+        for t, k in zip(frame["text"], frame["k1"], strict=True):
             s = shingle_set(t, known)
             if len(s):
-                extra = max(1, FIRST_EXTRA * len(s) // 100)
-                part = s[: len(s) - _needed(len(s), percent) + extra]
+                part = s[: _first_prefix(len(s), percent)[0]]
                 tokens.append(part)
-                owner.append(np.full(len(part), _signature(s)[0]))
+                owner.append(np.full(len(part), k))
         if not tokens:
             return pd.DataFrame({"h": [], "block": [], "sig": [], "several": []})
         h, o = np.concatenate(tokens), np.concatenate(owner)
@@ -120,34 +120,34 @@ def _survivors(blocked: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
         .withColumn("hi", F.max("sig").over(every))
         .withColumn("any", F.max("several").over(every))
         .where(F.col("any") | (F.col("lo") < F.col("hi")))
-        .select("block", F.col("h").alias("v"), F.lit(False).alias("is_id"))
+        .select("block", F.col("h").alias("v"), F.lit(None).cast("long").alias("first"))
     )
-    first = slim.groupBy("s1", "s2").agg(F.min("id").alias("v"))
-    n_blocks_of = slim.select("id", "block").withColumnRenamed("id", "v")
-    firsts = first.select("v").join(n_blocks_of, "v").select("block", "v", F.lit(True).alias("is_id"))
+    # the first document of a class is told to its block
+    firsts = classes.select("block", F.col("k1").alias("v"), F.col("rep").alias("first"))
 
     def pick(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(told) and len(frame):
-            flags = told["is_id"].to_numpy(bool)
-            values = told["v"].to_numpy(np.int64)
-            hot, ids = np.unique(values[~flags]), set(values[flags].tolist())
+            values, first = told["v"].to_numpy(np.int64), told["first"].astype("Int64")
+            is_token = first.isna().to_numpy()
+            hot = np.unique(values[is_token])
+            wanted = set(zip(first[~is_token].astype(np.int64).tolist(), values[~is_token].tolist(), strict=True))
             known = WordHashes()
-            for i, t in zip(frame["id"], frame["text"], strict=True):
-                if pd.isna(i) or int(i) not in ids:
+            for i, k, t in zip(frame["id"], frame["k1"], frame["text"], strict=True):
+                if pd.isna(i) or (int(i), int(k)) not in wanted:
                     continue
-                ids.discard(int(i))
+                wanted.discard((int(i), int(k)))
                 s = shingle_set(t, known)
-                if not len(s):
-                    continue
-                extra = max(1, FIRST_EXTRA * len(s) // 100)
-                part = s[: len(s) - _needed(len(s), percent) + extra].view(np.int64)
-                if member(part, hot).sum() >= extra:
-                    out.append((int(i), len(s), s.view(np.int64)))
-        return pd.DataFrame(out, columns=["id", "n", "tokens"])
+                upto, extra = _first_prefix(len(s), percent)
+                s = s.view(np.int64)
+                enough = len(s) and member(s[:upto], hot).sum() >= extra
+                out.append((int(i), int(k), len(s), s if enough else None))
+        return pd.DataFrame(out, columns=["id", "k1", "n", "tokens"])
 
     told = recurring.unionByName(firsts)
-    return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(pick, "id long, n int, tokens array<long>")
+    return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
+        pick, "id long, k1 long, n int, tokens array<long>"
+    )
 
 
 def _prefixes(sets: DataFrame, n_blocks: int, percent: int) -> DataFrame:
@@ -200,15 +200,45 @@ def _prefixes(sets: DataFrame, n_blocks: int, percent: int) -> DataFrame:
     )
 
 
-def _star_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b): each document beside the smallest one with the same minimum hash, for a few hash functions."""
-    keys = [
-        F.struct(F.lit(k).alias("k"), F.array_min(F.transform("tokens", _seeded(k))).alias("m"))
-        for k in range(MIN_HASHES)
-    ]
-    keyed = sets.select("id", F.explode(F.array(*keys)).alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where(F.col("a") < F.col("z"))
-    return keyed.join(leaders, "key").where(F.col("a") < F.col("id")).select("a", F.col("id").alias("b")).distinct()
+def _round_pairs(sets: DataFrame, known: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b): per minimum hash a leader, and one document of each other component beside it.
+
+    Hash function, leader and documents are drawn anew each turn, so two components of a group of near
+    copies that miss each other once have independent chances later.
+    """
+    keyed = sets.select("id", F.array_min(F.transform("tokens", _seeded(turn))).alias("key"))
+    if known is None:
+        keyed = keyed.withColumn("comp", F.col("id"))
+    else:
+        keyed = keyed.join(known, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    draw = lambda salt: F.struct(F.xxhash64(F.lit(turn), F.lit(salt), "id"), "id")
+    drawn = keyed.groupBy("key", "comp").agg(F.min_by("id", draw(1)).alias("b"), F.min(draw(2)).alias("d"))
+    leaders = drawn.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("comp", F.col("d.id").alias("id")), "d").alias("leader")
+    ).where(F.col("lo") < F.col("hi"))
+    return (
+        drawn.join(leaders, "key")
+        .where(F.col("comp") != F.col("leader.comp"))
+        .select(F.col("leader.id").alias("a"), "b")
+        .distinct()
+    )
+
+
+def _contracted(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) found beside leaders, and the components (id, component) they make."""
+    links, known = None, None
+    for turn in range(TURNS):
+        pairs = checkpointed(_round_pairs(sets, known, turn))
+        if pairs.isEmpty():
+            break
+        found = checkpointed(_verified(pairs, sets, percent))
+        links = found if links is None else links.unionByName(found)
+        if not found.isEmpty():
+            known = checkpointed(components(links))
+    none = sets.sparkSession.createDataFrame([], "id long, component long")
+    if links is None:
+        return none.select(F.col("id").alias("a"), F.col("component").alias("b")), none
+    return links, none if known is None else known
 
 
 def _seeded(seed: int):
@@ -250,47 +280,40 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n_blocks = int(chars // BLOCK_CHARS) + 1
     block = F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1))), F.lit(n_blocks)).cast("int")
-    blocked = rows.withColumn("block", block)
-
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
+    # two hashes of the text name its class of exact copies
+    text_ = F.coalesce("text", F.lit(""))
+    blocked = rows.withColumn("block", block).withColumn("k1", F.xxhash64(text_))
+    slim = checkpointed(blocked.select("id", "block", "k1", F.xxhash64(F.lit(1), text_).alias("k2")))
+    keyed = slim.where(F.col("id").isNotNull())
+    rep = keyed.groupBy("k1", "k2").agg(F.min(F.struct("id", "block")).alias("r"))
+    classes = rep.select("k1", "k2", F.col("r.id").alias("rep"), F.col("r.block").alias("block"))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
         for frame in frames:
-            found = [shingle_set(t, known) for t in frame["text"]]
-            signs = [_signature(s) for s in found]
-            yield pd.DataFrame(
-                {
-                    "id": frame["id"].astype("Int64"),
-                    "block": frame["block"],
-                    "n": np.array([len(s) for s in found], dtype=np.int64),
-                    "s1": np.array([s[0] for s in signs], dtype=np.int64),
-                    "s2": np.array([s[1] for s in signs], dtype=np.int64),
-                }
-            )
-
-    signed = checkpointed(blocked.mapInPandas(sign, "id long, block int, n long, s1 long, s2 long"))
-    usable = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
-    sets = checkpointed(_survivors(blocked, usable, percent))
-    stars = _verified(_star_pairs(sets), sets, percent)
-    stars = checkpointed(stars)
-    known = checkpointed(components(stars))
+            yield pd.DataFrame({"n_shingles": [len(shingle_set(t, words)) for t in frame["text"]]})
+
+    picked = checkpointed(_picked(blocked, classes, percent))
+    sets = picked.where(F.col("tokens").isNotNull()).select("id", "n", "tokens")
+    links, known = _contracted(sets, percent)
     prefixes = _prefixes(sets, max(1, n_blocks // 4), percent)
     cross = checkpointed(_verified(_cross_pairs(prefixes, known, percent), sets, percent))
-    equal = usable.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     # copies hang on their class, classes on their component; a key with several texts ties their classes
-    member = usable.join(equal, ["s1", "s2"]).select("id", "rep")
-    several = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b"))
-    tied = member.join(several.select("id"), "id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    final = components(
-        stars.unionByName(cross).unionByName(tied.where(F.col("a") != F.col("b")))
-    ).withColumnRenamed("id", "rep")
+    sized = classes.join(picked.select(F.col("id").alias("rep"), "k1", "n"), ["rep", "k1"])
+    member = keyed.join(sized.select("k1", "k2", "rep", "n"), ["k1", "k2"])
+    full = member.where(F.col("n") > 0)
+    several = full.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b"))
+    tied = full.join(several.select("id"), "id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    final = components(links.unionByName(cross).unionByName(tied.where(F.col("a") != F.col("b"))))
     lowest = (
-        member.groupBy("id")
+        full.groupBy("id")
         .agg(F.min("rep").alias("rep"))
-        .join(final, "rep", "left")
-        .select(F.col("id").alias("_id"), F.coalesce("component", "rep").alias("_component"))
+        .join(final.withColumnRenamed("id", "rep"), "rep", "left")
+        .select("id", F.coalesce("component", "rep").alias("component_id"))
     )
-    return signed.join(lowest, F.col("id") == F.col("_id"), "left").select(
-        F.col("id").alias(key),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("_component", "id").alias("component_id"),
+    told = member.select("id", F.col("n").cast("long").alias("n_shingles")).join(lowest, "id", "left").select(
+        F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id")
     )
+    unkeyed = rows.where(F.col("id").isNull()).select("text").mapInPandas(count, "n_shingles long")
+    nothing = F.lit(None).cast("long")
+    return told.unionByName(unkeyed.select(nothing.alias(key), "n_shingles", nothing.alias("component_id")))

@@ -17,16 +17,17 @@ class WordHashes:
         self.known: dict[str, int] = {}
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        known, out = self.known, []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-                if len(known) >= WORDS_KEPT:
-                    known.clear()
-                if len(w) < 100:
-                    known[w] = h
-            out.append(h)
+        out = list(map(self.known.get, words))
+        if None in out:
+            known = self.known
+            for k, h in enumerate(out):
+                if h is None:
+                    w = words[k]
+                    out[k] = h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                    if len(known) >= WORDS_KEPT:
+                        known.clear()
+                    if len(w) < 100:
+                        known[w] = h
         return np.array(out, dtype=np.uint64)
 
 
