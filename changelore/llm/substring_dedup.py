@@ -183,23 +183,26 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         whole = [not pd.isna(i) and (int(i), int(k)) in copied for i, k in zip(frame["id"], frame["k"], strict=True)]
         for t, copy in zip(frame["text"], whole, strict=True):
             words = _words(t)
-            ids = tuple([numbers.setdefault(w, len(numbers)) for w in words]) if len(a) and not copy else ()
+            ids: tuple[int, ...] = ()
+            if len(a) and len(words) >= window and not copy:
+                hashes = known(words)
+                wa, wb = _signed(runs(hashes, window, 5)), _second(runs(hashes, window, 7))
+                low = np.minimum(np.searchsorted(a, wa), len(a) - 1)
+                at = np.flatnonzero(a[low] == wa)
+                if len(at):  # a document without any phrase hash holds no phrase
+                    ids = tuple([numbers.setdefault(w, len(numbers)) for w in words])
+                    at = at[~taken[low[at]] | (b[low[at]] != wb[at])]
+                for place in at.tolist():
+                    k = int(low[place])
+                    while k < len(a) and a[k] == wa[place] and b[k] != wb[place]:
+                        k += 1
+                    if k < len(a) and a[k] == wa[place] and not taken[k]:
+                        taken[k] = True
+                        batch[ids[place : place + window]] = int(first[k])
+                        if len(batch) >= SHARD_PHRASES:
+                            shards.append(batch)
+                            batch = {}
             texts.append((words, ids))
-            if len(ids) < window:
-                continue
-            hashes = known(words)
-            wa, wb = _signed(runs(hashes, window, 5)), _second(runs(hashes, window, 7))
-            low = np.searchsorted(a, wa)
-            for at in np.flatnonzero((low < len(a)) & (a[np.minimum(low, len(a) - 1)] == wa)):
-                k = low[at]
-                while k < len(a) and a[k] == wa[at] and b[k] != wb[at]:
-                    k += 1
-                if k < len(a) and a[k] == wa[at] and not taken[k]:
-                    taken[k] = True
-                    batch[ids[at : at + window]] = int(first[k])
-                    if len(batch) >= SHARD_PHRASES:
-                        shards.append(batch)
-                        batch = {}
         covers = [np.zeros(len(words) + 1, np.int32) for words, _ in texts]
         keys = [None if pd.isna(i) else int(i) for i in frame["id"]]
         for phrases_ in [*shards, batch]:
