@@ -40,7 +40,7 @@ FIRST_EXTRA = 10
 EXTRA_CHOICES = (0, 2, 5, 10, 15)
 #: Cost of verifying one pair, in list entries read.
 VERIFY_COST = 50
-#: Rounds of comparing components with leaders; fewer when nothing is left to compare.
+#: Rounds of comparing components with leaders; fewer when a round links nothing.
 TURNS = 9
 
 
@@ -232,13 +232,14 @@ def _contracted(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         if pairs.isEmpty():
             break
         found = checkpointed(_verified(pairs, sets, percent))
+        if found.isEmpty():
+            break
         links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            known = checkpointed(components(links))
+        known = checkpointed(components(links))
     none = sets.sparkSession.createDataFrame([], "id long, component long")
-    if links is None:
+    if links is None or known is None:
         return none.select(F.col("id").alias("a"), F.col("component").alias("b")), none
-    return links, none if known is None else known
+    return links, known
 
 
 def _seeded(seed: int):
