@@ -46,7 +46,7 @@ PUBLIC_CUES = ["chapter", "figure", "isbn", "license", "page", "release", "secti
 _KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
 _SECRET = (
     r"(?i:\b(?:" + "|".join(CREDENTIAL_WORDS) + r"))[\x20]{0,2}[=:][\x20]{0,2}"
-    r"(?:\"[A-Za-z0-9+/_.=-]{6,256}\"|[A-Za-z0-9+/_.=-]{6,256})"
+    r"(?:\"[A-Za-z0-9+/_.=-]{6,}+\"|[A-Za-z0-9+/_.=-]{6,}+)"
 )
 _NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _NAME = r"\b(?:" + "|".join(TITLES) + r")\.?[\x20]\p{Lu}\p{Ll}{1,30}(?:[\x20]\p{Lu}\p{Ll}{1,30})?"
@@ -169,7 +169,10 @@ def _votes(match: Column, before: Column) -> dict[str, Column]:
         "shape": vote(
             match.rlike(f"^(?:{_KEY}|{_SECRET}|{_NATIONAL_ID})$"), match.rlike(r"^[0-9]{1,3}[./][0-9]{1,3}$")
         ),
-        "random": vote(match.rlike(r"(?=[A-Za-z0-9]*[0-9][A-Za-z]|[A-Za-z0-9]*[A-Za-z][0-9])[A-Za-z0-9]{12,}"), never),
+        # only the first sign of a run starts a match, so a very long run is read once
+        "random": vote(
+            match.rlike(r"(?<![A-Za-z0-9])(?=[A-Za-z0-9]*[0-9][A-Za-z]|[A-Za-z0-9]*[A-Za-z][0-9])[A-Za-z0-9]{12,}+"), never
+        ),
         "gazetteer": vote(
             lower.rlike(rf"\b(?:{any_of(CREDENTIAL_WORDS)})\b") | match.rlike(rf"\b(?:{any_of(GIVEN_NAMES)})\b"), never
         ),

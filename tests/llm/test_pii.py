@@ -81,3 +81,16 @@ def test_no_candidates_no_fit(table_of):
     docs = table_of([(1, "only words", "", "", 1)], DOC_SCHEMA)
     assert pii.accepted_patterns(docs) == []
     assert pii.find(docs.where("doc_id > 1")).count() == 0
+
+
+def test_credentials_of_any_length_are_found_whole(table_of):
+    token = "eyJ0eXAi.A1b2-" * 80
+    texts = [f"log token={token} end", f'log password = "{token}" end', "api_key: " + "x7" * 100_000 + " end"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(9, "secret=" + "a" * 200_000, "en", "s", 1)]
+    found = pii.find(table_of(rows, DOC_SCHEMA))
+    spans = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["pii"]] for r in found.collect()}
+    assert spans[0] == [("secret", 4, len(texts[0]) - 4)]
+    assert spans[1] == [("secret", 4, len(texts[1]) - 4)]
+    assert spans[2] == [("secret", 0, len(texts[2]) - 4)]
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(found).collect()}
+    assert [masked[i] for i in range(3)] == ["log [SECRET] end", "log [SECRET] end", "[SECRET] end"]
