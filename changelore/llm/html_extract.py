@@ -1,24 +1,26 @@
 """Main text of web pages: markup rules first, then differencing against the page with the nearest URL.
 
-A page is read into lines (its text blocks in order).  Pages of a host are ordered by URL path; each is
-paired with the neighbour whose path agrees longest, and lines that the two share in a longest common
-subsequence are what the site repeats.  Shared lines are deleted wherever the page does not itself mark
-its content (an article or main element): copies of one article under two URLs must not erase each other.
+A page is read into lines (its text blocks in order).  Pages of a host are ordered by URL path.  Runs of
+neighbours that are copies or versions of one text are passed over: each page is paired with the nearest
+page before or after its run whose path agrees longest, and lines that the two share in a longest common
+subsequence are what the site repeats.  They are deleted inside marked content (article, main) as well.
 
 Scale: pages are paired as slim rows dealt by range of (host, path), so a host with a third of all pages
-is spread over many tasks and only two rows per partition meet in one place.  Alignment moves line
-hashes; page sources are shuffled once.
+is spread over many tasks and only two rows per partition meet in one place, however long a run of copies
+is.  Alignment moves line hashes; page sources are shuffled once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,6 +51,8 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 _BLANK = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 INSIDE, OUTSIDE, SKIP = 0, 1, 2
+#: Two pages are copies when one shares so much of its text, or when both mark their content and share `VERSION`.
+COPY, VERSION = 0.9, 0.5
 
 
 class Reader(HTMLParser):
@@ -164,12 +168,36 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return found[::-1]
 
 
+class Lines:
+    """Hashes of a page's lines, with place and size of each in one number (size * 4 + place)."""
+
+    def __init__(self, hashes: list[int], marks: list[int]) -> None:
+        self.hashes, self.marks = list(hashes), list(marks)
+        self.marked = any(m % 4 == INSIDE for m in self.marks)
+
+    def shared(self, other: Lines) -> list[int]:
+        """Positions of the lines shared with `other`; marked content never meets the other's menus and lists."""
+        mine = [i for i, m in enumerate(self.marks) if not self.marked or m % 4 == INSIDE]
+        theirs = [x for x, m in zip(other.hashes, other.marks, strict=True) if not self.marked or m % 4 != SKIP]
+        return [mine[i] for i in common_lines([self.hashes[i] for i in mine], theirs)]
+
+    def share(self, shared: list[int]) -> float:
+        """Part of the page's text that lies in `shared`, by characters."""
+        body = INSIDE if self.marked else OUTSIDE
+        size = [m // 4 if m % 4 == body else 0 for m in self.marks]
+        return sum(size[i] for i in shared) / max(sum(size), 1)
+
+
+def copies(a: Lines, b: Lines) -> bool:
+    """Whether both hold one text: deleting what they share would erase it."""
+    low, high = sorted((a.share(a.shared(b)), b.share(b.shared(a))))
+    return high >= COPY or (a.marked and b.marked and low >= VERSION)
+
+
 def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
-    """Marked content where there is some; else the lines that are neither parts of the frame nor shared."""
-    inside = [text for text, place in lines if place == INSIDE]
-    if inside:
-        return "\n".join(inside)
-    return "\n".join(text for k, (text, place) in enumerate(lines) if place == OUTSIDE and k not in shared)
+    """The lines of marked content where there is some, else those outside the parts of the frame; shared ones go."""
+    body = INSIDE if any(place == INSIDE for _, place in lines) else OUTSIDE
+    return "\n".join(text for k, (text, place) in enumerate(lines) if place == body and k not in shared)
 
 
 def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,10 +214,63 @@ def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield rows
 
 
-def nearest_pairs(pages: DataFrame) -> DataFrame:
+def _beyond_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with the row before and after its run of copies; runs that the partition's ends cut are open."""
+    parts = list(batches)
+    rows = pa.Table.from_batches(parts) if parts else None
+    if rows is None or not rows.num_rows:
+        return
+    n, at = rows.num_rows, np.arange(rows.num_rows)
+    first = np.maximum.accumulate(np.where(rows["joins_prev"].to_numpy(), -1, at))
+    last = np.minimum.accumulate(np.where(rows["joins_next"].to_numpy(), n, at)[::-1])[::-1]
+    begins, ends = (pa.array(x, pa.int64(), mask=(x < 0) | (x == n)) for x in (first, last))
+    columns = {name: rows[name] for name in ("path", "k")}
+    columns |= {name: rows[name].take(begins) for name in ("prev_path", "prev_k")}
+    columns |= {name: rows[name].take(ends) for name in ("next_path", "next_k")}
+    columns |= {"part": pa.array(np.full(n, TaskContext.get().partitionId()), pa.int32())}
+    columns |= {"open_prev": pa.array(first < 0), "open_next": pa.array(last == n)}
+    columns |= {"lowest": pa.array(at == 0), "highest": pa.array(at == n - 1)}
+    yield from pa.table(columns).combine_chunks().to_batches()
+
+
+def _past_copies(near: DataFrame, alike: DataFrame) -> DataFrame:
+    """`near` with the neighbours before and after each run of copies; `alike` has the neighbours (k, partner before) that are."""
+    joins = (
+        alike.select("k", F.lit(True).alias("p"), F.lit(False).alias("n"))
+        .unionByName(alike.select(F.col("partner").alias("k"), F.lit(False).alias("p"), F.lit(True).alias("n")))
+        .groupBy("k")
+        .agg(F.max("p").alias("joins_prev"), F.max("n").alias("joins_next"))
+    )
+    flags = near.join(joins, "k", "left")
+    flags = flags.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("joins_prev", "joins_next")})
+    ranged = flags.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k")
+    schema = (
+        "path string, k long, prev_path string, prev_k long, next_path string, next_k long, part int,"
+        " open_prev boolean, open_next boolean, lowest boolean, highest boolean"
+    )
+    found = checkpointed(ranged.mapInArrow(_beyond_runs, schema))
+    # one row a partition meets here: what holds at the ends of the others
+    order = W.orderBy("part")
+    before = F.last(F.when(~F.col("open_prev"), F.struct("prev_path", "prev_k")), True)
+    after = F.first(F.when(~F.col("open_next"), F.struct("next_path", "next_k")), True)
+    ends = (
+        found.where("highest").select("part", before.over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_b"))
+        .join(found.where("lowest").select("part", after.over(order.rowsBetween(1, W.unboundedFollowing)).alias("_a")), "part")
+    )
+    carried = found.join(F.broadcast(ends), "part", "left")
+    side = lambda c, end, at: F.when(F.col(end), F.col(f"{at}.{c}")).otherwise(F.col(c)).alias(c)
+    return carried.select(
+        "path", "k",
+        *[side(c, "open_prev", "_b") for c in ("prev_path", "prev_k")],
+        *[side(c, "open_next", "_a") for c in ("next_path", "next_k")],
+    )
+
+
+def nearest_pairs(pages: DataFrame, alike: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(k, partner) for pages (k, url): the neighbour by path on the same host whose path agrees longest.
 
     Pages alone on their host and rows without a URL have no partner.  Ties go to the page before.
+    `alike` takes neighbours (k, partner) and returns those that are copies; they are passed over.
     """
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
@@ -210,17 +291,25 @@ def nearest_pairs(pages: DataFrame) -> DataFrame:
     )
     both = near.where(~F.col("edge")).drop("edge").unionByName(edges)
 
+    same = lambda side: F.col(f"{side}_host") == F.col("host")
+    both = both.select(
+        "host", "path", "k",
+        *[F.when(same(side), F.col(f"{side}_{c}")).alias(f"{side}_{c}") for side in ("prev", "next") for c in ("path", "k")],
+    )
+    if alike is not None:
+        both = checkpointed(both)
+        both = _past_copies(both, alike(both.where("prev_k IS NOT NULL").select("k", F.col("prev_k").alias("partner"))))
+
     def agreement(a: str, b: str) -> F.Column:
         x, y = F.split(F.col(a), ""), F.split(F.col(b), "")
         equal = F.transform(x, lambda c, i: c == F.get(y, i))
         upto = F.array_position(equal, False)
         return F.when(upto > 0, upto - 1).otherwise(F.least(F.size(x), F.size(y)))
 
-    before = F.when(F.col("prev_host") == F.col("host"), agreement("path", "prev_path"))
-    after = F.when(F.col("next_host") == F.col("host"), agreement("path", "next_path"))
+    before = F.when(F.col("prev_k").isNotNull(), agreement("path", "prev_path"))
+    after = F.when(F.col("next_k").isNotNull(), agreement("path", "next_path"))
     partner = (
-        F.when(F.coalesce(before, F.lit(-1)) >= F.coalesce(after, F.lit(-1)), F.when(before.isNotNull(), F.col("prev_k")))
-        .otherwise(F.col("next_k"))
+        F.when(F.coalesce(before, F.lit(-1)) >= F.coalesce(after, F.lit(-1)), F.col("prev_k")).otherwise(F.col("next_k"))
     )
     return both.select("k", partner.alias("partner")).where(F.col("partner").isNotNull())
 
@@ -236,22 +325,36 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [[line_hash(t) for t, _ in lines_of(v)] for v in frame["html"]]
-            yield pd.DataFrame({"k": frame["_k"], "url": frame["url"], "lines": found})
-
-    slim = keyed.select("_k", "url", F.col(html).alias("html")).mapInPandas(hashes, "k long, url string, lines array<long>")
-    known = checkpointed(slim).groupBy("k").agg(F.first("url").alias("url"), F.first("lines").alias("lines"))
-    pairs = nearest_pairs(known.select("k", "url"))
-    aligned = pairs.join(known.select("k", "lines"), "k").join(
-        known.select(F.col("k").alias("partner"), F.col("lines").alias("others")), "partner"
+            read = [lines_of(v) for v in frame["html"]]
+            found = [[line_hash(t) for t, _ in lines] for lines in read]
+            marks = [[len(t) * 4 + place for t, place in lines] for lines in read]
+            yield pd.DataFrame({"k": frame["_k"], "url": frame["url"], "lines": found, "marks": marks})
+
+    slim = keyed.select("_k", "url", F.col(html).alias("html")).mapInPandas(
+        hashes, "k long, url string, lines array<long>, marks array<int>"
     )
+    known = checkpointed(slim).groupBy("k").agg(*[F.first(c).alias(c) for c in ("url", "lines", "marks")])
+
+    def facing(pairs: DataFrame) -> DataFrame:
+        others = known.select(F.col("k").alias("partner"), F.col("lines").alias("others"), F.col("marks").alias("o_marks"))
+        return pairs.join(known.select("k", "lines", "marks"), "k").join(others, "partner")
+
+    def both_of(frame: pd.DataFrame) -> list[tuple[Lines, Lines]]:
+        columns = [frame[c] for c in ("lines", "marks", "others", "o_marks")]
+        return [(Lines(a, m), Lines(b, o)) for a, m, b, o in zip(*columns, strict=True)]
+
+    def equal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.loc[np.array([copies(a, b) for a, b in both_of(frame)], dtype=bool), ["k", "partner"]]
 
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            shared = [common_lines(list(a), list(b)) for a, b in zip(frame["lines"], frame["others"], strict=True)]
+            # at the ends of a run that changes step by step the pages beyond can still hold the same text
+            shared = [[] if copies(a, b) else a.shared(b) for a, b in both_of(frame)]
             yield pd.DataFrame({"_s": frame["k"], "shared": shared})
 
-    shared = aligned.select("k", "lines", "others").mapInPandas(align, "_s long, shared array<int>")
+    pairs = nearest_pairs(known.select("k", "url"), lambda near: checkpointed(facing(near).mapInPandas(equal, "k long, partner long")))
+    shared = facing(pairs).mapInPandas(align, "_s long, shared array<int>").where(F.size("shared") > 0)
     joined = keyed.join(shared, keyed["_k"] == shared["_s"], "left").drop("_s", "_k")
     kept = [f for f in joined.schema.fields if f.name != "shared"]
     names = [f.name for f in kept]

@@ -68,6 +68,25 @@ def test_pairs_follow_the_path(table_of):
     assert {r["k"]: r["partner"] for r in got} == {1: 2, 2: 1, 3: 2}
 
 
+def test_alignment_decides_marked_content_and_copies_do_not_erase_each_other(table_of):
+    bar = "<p>Share this page with your friends</p>"
+    marked = "<nav>{1}</nav><article>" + bar + "<p>{0}</p></article><aside><p>{1}</p></aside>"
+    plain = "<p>Site name</p><p>{}</p><p>Imprint</p>"
+    body = lambda i: f"the long story number {i} " + f"of word{i} " * 20
+    clean = lambda i: body(i).strip()
+    # a menu may name another page's text; that text stays
+    rows = [(i, f"http://h.org/a/{i}", marked.format(body(i), body(i + 1)), "") for i in range(4)]
+    # many copies of one page under neighbouring URLs, with and without marked content
+    rows += [(100 + i, f"http://m.org/a/1?page={i}", marked.format(body(7), ""), "") for i in range(60)]
+    rows += [(200, "http://m.org/a/2", marked.format(body(8), ""), "")]
+    rows += [(300 + i, f"http://p.org/a/{i:03}-print", plain.format(body(5)), "") for i in range(60)]
+    rows += [(400, "http://p.org/a/9", plain.format(body(6)), "")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(table_of(rows, PAGE_SCHEMA)).collect()}
+    assert {i: got[i] for i in range(4)} == {i: clean(i) for i in range(4)}
+    assert {got[100 + i] for i in range(60)} == {clean(7)} and got[200] == clean(8)
+    assert {got[300 + i] for i in range(60)} == {clean(5)} and got[400] == clean(6)
+
+
 def labelled(n: int, seed: int) -> list[tuple]:
     rng = random.Random(seed)
     good = lambda: " ".join(rng.choice(["river", "stone", "walk", "green", "the", "of", "and"]) for _ in range(40))
