@@ -31,8 +31,13 @@ RATE = 0.5
 FOLDS = 5
 THRESHOLD = 0.3
 WORDS_KEPT = 200_000
-#: Words of a document are worked on in runs of this length, so very long texts need bounded memory.
+#: Words of a document are worked on in runs of at most so many words and code points (or one longer word), and the
+#: n-grams of a word in pieces, so very long texts and words need bounded memory.
 RUN = 100_000
+RUN_CHARS = 1_000_000
+PIECE = 4_096
+#: Longer words are rare and are not kept.
+KEPT_CHARS = 64
 _SHAPE = re.compile(r"[A-Z]|[a-z]|[0-9]")
 
 
@@ -46,39 +51,67 @@ def _hash(data: str) -> int:
 
 
 class Words:
-    """Bucket numbers of words: their own, and those of their character n-grams (3 to 5) and shape."""
+    """Bucket numbers and shares of words: their own, those of their character n-grams (3 and 4) and shape."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, np.ndarray]] = {}
+        self.known: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
 
-    def __call__(self, word: str) -> tuple[int, np.ndarray]:
+    def __call__(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
         found = self.known.get(word)
         if found is None:
             own = _hash(word)
-            marked = f"<{word[:64]}>"
-            grams = [own % BUCKETS]
-            grams += [_hash(marked[i : i + n]) % BUCKETS for n in (3, 4) for i in range(len(marked) - n + 1)]
             shape = "U" if word.isupper() else "l" if word.islower() else "T" if word.istitle() else "m"
-            grams.append(_hash(f"shape {shape} {'' if word.isalnum() else re.sub(r'[^\W_]+', 'w', word[-8:])}") % BUCKETS)
-            found = (own, np.array(grams, dtype=np.int32))
-            if len(self.known) >= WORDS_KEPT:
-                self.known.clear()
-            self.known[word] = found
+            shape = _hash(f"shape {shape} {'' if word.isalnum() else re.sub(r'[^\W_]+', 'w', word[-8:])}") % BUCKETS
+            marked = f"<{word}>"
+            if len(marked) <= PIECE:
+                at = np.array([own % BUCKETS, *_grams(marked, 0), shape], dtype=np.int32)
+                share = np.full(len(at), 1.0 / len(at))
+            else:
+                counts = np.bincount([own % BUCKETS, shape], minlength=BUCKETS)
+                for begin in range(0, len(marked), PIECE):
+                    counts += np.bincount(np.array(_grams(marked, begin), dtype=np.int64), minlength=BUCKETS)
+                at = np.flatnonzero(counts).astype(np.int32)
+                share = counts[at] / counts.sum()
+            found = (own, at, share)
+            if len(word) <= KEPT_CHARS:
+                if len(self.known) >= WORDS_KEPT:
+                    self.known.clear()
+                self.known[word] = found
         return found
 
 
+def _grams(marked: str, begin: int) -> list[int]:
+    """Buckets of the n-grams of a marked word that start in the piece from `begin` on."""
+    piece, rest = marked[begin : begin + PIECE + 3], len(marked) - begin
+    return [_hash(piece[i : i + n]) % BUCKETS for n in (3, 4) for i in range(min(PIECE, rest - n + 1))]
+
+
+def _runs(found: list[str]) -> Iterator[list[str]]:
+    """The words in runs of at most `RUN` words and `RUN_CHARS` code points."""
+    run, size = [], 0
+    for word in found:
+        if run and (len(run) >= RUN or size + len(word) > RUN_CHARS):
+            yield run
+            run, size = [], 0
+        run.append(word)
+        size += len(word)
+    if run:
+        yield run
+
+
 def features(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their weights, which add up to 1; no buckets for NULL and blank texts."""
     found = WORD_RE.findall(text or "")
     if not found:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     total = np.zeros(BUCKETS, np.float32)
-    for at in range(0, len(found), RUN):
-        run = [words(w) for w in found[at : at + RUN]]
-        own = np.fromiter((r[0] for r in run), np.uint64, len(run))
-        sizes = np.fromiter((len(r[1]) for r in run), np.int64, len(run))
+    last: list[int] = []
+    for part in _runs(found):
+        run = [words(w) for w in part]
+        own = np.array([*last, *(r[0] for r in run)], dtype=np.uint64)
+        last = [run[-1][0]]
         total += np.bincount(
-            np.concatenate([r[1] for r in run]), weights=np.repeat(1.0 / sizes, sizes), minlength=BUCKETS
+            np.concatenate([r[1] for r in run]), weights=np.concatenate([r[2] for r in run]), minlength=BUCKETS
         ).astype(np.float32)
         pairs = (own[:-1] * np.uint64(1_000_003) + own[1:]) % np.uint64(BUCKETS)
         total += np.bincount(pairs.astype(np.int64), minlength=BUCKETS).astype(np.float32)
@@ -163,11 +196,12 @@ class Scorer:
     def part(self, word: str) -> tuple[int, float]:
         found = self.parts.get(word)
         if found is None:
-            own, grams = self.words(word)
-            found = (own, float(self.margin[grams].mean()))
-            if len(self.parts) >= WORDS_KEPT:
-                self.parts.clear()
-            self.parts[word] = found
+            own, at, share = self.words(word)
+            found = (own, float(self.margin[at] @ share))
+            if len(word) <= KEPT_CHARS:
+                if len(self.parts) >= WORDS_KEPT:
+                    self.parts.clear()
+                self.parts[word] = found
         return found
 
     def __call__(self, text: str | None) -> float:
@@ -175,9 +209,11 @@ class Scorer:
         if not found:
             return 0.0
         total, weight = 0.0, 0
-        for at in range(0, len(found), RUN):
-            run = [self.part(w) for w in found[at : at + RUN]]
-            own = np.fromiter((r[0] for r in run), np.uint64, len(run))
+        last: list[int] = []
+        for piece in _runs(found):
+            run = [self.part(w) for w in piece]
+            own = np.array([*last, *(r[0] for r in run)], dtype=np.uint64)
+            last = [run[-1][0]]
             pairs = (own[:-1] * np.uint64(1_000_003) + own[1:]) % np.uint64(BUCKETS)
             repeats = int((own[:-1] == own[1:]).sum())
             total += sum(r[1] for r in run) + float(self.margin[pairs.astype(np.int64)].sum())

@@ -122,6 +122,23 @@ def test_scorer_equals_the_features():
         assert abs(scorer(t) - 1 / (1 + 2.718281828459045**-z)) < 1e-5
 
 
+def test_long_words_count_whole():
+    start, rng = "".join(chr(0x4E00 + i) for i in range(80)), random.Random(5)
+    good, bad = (["".join(rng.choice(c) for _ in range(300)) for _ in range(60)] for c in ("山水風月花鳥", "買賣錢金銀貨"))
+    texts, labels = [start + t for t in good + bad], [1] * 60 + [0] * 60
+    model = quality_classifier.train(texts[10:110], labels[10:110])
+    logits = model.scores()
+    margin = (logits[:, 1] - logits[:, 0]).astype(float)
+    scorer, words = quality_classifier.Scorer(margin, float(model.bias[1] - model.bias[0])), quality_classifier.Words()
+    # the openings are equal and no whole word was seen before
+    assert min(map(scorer, texts[:10])) > max(map(scorer, texts[110:])) + 0.5
+    marked = f"<{'ab漢c' * 5000}>"
+    _, at, share = words(marked[1:-1])
+    plain = [quality_classifier._hash(marked[i : i + n]) % quality_classifier.BUCKETS for n in (3, 4) for i in range(len(marked) - n + 1)]
+    assert len(set(plain) - set(at.tolist())) == 0 and abs(share.sum() - 1) < 1e-9
+    assert sorted(round(x * (len(plain) + 2)) for x in share)[-1] >= max(plain.count(g) for g in set(plain))
+
+
 def test_licences_by_statement_file_and_directory(table_of, spark):
     apache = "Licensed under the Apache License, Version 2.0."
     rows = [
