@@ -26,5 +26,13 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def as_sql_list(values: list[str]) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows and columns; the named columns come out of a generator.
+
+    Catalyst pushes a filter on a projected column below the projections that compute it and writes their
+    expressions into it again, inside lambdas once for each element.  It does not cross a generator.
+    """
+    others = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    done = F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in names]))).alias("_settled")
+    order = [F.col(f"_settled.`{c}`" if c in names else f"`{c}`") for c in df.columns]
+    return df.select(*others, done).select(*order)

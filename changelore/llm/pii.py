@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changelore.llm.common import settled
+
 BASE_KINDS = ["email", "ip", "card", "phone"]
 ADDED_KINDS = ["key", "secret", "national_id", "name", "number"]
 
@@ -365,7 +367,8 @@ def find(docs: DataFrame, text: str = "text", accepted: list[str] | None = None)
     base = [F.transform(f"_{k}", _named(k)) for k in BASE_KINDS]
     good = F.filter("_more", lambda c: c["pattern"].isin(accepted) if accepted else F.lit(False))
     more = [F.transform(F.filter(good, _of_kind(k)), _named(k)) for k in ADDED_KINDS]
-    return prepared.withColumn("pii", F.concat(*base, *more)).drop("_text", "_more", *[f"_{k}" for k in BASE_KINDS])
+    found = prepared.withColumn("pii", F.concat(*base, *more)).drop("_text", "_more", *[f"_{k}" for k in BASE_KINDS])
+    return settled(found, "pii")
 
 
 def digest(spans: Column) -> Column:
@@ -377,13 +380,19 @@ def digest(spans: Column) -> Column:
 def masked(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
     """`docs` with every span of the text replaced by its kind in brackets; overlapping spans become one.
 
-    The first span of an overlapping run gives the name.
+    The first span of an overlapping run gives the name, of those with one start the longest.  NULL texts stay
+    NULL; texts without spans stay as they are.
     """
     zero = F.lit(0)
     block = lambda i: F.floor(i / F.lit(BLOCK)).cast("int")
     top = lambda values: F.coalesce(F.array_max(F.transform(values, lambda s: s["end"])), zero)
     order = F.array_sort(
-        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+        F.transform(
+            spans,
+            lambda s: F.struct(
+                s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind")
+            ),
+        )
     )
     tops = F.transform(
         F.sequence(zero, block(F.size("_order") - 1)), lambda b: top(F.slice(F.col("_order"), b * BLOCK + 1, F.lit(BLOCK)))
@@ -413,7 +422,7 @@ def masked(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame
         return F.concat(F.substring(F.col(text), after + 1, s["start"] - after), F.lit("["), F.upper(s["kind"]), F.lit("]"))
 
     rest = F.substring(F.col(text), F.element_at("_runs", -1)["end"] + 1, F.char_length(F.col(text)))
-    return (
+    changed = (
         docs.withColumn("_order", F.when(F.size(spans) > 0, order))
         .withColumn("_heads", F.when(F.col("_order").isNotNull(), heads))
         .withColumn("_reach", F.when(F.col("_order").isNotNull(), reach))
@@ -425,3 +434,4 @@ def masked(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame
         )
         .drop("_order", "_heads", "_reach", "_begins", "_runs")
     )
+    return settled(changed, text)

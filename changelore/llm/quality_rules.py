@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelore.llm.common import words_of
+from changelore.llm.common import settled, words_of
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -96,6 +96,22 @@ def repeat_words(words: Column, windows: Column) -> Column:
     return F.when(windows.isNull(), F.lit(0)).otherwise(covered)
 
 
+#: Columns that `clean` adds.
+ADDED = (
+    "n_words",
+    "word_chars",
+    "n_symbols",
+    "n_dup_lines",
+    "n_repeat_words",
+    "base_failed",
+    "n_lines",
+    "n_failed_lines",
+    "clean_text",
+    "lost_chars",
+    "kept",
+)
+
+
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with _text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
@@ -150,7 +166,8 @@ def clean(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
     n_failed_lines, lost_chars, clean_text (the lines that pass) and kept.  A document is kept unless
     its base counts fail or its failing lines hold more than `max_loss` of its word characters.  All
     input columns and repeated rows stay; columns of those names are replaced.  NULL and empty texts are
-    not kept and have an empty clean_text.
+    not kept and have an empty clean_text; texts of any length are judged whole.  Filters on the added
+    columns are safe: they do not repeat the work.
     """
     x = F.col
     failing = (
@@ -164,7 +181,7 @@ def clean(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
         F.lit(0),
         lambda n, j: n + _word_chars(j["line"]),
     )
-    return (
+    judged = (
         base_counts(docs, text)
         .withColumn(
             "_signed",
@@ -182,3 +199,4 @@ def clean(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
         .withColumn("kept", ~x("base_failed") & (x("lost_chars") <= F.lit(max_loss) * x("word_chars")))
         .drop("_text", "_lines", "_signed", "_judged", "_passing")
     )
+    return settled(judged, *ADDED)

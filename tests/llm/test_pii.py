@@ -94,3 +94,19 @@ def test_credentials_of_any_length_are_found_whole(table_of):
     assert spans[2] == [("secret", 0, len(texts[2]) - 4)]
     masked = {r["doc_id"]: r["text"] for r in pii.masked(found).collect()}
     assert [masked[i] for i in range(3)] == ["log [SECRET] end", "log [SECRET] end", "[SECRET] end"]
+
+
+def test_filters_on_spans_and_masked_texts_of_long_texts(table_of):
+    filler = " ".join(f"word{i}" for i in range(20_000))
+    rows = [(i, f"{filler} ann{i}@mail.example {filler}", "en", "s", 1) for i in range(4)] + [(9, filler, "en", "s", 1)]
+    found = pii.find(table_of(rows, DOC_SCHEMA), accepted=[])
+    assert sorted(r["doc_id"] for r in found.where(F.size("pii") > 0).collect()) == [0, 1, 2, 3]
+    masked = pii.masked(found)
+    assert masked.where(F.col("text").contains("[EMAIL]")).count() == 4
+    assert masked.where(F.col("text").contains("@")).count() == 0
+
+
+def test_the_longest_span_of_one_start_names_the_mask(table_of):
+    rows = [(1, "to 1.2.3.4@mail.example now", "", "", 1)]
+    masked = pii.masked(pii.find(table_of(rows, DOC_SCHEMA), accepted=[]))
+    assert masked.first()["text"] == "to [EMAIL] now"

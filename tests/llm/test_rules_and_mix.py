@@ -40,7 +40,7 @@ def test_base_counts_equal_brute_force(table_of):
 
 def test_lines_fail_by_rule_and_loss_decides(table_of):
     prose = "This is a plain line of some words, and it ends with a stop.\n" * 1
-    body = "\n".join(f"Plain words number {i} stand here and the sentence goes on for a while." for i in range(6))
+    body = "\n".join(f"Plain words number {i} stand{i} here{i} and{i} the{i} sentence goes{i} on for a{i} while{i}." for i in range(6))
     rows = [
         (1, body, ""),
         (2, body + "\nHome | News | Sport | About us | Contact | Terms", ""),
@@ -103,3 +103,15 @@ def test_whole_epochs_come_first(table_of):
     small = [r["taken"] for r in got if r["source"] == "a"]
     assert set(small) == {30}  # a third of all words would be more than three epochs
     assert sum(r["taken"] for r in got) == 1000
+
+
+def long_text(n: int) -> str:
+    return "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) + "." for i in range(n // 20))
+
+
+def test_filters_on_the_verdict_of_long_texts(table_of):
+    rows = [(i, long_text(20_000), "en", "s", 1) for i in range(6)] + [(7, "a b", "en", "s", 1), (8, None, "en", "s", 1)]
+    judged = quality_rules.clean(table_of(rows, DOC_SCHEMA))
+    assert sorted(r["doc_id"] for r in judged.where("kept").select("doc_id").collect()) == list(range(6))
+    assert [r["doc_id"] for r in judged.where("base_failed AND n_words > 0").collect()] == [7]
+    assert judged.where("lost_chars = 0").where("clean_text <> ''").count() == 7
