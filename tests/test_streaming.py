@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from changelore import schemas
 from changelore.sources import history, sinks
 from changelore.streaming import ingest
-from tests.test_chunks import page
+from tests.test_chunks import request
+
+
+def page(talk: list[tuple[str, str]], number: int = 7) -> dict:
+    """A landed page with one merged request."""
+    info = {"hasNextPage": False, "endCursor": None}
+    requests = {"pageInfo": info, "nodes": [request(number, "why", talk, f"{number:040d}")]}
+    return {"data": {"repository": {"pullRequests": requests}, "rateLimit": {"remaining": 1, "resetAt": None}}}
 
 
 def log_line(i: int) -> str:
