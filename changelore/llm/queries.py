@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelore.llm import bpe, embedding_dedup, html_extract, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup
+from changelore.llm import bpe, conversation_repair, decontamination, embedding_dedup, html_extract, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, source_divergence, substring_dedup
 from changelore.llm.common import table
 from changelore.llm.oracles import ORACLES  # noqa: F401
 
@@ -109,3 +109,27 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", path.alias("path"))
     found = license_scan.scan(docs, license_scan.templates(spark))
     return found.select("doc_id", "path", "license", "similarity", "origin", "n_statements")
+
+
+@query("op11_benchmark_decontamination")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontamination.contaminated(docs, items).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, folder, "conversations"))
+    return conversation_repair.repair(rows, present="present")
+
+
+@query("op13_source_divergence")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, folder, "documents"))
