@@ -102,8 +102,7 @@ def share(count: Column | str, occurrences: Column | str, terms: Column | str) -
 
 def excess(p: Column | str, q: Column | str) -> Column:
     """floor((p - q)^2 / q); shares are at most SCALE + 1, so the square fits 64 bits."""
-    p = F.col(p) if isinstance(p, str) else p
-    q = F.col(q) if isinstance(q, str) else q
+    p, q = [(F.col(c) if isinstance(c, str) else c).cast("long") for c in (p, q)]
     return F.call_function("div", (p - q) * (p - q), q)
 
 
