@@ -8,53 +8,133 @@ from pyspark.sql import functions as F
 from changelore.runtime import checkpointed, checkpointed_count, small
 
 COMPACT_ROUNDS = 8
+#: Rounds of single hops before parent lines are doubled; they settle ordinary clock skew.
+NEAR_ROUNDS = 2
+KEY = ["repo_id", "sha"]
 
 
 def topological_order(commits: DataFrame, parents: DataFrame) -> DataFrame:
     """Corrected commit time per commit: sorting by it puts parents before children.
 
-    The corrected time is the commit's own time, or one second more than its
-    latest parent when that is later.  Real histories are almost in date order,
-    so only commits behind a skewed clock move, and the rounds follow the
-    longest run of skewed commits rather than the depth of the history.
+    The corrected time is the largest, over all ancestors and the commit itself, of "its own time plus the
+    hops to it".  Real histories are almost in date order, so two rounds of single hops settle most of them.
+    What is still open then is settled along lines (parents of one position): an edge carries the largest
+    "time plus hops" of the ancestors it spans, and composing edges doubles their span, so a run of n skewed
+    commits takes log n rounds.  A raise that crosses from one line to another goes on along the edges of
+    all spans, from the raised commits only; rounds follow the nesting of merges, not the length of runs.
+    Commits without a time count as time 0; parents that are not in `commits` say nothing.
     """
-    key = ["repo_id", "sha"]
-    edges = checkpointed(parents.select("repo_id", F.col("child_sha").alias("sha"), "parent_sha"))
-    own, size = checkpointed_count(
-        commits.select(
-            *key, F.coalesce(F.unix_seconds("committed_at"), F.lit(0)).alias("order_time")
-        ),
-        F.lit(True),
+    own, n = checkpointed_count(
+        commits.select(*KEY, F.coalesce(F.unix_seconds("committed_at"), F.lit(0)).alias("order_time")), F.lit(True)
     )
-    frontier = own
-    raised = own.limit(0)
-    # without a cycle no run of skewed commits is longer than the history
-    for turn in range(size + 1):
-        parent_time = frontier.select(
-            "repo_id", F.col("sha").alias("parent_sha"), F.col("order_time").alias("_p")
-        )
-        needed = (
-            edges.join(small(parent_time, size), ["repo_id", "parent_sha"])
-            .groupBy(*key)
-            .agg((F.max("_p") + 1).alias("_needed"))
-        )
-        before = raised.groupBy(*key).agg(F.max("order_time").alias("_raised"))
-        frontier, size = checkpointed_count(
-            own.join(needed, key)
-            .where(F.col("_needed") > F.col("order_time"))
-            .join(before, key, "left")
-            .where(F.col("_raised").isNull() | (F.col("_needed") > F.col("_raised")))
-            .select(*key, F.col("_needed").alias("order_time")),
-            F.lit(True),
-        )
+    steps = parents.select(
+        "repo_id", "position", F.col("child_sha").alias("sha"), F.col("parent_sha").alias("target"), F.lit(1).cast("long").alias("hops")
+    )
+    steps = steps.join(own.withColumnRenamed("order_time", "own_time"), KEY)
+    first = _from_targets(steps, own)
+    first, skewed = checkpointed_count(first, F.col("gain") > F.col("own_time"))
+    if skewed == 0:
+        return own
+    steps = first.select("repo_id", "position", "sha", "target", "hops", "own_time")
+    frontier, size = checkpointed_count(
+        first.where(F.col("gain") > F.col("own_time")).groupBy(*KEY).agg(F.max("gain").alias("order_time")), F.lit(True)
+    )
+    raised, frontier, size = _settled(steps, frontier, size, frontier, NEAR_ROUNDS)
+    if size:
+        reached, edges = _doubled(_from_targets(steps, _highest(own, raised)), n)
+        raised = checkpointed(_highest(raised, reached))
+        # what the doubled lines left open shows at single hops
+        again = _from_targets(steps, _highest(own, raised)).where(F.col("gain") > F.col("own_time"))
+        frontier, size = checkpointed_count(_above(again.groupBy(*KEY).agg(F.max("gain").alias("order_time")), raised), F.lit(True))
+        raised, _, size = _settled(edges, frontier, size, raised.unionByName(frontier), n)
+        if size:
+            raise RuntimeError("the parent edges contain a cycle")
+    return _highest(own, raised)
+
+
+def _highest(*times: DataFrame) -> DataFrame:
+    """The largest order_time of each commit."""
+    both = times[0]
+    for more in times[1:]:
+        both = both.unionByName(more)
+    return both.groupBy(*KEY).agg(F.max("order_time").alias("order_time"))
+
+
+def _from_targets(steps: DataFrame, times: DataFrame) -> DataFrame:
+    """Edges with `gain`, the time of their target plus their hops."""
+    target = times.select("repo_id", F.col("sha").alias("target"), F.col("order_time").alias("_t"))
+    return steps.join(target, ["repo_id", "target"]).withColumn("gain", F.col("_t") + F.col("hops")).drop("_t")
+
+
+def _above(needed: DataFrame, raised: DataFrame) -> DataFrame:
+    """The rows of `needed` that are above what their commit was raised to."""
+    before = raised.groupBy(*KEY).agg(F.max("order_time").alias("_raised"))
+    return (
+        needed.join(before, KEY, "left")
+        .where(F.col("_raised").isNull() | (F.col("order_time") > F.col("_raised")))
+        .select(*KEY, "order_time")
+    )
+
+
+def _settled(
+    edges: DataFrame, frontier: DataFrame, size: int, raised: DataFrame, rounds: int
+) -> tuple[DataFrame, DataFrame, int]:
+    """Follow edges (sha, target, hops, own_time) from raised targets until nothing rises, or for some rounds.
+
+    `raised` holds the frontier.  Edges know the own time of their commit, so a round meets only commits
+    that rise above it, and only the raised ones are compared with what they were raised to before.
+    """
+    for turn in range(rounds):
         if size == 0:
             break
+        at = small(frontier.select("repo_id", F.col("sha").alias("target"), F.col("order_time").alias("_t")), size)
+        needed = (
+            edges.join(at, ["repo_id", "target"])
+            .withColumn("order_time", F.col("_t") + F.col("hops"))
+            .where(F.col("order_time") > F.col("own_time"))
+            .groupBy(*KEY)
+            .agg(F.max("order_time").alias("order_time"))
+        )
+        frontier, size = checkpointed_count(_above(needed, raised), F.lit(True))
         raised = raised.unionByName(frontier)
         if turn % COMPACT_ROUNDS == COMPACT_ROUNDS - 1:
-            raised = checkpointed(raised.groupBy(*key).agg(F.max("order_time").alias("order_time")))
-    else:
-        raise RuntimeError("the parent edges contain a cycle")
-    return own.unionByName(raised).groupBy(*key).agg(F.max("order_time").alias("order_time"))
+            raised = checkpointed(raised.groupBy(*KEY).agg(F.max("order_time").alias("order_time")))
+    return raised, frontier, size
+
+
+def _doubled(first: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Times above their own that lines give, and the edges of all spans.
+
+    `first` has the single steps with `gain`.  A step of a line joins the step that begins where it ends:
+    spans add up, the larger gain stays.  A line that has reached its root is closed and only looked up.
+    """
+    line = ["repo_id", "position"]
+    state, open_ = checkpointed_count(first.withColumn("_open", F.lit(True)), F.lit(True))
+    edges, span = state.drop("_open", "gain"), 1
+    while open_:
+        if span > 2 * n:
+            raise RuntimeError("the parent edges contain a cycle")
+        span *= 2
+        further = state.select(
+            *line, F.col("sha").alias("target"), F.col("target").alias("_target"), F.col("hops").alias("_hops"), F.col("gain").alias("_gain")
+        )
+        moved = state.where("_open").join(further, [*line, "target"], "left")
+        found = F.col("_target").isNotNull()
+        moved = moved.select(
+            *line,
+            "sha",
+            F.coalesce("_target", "target").alias("target"),
+            (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
+            "own_time",
+            F.greatest("gain", F.col("_gain") + F.col("hops")).alias("gain"),
+            found.alias("_open"),
+        )
+        moved, open_ = checkpointed_count(moved, F.col("_open"))
+        if open_:
+            edges = edges.unionByName(moved.where("_open").drop("_open", "gain"))
+        state = state.where("NOT _open").unionByName(moved)
+    rose = state.where(F.col("gain") > F.col("own_time")).groupBy(*KEY).agg(F.max("gain").alias("order_time"))
+    return rose, edges
 
 
 def shortcuts(parents: DataFrame) -> DataFrame:
@@ -90,20 +170,23 @@ def shortcuts(parents: DataFrame) -> DataFrame:
     return checkpointed(edges.select("repo_id", "sha", "target_sha").distinct())
 
 
-def ancestors(heads: DataFrame, parents: DataFrame) -> DataFrame:
+def ancestors(heads: DataFrame, parents: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Every commit reachable from each head, the head included.
 
     A breadth-first search over the shortcut edges: a commit d steps along one
     line of parents is found after at most log2(d) rounds, so the rounds follow
     the nesting of merges, not the length of the history.  A commit is expanded
-    once.
+    once.  Only the repositories of the heads are doubled; `edges` takes
+    shortcuts that are stored already (`shortcuts(parents)`).
     """
-    edges = shortcuts(parents)
     key = ["repo_id", "head_sha", "sha"]
     frontier, size = checkpointed_count(
         heads.select("repo_id", "head_sha", F.col("head_sha").alias("sha")).distinct(), F.lit(True)
     )
-    reached = frontier
+    if edges is None:
+        asked = small(frontier.select("repo_id").distinct(), size)
+        edges = shortcuts(parents.join(asked, "repo_id", "left_semi"))
+    reached, turn = frontier, 0
     while True:  # every round reaches new commits or is the last one
         found = edges.join(small(frontier, size), ["repo_id", "sha"]).select(
             "repo_id", "head_sha", F.col("target_sha").alias("sha")
@@ -113,7 +196,9 @@ def ancestors(heads: DataFrame, parents: DataFrame) -> DataFrame:
         )
         if size == 0:
             return reached
-        reached = reached.unionByName(frontier)
+        reached, turn = reached.unionByName(frontier), turn + 1
+        if turn % COMPACT_ROUNDS == 0:
+            reached = checkpointed(reached)
 
 
 def resolve_chain(links: DataFrame, keys: list[str], node: str, target: str) -> DataFrame:

@@ -8,7 +8,6 @@ which chunks a question may see; without it every chunk is a candidate.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -21,7 +20,9 @@ from pyspark.sql import types as T
 
 from changelore import constants as C
 from changelore.functions import text as X
-from changelore.operators import lexical, skew, snapshot
+from changelore.operators import lexical, skew, snapshot, vector_index
+from changelore.operators.lexical_index import LexicalIndex
+from changelore.operators.vector_index import VectorIndex
 from changelore.runtime import (
     BROADCAST_ROWS,
     broadcast_if_small,
@@ -32,7 +33,6 @@ from changelore.runtime import (
 
 SLICE_ROWS = 32_768
 QUERY_BLOCK = 2_048
-BUCKET_ROWS = 4_096
 BM25_K1 = 1.2
 BM25_B = 0.75
 _SCOPE = "_scope"
@@ -216,51 +216,6 @@ def dense_topk(
     return skew.top_per_key(partial, ["query_id"], order, k, "rank")
 
 
-def dense_topk_approx(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int = C.K_DENSE,
-    bits: int | None = None,
-    tables: int = 12,
-    seed: int = 7,
-) -> DataFrame:
-    """Approximate top k: only chunks that share a sign pattern with the query are scored.
-
-    Every vector gets one pattern per table from fixed random planes, and a
-    pattern is a scope of the exact search, so a crowded pattern is sliced like
-    any other scope.  More bits mean fewer candidates (by default they grow with
-    the corpus), more tables mean higher recall.
-    """
-    corpus = chunks.where(F.col("embedding").isNotNull())
-    if bits is None:
-        bits = max(4, math.ceil(math.log2(max(1, corpus.count()) / BUCKET_ROWS + 1)))
-    buckets = _sign_buckets(bits, tables, seed)
-    pattern = F.posexplode(buckets("vector")).alias("table", "pattern")
-    asked = _with_scope(
-        queries.where(F.col("vector").isNotNull()).select("query_id", "vector", pattern),
-        ["table", "pattern"],
-    )
-    pattern = F.posexplode(buckets("embedding")).alias("table", "pattern")
-    vectors = _with_scope(corpus.select("chunk_id", "embedding", pattern), ["table", "pattern"])
-    partial = _best_per_slice(asked, vectors, k, SLICE_ROWS, QUERY_BLOCK).distinct()
-    order = [F.col("similarity").desc(), F.col("chunk_id")]
-    return skew.top_per_key(partial, ["query_id"], order, k, "rank")
-
-
-def _sign_buckets(bits: int, tables: int, seed: int) -> Callable[[str], Column]:
-    @F.pandas_udf("array<int>")
-    def buckets(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
-            return pd.Series([], dtype=object)
-        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        planes = np.random.default_rng(seed).standard_normal((matrix.shape[1], bits * tables))
-        signs = (matrix @ planes > 0).reshape(len(matrix), tables, bits)
-        codes = (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
-        return pd.Series(list(codes))
-
-    return buckets
-
-
 def recall_against(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact hits that the approximate list found, per query."""
     key = ["query_id", "chunk_id"]
@@ -297,7 +252,7 @@ def query_terms(queries: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 def sparse_topk(
     queries: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | LexicalIndex,
     k: int = C.K_SPARSE,
     mode: str = "tf",
     scope: Sequence[str] = (),
@@ -305,28 +260,33 @@ def sparse_topk(
     """Top k chunks with any question word: query_id, chunk_id, score, rank.
 
     `tf` counts matching positions; `bm25` weights them by rarity and length.
-    The small term table is broadcast when counted small, so positions are
-    filtered where they are read; what is left is placed by chunk once, and both
-    counting steps and the per-query cut reuse that placement: only k rows per
-    query and partition are shuffled after it.
+    A stored index gives the postings of the asked words from their buckets.
+    Without one, the small term table is broadcast when counted small, so
+    positions are filtered where they are read; what is left is placed by chunk
+    once, and both counting steps and the per-query cut reuse that placement:
+    only k rows per query and partition are shuffled after it.
     """
     terms = query_terms(queries, scope)
     key = [*scope, "token"]
     few = is_small(terms)
     asked = terms.select(*key).distinct()
     if few:
-        terms, asked = F.broadcast(terms), F.broadcast(asked)
-    counted = (
-        postings(chunks, scope)
-        .join(asked, key)
-        .repartition("chunk_id")
-        .groupBy("chunk_id", "chunk_length", *key)
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+        terms = F.broadcast(terms)
+    if isinstance(chunks, LexicalIndex):
+        counted, sized = chunks.counted(asked), chunks.lengths.read()
+    else:
+        counted = (
+            postings(chunks, scope)
+            .join(F.broadcast(asked) if few else asked, key)
+            .repartition("chunk_id")
+            .groupBy("chunk_id", "chunk_length", *key)
+            .agg(F.count(F.lit(1)).alias("tf"))
+        )
+        sized = chunks.where(F.col("tokens").isNotNull()).withColumn("chunk_length", F.size("tokens"))
     if mode == "tf":
         matched, score = counted, F.sum("tf")
     elif mode == "bm25":
-        matched, score = _with_bm25(counted, chunks, scope, key, few), F.round(F.sum("_weight"), 6)
+        matched, score = _with_bm25(counted, sized, scope, key, few), F.round(F.sum("_weight"), 6)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     scored = matched.join(terms, key).groupBy("chunk_id", "query_id").agg(score.alias("score"))
@@ -337,12 +297,11 @@ def sparse_topk(
 
 
 def _with_bm25(
-    counted: DataFrame, chunks: DataFrame, scope: Sequence[str], key: list[str], few: bool
+    counted: DataFrame, sized: DataFrame, scope: Sequence[str], key: list[str], few: bool
 ) -> DataFrame:
     """BM25 weight per (chunk, token); the weight table has one row per asked token at most."""
-    sized = _with_scope(chunks.where(F.col("tokens").isNotNull()), scope)
-    totals = sized.groupBy(_SCOPE).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(F.size("tokens")).alias("_avg")
+    totals = _with_scope(sized, scope).groupBy(_SCOPE).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("chunk_length").alias("_avg")
     )
     df = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("_df"))
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
@@ -455,18 +414,20 @@ def hybrid_search(
     scope: Sequence[str] = (),
     sparse_mode: str = "tf",
     scorer: Callable[[], PairScorer] | None = None,
+    lexical_index: LexicalIndex | None = None,
+    vectors: VectorIndex | None = None,
 ) -> DataFrame:
     """Dense and lexical candidates, fused, optionally reranked, cut to top_n per query.
 
-    Bodies are joined only to the few fused candidates, never carried through
-    the ranking shuffles.
+    Either list comes from a stored index when one is given; `chunks` then only
+    shows the hits.  A vector index knows no scope.  Bodies are joined only to
+    the few fused candidates, never carried through the ranking shuffles.
     """
-    fused = rrf_fuse(
-        {
-            "dense": dense_topk(queries, chunks, k_dense, scope),
-            "sparse": sparse_topk(queries, chunks, k_sparse, sparse_mode, scope),
-        }
-    )
+    if vectors is not None and scope:
+        raise ValueError("a stored vector index has no scope")
+    dense = dense_topk(queries, chunks, k_dense, scope) if vectors is None else vector_index.topk(queries, vectors, k_dense)
+    found = sparse_topk(queries, chunks if lexical_index is None else lexical_index, k_sparse, sparse_mode, scope)
+    fused = rrf_fuse({"dense": dense, "sparse": found})
     candidates = fused_candidates(fused, top_n)
     shown = [c for c in chunks.columns if c not in ("tokens", "embedding", *scope)]
     # At most `per_query` rows per question are left: few questions, few rows.

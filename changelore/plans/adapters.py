@@ -6,13 +6,21 @@ Every adapter is a projection of whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelore.operators import lexical, threads
-from changelore.runtime import spread
+from changelore.operators import lexical_index as lexical_indexes
+from changelore.operators import vector_index as vector_indexes
+from changelore.operators.lexical_index import LexicalIndex
+from changelore.operators.vector_index import VectorIndex
+from changelore.runtime import checkpoint_dir, spread
+
+T = TypeVar("T")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -314,6 +322,58 @@ def doc_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def doc_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """What hits show of the documents, and their vectors; the texts are not read."""
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return docs.join(vectors, "doc_id", "left").select(
+        F.col("doc_id").alias("chunk_id"),
+        F.expr("CAST(substring(source, 4) AS INT)").alias("repo_id"),
+        "embedding",
+        ((F.col("doc_id") % 10) / 10.0).alias("liveness_score"),
+    )
+
+
+_BUILT: dict[tuple, object] = {}
+
+
+def _stored(spark: SparkSession, folder: str, name: str, kind: str, build: Callable[[str], T]) -> T:
+    """An index over the files of a given table, built once for the session and this state of the files."""
+    files = table(spark, folder, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    state = sorted(map(str, files.distinct().collect()))  # a row per file
+    key = (spark.sparkContext.applicationId, kind, *state)
+    if key not in _BUILT:
+        _BUILT[key] = build(f"{checkpoint_dir(spark)}/index/{uuid.uuid4().hex}")
+    return _BUILT[key]
+
+
+def lexical_index(spark: SparkSession, folder: str) -> LexicalIndex:
+    """The documents' postings."""
+
+    def build(path: str) -> LexicalIndex:
+        index = lexical_indexes.open_index(spark, path, buckets=_buckets(spark))
+        lexical_indexes.add(index, doc_chunks(spark, folder), batch=0)
+        return index
+
+    return _stored(spark, folder, "documents", "lexical", build)
+
+
+def vector_index(spark: SparkSession, folder: str, bits: int) -> VectorIndex:
+    """The given vectors' patterns and codes, calibrated on a sample of them."""
+
+    def build(path: str) -> VectorIndex:
+        index = vector_indexes.open_index(spark, path, bits=bits, buckets=_buckets(spark))
+        rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+        vector_indexes.add(index, rows, batch=0)
+        return vector_indexes.calibrate(index)
+
+    return _stored(spark, folder, "embeddings", f"vectors {bits}", build)
+
+
+def _buckets(spark: SparkSession) -> int:
+    return max(8, spark.sparkContext.defaultParallelism)
+
+
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """benchmark passages as questions, with the vector of the same id."""
     items = table(spark, folder, "benchmark")

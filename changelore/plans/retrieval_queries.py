@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelore import constants as C
 from changelore.functions import text as X
-from changelore.operators import citations, lexical, retrieval, router, vectors
+from changelore.operators import citations, lexical, retrieval, router, vector_index, vectors
 from changelore.plans import adapters as A
 from changelore.plans.registry import query
 
@@ -59,7 +59,10 @@ FUSED_SQL = """fused AS (
     FROM candidates WHERE fused_rank <= 20""",
 )
 def hybrid_rrf_topk(spark: SparkSession, folder: str) -> DataFrame:
-    hits = retrieval.hybrid_search(A.questions(spark, folder), A.doc_chunks(spark, folder))
+    """Over the stored index; the texts are read when it is built, not when it is searched."""
+    hits = retrieval.hybrid_search(
+        A.questions(spark, folder), A.doc_vectors(spark, folder), lexical_index=A.lexical_index(spark, folder)
+    )
     missing = F.lit(-1)
     return retrieval.snapshot.with_stale(hits).select(
         "query_id",
@@ -77,7 +80,7 @@ def hybrid_rrf_topk(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {LEXICAL_SQL} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM sparse""",
 )
 def sparse_topk_tf(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.sparse_topk(A.questions(spark, folder), A.doc_chunks(spark, folder))
+    return retrieval.sparse_topk(A.questions(spark, folder), A.lexical_index(spark, folder))
 
 
 @query(
@@ -97,7 +100,34 @@ def sparse_topk_tf(spark: SparkSession, folder: str) -> DataFrame:
     FROM s QUALIFY rank <= 50""",
 )
 def sparse_topk_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.sparse_topk(A.questions(spark, folder), A.doc_chunks(spark, folder), mode="bm25")
+    return retrieval.sparse_topk(A.questions(spark, folder), A.lexical_index(spark, folder), mode="bm25")
+
+
+@query(
+    "scanned_topk_bm25",
+    f"""WITH {LEXICAL_SQL}, lengths AS (
+      SELECT d.doc_id AS chunk_id, d.source, coalesce(n, 0) AS len FROM documents d
+      LEFT JOIN (SELECT chunk_id, COUNT(*) AS n FROM positions GROUP BY ALL) p ON p.chunk_id = d.doc_id
+    ), total AS (SELECT source, COUNT(*) AS n, AVG(len) AS avg_len FROM lengths GROUP BY source),
+    placed AS (SELECT c.*, l.source, l.len FROM counted c JOIN lengths l USING (chunk_id)),
+    df AS (SELECT source, token, COUNT(*) AS df FROM placed GROUP BY ALL),
+    s AS (
+      SELECT t.query_id, c.source, c.chunk_id,
+        round(SUM(ln(1 + (total.n - df.df + 0.5) / (df.df + 0.5)) * c.tf * 2.2
+          / (c.tf + 1.2 * (0.25 + 0.75 * c.len / total.avg_len))), 6) AS score
+      FROM placed c JOIN terms t USING (token) JOIN df USING (source, token) JOIN total USING (source) GROUP BY ALL)
+    SELECT query_id, CAST(substr(source, 4) AS INTEGER) AS repo_id, chunk_id, score,
+      CAST(row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS INTEGER) AS rank
+    FROM s QUALIFY rank <= 10""",
+)
+def scanned_topk_bm25(spark: SparkSession, folder: str) -> DataFrame:
+    """Every question in every repository, from the chunks themselves."""
+    chunks = A.doc_chunks(spark, folder)
+    asked = retrieval.every_repo(A.questions(spark, folder).select("query_id", "question"), chunks)
+    hits = retrieval.sparse_topk(
+        asked.withColumn("query_id", F.struct("query_id", "repo_id")), chunks, k=10, mode="bm25", scope=["repo_id"]
+    )
+    return hits.select("query_id.query_id", "query_id.repo_id", "chunk_id", "score", "rank")
 
 
 def _vector_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,21 +177,36 @@ def dense_topk_scoped(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "quantized_topk",
+    f"""WITH {ALL_PAIRS_SQL}
+    SELECT query_id, chunk_id, similarity,
+      CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS INTEGER) AS rank
+    FROM pairs QUALIFY rank <= 10""",
+)
+def quantized_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact search over int8 codes: every question meets every cell, bounds leave a few vectors to score."""
+    return vector_index.topk(_vector_queries(spark, folder), A.vector_index(spark, folder, bits=0), k=10)
+
+
 @query("dense_topk_approx")
 def dense_topk_approx(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.dense_topk_approx(
-        _vector_queries(spark, folder), _vector_chunks(spark, folder), k=10
-    )
+    """Probes of the stored sign patterns."""
+    return vector_index.topk(_vector_queries(spark, folder), A.vector_index(spark, folder, bits=8), k=10)
 
 
-@query("approx_recall")
+@query("approx_recall", "SELECT COUNT(*) AS queries, true AS at_least_0_9, true AS scores_exact FROM embeddings")
 def approx_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the stored patterns against brute force has a floor, and what they find is scored exactly."""
     asked, corpus = _vector_queries(spark, folder), _vector_chunks(spark, folder)
     exact = retrieval.dense_topk(asked, corpus, k=10)
-    found = retrieval.dense_topk_approx(asked, corpus, k=10)
+    found = dense_topk_approx(spark, folder)
     recall = retrieval.recall_against(exact, found)
-    return recall.agg(
-        F.count(F.lit(1)).alias("queries"), F.round(F.avg("recall"), 6).alias("mean_recall")
+    same = exact.join(found.select("query_id", "chunk_id", F.col("similarity").alias("_s")), ["query_id", "chunk_id"])
+    off = same.agg(F.coalesce(F.max(F.abs(F.col("similarity") - F.col("_s"))), F.lit(0.0)).alias("_off"))
+    rolled = recall.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("at_least_0_9"))
+    return rolled.withColumn("_one", F.lit(1)).join(off.withColumn("_one", F.lit(1)), "_one").select(
+        "queries", "at_least_0_9", (F.col("_off") < 1.5e-6).alias("scores_exact")
     )
 
 

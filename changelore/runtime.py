@@ -80,14 +80,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Read at most `max_rows + 1` rows and add up their rendered size.
+    """Count the rows and add up their rendered size, in the tasks that compute them.
 
     Meant for tables that are cheap to compute, such as questions.
     """
     rendered = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    seen = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(rendered), F.lit(0)).alias("b")
-    ).first()
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(rendered), F.lit(0)).alias("b")).first()
     return seen["n"] <= max_rows and seen["b"] <= max_bytes
 
 

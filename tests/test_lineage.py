@@ -5,6 +5,8 @@ from __future__ import annotations
 import difflib
 import random
 
+import pytest
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +270,44 @@ def test_order_time_is_the_latest_time_an_ancestor_forces(spark):
     commits = commits.select("repo_id", "sha", F.timestamp_seconds("t").alias("committed_at"))
     got = graph.topological_order(commits, edges_of(spark, edges)).collect()
     assert {r["sha"]: r["order_time"] for r in got} == {f"c{k}": t for k, t in want.items()}
+
+
+def test_a_long_line_without_times_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = graph.checkpointed_count
+
+    def counted(*args):
+        rounds.append(1)
+        return real(*args)
+
+    monkeypatch.setattr(graph, "checkpointed_count", counted)
+    n = 20_000
+    number = F.col("id").cast("string")
+    commits = spark.range(n).select(F.lit(6).alias("repo_id"), number.alias("sha"), F.lit(None).cast("timestamp").alias("committed_at"))
+    parents = spark.range(1, n).select(
+        F.lit(6).alias("repo_id"), number.alias("child_sha"), (F.col("id") - 1).cast("string").alias("parent_sha"), F.lit(0).alias("position")
+    )
+    got = graph.topological_order(commits, parents)
+    assert got.where(F.col("order_time") == F.col("sha").cast("long")).count() == n
+    assert len(rounds) <= 24
+
+
+def test_order_of_lines_that_cross_often(spark):
+    """Two lines that hand a raise over to each other, and random graphs without times."""
+    n = 30
+    crossing = [(c, p, k) for c in range(2, n) for k, p in enumerate((c - 2, c - 1) if c % 3 else (c - 1, c - 2))] + [(1, 0, 0)]
+    for edges, size in ((crossing, n), (random_graph(21, 60), 60)):
+        want: dict[int, int] = {}
+        for k in range(size):
+            want[k] = max([0, *(want[p] + 1 for c, p, _ in edges if c == k)])
+        commits = spark.createDataFrame([(6, f"c{k}", None) for k in range(size)], "repo_id INT, sha STRING, committed_at TIMESTAMP")
+        got = graph.topological_order(commits, edges_of(spark, edges)).collect()
+        assert {r["sha"]: r["order_time"] for r in got} == {f"c{k}": t for k, t in want.items()}
+
+
+def test_a_cycle_of_parents_is_an_error(spark):
+    commits = spark.createDataFrame([(6, f"c{k}", None) for k in range(5)], "repo_id INT, sha STRING, committed_at TIMESTAMP")
+    with pytest.raises(RuntimeError, match="cycle"):
+        graph.topological_order(commits, edges_of(spark, [(1, 0, 0), (2, 1, 0), (3, 2, 0), (1, 3, 1)])).count()
+    with pytest.raises(RuntimeError, match="cycle"):
+        graph.topological_order(commits, edges_of(spark, [(k, (k + 1) % 5, 0) for k in range(5)])).count()

@@ -57,16 +57,6 @@ def test_chunks_without_a_vector_are_no_hits(spark):
     assert min(r["chunk_id"] for r in got) == 12
 
 
-def test_approximate_search_finds_nearly_all(spark):
-    rng = np.random.default_rng(44)
-    made = np.repeat(rng.normal(size=(15, 24)), 20, axis=0) + 0.15 * rng.normal(size=(300, 24))
-    chunks = vector_table(spark, made.astype(np.float32))
-    queries = as_queries(chunks, 300)
-    exact = retrieval.dense_topk(queries, chunks, k=6)
-    recall = retrieval.recall_against(exact, retrieval.dense_topk_approx(queries, chunks, k=6))
-    assert recall.agg(F.avg("recall")).first()[0] > 0.95
-
-
 def test_fusion_adds_reciprocal_ranks(spark):
     rng = random.Random(45)
     ranked = {name: {q: rng.sample(range(40), rng.randint(0, 12)) for q in range(6)} for name in ("one", "two", "three")}
