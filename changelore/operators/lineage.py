@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from changelore import constants as C
 from changelore.functions import text as X
-from changelore.operators import graph, skew
-from changelore.runtime import checkpointed, checkpointed_count, small
+from changelore.operators import catalog, graph, skew, symbols
+from changelore.runtime import broadcast_if_small, checkpointed, checkpointed_count, small
 
 FILE = ["repo_id", "path"]
 BLOCK_HUNKS = 50_000
@@ -80,6 +80,94 @@ def rename_chain(changes: DataFrame, width: int = 1 << 20) -> DataFrame:
     return with_final_path(events, events, width)
 
 
+# ------------------------------------------------------------------- lives of files
+
+#: A position behind every commit.
+NEVER = 1 << 60
+
+
+def births(changes: DataFrame) -> DataFrame:
+    """(repo_id, path, ord, old_path, event): commits at which a path starts a new life.
+
+    `old_path` is where a renamed or copied file comes from; an added file comes from nowhere.
+    """
+    came = F.when(F.col("status").isin(C.RENAMED, C.COPIED), F.col("old_path"))
+    return (
+        changes.where(F.col("status").isin(C.ADDED, C.RENAMED, C.COPIED))
+        .groupBy("repo_id", "path", "ord")
+        .agg(F.max(came).alias("old_path"))
+        .withColumn("event", F.xxhash64("repo_id", "path", "ord"))
+    )
+
+
+def _with_life(rows: DataFrame, born: DataFrame, width: int, before: bool) -> DataFrame:
+    """Add `life`: the event at which the path of (path, ord) was born, or one that stands for the path's root.
+
+    With `before` a birth at `ord` itself does not count.  Positions are doubled and turned around, so that
+    "the latest birth up to here" is the nearest value behind a row.
+    """
+    at = (-2 * F.col("ord") - (0 if before else 1)).alias("_at")
+    marks = born.select(*FILE, (-2 * F.col("ord")).alias("_at"), F.col("event").alias("_event"), F.lit(False).alias("_row"))
+    both = rows.select("*", at, F.lit(True).alias("_row")).unionByName(marks, allowMissingColumns=True)
+    carried = skew.carry_backward(both, FILE, "_at", "_event", 2 * width, "_life").where("_row")
+    root = F.xxhash64(F.lit("root"), *FILE)
+    return carried.withColumn("life", F.coalesce("_life", root)).drop("_at", "_row", "_event", "_life")
+
+
+def lives(heads: DataFrame, changes: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """The lives of files at HEAD: repo_id, path, was, life, until.
+
+    `heads`: repo_id, path.  A file's life under a name `was` begins at the event `life` and ends in front of
+    position `until`, where it was renamed (or copied) to its next name.  Events point to the life their file
+    came from; chains are listed by doubling these pointers, so rounds follow the logarithm of the renames.
+    """
+    heads = heads.select(*FILE).distinct()
+    born = checkpointed(births(changes.join(heads.select("repo_id").distinct(), "repo_id", "left_semi")))
+    came = born.where(F.col("old_path").isNotNull()).select(
+        "repo_id", F.col("old_path").alias("path"), "ord", "event"
+    )
+    jumps, open_ = checkpointed_count(
+        _with_life(came, born, width, before=True).select(
+            "repo_id", F.col("event").alias("life"), F.col("life").alias("_to"), F.col("path").alias("_was"), F.col("ord").alias("_until")
+        ),
+        F.lit(True),
+    )
+    last = _with_life(heads.withColumn("ord", F.lit(NEVER)), born, width, before=False)
+    found = checkpointed(last.select(*FILE, F.col("path").alias("was"), "life", F.lit(NEVER).alias("until")))
+    while open_:  # positions fall along a chain, so it ends
+        further = found.join(jumps, ["repo_id", "life"]).select(
+            *FILE, F.col("_was").alias("was"), F.col("_to").alias("life"), F.col("_until").alias("until")
+        )
+        found = checkpointed(found.unionByName(further))
+        step = jumps.select("repo_id", F.col("life").alias("_to"), F.col("_to").alias("_to2"), F.col("_was").alias("_was2"), F.col("_until").alias("_until2"))
+        jumps, open_ = checkpointed_count(
+            jumps.join(step, ["repo_id", "_to"]).select(
+                "repo_id", "life", F.col("_to2").alias("_to"), F.col("_was2").alias("_was"), F.col("_until2").alias("_until")
+            ),
+            F.lit(True),
+        )
+    return found
+
+
+def follow_renames(rows: DataFrame, heads: DataFrame, changes: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Rows (repo_id, path, ord, ...) under the path that their file has at HEAD, for the files of `heads`.
+
+    A row belongs to the life of its path at its position, and to every file at HEAD that this life led to
+    before it went on under another name; a copied file keeps its history and shares it.  A rename commit
+    speaks about the new name.  Rows of other files are left out, before anything is placed.
+    """
+    led = lives(heads, changes, width)
+    names = led.select("repo_id", F.col("was").alias("path")).distinct()
+    placed = _with_life(rows.join(names, FILE, "left_semi"), births(changes).join(names, FILE, "left_semi"), width, before=False)
+    to = led.select("repo_id", F.col("path").alias("_head"), "life", "until")
+    return (
+        placed.join(to, ["repo_id", "life"])
+        .where(F.col("ord") < F.col("until"))
+        .withColumn("path", F.col("_head"))
+        .select(*rows.columns)
+    )
+
+
 # ------------------------------------------------------------------- range walk
 
 
@@ -230,9 +318,10 @@ def walk_ranges(
     hunks stay together, up to a block.  Files and groups of symbols are dealt
     out to tasks of bounded size.  Almost every file is one block and done in
     the first round; only the open ranges of larger files go on to their next
-    block.
+    block.  Hunks of files without a span are left out before they are placed.
     """
-    blocked = checkpointed(_with_blocks(hunks, block_hunks))
+    asked = broadcast_if_small(spans.select(*FILE).distinct())
+    blocked = checkpointed(_with_blocks(hunks.join(asked, FILE, "left_semi"), block_hunks))
     per_block = {r["block"]: r["n"] for r in blocked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
     groups = (
         spans.groupBy(*FILE)
@@ -391,17 +480,49 @@ def why(
     hunks: DataFrame,
     commits: DataFrame,
     labels: DataFrame,
+    changes: DataFrame | None = None,
+    stored: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(answers, timeline) of a table of symbol questions.
 
     Questions about the same span share one walk.  Three steps read the located
-    spans, so they are written once.
+    spans, so they are written once.  With `changes` (file changes with `ord`)
+    ranges go on under the names a file had before; with `stored` lineage rows
+    (see `materialize`, the head in `located.head_sha`) only missing spans are walked.
     """
     located = checkpointed(located)
-    spans = located.select("repo_id", "path", "symbol", "start_line", "end_line").distinct()
-    walked = walk_ranges(spans, hunks)
-    per_question = located.select("question_id", "repo_id", "path", "symbol").join(
-        walked, ["repo_id", "path", "symbol"]
-    )
+    key = [*FILE, "symbol"]
+    spans = located.select(*key, "start_line", "end_line", *(["head_sha"] if stored is not None else [])).distinct()
+    if changes is not None:
+        hunks = follow_renames(hunks, spans.select(*FILE), changes)
+    if stored is not None:
+        walked = materialize(spans, hunks, stored).select(*key, "sha", "ord")
+    else:
+        walked = walk_ranges(spans, hunks)
+    per_question = located.select("question_id", *key).join(walked, key)
     rows = timeline(per_question.select("question_id", "repo_id", "sha", "ord"), commits, labels)
     return gate(questions, rows, located), rows
+
+
+def why_job(
+    questions: DataFrame,
+    repos: DataFrame,
+    files: DataFrame,
+    hunks: DataFrame,
+    commits: DataFrame,
+    labels: DataFrame,
+    changes: DataFrame,
+    stored: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(answers, timeline) from questions (question_id, repo, symbol, file) that name a repository.
+
+    An unknown repository is an answer of its own.  Only files that mention an asked name are looked
+    through for declarations; ranges follow renames; stored lineage of a repository's head is reused.
+    """
+    named = checkpointed(catalog.resolve_repos(questions, repos))
+    known = named.where("known_repo")
+    mentioned = symbols.files_with_symbols(files, known)
+    located = symbols.locate(known, symbols.symbol_index(mentioned))
+    heads = repos.select(F.col("id").alias("repo_id"), "head_sha")
+    located = located.join(broadcast_if_small(heads), "repo_id")
+    return why(named, located, hunks, commits, labels, changes, stored)

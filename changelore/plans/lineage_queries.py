@@ -11,6 +11,7 @@ from changelore.functions import text as X
 from changelore.operators import catalog, evidence, lineage, retrieval, router, symbols
 from changelore.plans import adapters as A
 from changelore.plans.registry import query
+from changelore.runtime import checkpointed
 
 # ------------------------------------------------------------------ code files
 
@@ -191,7 +192,7 @@ def lineage_materialize(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------ renames
 
 NAMES_SQL = """views AS (
-  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'view'
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
 )"""
 
 
@@ -200,8 +201,8 @@ def _name(user: str, n: Column) -> Column:
 
 
 def _views(spark: SparkSession, folder: str) -> DataFrame:
-    """Every view of a user renames the user's file; three names take turns."""
-    views = A.table(spark, folder, "events").where(F.col("event_type") == "view").select("user_id", "event_id")
+    """Every event of a user renames the user's file; three names take turns."""
+    views = A.table(spark, folder, "events").select("user_id", "event_id")
     n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
     return views.withColumn("n", n).select(
         F.lit(0).alias("repo_id"),
@@ -344,9 +345,7 @@ def abstention_gate_short(spark: SparkSession, folder: str) -> DataFrame:
     return _gate(short.select("question_id").distinct(), rows)
 
 
-@query(
-    "why_symbols",
-    f"""WITH RECURSIVE {SYMBOLS_SQL}, {ASKED_SQL}, spans AS (SELECT DISTINCT f, path, symbol AS name, start_line, end_line FROM located),
+WHY_SQL = f"""WITH RECURSIVE {SYMBOLS_SQL}, {ASKED_SQL}, spans AS (SELECT DISTINCT f, path, symbol AS name, start_line, end_line FROM located),
     {HUNKS_SQL}, {WALK_SQL}, {A.COMMITS_SQL}, {A.SIMPLE_LABELS_SQL}, rows_ AS (
       SELECT l.question_id, w.ord, coalesce(s.label, 'significant') AS label, c.subject, c.body,
         left(c.sha, 9) AS evidence_id, w.ord = MIN(w.ord) OVER (PARTITION BY l.question_id) AS is_first
@@ -364,8 +363,10 @@ def abstention_gate_short(spark: SparkSession, folder: str) -> DataFrame:
           WHEN evidence = 1 AND weak THEN 'single_uncited_commit' END AS reason
       FROM asked a LEFT JOIN located l USING (question_id) LEFT JOIN g USING (question_id))
     SELECT question_id, CASE WHEN reason IS NULL THEN 'answered' WHEN reason = 'single_uncited_commit' THEN 'low_confidence'
-      ELSE 'abstained' END AS status, reason, evidence, noise_dropped, introduced_id FROM r""",
-)
+      ELSE 'abstained' END AS status, reason, evidence, noise_dropped, introduced_id FROM r"""
+
+
+@query("why_symbols", WHY_SQL)
 def why_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """Locate, walk, hydrate, filter and gate a table of symbol questions."""
     zero = F.lit(0).alias("repo_id")
@@ -377,6 +378,51 @@ def why_symbols(spark: SparkSession, folder: str) -> DataFrame:
     return answers
 
 
+RENAMES = """SELECT l_partkey AS f, MIN(l_orderkey) + (MAX(l_orderkey) - MIN(l_orderkey)) DIV 3 AS first,
+    MIN(l_orderkey) + 2 * (MAX(l_orderkey) - MIN(l_orderkey)) DIV 3 AS second FROM {lines} GROUP BY l_partkey"""
+
+
+def _names(key: str) -> list[Column]:
+    """The names of a part's file: at HEAD, before its second and before its first rename."""
+    old = A.OLD_PATH.format(key=key, text="STRING")
+    return [F.expr(A.path_of(key)), F.expr(old), F.concat(F.lit("older/"), F.expr(old))]
+
+
+@query(
+    "why_renamed",
+    WHY_SQL.replace("  JOIN symbols s ON s.name = a.symbol AND", "  JOIN symbols s ON a.question_id % 13 != 0 AND s.name = a.symbol AND")
+    .replace("CASE WHEN l.question_id IS NULL THEN", "CASE WHEN a.question_id % 13 = 0 THEN 'unknown_repo' WHEN l.question_id IS NULL THEN"),
+)
+def why_renamed(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole job over files that were renamed twice; it finds what it would have found under one name.
+
+    Every thirteenth question names an unknown repository; the lineage of the classes is stored already.
+    """
+    zero = F.lit(0).alias("repo_id")
+    lines = A.table(spark, folder, "lineitem")
+    when = checkpointed(spark.sql(RENAMES.format(lines="{lines}"), lines=lines))
+    head, middle, oldest = _names("f")
+    renamed = lambda ord_, old, new: when.select(
+        zero, F.lit(C.RENAMED).alias("status"), old.alias("old_path"), new.alias("path"), F.col(ord_).alias("ord")
+    )
+    changes = renamed("first", oldest, middle).unionByName(renamed("second", middle, head))
+    at_head = hunks(spark, folder)
+    by_name = at_head.join(when.select(head.alias("path"), middle.alias("_middle"), oldest.alias("_oldest"), "first", "second"), "path")
+    name = F.when(F.col("ord") >= F.col("second"), F.col("path")).when(F.col("ord") >= F.col("first"), F.col("_middle")).otherwise(F.col("_oldest"))
+    walked = by_name.withColumn("path", name).select(*at_head.columns)
+    commits = A.commits(spark, folder).drop("repo_id").select(zero, "*")
+    labels = A.simple_labels(spark, folder).drop("repo_id").select(zero, "*")
+    repos = A.repos(spark, folder)
+    here = repos.where("id = 0").first()
+    unknown = F.col("question_id") % 13 == 0
+    repo = F.when(unknown, F.lit("nobody/nothing")).otherwise(F.lit(here["name"]))
+    asked = questions(spark, folder).drop("repo_id").withColumn("repo", repo)
+    classes = symbols.symbol_index(files(spark, folder)).where(F.col("name").startswith("Box")).withColumnRenamed("name", "symbol")
+    stored = lineage.walk_ranges(classes.drop("kind"), at_head).withColumn("head_sha", F.lit(here["head_sha"]))
+    answers, _ = lineage.why_job(asked, repos, files(spark, folder), walked, commits, labels, changes, checkpointed(stored))
+    return answers
+
+
 # ------------------------------------------------------------------ evidence
 
 

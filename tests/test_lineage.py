@@ -311,3 +311,74 @@ def test_a_cycle_of_parents_is_an_error(spark):
         graph.topological_order(commits, edges_of(spark, [(1, 0, 0), (2, 1, 0), (3, 2, 0), (1, 3, 1)])).count()
     with pytest.raises(RuntimeError, match="cycle"):
         graph.topological_order(commits, edges_of(spark, [(k, (k + 1) % 5, 0) for k in range(5)])).count()
+
+
+def renaming_history(seed: int, commits: int):
+    """(changes, hunks, names at HEAD): files added, copied, renamed, deleted and born again under free names."""
+    rng = random.Random(seed)
+    alive, changes, hunks = ["n0", "n1"], [], []
+    for o in range(1, commits):
+        free = [f"n{i}" for i in range(9) if f"n{i}" not in alive]
+        moved = set()
+        for _ in range(rng.randint(1, 2)):
+            kind = rng.random()
+            at = rng.choice(alive)
+            if kind < 0.35 and free and at not in moved:
+                new = free.pop(rng.randrange(len(free)))
+                changes.append((1, f"s{o}", "renamed", new, at, o))
+                alive[alive.index(at)] = new
+                moved |= {at, new}
+            elif kind < 0.45 and free and at not in moved:
+                new = free.pop()
+                changes.append((1, f"s{o}", "copied", new, at, o))
+                alive.append(new)
+                moved |= {at, new}
+            elif kind < 0.55 and free:
+                new = free.pop()
+                changes.append((1, f"s{o}", "added", new, None, o))
+                alive.append(new)
+                moved.add(new)
+            elif kind < 0.65 and len(alive) > 2 and at not in moved:
+                changes.append((1, f"s{o}", "deleted", at, None, o))
+                alive.remove(at)
+                moved.add(at)
+        hunks += [(1, p, f"s{o}", o) for p in alive if rng.random() < 0.6]
+    return changes, hunks, alive
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_histories_are_followed_through_names(spark, seed):
+    changes, hunks, alive = renaming_history(seed, 120)
+
+    def history(head: str) -> set:
+        """Backwards: at a birth under the present name go on with where it came from."""
+        name, out = head, set()
+        for o in range(119, 0, -1):
+            out |= {(head, o) for _, p, _, at in hunks if at == o and p == name}
+            born = [old for _, _, status, new, old, at in changes if at == o and new == name and status in ("added", "renamed", "copied")]
+            if born and born[0] is None:
+                return out
+            if born:
+                name = born[0]
+        return out
+
+    table = spark.createDataFrame(changes, "repo_id INT, sha STRING, status STRING, path STRING, old_path STRING, ord BIGINT")
+    rows = spark.createDataFrame(hunks, "repo_id INT, path STRING, sha STRING, ord BIGINT")
+    heads = spark.createDataFrame([(1, p) for p in alive], "repo_id INT, path STRING")
+    got = lineage.follow_renames(rows, heads, table, width=16).collect()
+    assert len(got) == len(set(got))
+    assert {(r["path"], r["ord"]) for r in got} == set().union(*(history(p) for p in alive))
+
+
+def test_a_file_renamed_very_often_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = lineage.checkpointed_count
+    monkeypatch.setattr(lineage, "checkpointed_count", lambda *a: rounds.append(1) or real(*a))
+    n = 600
+    changes = [(1, f"s{k}", "renamed", f"n{k % 3}", f"n{(k - 1) % 3}", k) for k in range(1, n)]
+    table = spark.createDataFrame(changes, "repo_id INT, sha STRING, status STRING, path STRING, old_path STRING, ord BIGINT")
+    rows = spark.createDataFrame([(1, f"n{k % 3}", f"s{k}", k) for k in range(n)], "repo_id INT, path STRING, sha STRING, ord BIGINT")
+    heads = spark.createDataFrame([(1, f"n{(n - 1) % 3}")], "repo_id INT, path STRING")
+    got = lineage.follow_renames(rows, heads, table).collect()
+    assert sorted(r["ord"] for r in got) == list(range(n)) and {r["path"] for r in got} == {f"n{(n - 1) % 3}"}
+    assert len(rounds) <= 12
