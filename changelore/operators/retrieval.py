@@ -244,9 +244,9 @@ def postings(chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     ).where(F.col("token").isNotNull())
 
 
-def query_terms(queries: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def query_terms(queries: DataFrame, scope: Sequence[str] = (), stemmed: bool = False) -> DataFrame:
     return queries.select(
-        *scope, "query_id", F.explode(lexical.query_tokens("question")).alias("token")
+        *scope, "query_id", F.explode(lexical.query_tokens("question", stemmed)).alias("token")
     )
 
 
@@ -256,17 +256,19 @@ def sparse_topk(
     k: int = C.K_SPARSE,
     mode: str = "tf",
     scope: Sequence[str] = (),
+    stemmed: bool = False,
 ) -> DataFrame:
     """Top k chunks with any question word: query_id, chunk_id, score, rank.
 
     `tf` counts matching positions; `bm25` weights them by rarity and length.
+    `stemmed` says that the chunks' tokens are, and stems the question words.
     A stored index gives the postings of the asked words from their buckets.
     Without one, the small term table is broadcast when counted small, so
     positions are filtered where they are read; what is left is placed by chunk
     once, and both counting steps and the per-query cut reuse that placement:
     only k rows per query and partition are shuffled after it.
     """
-    terms = query_terms(queries, scope)
+    terms = query_terms(queries, scope, stemmed)
     key = [*scope, "token"]
     few = is_small(terms)
     asked = terms.select(*key).distinct()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelore import constants as C
+from changelore.operators import graph
+from changelore.runtime import checkpointed
 
 
 def head_paths(changes: DataFrame, commits: DataFrame) -> DataFrame:
@@ -28,6 +30,21 @@ def head_paths(changes: DataFrame, commits: DataFrame) -> DataFrame:
     return newest.where("m.alive").select("repo_id", "path")
 
 
+def head_paths_of(heads: DataFrame, changes: DataFrame, commits: DataFrame, parents: DataFrame) -> DataFrame:
+    """Paths alive at the heads (repo_id, head_sha) of repositories: only what their ancestors changed counts.
+
+    A commit on a side branch that no head has merged says nothing.  Changes are ordered by corrected commit
+    time, so a commit behind a skewed clock does not come before its parents.
+    """
+    key = ["repo_id", "sha"]
+    reached = checkpointed(graph.ancestors(heads, parents).select(*key).distinct())
+    order = graph.topological_order(
+        commits.join(reached, key, "left_semi"),
+        parents.join(reached.withColumnRenamed("sha", "child_sha"), ["repo_id", "child_sha"], "left_semi"),
+    )
+    return head_paths(changes, order.withColumn("committed_at", F.timestamp_seconds("order_time")))
+
+
 def last_touched(changes: DataFrame, commits: DataFrame) -> DataFrame:
     return (
         changes.join(

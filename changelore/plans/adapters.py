@@ -304,7 +304,7 @@ PRS_SQL = f"""{DISCUSSIONS_SQL}, prs AS (
 # --------------------------------------------------------------- retrieval
 
 
-def doc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+def doc_chunks(spark: SparkSession, folder: str, stemmed: bool = False) -> DataFrame:
     """documents with their vectors as chunks; source = repository, language = source type.
 
     Only some documents have a vector.
@@ -316,7 +316,7 @@ def doc_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(vectors, "doc_id", "left").select(
         F.col("doc_id").alias("chunk_id"),
         F.expr("CAST(substring(source, 4) AS INT)").alias("repo_id"),
-        lexical.tokens("text").alias("tokens"),
+        lexical.tokens("text", stemmed).alias("tokens"),
         "embedding",
         ((F.col("doc_id") % 10) / 10.0).alias("liveness_score"),
     )
@@ -347,15 +347,15 @@ def _stored(spark: SparkSession, folder: str, name: str, kind: str, build: Calla
     return _BUILT[key]
 
 
-def lexical_index(spark: SparkSession, folder: str) -> LexicalIndex:
+def lexical_index(spark: SparkSession, folder: str, stemmed: bool = False) -> LexicalIndex:
     """The documents' postings."""
 
     def build(path: str) -> LexicalIndex:
         index = lexical_indexes.open_index(spark, path, buckets=_buckets(spark))
-        lexical_indexes.add(index, doc_chunks(spark, folder), batch=0)
+        lexical_indexes.add(index, doc_chunks(spark, folder, stemmed), batch=0)
         return index
 
-    return _stored(spark, folder, "documents", "lexical", build)
+    return _stored(spark, folder, "documents", f"lexical {stemmed}", build)
 
 
 def vector_index(spark: SparkSession, folder: str, bits: int) -> VectorIndex:

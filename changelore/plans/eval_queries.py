@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelore import schemas
-from changelore.operators import chunks, citations, evalkit, retrieval, stats
+from changelore import constants as C
+from changelore.operators import chunks, citations, evalkit, retrieval, snapshot, stats
 from changelore.plans import adapters as A
 from changelore.plans import history_queries as H
 from changelore.plans import retrieval_queries as R
@@ -419,11 +420,24 @@ def stream_distinct_commits(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "stream_embed_new",
-    """SELECT CAST(substr(source, 4) AS INTEGER) AS repo_id, 'd' || CAST(doc_id AS VARCHAR) AS source_id, 384 AS dim,
-      'hashing-384' AS embedding_model FROM documents""",
+    rf"""WITH t AS (
+      SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS repo_id,
+        [w for w in regexp_extract_all(lower(lang || ' ' || text), '[\p{{L}}\p{{N}}_]+') if w NOT IN ({A.sql_list(C.STOP_WORDS)})] AS tokens
+      FROM documents
+    ), alive AS (SELECT p_partkey AS n, p_size < 25 AS here FROM part),
+    live AS (
+      SELECT doc_id, AVG(CASE WHEN here AND n % 25 = repo_id THEN 1.0 ELSE 0.0 END) AS liveness
+      FROM (SELECT doc_id, repo_id, unnest([doc_id % 200, doc_id % 200 // 25 * 25 + repo_id, repo_id]) AS part FROM t) LEFT JOIN alive ON n = part
+      GROUP BY doc_id)
+    SELECT repo_id, 'd' || CAST(doc_id AS VARCHAR) AS source_id, 384 AS dim, 'hashing-384' AS embedding_model,
+      md5(array_to_string(tokens, ' ')) AS tokens_digest, round(liveness, 6) AS liveness_score, liveness < 0.34 AS stale
+    FROM t JOIN live USING (doc_id)""",
 )
 def stream_embed_new(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents stream into the chunk table; a second query finds nothing new."""
+    """Documents stream into the chunk table with vector, tokens and liveness; a second query finds nothing new.
+
+    A document has three parts as files; a part exists in one repository, when it is small.
+    """
     base = _scratch(spark, "embed")
     drafts = _stream(spark, folder, "documents").select(
         F.expr("CAST(substring(source, 4) AS INT)").alias("repo_id"),
@@ -436,10 +450,32 @@ def stream_embed_new(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0).alias("n_files"),
         F.lit(None).cast("string").alias("linked_sha"),
     )
+    doc, repo = F.col("doc_id"), F.expr("CAST(substring(source, 4) AS INT)")
+    held = F.array(doc % 200, F.floor(doc % 200 / 25) * 25 + repo, repo.cast("long"))
+    path = F.explode(F.transform(held, lambda n: F.concat(F.lit("p"), n.cast("string"))))
+    files = A.table(spark, folder, "documents").select(
+        repo.alias("repo_id"),
+        F.lit("doc_file").alias("source_type"),
+        F.concat(F.lit("d"), doc.cast("string")).alias("source_id"),
+        path.alias("path"),
+    )
+    alive = A.table(spark, folder, "part").where("p_size < 25").select(
+        (F.col("p_partkey") % 25).cast("int").alias("repo_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path")
+    )
     for run in ("first", "again"):
-        ingest.embed_new(spark, drafts.select(*chunks.CHUNK_COLUMNS), f"{base}/chunks", f"{base}/progress-{run}").awaitTermination()
-    stored = sinks.read_table(spark, f"{base}/chunks", schemas.CHUNKS)
-    return stored.select("repo_id", "source_id", F.size("embedding").alias("dim"), "embedding_model")
+        ingest.embed_new(
+            spark, drafts.select(*chunks.CHUNK_COLUMNS), f"{base}/chunks", f"{base}/progress-{run}", files=files, alive=alive
+        ).awaitTermination()
+    stored = sinks.read_table(spark, f"{base}/chunks", schemas.CHUNKS, sinks.CHUNK_PARTITIONS)
+    return snapshot.with_stale(stored).select(
+        "repo_id",
+        "source_id",
+        F.size("embedding").alias("dim"),
+        "embedding_model",
+        F.md5(F.array_join("tokens", " ")).alias("tokens_digest"),
+        F.round("liveness_score", 6).alias("liveness_score"),
+        "stale",
+    )
 
 
 @query(
@@ -495,7 +531,7 @@ def append_traces(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("created_at"),
     )
     sinks.append_traces(rows, f"{base}/traces")
-    stored = sinks.read_table(spark, f"{base}/traces", schemas.TRACES)
+    stored = sinks.read_table(spark, f"{base}/traces", schemas.TRACES, partitions=())
     return stored.groupBy("stage").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("latency_ms").alias("latency_ms")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changelore import constants as C
 from changelore.operators import catalog, export, features, graph, labels, snapshot, stats
 from changelore.plans import adapters as A
 from changelore.plans.registry import query
@@ -517,6 +518,38 @@ def topological_order(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("sha", "order_time")
 
 
+@query(
+    "head_paths_reachable",
+    f"""WITH RECURSIVE {A.CHANGES_SQL}, n AS (
+      SELECT o_orderkey AS k, CAST(epoch(o_orderdate) AS BIGINT) AS t FROM orders
+    ), reach(k) AS (
+      SELECT MAX(k) FROM n UNION SELECT unnest([reach.k // 2, reach.k // 3]) FROM reach WHERE reach.k != 0
+    ), up(k, anc, hops) AS (
+      SELECT k, k, 0 FROM n WHERE k IN (SELECT k FROM reach)
+      UNION
+      SELECT up.k, p.anc, up.hops + 1 FROM up,
+        LATERAL (SELECT unnest([up.anc // 2, up.anc // 3]) AS anc) p WHERE up.anc != 0
+    ), times AS (
+      SELECT up.k, MAX(n.t + up.hops) AS order_time FROM up JOIN n ON n.k = up.anc GROUP BY up.k
+    ), dated AS (
+      SELECT c.*, order_time FROM changes c JOIN times ON times.k = c.ord
+    ), ev AS (
+      SELECT path, order_time, sha, 1 AS k, status != 'deleted' AS alive FROM dated
+      UNION ALL SELECT old_path, order_time, sha, 0, false FROM dated WHERE status = 'renamed')
+    SELECT path FROM ev
+    QUALIFY row_number() OVER (PARTITION BY path ORDER BY order_time DESC, sha DESC, k DESC, alive DESC) = 1 AND alive""",
+)
+def head_paths_reachable(spark: SparkSession, folder: str) -> DataFrame:
+    """The order with the largest key is HEAD; most orders are on side branches it never merged."""
+    log = commit_log(spark, folder).withColumn("commit_time", F.col("author_time"))
+    commits, parents = history.commits(log), history.explode_parents(log)
+    one = commits.select("repo_id").distinct().first()["repo_id"]
+    newest = A.table(spark, folder, "orders").agg(F.md5(F.max("o_orderkey").cast("string")).alias("head_sha"))
+    heads = newest.select(F.lit(one).alias("repo_id"), "head_sha")
+    changes = A.changes(spark, folder).withColumn("repo_id", F.lit(one))
+    return snapshot.head_paths_of(heads, changes, commits, parents).select("path")
+
+
 EVENT_EDGES_SQL = """edges AS (
   SELECT event_id AS child, event_id // 2 AS parent FROM events WHERE event_id > 0
   UNION ALL
@@ -564,10 +597,14 @@ def graph_ancestors(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {A.COMMITS_SQL}, {A.SIMPLE_LABELS_SQL}
     SELECT repo_id, label, COUNT(*) AS commits,
       round(100.0 * COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY repo_id), 1) AS share_pct
-    FROM simple_labels GROUP BY repo_id, label""",
+    FROM (SELECT c.repo_id, coalesce(l.label, 'significant') AS label FROM commits c LEFT JOIN simple_labels l USING (sha))
+    GROUP BY repo_id, label""",
 )
 def label_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.label_distribution(A.simple_labels(spark, folder))
+    """Every commit counts; one without a label has the default."""
+    key = ["repo_id", "sha"]
+    labels = A.commits(spark, folder).select(*key).join(A.simple_labels(spark, folder), key, "left")
+    return stats.label_distribution(labels.withColumn("label", F.coalesce("label", F.lit(C.SIGNIFICANT))))
 
 
 def _status_chunks(spark: SparkSession, folder: str) -> DataFrame:

@@ -103,6 +103,45 @@ def sparse_topk_bm25(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.sparse_topk(A.questions(spark, folder), A.lexical_index(spark, folder), mode="bm25")
 
 
+# The stemmer's steps on a word w, written out.
+PLURAL_SQL = """CASE WHEN w LIKE '%sses' OR w LIKE '%shes' OR w LIKE '%ches' THEN CASE WHEN len(w) >= 5 THEN left(w, len(w) - 2) ELSE w END
+  WHEN w LIKE '%ies' THEN CASE WHEN len(w) >= 5 THEN left(w, len(w) - 3) || 'y' ELSE w END
+  WHEN w LIKE '%xes' THEN CASE WHEN len(w) >= 5 THEN left(w, len(w) - 2) ELSE w END
+  WHEN w LIKE '%ss' OR w LIKE '%us' OR w LIKE '%is' THEN w
+  WHEN w LIKE '%s' AND len(w) >= 4 THEN left(w, len(w) - 1) ELSE w END"""
+TENSE_SQL = """CASE WHEN w LIKE '%eed' THEN CASE WHEN len(w) >= 5 THEN left(w, len(w) - 1) ELSE w END
+  WHEN w LIKE '%ied' THEN CASE WHEN len(w) >= 5 THEN left(w, len(w) - 3) || 'y' ELSE w END
+  WHEN w LIKE '%ing' THEN CASE WHEN len(w) >= 6 AND regexp_matches(left(w, len(w) - 3), '[aeiouy]') THEN left(w, len(w) - 3) ELSE w END
+  WHEN w LIKE '%ed' THEN CASE WHEN len(w) >= 5 AND regexp_matches(left(w, len(w) - 2), '[aeiouy]') THEN left(w, len(w) - 2) ELSE w END
+  ELSE w END"""
+
+
+def stemmed_sql(words: str) -> str:
+    """SELECT of every column of `words`, its column w stemmed."""
+    return f"""SELECT * REPLACE (CASE WHEN w LIKE '%e' AND len(w) > 3 THEN left(w, len(w) - 1) ELSE w END AS w) FROM (
+      SELECT * EXCLUDE (before) REPLACE (CASE WHEN len(w) < len(before)
+        AND right(w, 2) IN ('bb', 'dd', 'ff', 'gg', 'mm', 'nn', 'pp', 'rr', 'tt') THEN left(w, len(w) - 1) ELSE w END AS w)
+      FROM (SELECT * REPLACE ({TENSE_SQL} AS w), w AS before FROM (SELECT * REPLACE ({PLURAL_SQL} AS w) FROM {words})))"""
+
+
+@query(
+    "stemmed_topk_tf",
+    rf"""WITH positions AS (
+      SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM documents
+    ), terms AS (
+      SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}')) AS w FROM benchmark
+    ), kept AS (SELECT * FROM positions WHERE w NOT IN ({STOP})), asked AS (SELECT * FROM terms WHERE w NOT IN ({STOP})),
+    counted AS (SELECT chunk_id, w, COUNT(*) AS tf FROM ({stemmed_sql("kept")}) GROUP BY ALL),
+    s AS (SELECT query_id, chunk_id, CAST(SUM(tf) AS BIGINT) AS score
+      FROM counted JOIN (SELECT DISTINCT * FROM ({stemmed_sql("asked")})) USING (w) GROUP BY ALL)
+    SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank
+    FROM s QUALIFY rank <= 50""",
+)
+def stemmed_topk_tf(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of questions and documents meet without their inflection, over a stored index of stems."""
+    return retrieval.sparse_topk(A.questions(spark, folder), A.lexical_index(spark, folder, stemmed=True), stemmed=True)
+
+
 @query(
     "scanned_topk_bm25",
     f"""WITH {LEXICAL_SQL}, lengths AS (

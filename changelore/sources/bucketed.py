@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 from changelore import schemas
 
 
+MANAGED = "spark.sql.hive.manageFilesourcePartitions"
+
+
+def declare(spark: SparkSession, ddl: str) -> None:
+    """Name files in the catalog; their partitions are found by listing, as other writers add to them."""
+    before = spark.conf.get(MANAGED, "true")
+    spark.conf.set(MANAGED, "false")
+    try:
+        spark.sql(ddl)
+    finally:
+        spark.conf.set(MANAGED, before)
+
+
 @dataclass(frozen=True)
 class BucketedTable:
     """`schema` names the columns, `key` the one that buckets and orders the rows of a file."""
@@ -31,9 +44,10 @@ class BucketedTable:
 
     def declared(self) -> str:
         """The table's name, known to the catalog."""
-        self.spark.sql(
+        declare(
+            self.spark,
             f"CREATE TABLE IF NOT EXISTS {self.name} ({self.schema}, batch BIGINT) USING parquet PARTITIONED BY (batch) "
-            f"CLUSTERED BY ({self.key}) SORTED BY ({self.key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY ({self.key}) SORTED BY ({self.key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}'",
         )
         return self.name
 

@@ -1,29 +1,53 @@
 """Idempotent writers.
 
-Every sink is a plain parquet table partitioned by repository.  Rows that are
-already stored are taken out with an anti join on the key, so a repeated batch
-writes nothing.
+Every sink is a plain parquet table partitioned by repository, and below it by the batch that wrote the
+rows.  A batch replaces its own rows and nothing else, so a repeated batch changes nothing; keys that other
+batches stored are taken out with one anti join, over the partitions of the batch's repositories.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from changelore import constants as C
 from changelore import schemas
-from changelore.runtime import broadcast_if_small
+from changelore.runtime import BROADCAST_BYTES, broadcast_if_small
+from changelore.sources.bucketed import declare
+
+#: Distinct partition values up to which they are literals of the scan; beyond, a join prunes.
+LITERAL_PARTITIONS = 2_000
+#: Rows of a batch without a number of its own: its hash names it.
+_WRITER = "job BIGINT, batch BIGINT"
+
+
+def read_table(spark: SparkSession, path: str, schema: str, partitions: tuple[str, ...] = ("repo_id",)) -> DataFrame:
+    """The stored table, or an empty one before the first write.
+
+    The catalog only names the files below `path`; a table that nothing was written to has none.  Columns are
+    those of `schema`, then the writer of a row (`job`, `batch`).
+    """
+    held = [c for c in partitions if c in schemas.fields(schema)]
+    name = "sink_" + hashlib.sha256(f"{path}|{schema}|{held}".encode()).hexdigest()[:24]
+    parts = [*held, *[c.split()[0] for c in _WRITER.split(", ")]] if held else []
+    columns = f"{schema}, {_WRITER}" if held else schema
+    by = f"PARTITIONED BY ({', '.join(parts)})" if parts else ""
+    declare(spark, f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {by} LOCATION '{path}'")
+    spark.catalog.refreshTable(name)
+    return spark.table(name).select(*schemas.fields(schema), *(["job", "batch"] if held else []))
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The stored table, or an empty one before the first write."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def touched(stored: DataFrame, batch: DataFrame, column: str = "repo_id") -> DataFrame:
+    """The stored rows of the partitions that a batch has rows of.
+
+    The values are literals of the scan, so other partitions are not even listed as input; only a batch
+    over very many of them falls back to a join.
+    """
+    values = [r[0] for r in batch.select(column).distinct().limit(LITERAL_PARTITIONS + 1).collect()]
+    if len(values) <= LITERAL_PARTITIONS:
+        return stored.where(F.col(column).isin([v for v in values if v is not None]))
+    return stored.join(broadcast_if_small(batch.select(column).distinct()), column, "left_semi")
 
 
 def fresh_rows(stored: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
@@ -41,34 +65,81 @@ def child_rows(children: DataFrame, fresh_commits: DataFrame) -> DataFrame:
     return children.join(fresh, key, "left_semi")
 
 
-def append_new(
-    spark: SparkSession, batch: DataFrame, path: str, schema: str, key: list[str]
+def unstored(
+    spark: SparkSession, batch: DataFrame, path: str, schema: str, key: list[str], job: int, number: int,
+    partitions: tuple[str, ...] = ("repo_id",),
+) -> DataFrame:
+    """The rows of `batch` whose key no other batch has stored."""
+    stored = touched(read_table(spark, path, schema, partitions), batch)
+    others = stored.where((F.col("job") != job) | (F.col("batch") != number))
+    return fresh_rows(others, batch, key)
+
+
+def replace_batch(
+    rows: DataFrame, path: str, schema: str, job: int, number: int, partitions: tuple[str, ...] = ("repo_id",)
 ) -> None:
-    """Append the rows of `batch` whose key is not stored yet.
+    """Store rows as this batch, in place of what it held in their partitions.
 
-    Only the stored partitions of the batch's repositories are read.
+    Rows are dealt by partition first: a partition gets a few files, not one from every task.
     """
-    stored = read_table(spark, path, schema)
-    touched = broadcast_if_small(batch.select("repo_id").distinct())
-    fresh = fresh_rows(stored.join(touched, "repo_id", "left_semi"), batch, key)
-    fresh.select(*schemas.fields(schema)).write.mode("append").partitionBy("repo_id").parquet(path)
-
-
-def write_chunks(spark: SparkSession, chunks: DataFrame, path: str) -> None:
-    """Append unseen chunks, title cut, partitioned by repository and source type."""
-    stored = read_table(spark, path, schemas.CHUNKS)
-    touched = broadcast_if_small(chunks.select("repo_id").distinct())
-    known = stored.join(touched, "repo_id", "left_semi")
-    fresh = fresh_rows(known, chunks, ["repo_id", "source_type", "source_id"])
+    held = list(partitions)
     (
-        fresh.withColumn("title", F.left("title", F.lit(C.TITLE_CUT)))
-        .select(*schemas.fields(schemas.CHUNKS))
-        .write.mode("append")
-        .partitionBy("repo_id", "source_type")
+        rows.select(*schemas.fields(schema), F.lit(job).cast("long").alias("job"), F.lit(number).cast("long").alias("batch"))
+        .repartition(*held)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*held, "job", "batch")
         .parquet(path)
     )
 
 
+def append_new(
+    spark: SparkSession, batch: DataFrame, path: str, schema: str, key: list[str], job: int = 0, number: int | None = None,
+    partitions: tuple[str, ...] = ("repo_id",),
+) -> None:
+    """Append the rows of `batch` whose key is not stored yet.
+
+    Only the stored partitions of the batch's repositories are read.  `job` and `number` name the batch in a
+    stream; without them the next free number is taken, and a repeated call finds its keys stored.
+    """
+    if number is None:
+        last = touched(read_table(spark, path, schema, partitions), batch).where(F.col("job") == job).agg(F.max("batch")).first()[0]
+        number = 0 if last is None else last + 1
+    replace_batch(unstored(spark, batch, path, schema, key, job, number, partitions), path, schema, job, number, partitions)
+
+
+CHUNK_KEY = ["repo_id", "source_type", "source_id"]
+CHUNK_PARTITIONS = ("repo_id", "source_type")
+
+
+def write_chunks(
+    spark: SparkSession, chunks: DataFrame, path: str, job: int = 0, number: int | None = None, title_cut: int | None = None
+) -> None:
+    """Append unseen chunks, partitioned by repository and source type; titles are cut only on request."""
+    rows = chunks if title_cut is None else chunks.withColumn("title", F.left("title", F.lit(title_cut)))
+    append_new(spark, rows, path, schemas.CHUNKS, CHUNK_KEY, job, number, CHUNK_PARTITIONS)
+
+
+def compact(
+    spark: SparkSession, path: str, into: str, schema: str, partitions: tuple[str, ...] = ("repo_id",), file_bytes: int = BROADCAST_BYTES * 4
+) -> None:
+    """All batches of a table as one batch of another: few files per partition in place of some per batch.
+
+    A rebalance splits partitions above the advised size, so a repository that holds most rows is several
+    files and several tasks.
+    """
+    rows = read_table(spark, path, schema, partitions).drop("job", "batch")
+    dealt = rows.hint("rebalance", *partitions)
+    (
+        dealt.select(*schemas.fields(schema), F.lit(0).cast("long").alias("job"), F.lit(0).cast("long").alias("batch"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("parquet.block.size", file_bytes)
+        .partitionBy(*partitions, "job", "batch")
+        .parquet(into)
+    )
+
+
 def append_traces(traces: DataFrame, path: str) -> None:
     """Traces are an append-only fact table."""
     stamped = traces.withColumn(

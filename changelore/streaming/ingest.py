@@ -16,10 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from changelore import schemas
 from changelore.operators import chunks as chunk_ops
-from changelore.operators import vectors
+from changelore.operators import lexical, snapshot, vectors
 from changelore.sources import history, merge_requests, sinks
 
 COMMIT_KEY = ["repo_id", "sha"]
+PARENT_KEY = ["repo_id", "child_sha", "parent_sha"]
 CHUNK_KEY = ["repo_id", "source_type", "source_id"]
 
 
@@ -38,22 +39,26 @@ def ingest_commits(
 ) -> StreamingQuery:
     """Land commit-log records in the commits, commit_parents and file_changes tables.
 
-    Known commits are skipped by an anti join.  Child tables are written before
-    the commits, so a batch that is cut short is repeated as a whole.
+    Commits that other batches stored are skipped by one anti join over the
+    partitions of the batch's repositories.  All three tables then store the
+    fresh rows as this batch, so a batch that is cut short and repeated replaces
+    what it wrote; commits come last.
     """
+    job = zlib.crc32(checkpoint.encode())
 
-    def store(batch: DataFrame, _: int) -> None:
-        stored = sinks.read_table(spark, f"{tables}/commits", schemas.COMMITS)
-        fresh = sinks.fresh_rows(stored, batch, COMMIT_KEY)
+    def store(batch: DataFrame, number: int) -> None:
+        fresh = sinks.unstored(spark, batch, f"{tables}/commits", schemas.COMMITS, COMMIT_KEY, job, number)
+        fresh = fresh.persist()
         parts = (
-            ("commit_parents", history.explode_parents(fresh), schemas.COMMIT_PARENTS,
-             ["repo_id", "child_sha", "parent_sha"]),
-            ("file_changes", history.explode_changes(fresh), schemas.FILE_CHANGES,
-             ["repo_id", "sha", "seq"]),
-            ("commits", history.commits(fresh), schemas.COMMITS, COMMIT_KEY),
+            ("commit_parents", history.explode_parents(fresh).dropDuplicates(PARENT_KEY), schemas.COMMIT_PARENTS),
+            ("file_changes", history.explode_changes(fresh), schemas.FILE_CHANGES),
+            ("commits", history.commits(fresh), schemas.COMMITS),
         )
-        for name, rows, schema, key in parts:
-            sinks.append_new(spark, rows, f"{tables}/{name}", schema, key)
+        try:
+            for name, rows, schema in parts:
+                sinks.replace_batch(rows, f"{tables}/{name}", schema, job, number)
+        finally:
+            fresh.unpersist()
 
     return _start(read_landed(spark, landed, schemas.COMMIT_LOG, max_files=max_files), store, checkpoint)
 
@@ -85,6 +90,8 @@ def backfill_prs(
             f"{tables}/commit_pr_links",
             schemas.COMMIT_PR_LINKS,
             ["repo_id", "sha", "pr_number"],
+            job,
+            batch_id,
         )
 
     return _start(read_landed(spark, landed, schemas.PR_PAGE, max_files=max_pages), store, checkpoint)
@@ -96,11 +103,7 @@ def stored_prs(spark: SparkSession, tables: str, repo_id: int | None = None) ->
     The first stored row of a key wins; its discussion is the first that is not
     missing.  Both choices combine on the map side.
     """
-    rows = sinks.read_table(
-        spark,
-        f"{tables}/pull_requests",
-        f"{schemas.PULL_REQUESTS}, stored_at TIMESTAMP, job BIGINT, batch BIGINT",
-    )
+    rows = sinks.read_table(spark, f"{tables}/pull_requests", f"{schemas.PULL_REQUESTS}, stored_at TIMESTAMP")
     if repo_id is not None:
         rows = rows.where(F.col("repo_id") == repo_id)
     key = merge_requests.PR_KEY
@@ -136,29 +139,29 @@ def embed_new(
     table: str,
     checkpoint: str,
     encoder: Callable[[], vectors.Encoder] = vectors.HashingEncoder,
+    files: DataFrame | None = None,
+    alive: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Encode and append only the chunks that the table does not hold yet."""
-
-    def store(batch: DataFrame, _: int) -> None:
-        stored = sinks.read_table(spark, table, schemas.CHUNKS)
-        once = batch.dropDuplicates(CHUNK_KEY)
-        encoded = vectors.embed_new(chunk_ops.with_text(once), stored, encoder)
-        rows = encoded.select(
-            "repo_id",
-            "source_type",
-            "source_id",
-            "authored_at",
-            "title",
-            F.col("text").alias("body"),
-            "embedding",
-            F.lit(None).cast("array<string>").alias("tokens"),
-            "files_head",
-            "n_files",
-            "linked_sha",
-            F.lit(None).cast("double").alias("liveness_score"),
-            "embedding_model",
-        )
-        sinks.write_chunks(spark, rows, table)
+    """Encode and append only the chunks that the table does not hold yet: vector, tokens, files, liveness.
+
+    `files` (repo_id, source_type, source_id, path) are the files of chunks and `alive` (repo_id, path) the
+    paths at HEAD; a chunk's liveness is the share of its files that exist.  Without them, or for a chunk
+    without files, it is NULL and the chunk is never stale.  One anti join finds the unseen chunks, over the
+    partitions of the batch's repositories.
+    """
+    job = zlib.crc32(checkpoint.encode())
+
+    def store(batch: DataFrame, number: int) -> None:
+        unseen = sinks.unstored(spark, batch, table, schemas.CHUNKS, CHUNK_KEY, job, number, sinks.CHUNK_PARTITIONS)
+        rows = vectors.embed(lexical.with_tokens(chunk_ops.with_text(unseen).withColumn("tokens", F.lit(None).cast("array<string>"))), encoder)
+        rows = rows.withColumn("body", F.col("text"))
+        if files is not None and alive is not None:
+            asked = sinks.touched(files, batch).join(unseen.select(*CHUNK_KEY), CHUNK_KEY, "left_semi")
+            scored = snapshot.liveness(asked.where("path IS NOT NULL"), sinks.touched(alive, batch), CHUNK_KEY)
+            rows = rows.join(scored, CHUNK_KEY, "left")
+        else:
+            rows = rows.withColumn("liveness_score", F.lit(None).cast("double"))
+        sinks.replace_batch(rows, table, schemas.CHUNKS, job, number, sinks.CHUNK_PARTITIONS)
 
     return _start(chunk_stream, store, checkpoint)
 

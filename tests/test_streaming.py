@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from changelore import schemas
+from changelore.operators import chunks, lexical, vectors
 from changelore.sources import history, sinks
 from changelore.streaming import ingest
 from tests.test_chunks import request
@@ -108,5 +109,73 @@ def test_sinks_and_readers(spark, tmp_path):
     )
     for _ in range(2):
         sinks.append_traces(traces, f"{tmp_path}/traces")
-    stored = sinks.read_table(spark, f"{tmp_path}/traces", schemas.TRACES)
+    stored = sinks.read_table(spark, f"{tmp_path}/traces", schemas.TRACES, partitions=())
     assert stored.count() == 2 and stored.where(F.col("created_at").isNull()).isEmpty()
+
+
+def commit_rows(spark, keys, repo: int = 1):
+    rows = [(repo, f"s{k}", f"subject {k}") for k in keys]
+    made = spark.createDataFrame(rows, "repo_id INT, sha STRING, subject STRING")
+    missing = [c for c in schemas.fields(schemas.COMMITS) if c not in made.columns]
+    types = {c.split()[0]: c.split()[1] for c in schemas.COMMITS.split(", ")}
+    return made.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in missing])
+
+
+def test_a_batch_reads_only_the_partitions_of_its_repositories(spark, tmp_path, monkeypatch):
+    path, key = f"{tmp_path}/commits", ["repo_id", "sha"]
+    for repo in range(4):
+        sinks.append_new(spark, commit_rows(spark, range(5), repo), path, schemas.COMMITS, key)
+    batch = commit_rows(spark, range(3, 8), 2)
+    plan = sinks.touched(sinks.read_table(spark, path, schemas.COMMITS), batch)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(repo_id" in plan and "= 2)]" in plan
+    sinks.append_new(spark, batch, path, schemas.COMMITS, key)
+    stored = sinks.read_table(spark, path, schemas.COMMITS)
+    assert {r["repo_id"]: r["count"] for r in stored.groupBy("repo_id").count().collect()} == {0: 5, 1: 5, 2: 8, 3: 5}
+    # a batch over very many repositories falls back to a join and stores the same
+    monkeypatch.setattr(sinks, "LITERAL_PARTITIONS", 1)
+    both = commit_rows(spark, range(9), 0).unionByName(commit_rows(spark, range(2), 9))
+    for _ in range(2):
+        sinks.append_new(spark, both, path, schemas.COMMITS, key)
+    stored = sinks.read_table(spark, path, schemas.COMMITS)
+    assert {r["repo_id"]: r["count"] for r in stored.groupBy("repo_id").count().collect()} == {0: 9, 1: 5, 2: 8, 3: 5, 9: 2}
+
+
+def test_a_repeated_batch_replaces_itself_and_compaction_keeps_rows(spark, tmp_path):
+    path = f"{tmp_path}/commits"
+    for n in range(6):
+        sinks.replace_batch(commit_rows(spark, range(4 * n, 4 * n + 4), n % 2), path, schemas.COMMITS, job=7, number=n)
+    # cut short and run again with other rows
+    sinks.replace_batch(commit_rows(spark, [100], 1), path, schemas.COMMITS, job=7, number=5)
+    stored = sinks.read_table(spark, path, schemas.COMMITS)
+    want = {f"s{k}" for k in range(20)} | {"s100"}
+    assert {r["sha"] for r in stored.collect()} == want
+    sinks.compact(spark, path, f"{tmp_path}/compacted", schemas.COMMITS)
+    merged = sinks.read_table(spark, f"{tmp_path}/compacted", schemas.COMMITS)
+    assert {r["sha"] for r in merged.collect()} == want
+    assert len(merged.inputFiles()) == 2 < len(stored.inputFiles())
+
+
+def test_embedded_chunks_are_whole(spark, tmp_path):
+    """Vector, tokens and liveness are stored together, titles uncut; a chunk without files is never stale."""
+    rows = [(1, "doc_file", f"d{k}", None, f"Updates {k} " + "t" * 600, f"The body of {k}", [], 0, None) for k in range(6)]
+    columns = "repo_id INT, source_type STRING, source_id STRING, authored_at TIMESTAMP, title STRING, body STRING, files_head ARRAY<STRING>, n_files INT, linked_sha STRING"
+    spark.createDataFrame(rows, columns).write.json(f"{tmp_path}/landed")
+    files = spark.createDataFrame([(1, "doc_file", f"d{k}", f"p{n}") for k in range(5) for n in range(k + 1)], "repo_id INT, source_type STRING, source_id STRING, path STRING")
+    alive = spark.createDataFrame([(1, "p0"), (2, "p1"), (1, "p3")], "repo_id INT, path STRING")
+    for run in "ab":
+        stream = ingest.read_landed(spark, f"{tmp_path}/landed", columns)
+        ingest.embed_new(spark, stream.select(*chunks.CHUNK_COLUMNS), f"{tmp_path}/t", f"{tmp_path}/p{run}", files=files, alive=alive).awaitTermination()
+    stored = sinks.read_table(spark, f"{tmp_path}/t", schemas.CHUNKS, sinks.CHUNK_PARTITIONS)
+    got = {r["source_id"]: r for r in stored.collect()}
+    assert len(got) == stored.count() == 6 and all(len(r["title"]) > 600 for r in got.values())
+    assert [got[f"d{k}"]["liveness_score"] for k in range(6)] == [1.0, 0.5, 1 / 3, 0.5, 0.4, None]
+    assert got["d2"]["tokens"] == ["updates", "2", "t" * 600, "body", "2"]
+    again = vectors.HashingEncoder()([got["d2"]["body"]])[0]
+    assert abs(sum(a * b for a, b in zip(again, got["d2"]["embedding"], strict=True)) - 1) < 1e-5
+
+
+def test_inflected_words_meet(spark):
+    words = "update updates updated updating stop stops stopped stopping box boxes try tries tried need red sing bus class classes 日本語 über".split()
+    got = spark.createDataFrame([(words,)], "w ARRAY<STRING>").select(lexical.stems(F.col("w")).alias("s")).first()["s"]
+    assert got[:4] == ["updat"] * 4 and got[4:8] == ["stop"] * 4 and got[8:10] == ["box"] * 2 and got[10:13] == ["try"] * 3
+    assert got[13:] == ["need", "red", "sing", "bus", "class", "class", "日本語", "über"]
