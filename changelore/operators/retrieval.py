@@ -492,6 +492,25 @@ def multi_repo_search(per_repo: DataFrame, n: int = C.MAX_QUESTION_HITS) -> Data
     return skew.top_per_key(once, ["query_id"], order, n, "merged_rank")
 
 
+def rerank_merged(
+    merged: DataFrame,
+    queries: DataFrame,
+    bodies: DataFrame,
+    scorer: Callable[[], PairScorer] = OverlapScorer,
+    n: int = C.MAX_QUESTION_HITS,
+) -> DataFrame:
+    """The merged candidates of all repositories, reranked as one list: adds rerank_score and rank.
+
+    `bodies`: chunk_id, body; they meet only the few merged rows.  Chunks without a body come last, equal
+    scores keep the merged order.
+    """
+    few = broadcast_if_small(merged.join(queries.select("query_id", "question"), "query_id"))
+    pairs = few.join(bodies.select("chunk_id", "body").join(few.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunk_id", "left")
+    scored = rerank(pairs, scorer).drop("question", "body")
+    order = [F.col("rerank_score").desc_nulls_last(), F.col("merged_rank")]
+    return skew.top_per_key(scored.drop("rank"), ["query_id"], order, n, "rank")
+
+
 # --------------------------------------------------------------------------- views
 
 

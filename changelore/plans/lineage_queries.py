@@ -10,7 +10,8 @@ from changelore import constants as C
 from changelore.functions import text as X
 from changelore.operators import catalog, evidence, lineage, retrieval, router, symbols
 from changelore.plans import adapters as A
-from changelore.plans.registry import query
+from changelore.plans import retrieval_queries  # noqa: F401  its SQL is used here
+from changelore.plans.registry import ORACLES, query
 from changelore.runtime import checkpointed
 
 # ------------------------------------------------------------------ code files
@@ -378,6 +379,38 @@ def why_symbols(spark: SparkSession, folder: str) -> DataFrame:
     return answers
 
 
+@query(
+    "answer_any",
+    f"""SELECT 'p' || CAST(question_id AS VARCHAR) AS question_id, 'A' AS path, status, reason, CAST(evidence AS BIGINT) AS evidence
+    FROM ({WHY_SQL})
+    UNION ALL
+    SELECT 'q' || CAST(query_id AS VARCHAR), 'B', CASE WHEN hits = 0 THEN 'abstained' ELSE 'answered' END, abstained_reason, hits
+    FROM ({ORACLES["search_outcomes"]})""",
+)
+def answer_any(spark: SparkSession, folder: str) -> DataFrame:
+    """Names and prose in one table of questions: each is routed, and its branch is run."""
+    named = questions(spark, folder).select(
+        F.concat(F.lit("p"), F.col("question_id").cast("string")).alias("question_id"),
+        F.col("symbol").alias("question"), "repo_id", "file", F.lit(None).cast("array<float>").alias("vector"),
+    )
+    prose = A.questions(spark, folder).select(
+        F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("question_id"), "question", "vector"
+    )
+    zero = F.lit(0).alias("repo_id")
+    commits = A.commits(spark, folder).drop("repo_id").select(zero, "*")
+    labels = A.simple_labels(spark, folder).drop("repo_id").select(zero, "*")
+
+    def by_lineage(asked: DataFrame) -> DataFrame:
+        located = symbols.locate(asked, symbols.symbol_index(symbols.files_with_symbols(files(spark, folder), asked)))
+        return lineage.why(asked, located, hunks(spark, folder), commits, labels)[0]
+
+    def by_search(asked: DataFrame) -> DataFrame:
+        hits = retrieval.hybrid_search(asked, A.doc_vectors(spark, folder), top_n=3, lexical_index=A.lexical_index(spark, folder))
+        return retrieval.search_outcome(asked, hits)
+
+    return router.answer(named.unionByName(prose, allowMissingColumns=True), by_lineage, by_search)
+
+
 RENAMES = """SELECT l_partkey AS f, MIN(l_orderkey) + (MAX(l_orderkey) - MIN(l_orderkey)) DIV 3 AS first,
     MIN(l_orderkey) + 2 * (MAX(l_orderkey) - MIN(l_orderkey)) DIV 3 AS second FROM {lines} GROUP BY l_partkey"""
 

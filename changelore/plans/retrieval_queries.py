@@ -271,6 +271,32 @@ def multi_repo_merge(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.multi_repo_search(per_repo)
 
 
+@query(
+    "multi_repo_rerank",
+    f"""WITH {ALL_PAIRS_SQL}, per_repo AS (
+      SELECT query_id, chunk_repo AS repo_id, chunk_id, similarity,
+        row_number() OVER (PARTITION BY query_id, chunk_repo ORDER BY similarity DESC, chunk_id) AS rank
+      FROM pairs WHERE query_id IN (SELECT item_id FROM benchmark) QUALIFY rank <= 10),
+    merged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, repo_id, chunk_id) AS merged_rank
+      FROM per_repo QUALIFY merged_rank <= 10),
+    words AS (
+      SELECT query_id, chunk_id, repo_id, merged_rank, d.text AS body,
+        list_distinct([w for w in regexp_split_to_array(lower(b.text), '\\s+') if w != '']) AS qw,
+        list_distinct([w for w in regexp_split_to_array(lower(d.text), '\\s+') if w != '']) AS dw
+      FROM merged JOIN benchmark b ON b.item_id = query_id LEFT JOIN documents d ON d.doc_id = chunk_id
+    ), scored AS (
+      SELECT *, CASE WHEN body IS NOT NULL THEN round(len(list_intersect(qw, dw)) / len(qw), 6) END AS rerank_score FROM words)
+    SELECT query_id, repo_id, chunk_id, rerank_score,
+      CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, merged_rank) AS INTEGER) AS rank
+    FROM scored""",
+)
+def multi_repo_rerank(spark: SparkSession, folder: str) -> DataFrame:
+    """The merged list of all repositories against the whole texts of its chunks."""
+    bodies = A.documents(spark, folder).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
+    ranked = retrieval.rerank_merged(multi_repo_merge(spark, folder), A.questions(spark, folder), bodies)
+    return ranked.select("query_id", "repo_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
 @query(
     "search_outcomes",
     f"""WITH {LEXICAL_SQL}, {DENSE_SQL}, {FUSED_SQL}, n AS (
