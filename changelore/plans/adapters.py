@@ -285,9 +285,8 @@ def pull_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 DISCUSSIONS_SQL = r"""talks AS (
-  SELECT conv_id, left(string_agg(role || ': ' || left(text, 2000), chr(10) || '---' || chr(10) ORDER BY turn), 16000)
-    AS discussion
-  FROM conversations WHERE trim(left(text, 2000), ' ' || chr(10) || chr(9) || chr(13)) != '' GROUP BY conv_id
+  SELECT conv_id, string_agg(role || ': ' || text, chr(10) || '---' || chr(10) ORDER BY turn) AS discussion
+  FROM conversations WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) != '' GROUP BY conv_id
 )"""
 
 PRS_SQL = f"""{DISCUSSIONS_SQL}, prs AS (

@@ -80,9 +80,8 @@ def discussion_bins(spark: SparkSession, folder: str) -> DataFrame:
 
 # ------------------------------------------------------------------ markdown
 
-# HTML to markdown-like text: headings open sections, paragraphs are set apart.
+# HTML to markdown-like text: headings open sections, paragraphs are set apart, all text stays.
 _HTML_STEPS = (
-    (r"(?s)<script>.*?</script>|<style>.*?</style>|<nav>.*?</nav>|<!--.*?-->", ""),
     (r"<h1>|<article>", "\n## "),
     (r"</?p>|<br>|</h1>", "\n\n"),
     (r"<[^>]*>", ""),
@@ -181,19 +180,31 @@ DOC_CHUNKS_SQL = f"""{MARKDOWN_BINS_SQL}, doc_chunks AS (
 @query(
     "doc_chunks",
     f"""WITH RECURSIVE {PAGES_SQL}, {DOC_CHUNKS_SQL}
-    SELECT repo_id, source_id, md5(title) AS title_digest, md5(body) AS body_digest FROM doc_chunks""",
+    SELECT repo_id, source_id, md5(title) AS title_digest, md5(body) AS body_digest, strftime(last, '%Y-%m-%d') AS authored_on
+    FROM doc_chunks LEFT JOIN (
+      SELECT 'docs/page' || CAST(o_orderkey % 300 AS VARCHAR) || '.md' AS path, MAX(o_orderdate) AS last FROM orders GROUP BY ALL) USING (path)""",
 )
 def doc_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    rows = chunks.doc_chunks(pages(spark, folder), _no_touches(spark, folder))
+    rows = chunks.doc_chunks(pages(spark, folder), _touches(spark, folder))
     return rows.select(
-        "repo_id", "source_id", F.md5("title").alias("title_digest"), F.md5("body").alias("body_digest")
+        "repo_id",
+        "source_id",
+        F.md5("title").alias("title_digest"),
+        F.md5("body").alias("body_digest"),
+        F.date_format("authored_at", "yyyy-MM-dd").alias("authored_on"),
     )
 
 
-def _no_touches(spark: SparkSession, folder: str) -> DataFrame:
-    return pages(spark, folder).select(
-        "repo_id", "path", F.lit(None).cast("timestamp").alias("last_touched")
+def _touches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order is a commit that touches one page."""
+    page = F.col("o_orderkey") % 300
+    made = A.table(spark, folder, "orders").select(
+        (page % 25).cast("int").alias("repo_id"),
+        F.md5(F.col("o_orderkey").cast("string")).alias("sha"),
+        F.concat(F.lit("docs/page"), page.cast("string"), F.lit(".md")).alias("path"),
+        F.col("o_orderdate").cast("timestamp").alias("committed_at"),
     )
+    return snapshot.last_touched(made.select("repo_id", "sha", "path"), made.select("repo_id", "sha", "committed_at"))
 
 
 # ------------------------------------------------------------------ commits
@@ -337,7 +348,7 @@ def pr_chunks(spark: SparkSession, folder: str) -> DataFrame:
       UNION ALL SELECT source_type, body FROM doc_chunks) GROUP BY ALL""",
 )
 def chunk_union(spark: SparkSession, folder: str) -> DataFrame:
-    docs = chunks.doc_chunks(pages(spark, folder), _no_touches(spark, folder))
+    docs = chunks.doc_chunks(pages(spark, folder), _touches(spark, folder))
     rows = chunks.all_chunks(_commit_chunks(spark, folder), _pr_chunks(spark, folder), docs)
     return rows.groupBy("source_type").agg(
         F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("body")).alias("body_chars")
@@ -385,7 +396,7 @@ def _page_json(spark: SparkSession, folder: str) -> DataFrame:
     node = F.struct(
         (F.col("conv_id") * 100 + F.col("turn")).alias("number"),
         F.col("role").alias("title"),
-        F.when(F.col("turn") % 2 == 0, text).otherwise("").alias("body"),
+        text.alias("body"),
         F.lit("MERGED").alias("state"),
         F.lit("2024-01-01T00:00:00Z").alias("createdAt"),
         F.lit("2024-01-02T03:04:05Z").alias("mergedAt"),
@@ -408,10 +419,10 @@ def _page_json(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "pr_pages",
-    f"""SELECT conv_id * 100 + turn AS number, role AS title, CASE WHEN turn % 2 = 0 THEN md5(text) END AS body_digest,
+    f"""SELECT conv_id * 100 + turn AS number, role AS title, md5(nullif(text, '')) AS body_digest,
       CASE WHEN turn != 1 THEN role END AS author, '2024-01-02 03:04:05' AS merged_at, md5(text) AS merge_sha,
       3 AS comment_count,
-      md5(left(role || ': ' || left(text, 2000) || {SEP} || 'unknown: ' || left('re ' || text, 2000), 16000)) AS discussion_digest
+      md5(role || ': ' || text || {SEP} || 'unknown: re ' || text) AS discussion_digest
     FROM conversations""",
 )
 def pr_pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,42 +18,54 @@ def read_pr_pages(spark: SparkSession, path: str, multi_line: bool = False) -> D
     return parse_pr_pages(reader.json(path))
 
 
-def comment_text(author: Column, body: Column) -> Column:
-    """`author: body` with the body cut; NULL for a blank body."""
-    cut = X.cut(body, C.MAX_COMMENT)
+def _cut(value: Column, chars: int | None) -> Column:
+    return value if chars is None else X.cut(value, chars)
+
+
+def comment_text(author: Column, body: Column, chars: int | None = None) -> Column:
+    """`author: body`, the body whole or its first `chars`; NULL for a blank body."""
+    cut = _cut(body, chars)
     who = F.coalesce(X.none_if_empty(author), F.lit("unknown"))
     return F.when(~X.is_blank(cut), F.concat(who, F.lit(": "), cut))
 
 
-def join_comments(parts: Column) -> Column:
+def join_comments(parts: Column, chars: int | None = None) -> Column:
     """Ordered comment texts to one discussion text, NULL when nothing is left."""
     present = F.filter(parts, lambda p: p.isNotNull())
-    return X.none_if_empty(
-        X.cut(F.array_join(present, C.COMMENT_SEPARATOR), C.MAX_DISCUSSION)
-    )
+    return X.none_if_empty(_cut(F.array_join(present, C.COMMENT_SEPARATOR), chars))
 
 
-def parse_pr_pages(pages: DataFrame, *keep: str) -> DataFrame:
-    """One row per merge request of every page; a page holds a bounded number of both."""
+def parse_pr_pages(
+    pages: DataFrame,
+    *keep: str,
+    comment_chars: int | None = None,
+    discussion_chars: int | None = None,
+    body_chars: int | None = None,
+) -> DataFrame:
+    """One row per merge request of every page; a page holds a bounded number of both.
+
+    Comments, discussions and bodies are whole; limits are for callers that want prefixes (the constants
+    `MAX_COMMENT`, `MAX_DISCUSSION`, `MAX_PR_BODY`).
+    """
     node = pages.select(
         *keep, F.explode("data.repository.pullRequests.nodes").alias("n")
     )
     comments = F.transform(
         F.col("n.comments.nodes"),
-        lambda c: comment_text(c["author"]["login"], F.coalesce(c["body"], F.lit(""))),
+        lambda c: comment_text(c["author"]["login"], F.coalesce(c["body"], F.lit("")), comment_chars),
     )
     return node.select(
         *keep,
         F.col("n.number").alias("number"),
         F.col("n.title").alias("title"),
-        X.none_if_empty(X.cut("n.body", C.MAX_PR_BODY)).alias("body"),
+        X.none_if_empty(_cut(F.col("n.body"), body_chars)).alias("body"),
         F.col("n.author.login").alias("author"),
         F.lit("MERGED").alias("state"),
         X.iso_to_timestamp("n.createdAt").alias("created_at"),
         X.iso_to_timestamp("n.mergedAt").alias("merged_at"),
         F.col("n.mergeCommit.oid").alias("merge_sha"),
         F.col("n.comments.totalCount").alias("comment_count"),
-        join_comments(comments).alias("discussion"),
+        join_comments(comments, discussion_chars).alias("discussion"),
     )
 
 
