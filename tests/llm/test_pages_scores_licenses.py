@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import public_tokenizers  # noqa: F401  the queries need it
 from pyspark.sql import functions as F
@@ -112,12 +113,12 @@ def test_classifier_on_held_out_rows(table_of, spark):
 
 def test_scorer_equals_the_features():
     texts = [t for _, t, _ in labelled(40, 2)]
-    model = quality_classifier.train(texts, [0, 1] * 20)
+    model = quality_classifier.train([quality_classifier.features(t) for t in texts], [0, 1] * 20)
     logits = model.scores()
     margin = (logits[:, 1] - logits[:, 0]).astype(float)
-    words, scorer = quality_classifier.Words(), quality_classifier.Scorer(margin, 0.1)
-    for t in [*texts, "one", "a a a", "x" * 300]:
-        at, w = quality_classifier.features(t, words)
+    scorer = quality_classifier.Scorer(margin, 0.1)
+    for t in [*texts, "one", "a a a", "x" * 300, "y" * 20_000 + " one", "é ﬁ 😀 \ud800 你好", " ".join(f"w{i}" for i in range(120_000))]:
+        at, w = quality_classifier.features(t)
         z = float(w @ margin[at]) + 0.1
         assert abs(scorer(t) - 1 / (1 + 2.718281828459045**-z)) < 1e-5
 
@@ -126,47 +127,24 @@ def test_long_words_count_whole():
     start, rng = "".join(chr(0x4E00 + i) for i in range(80)), random.Random(5)
     good, bad = (["".join(rng.choice(c) for _ in range(300)) for _ in range(60)] for c in ("山水風月花鳥", "買賣錢金銀貨"))
     texts, labels = [start + t for t in good + bad], [1] * 60 + [0] * 60
-    model = quality_classifier.train(texts[10:110], labels[10:110])
+    model = quality_classifier.train([quality_classifier.features(t) for t in texts[10:110]], labels[10:110])
     logits = model.scores()
     margin = (logits[:, 1] - logits[:, 0]).astype(float)
-    scorer, words = quality_classifier.Scorer(margin, float(model.bias[1] - model.bias[0])), quality_classifier.Words()
+    scorer = quality_classifier.Scorer(margin, float(model.bias[1] - model.bias[0]))
     # the openings are equal and no whole word was seen before
     assert min(map(scorer, texts[:10])) > max(map(scorer, texts[110:])) + 0.5
-    marked = f"<{'ab漢c' * 5000}>"
-    _, at, share = words(marked[1:-1])
-    plain = [quality_classifier._hash(marked[i : i + n]) % quality_classifier.BUCKETS for n in (3, 4) for i in range(len(marked) - n + 1)]
-    assert len(set(plain) - set(at.tolist())) == 0 and abs(share.sum() - 1) < 1e-9
-    assert sorted(round(x * (len(plain) + 2)) for x in share)[-1] >= max(plain.count(g) for g in set(plain))
-
-
-def test_licences_by_statement_file_and_directory(table_of, spark):
-    apache = "Licensed under the Apache License, Version 2.0."
-    rows = [
-        (1, "a/LICENSE", "Released under the MIT License.", "clash"),
-        (2, "a/b/one.txt", "plain words", None),
-        (3, "a/b/c/two.txt", f"plain words and more of them, enough of them that the notice is a small part\n{apache}", None),
-        (4, "a/b/c/COPYING", apache, None),
-        (5, "a/b/c/d/three.txt", None, None),
-        (6, "z/four.txt", "", None),
-        (7, None, "All rights reserved.", None),
-        (8, "five.txt", "the licence of this is a matter of long debate among many people here", None),
-        (2, "a/b/one.txt", "plain words", None),
-    ]
-    docs = table_of(rows, "doc_id long, path string, text string, license string")
-    got = license_scan.scan(docs, license_scan.templates(spark)).collect()
-    assert len(got) == len(rows)
-    assert {r["doc_id"]: (r["license"], r["origin"]) for r in got} == {
-        1: ("MIT", "file"),
-        2: ("MIT", "inherited"),
-        3: ("Apache-2.0", "header"),
-        4: ("Apache-2.0", "file"),
-        5: ("Apache-2.0", "inherited"),
-        6: (None, "none"),
-        7: ("Proprietary", "file"),
-        8: (None, "none"),
-    }
-    assert license_scan.scan(docs.where("doc_id > 50"), license_scan.templates(spark)).count() == 0
-
-
-def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def counted_grams(words: list[str]) -> Counter:
+    return Counter(pair for owner, bucket in quality_classifier.grams(words) for pair in zip(owner.tolist(), bucket.tolist(), strict=True))
+
+
+def test_grams_of_pieces_are_those_of_the_whole_word(monkeypatch):
+    words = ["ab漢c" * 5000, "a", "", "four", "x" * 4094, "y" * 4095, "z" * 8192]
+    cut = counted_grams(words)
+    monkeypatch.setattr(quality_classifier, "PIECE", 1 << 30)
+    assert cut == counted_grams(words)
+    monkeypatch.setattr(quality_classifier, "RUN_CHARS", 5)
+    assert cut == counted_grams(words)
+    per_word = [sum(n for (k, _), n in cut.items() if k == i) + 2 for i in range(len(words))]
+    assert per_word == quality_classifier.units(words).tolist()
