@@ -518,6 +518,24 @@ def stream_backfill_prs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("number", "title", "merge_sha")
 
 
+@query(
+    "stream_backfill_counts",
+    """SELECT COUNT(*) AS pages, COUNT(*) AS fetched, COUNT(DISTINCT conv_id * 100 + turn % 3) AS stored_new FROM conversations""",
+)
+def stream_backfill_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose requests come again on later pages: the counters of all batches, added up."""
+    base = _scratch(spark, "counts")
+    number = F.col("conv_id") * 100 + F.col("turn") % 3
+    node = F.struct(
+        number.alias("number"), F.col("role").alias("title"), F.col("text").alias("body"), F.lit("2024-01-01T00:00:00Z").alias("createdAt")
+    )
+    page = F.struct(F.struct(F.struct(F.struct(F.array(node).alias("nodes")).alias("pullRequests")).alias("repository")).alias("data"))
+    A.table(spark, folder, "conversations").select(page.alias("p")).select("p.*").repartition(4).write.json(f"{base}/landed")
+    ingest.backfill_prs(spark, f"{base}/landed", f"{base}/tables", 0, f"{base}/progress", max_pages=1).awaitTermination()
+    counts = ingest.backfill_counts(spark, f"{base}/tables")
+    return counts.agg(*[F.sum(c).alias(c) for c in ("pages", "fetched", "stored_new")])
+
+
 @query(
     "append_idempotent",
     f"""WITH {A.COMMITS_SQL} SELECT repo_id, COUNT(*) AS commits FROM commits GROUP BY ALL""",

@@ -8,12 +8,13 @@ batches stored are taken out with one anti join, over the partitions of the batc
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelore import schemas
-from changelore.runtime import BROADCAST_BYTES, broadcast_if_small
+from changelore.runtime import BROADCAST_BYTES, checkpointed
 from changelore.sources.bucketed import declare
 
 #: Distinct partition values up to which they are literals of the scan; beyond, a join prunes.
@@ -29,25 +30,31 @@ def read_table(spark: SparkSession, path: str, schema: str, partitions: tuple[st
     those of `schema`, then the writer of a row (`job`, `batch`).
     """
     held = [c for c in partitions if c in schemas.fields(schema)]
-    name = "sink_" + hashlib.sha256(f"{path}|{schema}|{held}".encode()).hexdigest()[:24]
-    parts = [*held, *[c.split()[0] for c in _WRITER.split(", ")]] if held else []
-    columns = f"{schema}, {_WRITER}" if held else schema
-    by = f"PARTITIONED BY ({', '.join(parts)})" if parts else ""
+    if not held:
+        return _named(spark, path, schema, [])
+    return _named(spark, path, f"{schema}, {_WRITER}", [*held, "job", "batch"])
+
+
+def _named(spark: SparkSession, path: str, columns: str, partitions: list[str]) -> DataFrame:
+    """The files below `path`, whatever session wrote them; a path without files is an empty table."""
+    name = "sink_" + hashlib.sha256(f"{path}|{columns}|{partitions}".encode()).hexdigest()[:24]
+    by = f"PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
     declare(spark, f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {by} LOCATION '{path}'")
     spark.catalog.refreshTable(name)
-    return spark.table(name).select(*schemas.fields(schema), *(["job", "batch"] if held else []))
+    return spark.table(name).select(*schemas.fields(columns))
 
 
 def touched(stored: DataFrame, batch: DataFrame, column: str = "repo_id") -> DataFrame:
     """The stored rows of the partitions that a batch has rows of.
 
-    The values are literals of the scan, so other partitions are not even listed as input; only a batch
-    over very many of them falls back to a join.
+    The values are literals of the scan, so other partitions are not even listed as input; of a batch over
+    very many of them the smallest and the largest are.
     """
     values = [r[0] for r in batch.select(column).distinct().limit(LITERAL_PARTITIONS + 1).collect()]
     if len(values) <= LITERAL_PARTITIONS:
         return stored.where(F.col(column).isin([v for v in values if v is not None]))
-    return stored.join(broadcast_if_small(batch.select(column).distinct()), column, "left_semi")
+    ends = batch.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    return stored.where(F.col(column).between(ends["lo"], ends["hi"]))
 
 
 def fresh_rows(stored: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
@@ -80,12 +87,13 @@ def replace_batch(
 ) -> None:
     """Store rows as this batch, in place of what it held in their partitions.
 
-    Rows are dealt by partition first: a partition gets a few files, not one from every task.
+    Rows are dealt by partition first: a partition gets a few files, not one from every task, and a repository
+    that holds most rows is split over several tasks.
     """
     held = list(partitions)
     (
         rows.select(*schemas.fields(schema), F.lit(job).cast("long").alias("job"), F.lit(number).cast("long").alias("batch"))
-        .repartition(*held)
+        .hint("rebalance", *held)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*held, "job", "batch")
@@ -108,6 +116,45 @@ def append_new(
     replace_batch(unstored(spark, batch, path, schema, key, job, number, partitions), path, schema, job, number, partitions)
 
 
+def read_keyed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that `upsert` keeps: one row per key, as it is read."""
+    return _named(spark, path, f"{schema}, bucket INT", ["repo_id", "bucket"]).drop("bucket")
+
+
+def upsert(
+    spark: SparkSession,
+    rows: DataFrame,
+    path: str,
+    schema: str,
+    key: list[str],
+    merge: Callable[[DataFrame, DataFrame], DataFrame],
+    buckets: int = 16,
+) -> None:
+    """Merge rows into a table of one row per key: `merge(stored, rows)` on the buckets that the rows fall into.
+
+    A bucket is a partition below its repository, chosen by a hash of the key.  Touched buckets are read as
+    literals, merged, written aside and then put in their place; all others stay as they are, and a read needs
+    no folding.  `rows` may repeat a key if `merge` allows it.
+    """
+    columns = schemas.fields(schema)
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    placed = checkpointed(rows.select(*columns, bucket.alias("bucket")))
+    held = touched(_named(spark, path, f"{schema}, bucket INT", ["repo_id", "bucket"]), placed)
+    place = F.col("repo_id").cast("long") * buckets + F.col("bucket")
+    places = [r[0] for r in placed.select(place).distinct().limit(LITERAL_PARTITIONS + 1).collect()]
+    if len(places) <= LITERAL_PARTITIONS:  # else all buckets of the repositories are written again
+        held = held.where(place.isin(places))
+    merged = merge(held.select(*columns), placed.select(*columns)).select(*columns)
+    aside = checkpointed(merged.withColumn("bucket", bucket))
+    (
+        aside.hint("rebalance", "repo_id", "bucket")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("repo_id", "bucket")
+        .parquet(path)
+    )
+
+
 CHUNK_KEY = ["repo_id", "source_type", "source_id"]
 CHUNK_PARTITIONS = ("repo_id", "source_type")
 

@@ -73,17 +73,16 @@ def backfill_prs(
 ) -> StreamingQuery:
     """Upsert landed merge-request pages; `max_pages` bounds the pages per batch.
 
-    A batch only adds its own rows, in a folder named by the job and the batch,
-    so a repeated batch replaces itself and nothing else is rewritten.
-    `stored_prs` folds the batches to the upserted table.
+    The stored table has one row per request, so it is the state that a batch is merged into: a stored row
+    wins, only a missing discussion is filled.  A batch rewrites the buckets of its requests alone; repeated,
+    it finds itself stored.  `backfill_counts` tells what each batch brought.
     """
     job = zlib.crc32(checkpoint.encode())
 
     def store(batch: DataFrame, batch_id: int) -> None:
         incoming = merge_requests.parse_pr_pages(batch).withColumn("repo_id", F.lit(repo_id))
-        folder = f"{tables}/pull_requests/repo_id={repo_id}/job={job}/batch={batch_id}"
-        rows = incoming.select(*schemas.fields(schemas.PULL_REQUESTS)).drop("repo_id")
-        rows.withColumn("stored_at", F.current_timestamp()).write.mode("overwrite").parquet(folder)
+        marked = incoming.withColumn("first_job", F.lit(job).cast("long")).withColumn("first_batch", F.lit(batch_id).cast("long"))
+        sinks.upsert(spark, marked, f"{tables}/pull_requests", STORED_PRS, merge_requests.PR_KEY, merge_requests.upsert_prs)
         sinks.append_new(
             spark,
             merge_requests.pr_links(incoming),
@@ -93,29 +92,37 @@ def backfill_prs(
             job,
             batch_id,
         )
+        seen = merge_requests.page_info(batch).agg(
+            F.lit(repo_id).alias("repo_id"),
+            F.count(F.lit(1)).alias("pages"),
+            F.coalesce(F.sum("fetched"), F.lit(0)).cast("long").alias("fetched"),
+        )
+        sinks.replace_batch(seen, f"{tables}/backfill_pages", BACKFILL_PAGES, job, batch_id)
 
     return _start(read_landed(spark, landed, schemas.PR_PAGE, max_files=max_pages), store, checkpoint)
 
 
-def stored_prs(spark: SparkSession, tables: str, repo_id: int | None = None) -> DataFrame:
-    """The merge requests of all stored batches, as a chain of upserts leaves them.
+STORED_PRS = f"{schemas.PULL_REQUESTS}, first_job BIGINT, first_batch BIGINT"
+BACKFILL_PAGES = "repo_id INT, pages BIGINT, fetched BIGINT"
 
-    The first stored row of a key wins; its discussion is the first that is not
-    missing.  Both choices combine on the map side.
-    """
-    rows = sinks.read_table(spark, f"{tables}/pull_requests", f"{schemas.PULL_REQUESTS}, stored_at TIMESTAMP")
+
+def stored_prs(spark: SparkSession, tables: str, repo_id: int | None = None) -> DataFrame:
+    """The merge requests as the upserts left them: a plain read."""
+    rows = sinks.read_keyed(spark, f"{tables}/pull_requests", STORED_PRS)
     if repo_id is not None:
         rows = rows.where(F.col("repo_id") == repo_id)
-    key = merge_requests.PR_KEY
-    columns = schemas.fields(schemas.PULL_REQUESTS)
-    others = [c for c in columns if c not in (*key, "discussion")]
-    order = F.struct("stored_at", "job", "batch", F.xxhash64(*others, "discussion"))
-    has_text = F.when(F.col("discussion").isNotNull(), order)
-    folded = rows.groupBy(*key).agg(
-        F.min_by(F.struct(*others), order).alias("r"),
-        F.min_by("discussion", has_text).alias("discussion"),
+    return rows.select(*schemas.fields(schemas.PULL_REQUESTS))
+
+
+def backfill_counts(spark: SparkSession, tables: str) -> DataFrame:
+    """Per repository, job and batch: landed pages, fetched requests, and those that were new to the table."""
+    key = ["repo_id", "job", "batch"]
+    rows = sinks.read_keyed(spark, f"{tables}/pull_requests", STORED_PRS)
+    new = rows.groupBy("repo_id", F.col("first_job").alias("job"), F.col("first_batch").alias("batch")).agg(
+        F.count(F.lit(1)).alias("stored_new")
     )
-    return folded.select(*key, "r.*", "discussion").select(*columns)
+    pages = sinks.read_table(spark, f"{tables}/backfill_pages", BACKFILL_PAGES)
+    return pages.join(new, key, "left").withColumn("stored_new", F.coalesce("stored_new", F.lit(0)))
 
 
 def label_counts(labels: DataFrame) -> DataFrame:

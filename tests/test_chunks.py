@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from changelore import constants as C
 from changelore import schemas
 from changelore.functions import text as X
-from changelore.operators import chunks, snapshot
+from changelore.operators import chunks, snapshot, threads
 from changelore.sources import merge_requests
 
 SEP = C.COMMENT_SEPARATOR
@@ -195,3 +195,18 @@ def test_white_space_and_line_breaks_are_those_of_unicode(spark):
     df = spark.createDataFrame([(f"{blanks}a{blanks}b{blanks}", text)], "t STRING, l STRING")
     row = df.select(X.strip("t").alias("s"), X.collapse_whitespace("t").alias("c"), X.lines("l").alias("l")).first()
     assert row["s"] == f"a{blanks}b" and row["c"] == "a b" and row["l"] == text.splitlines()
+
+
+def test_nothing_is_cut_unless_asked(spark):
+    talk = [("zoe", f"{k} " + "word " * 700) for k in range(12)]
+    lines = [json.dumps({"data": {"repository": {"pullRequests": {"nodes": [request(3, "b" * 70_000, talk, None)]}}}})]
+    pages = spark.createDataFrame([(x,) for x in lines], "value STRING").select(F.from_json("value", schemas.PR_PAGE).alias("p")).select("p.*")
+    whole = merge_requests.parse_pr_pages(pages).first()
+    assert len(whole["body"]) == 70_000
+    assert whole["discussion"].split(SEP) == [f"{who}: {what}" for who, what in talk]
+    cut = merge_requests.parse_pr_pages(pages, comment_chars=50, discussion_chars=400, body_chars=10).first()
+    assert cut["body"] == "b" * 10 and len(cut["discussion"]) == 400
+    assert cut["discussion"] == SEP.join(f"{who}: {what[:50]}" for who, what in talk)[:400]
+    rows = spark.createDataFrame([(1, n, who, what) for n, (who, what) in enumerate(talk)], "conv INT, n INT, author STRING, body STRING")
+    assert threads.discussions(rows, ["conv"], "n").first()["discussion"] == whole["discussion"]
+    assert threads.discussions(rows, ["conv"], "n", comment_chars=50, discussion_chars=400).first()["discussion"] == cut["discussion"]

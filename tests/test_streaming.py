@@ -71,6 +71,10 @@ def test_pr_backfill_resumes(spark, tmp_path):
     assert backfill() == {7: "b: late", 8: "a: hello", 9: "d: new"}
     links = sinks.read_table(spark, f"{tmp_path}/t/commit_pr_links", schemas.COMMIT_PR_LINKS)
     assert links.count() == 3
+    counts = ingest.backfill_counts(spark, f"{tmp_path}/t").groupBy("repo_id").agg(F.sum("pages"), F.sum("fetched"), F.sum("stored_new"))
+    assert [tuple(r) for r in counts.collect()] == [(1, 5, 5, 3)]
+    # a request is one stored row, no read folds batches
+    assert sinks.read_keyed(spark, f"{tmp_path}/t/pull_requests", ingest.STORED_PRS).count() == 3
 
 
 def test_backfill_with_a_new_checkpoint_keeps_what_is_stored(spark, tmp_path):
@@ -179,3 +183,22 @@ def test_inflected_words_meet(spark):
     got = spark.createDataFrame([(words,)], "w ARRAY<STRING>").select(lexical.stems(F.col("w")).alias("s")).first()["s"]
     assert got[:4] == ["updat"] * 4 and got[4:8] == ["stop"] * 4 and got[8:10] == ["box"] * 2 and got[10:13] == ["try"] * 3
     assert got[13:] == ["need", "red", "sing", "bus", "class", "class", "日本語", "über"]
+
+
+def test_an_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    schema, path = "repo_id INT, number BIGINT, v STRING", f"{tmp_path}/keyed"
+
+    def merge(stored, rows):
+        both = stored.withColumn("_n", F.lit(0)).unionByName(rows.withColumn("_n", F.lit(1)))
+        return both.groupBy("repo_id", "number").agg(F.min_by("v", "_n").alias("v"))
+
+    first = spark.createDataFrame([(r, n, "old") for r in (1, 2) for n in range(60)], schema)
+    sinks.upsert(spark, first, path, schema, ["repo_id", "number"], merge, buckets=8)
+    files = set(sinks.read_keyed(spark, path, schema).inputFiles())
+    sinks.upsert(spark, spark.createDataFrame([(2, 7, "new"), (2, 100, "new"), (3, 1, "new")], schema), path, schema, ["repo_id", "number"], merge, buckets=8)
+    table = sinks.read_keyed(spark, path, schema)
+    assert {(r["repo_id"], r["number"]): r["v"] for r in table.collect()} == {
+        **{(r, n): "old" for r in (1, 2) for n in range(60)}, (2, 100): "new", (3, 1): "new"
+    }
+    kept = files & set(table.inputFiles())
+    assert len(files) - 2 <= len(kept) < len(files)
