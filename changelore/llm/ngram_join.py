@@ -25,10 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changelore.llm.common import WORD_RE
-from changelore.llm.components import components
-from changelore.llm.shingles import WordHashes, member, runs
-from changelore.runtime import checkpointed
+from changelore.llm.components import components, filled
+from changelore.llm.shingles import ByteHashes, member, runs
+from changelore.runtime import checkpointed, checkpointed_count, small
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -42,16 +41,16 @@ EXTRA_CHOICES = (0, 2, 5, 10, 15)
 VERIFY_COST = 50
 #: Rounds of comparing components with leaders; fewer when a round links nothing.
 TURNS = 9
+#: Rows that a document is dealt out to where others are compared with it.
+SALTS = 8
 
 
-def _lower(text: str) -> str:
-    """A-Z to a-z, nothing else."""
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+def shingle_set(text: str | None, known: ByteHashes, width: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct shingle hashes; a text with fewer words is one shingle, one without words none.
 
-
-def shingle_set(text: str | None, known: WordHashes, width: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes; a text with fewer words is one shingle, one without words none."""
-    words = WORD_RE.findall(_lower(text or ""))
+    In UTF-8 `lower` changes A-Z and nothing else, `split` cuts at ASCII white space and nothing else.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     hashes = known(words)
@@ -69,11 +68,23 @@ def linked(a: Column, b: Column, n_a: Column, n_b: Column, percent: int = SIMILA
     return 100 * shared >= percent * (n_a + n_b - shared)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar.
+
+    Few pairs go to the sets, so only the sets of pairs are moved, once each.  A document that very many
+    others are compared with is dealt out as `SALTS` rows.
+    """
+    pairs = pairs.select("a", "b")
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")
+    right = sets.join(small(pairs.withColumnRenamed("b", "id"), n_pairs), "id").select(
+        "a", F.col("id").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb")
+    )
+    asked = small(pairs.select(F.col("a").alias("id")).distinct(), n_pairs)
+    left = sets.join(asked, "id", "left_semi").select(
+        F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"),
+    )
+    joined = right.select("*", salt).join(left, ["a", "salt"])
     return joined.where(linked(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
@@ -87,7 +98,7 @@ def _picked(blocked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(id, k1, n, tokens) of each class's first document; tokens only where the set may have a partner."""
 
     def report(frame: pd.DataFrame) -> pd.DataFrame:
-        known, tokens, owner = WordHashes(), [], []
+        known, tokens, owner = ByteHashes(), [], []
         for t, k in zip(frame["text"], frame["k1"], strict=True):
             s = shingle_set(t, known)
             if len(s):
@@ -132,7 +143,7 @@ def _picked(blocked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             is_token = first.isna().to_numpy()
             hot = np.unique(values[is_token])
             wanted = set(zip(first[~is_token].astype(np.int64).tolist(), values[~is_token].tolist(), strict=True))
-            known = WordHashes()
+            known = ByteHashes()
             for i, k, t in zip(frame["id"], frame["k1"], frame["text"], strict=True):
                 if pd.isna(i) or (int(i), int(k)) not in wanted:
                     continue
@@ -200,7 +211,7 @@ def _prefixes(sets: DataFrame, n_blocks: int, percent: int) -> DataFrame:
     )
 
 
-def _round_pairs(sets: DataFrame, known: DataFrame | None, turn: int) -> DataFrame:
+def _round_pairs(sets: DataFrame, known: DataFrame | None, n_known: int, turn: int) -> DataFrame:
     """(a, b): per minimum hash a leader, and one document of each other component beside it.
 
     Hash function, leader and documents are drawn anew each turn, so two components of a group of near
@@ -210,7 +221,7 @@ def _round_pairs(sets: DataFrame, known: DataFrame | None, turn: int) -> DataFra
     if known is None:
         keyed = keyed.withColumn("comp", F.col("id"))
     else:
-        keyed = keyed.join(known, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        keyed = keyed.join(small(known, n_known), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     draw = lambda salt: F.struct(F.xxhash64(F.lit(turn), F.lit(salt), "id"), "id")
     drawn = keyed.groupBy("key", "comp").agg(F.min_by("id", draw(1)).alias("b"), F.min(draw(2)).alias("d"))
     leaders = drawn.groupBy("key").agg(
@@ -224,18 +235,19 @@ def _round_pairs(sets: DataFrame, known: DataFrame | None, turn: int) -> DataFra
     )
 
 
-def _contracted(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _contracted(sets: DataFrame, n_sets: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) found beside leaders, and the components (id, component) they make."""
-    links, known = None, None
+    links, known, seen = None, None, 0
     for turn in range(TURNS):
-        pairs = checkpointed(_round_pairs(sets, known, turn))
-        if pairs.isEmpty():
+        pairs, n = checkpointed_count(filled(_round_pairs(sets, known, seen, turn), max(n_sets, seen)), F.lit(True))
+        if n == 0:
             break
-        found = checkpointed(_verified(pairs, sets, percent))
-        if found.isEmpty():
+        found, n = checkpointed_count(filled(_verified(pairs, n, sets, percent), n), F.lit(True))
+        if n == 0:
             break
+        # a component is told by its links to what it had become
         links = found if links is None else links.unionByName(found)
-        known = checkpointed(components(links))
+        known, seen = checkpointed_count(components(links), F.lit(True))
     none = sets.sparkSession.createDataFrame([], "id long, component long")
     if links is None or known is None:
         return none.select(F.col("id").alias("a"), F.col("component").alias("b")), none
@@ -290,15 +302,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     classes = rep.select("k1", "k2", F.col("r.id").alias("rep"), F.col("r.block").alias("block"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHashes()
+        words = ByteHashes()
         for frame in frames:
             yield pd.DataFrame({"n_shingles": [len(shingle_set(t, words)) for t in frame["text"]]})
 
-    picked = checkpointed(_picked(blocked, classes, percent))
+    picked, n_sets = checkpointed_count(_picked(blocked, classes, percent), F.col("tokens").isNotNull())
     sets = picked.where(F.col("tokens").isNotNull()).select("id", "n", "tokens")
-    links, known = _contracted(sets, percent)
+    links, known = _contracted(sets, n_sets, percent)
     prefixes = _prefixes(sets, max(1, n_blocks // 4), percent)
-    cross = checkpointed(_verified(_cross_pairs(prefixes, known, percent), sets, percent))
+    pairs, n_pairs = checkpointed_count(_cross_pairs(prefixes, known, percent), F.lit(True))
+    cross = checkpointed(_verified(pairs, n_pairs, sets, percent))
     # copies hang on their class, classes on their component; a key with several texts ties their classes
     sized = classes.join(picked.select(F.col("id").alias("rep"), "k1", "n"), ["rep", "k1"])
     member = keyed.join(sized.select("k1", "k2", "rep", "n"), ["k1", "k2"])
