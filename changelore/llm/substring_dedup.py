@@ -20,6 +20,7 @@ the texts.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,8 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changelore.llm.common import WORD_RE
-from changelore.llm.shingles import WordHashes, member, runs, window_min
+from changelore.llm.shingles import ByteHashes, byte_words, member, runs, window_min
 from changelore.runtime import checkpointed
 
 WINDOW = 13
@@ -40,10 +40,6 @@ BLOCK_CHARS = 2_000_000
 SHARD_PHRASES = 20_000
 
 
-def _words(text: str | None) -> list[str]:
-    return WORD_RE.findall(text or "")
-
-
 def _anchors_of(hashes: np.ndarray, window: int) -> np.ndarray:
     return window_min(runs(hashes, RUN, 3), window - RUN + 1)
 
@@ -117,11 +113,11 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     by_block = blocked.groupBy("block")
 
     def anchors(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        known, keys, ids, copied = WordHashes(), [], [], _copies(told)
+        known, keys, ids, copied = ByteHashes(), [], [], _copies(told)
         for i, k, t in zip(frame["id"], frame["k"], frame["text"], strict=True):
             if pd.isna(i) or (int(i), int(k)) in copied:
                 continue
-            found = np.unique(_anchors_of(known(_words(t)), window))
+            found = np.unique(_anchors_of(known(byte_words(t)), window))
             if len(found):
                 keys.append((found,))
                 ids.append(int(i))
@@ -145,11 +141,11 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         if not len(frame) or not len(kept):
             return empty
         wanted = np.unique(kept.loc[kept["copy"].isna(), "h"].to_numpy(np.int64))
-        known, keys, ids, copied = WordHashes(), [], [], _copies(kept)
+        known, keys, ids, copied = ByteHashes(), [], [], _copies(kept)
         for i, k, t in zip(frame["id"], frame["k"], frame["text"], strict=True):
             if pd.isna(i) or (int(i), int(k)) in copied:
                 continue
-            hashes = known(_words(t))
+            hashes = known(byte_words(t))
             at = np.flatnonzero(member(_signed(_anchors_of(hashes, window)), wanted))
             if len(at):
                 keys.append((_signed(runs(hashes, window, 5))[at], _second(runs(hashes, window, 7))[at]))
@@ -173,7 +169,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
 
     def locate(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        known, numbers, copied = WordHashes(), {}, _copies(told)
+        known, numbers, copied = ByteHashes(), {}, _copies(told)
         phrases = told[told["copy"].isna()]
         a = phrases["h"].to_numpy(np.int64)
         order = np.argsort(a, kind="stable")
@@ -182,47 +178,52 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         texts, shards, batch, taken = [], [], {}, np.zeros(len(a), bool)
         whole = [not pd.isna(i) and (int(i), int(k)) in copied for i, k in zip(frame["id"], frame["k"], strict=True)]
         for t, copy in zip(frame["text"], whole, strict=True):
-            words = _words(t)
-            ids: tuple[int, ...] = ()
+            words = byte_words(t)
+            spans: list[tuple[int, tuple[int, ...]]] = []
             if len(a) and len(words) >= window and not copy:
                 hashes = known(words)
                 wa, wb = _signed(runs(hashes, window, 5)), _second(runs(hashes, window, 7))
                 low = np.minimum(np.searchsorted(a, wa), len(a) - 1)
                 at = np.flatnonzero(a[low] == wa)
-                if len(at):  # a document without any phrase hash holds no phrase
-                    ids = tuple([numbers.setdefault(w, len(numbers)) for w in words])
-                    at = at[~taken[low[at]] | (b[low[at]] != wb[at])]
-                for place in at.tolist():
+                # a word outside all windows with a phrase hash is in no phrase: only runs of such windows are streamed
+                cut = np.flatnonzero(np.diff(at) >= window)
+                begins, lasts = np.concatenate([at[:1], at[cut + 1]]), np.concatenate([at[cut], at[-1:]])
+                for start, last in zip(begins.tolist(), lasts.tolist(), strict=True):
+                    spans.append((start, tuple([numbers.setdefault(w, len(numbers)) for w in words[start : last + window]])))
+                at = at[~taken[low[at]] | (b[low[at]] != wb[at])]
+                for place, span in zip(at.tolist(), (np.searchsorted(begins, at, "right") - 1).tolist(), strict=True):
+                    start, ids = spans[span]
                     k = int(low[place])
                     while k < len(a) and a[k] == wa[place] and b[k] != wb[place]:
                         k += 1
                     if k < len(a) and a[k] == wa[place] and not taken[k]:
                         taken[k] = True
-                        batch[ids[place : place + window]] = int(first[k])
+                        batch[ids[place - start : place - start + window]] = int(first[k])
                         if len(batch) >= SHARD_PHRASES:
                             shards.append(batch)
                             batch = {}
-            texts.append((words, ids))
+            texts.append((words, spans))
         covers = [np.zeros(len(words) + 1, np.int32) for words, _ in texts]
         keys = [None if pd.isna(i) else int(i) for i in frame["id"]]
         for phrases_ in [*shards, batch]:
             if not phrases_:
                 continue
             shard = Shard(phrases_)
-            for (_, ids), cover, i in zip(texts, covers, keys, strict=True):
-                if i is None or len(ids) < window:
+            for (_, spans), cover, i in zip(texts, covers, keys, strict=True):
+                if i is None:
                     continue
-                ends = [end for end, smallest in shard.occurrences(ids) if smallest < i]
-                if ends:
-                    at = np.array(ends)
-                    cover[at - window + 1] += 1
-                    cover[at + 1] -= 1
+                for start, ids in spans:
+                    ends = [end for end, smallest in shard.occurrences(ids) if smallest < i]
+                    if ends:
+                        at = np.array(ends) + start
+                        cover[at - window + 1] += 1
+                        cover[at + 1] -= 1
         out = []
         for (words, _), cover, i, copy in zip(texts, covers, keys, whole, strict=True):
             gone = np.cumsum(cover[:-1]) > 0 if not copy else np.full(len(words), len(words) >= window)
-            kept = " ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else " ".join(words)
-            digest = hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((i, len(words), int(gone.sum()), digest, *([kept] if keep_text else [])))
+            kept = b" ".join(itertools.compress(words, (~gone).tolist()) if gone.any() else words)
+            digest = hashlib.sha256(kept).hexdigest()
+            out.append((i, len(words), int(gone.sum()), digest, *([kept.decode("utf-8", "surrogatepass")] if keep_text else [])))
         names = ["id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if keep_text else [])]
         found = pd.DataFrame(out, columns=names)
         return found.assign(id=found["id"].astype("Int64"))
