@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from changelore.functions import code
 from changelore.functions import text as X
-from changelore.runtime import broadcast_if_small
+from changelore.runtime import broadcast_if_small, checkpointed
 
 FILE = ["repo_id", "path"]
 
@@ -20,13 +20,15 @@ def code_files(files: DataFrame) -> DataFrame:
 def marks(files: DataFrame) -> DataFrame:
     """Declarations and braces of every code file, in text order.
 
-    Strings and comments are blanked first, so braces and words inside them count for nothing.  Only
+    Strings and comments are blanked first, so braces and words inside them count for nothing, and lines
+    that are blank then are passed over.  The patterns are tried by a generator, once for each line.  Only
     lines with a mark leave the scan; file contents are not shuffled.
     """
     lines = (
         code_files(files)
         .select(*FILE, F.posexplode(X.lines(code.blanked("content"))).alias("at", "line"))
-        .withColumn("opened", code.declaration("line"))
+        .where(F.trim("line") != "")
+        .select("*", F.explode(F.array(code.declaration("line"))).alias("opened"))
     )
     opened = F.col("opened")
     one_line = F.col("line").rlike(r"^[^{]*;\s*$") | opened["kind"].isin(*code.SIGNATURES)
@@ -114,18 +116,26 @@ def files_with_symbols(files: DataFrame, questions: DataFrame) -> DataFrame:
 
 def locate(questions: DataFrame, index: DataFrame) -> DataFrame:
     """Span per question (question_id, repo_id, symbol, file): in the given file, else in
-    the first path that declares the symbol."""
+    the first path that declares the symbol.
+
+    A name that many files declare is reduced to its first path before it meets questions, and a
+    question with a file meets that file only, so a shared name never multiplies its files by its questions.
+    """
     asked = broadcast_if_small(
         questions.select("question_id", "repo_id", F.col("symbol").alias("name"), "file")
     )
-    found = index.join(asked, ["repo_id", "name"]).where(
-        F.col("file").isNull() | (F.col("file") == F.col("path"))
-    )
+    key = ["repo_id", "name"]
+    span = F.struct("repo_id", "path", "name", "kind", "start_line", "end_line").alias("s")
+    # Two steps read the asked names' declarations, so they are written once.
+    index = checkpointed(index.join(asked.select(*key).distinct(), key, "left_semi"))
+    first = index.groupBy(*key).agg(F.min_by(span, "path").alias("s"))
+    anywhere = asked.where(F.col("file").isNull()).join(first, key).select("question_id", "s")
+    there = asked.where(F.col("file").isNotNull()).withColumnRenamed("file", "path")
+    here = there.join(index, [*key, "path"]).select("question_id", span)
     return (
-        found.groupBy("question_id")
-        .agg(
-            F.min_by(F.struct("repo_id", "path", "name", "kind", "start_line", "end_line"), "path").alias("s")
-        )
+        anywhere.unionByName(here)
+        .groupBy("question_id")
+        .agg(F.min_by("s", "s.path").alias("s"))
         .select("question_id", "s.*")
         .withColumnRenamed("name", "symbol")
     )

@@ -12,7 +12,7 @@ from changelore.operators import catalog, evidence, lineage, retrieval, router,
 from changelore.plans import adapters as A
 from changelore.plans import retrieval_queries  # noqa: F401  its SQL is used here
 from changelore.plans.registry import ORACLES, query
-from changelore.runtime import checkpointed
+from changelore.runtime import checkpointed, dealt
 
 # ------------------------------------------------------------------ code files
 
@@ -37,7 +37,8 @@ SYMBOLS_SQL = f"""code AS (
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    return A.table(spark, folder, "part").select(
+    """A stored row is a few bytes and its file many lines: rows are dealt out before they grow."""
+    return dealt(A.table(spark, folder, "part"), "p_partkey").select(
         F.lit(0).alias("repo_id"), F.expr(A.path_of("p_partkey")).alias("path"), F.expr(CODE).alias("content")
     )
 
@@ -182,7 +183,7 @@ def walk_ranges(spark: SparkSession, folder: str) -> DataFrame:
 def lineage_materialize(spark: SparkSession, folder: str) -> DataFrame:
     """The lineage of every class is stored already; the others are walked."""
     index = symbols.symbol_index(files(spark, folder)).where(F.col("name") != "run")
-    spans = index.withColumnRenamed("name", "symbol").drop("kind").withColumn("head_sha", F.lit("h"))
+    spans = checkpointed(index.withColumnRenamed("name", "symbol").drop("kind").withColumn("head_sha", F.lit("h")))
     stored = spans.where(F.col("symbol").startswith("Box")).select(
         "repo_id", "path", "symbol", "head_sha", F.lit("stored").alias("sha"), F.lit(0).cast("long").alias("ord")
     )

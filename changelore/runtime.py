@@ -79,6 +79,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the short rows of a table out, a few parts for each core, before they grow.
+
+    A small file is one or few scan partitions whatever its rows become; a fixed number of parts is not
+    merged by AQE, which only sees how short the rows are.
+    """
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Count the rows and add up their rendered size, in the tasks that compute them.
 

@@ -382,3 +382,85 @@ def test_a_file_renamed_very_often_takes_few_rounds(spark, monkeypatch):
     got = lineage.follow_renames(rows, heads, table).collect()
     assert sorted(r["ord"] for r in got) == list(range(n)) and {r["path"] for r in got} == {f"n{(n - 1) % 3}"}
     assert len(rounds) <= 12
+
+
+def _join_rows(df):
+    """The most rows that any join of a finished query made."""
+    made = []
+
+    def visit(node):
+        rows = node.metrics().get("numOutputRows")
+        if "Join" in node.nodeName() and rows.isDefined():
+            made.append(rows.get().value())
+        for i in range(node.children().size()):
+            visit(node.children().apply(i))
+
+    df.collect()
+    visit(df._jdf.queryExecution().executedPlan())
+    return max(made)
+
+
+def test_a_shared_name_does_not_multiply_files_by_questions(spark):
+    index = spark.range(300).select(
+        F.lit(1).alias("repo_id"), F.format_string("f%03d.js", "id").alias("path"), F.lit("run").alias("name"),
+        F.lit("method_definition").alias("kind"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"),
+    )
+    file = F.when(F.col("id") % 2 == 0, F.format_string("f%03d.js", "id"))
+    asked = spark.range(300).select(F.col("id").alias("question_id"), F.lit(1).alias("repo_id"), F.lit("run").alias("symbol"), file.alias("file"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        located = symbols.locate(asked, index)
+        assert _join_rows(located) <= 300
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    got = {r["question_id"]: r["path"] for r in located.collect()}
+    assert got == {i: f"f{i:03d}.js" if i % 2 == 0 else "f000.js" for i in range(300)}
+
+
+def _counted_spans(spark, names):
+    """Spans that count how often a row of them is computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(1, "a.js", n, 1, 9, "h") for n in names], "repo_id INT, path STRING, symbol STRING, start_line INT, end_line INT, head_sha STRING")
+    return rows.mapInPandas(count, rows.schema), seen
+
+
+HUNK = "repo_id INT, path STRING, sha STRING, ord BIGINT, old_start INT, old_len INT, new_start INT, new_len INT"
+
+
+def test_spans_of_a_walk_are_computed_once(spark):
+    spans, seen = _counted_spans(spark, ["f", "g"])
+    hunks = spark.createDataFrame([(1, "a.js", "s1", 1, 2, 1, 2, 1)], HUNK)
+    got = lineage.walk_ranges(spans.drop("head_sha"), hunks).collect()
+    assert sorted((r["symbol"], r["sha"]) for r in got) == [("f", "s1"), ("g", "s1")]
+    assert seen.value == 2
+
+
+def test_spans_of_stored_lineage_are_computed_once(spark):
+    spans, seen = _counted_spans(spark, ["f", "g"])
+    hunks = spark.createDataFrame([(1, "a.js", "s1", 1, 2, 1, 2, 1)], HUNK)
+    stored = spark.createDataFrame([(1, "a.js", "f", "h", "kept", 7)], "repo_id INT, path STRING, symbol STRING, head_sha STRING, sha STRING, ord BIGINT")
+    got = lineage.materialize(spans, hunks, stored).collect()
+    assert sorted((r["symbol"], r["sha"], r["cache_hit"]) for r in got) == [("f", "kept", True), ("g", "s1", False)]
+    assert seen.value == 2
+
+
+def test_more_symbols_in_a_file_than_a_task_takes(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "SYMBOLS_PER_TASK", 3)
+    spans, _ = _counted_spans(spark, [f"s{i}" for i in range(10)])
+    hunks = spark.createDataFrame([(1, "a.js", "s1", 1, 2, 1, 2, 1), (1, "a.js", "s2", 2, 2, 1, 2, 1)], HUNK)
+    assert lineage.walk_ranges(spans.drop("head_sha"), hunks).count() == 20
+
+
+def test_files_are_dealt_out_before_they_grow(spark, tmp_path):
+    from changelore.plans import lineage_queries
+
+    parts = "p_partkey BIGINT, p_name STRING, p_size INT"
+    spark.createDataFrame([(i, "a b", 3) for i in range(50)], parts).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    grown = lineage_queries.files(spark, str(tmp_path))
+    assert grown.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
