@@ -272,7 +272,7 @@ def _with_blocks(hunks: DataFrame, block_hunks: int) -> DataFrame:
     Files below the limit, normally all of them, are block 0 without a join.
     For a huge file the hunks are counted in narrow position buckets, and the
     running count says at which buckets its blocks begin; only that short list
-    is joined back.
+    is joined back.  `hunks` is read several times, so it is a written table.
     """
     huge, files = checkpointed_count(
         hunks.groupBy(*FILE)
@@ -319,15 +319,26 @@ def walk_ranges(
     out to tasks of bounded size.  Almost every file is one block and done in
     the first round; only the open ranges of larger files go on to their next
     block.  Hunks of files without a span are left out before they are placed.
+    Spans and hunks are read by several steps and computed once.
     """
+    spans = checkpointed(spans)
     asked = broadcast_if_small(spans.select(*FILE).distinct())
-    blocked = checkpointed(_with_blocks(hunks.join(asked, FILE, "left_semi"), block_hunks))
+    asked_hunks = checkpointed(hunks.join(asked, FILE, "left_semi"))
+    blocked = _with_blocks(asked_hunks, block_hunks)
     per_block = {r["block"]: r["n"] for r in blocked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
-    groups = (
+    # Only files with very many symbols have more than one group; normally there are none.
+    wide, files = checkpointed_count(
         spans.groupBy(*FILE)
         .agg(F.ceil(F.count(F.lit(1)) / SYMBOLS_PER_TASK).cast("int").alias("_groups"))
+        .where(F.col("_groups") > 1),
+        F.lit(True),
     )
-    grouping = groups.select(*FILE, F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_group"))
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        if files == 0:
+            return rows.withColumn("_groups", F.lit(1))
+        return rows.join(small(wide, files), FILE, "left").withColumn("_groups", F.coalesce("_groups", F.lit(1)))
+
     names = ["repo_id", "path", "symbol", "sha", "ord", "start_line", "end_line", "is_state"]
     types = [spans.schema["repo_id"].dataType, T.StringType(), spans.schema["symbol"].dataType]
     types += [T.StringType(), T.LongType(), T.LongType(), T.LongType(), T.BooleanType()]
@@ -337,14 +348,16 @@ def walk_ranges(
     for block in sorted(per_block):
         tasks = max(1, math.ceil(per_block[block] / TASK_HUNKS))
         task = F.pmod(F.xxhash64(*FILE, "_group"), F.lit(tasks)).alias("_task")
-        ranges = state.join(groups, FILE).select(
+        ranges = grouped(state).select(
             *FILE,
             F.pmod(F.xxhash64("symbol"), F.col("_groups")).cast("int").alias("_group"),
             "symbol",
             F.col("start_line").cast("long").alias("start_line"),
             F.col("end_line").cast("long").alias("end_line"),
         )
-        part = blocked.where(F.col("block") == block).join(grouping, FILE)
+        part = grouped(blocked.where(F.col("block") == block)).withColumn(
+            "_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))
+        )
         walked = checkpointed(
             ranges.select(task, *FILE, "symbol", "start_line", "end_line")
             .groupBy("_task")
@@ -372,9 +385,9 @@ def materialize(
     stored, so they are walked again.
     """
     key = [*FILE, "symbol", head]
-    known = stored.select(*key).distinct()
-    missing = spans.join(known, key, "left_anti")
-    reused = stored.join(spans.select(*key), key, "left_semi").withColumn("cache_hit", F.lit(True))
+    spans = checkpointed(spans)
+    reused = checkpointed(stored.join(spans.select(*key), key, "left_semi")).withColumn("cache_hit", F.lit(True))
+    missing = spans.join(reused.select(*key).distinct(), key, "left_anti")
     walked = (
         walk_ranges(missing, hunks)
         .join(missing.select(*key), [*FILE, "symbol"])
