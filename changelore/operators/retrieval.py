@@ -8,12 +8,14 @@ which chunks a question may see; without it every chunk is a candidate.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,11 @@ from changelore.runtime import (
 
 SLICE_ROWS = 32_768
 QUERY_BLOCK = 2_048
+#: Rows of a tile of chunks and of questions that meet in one group; scores of one matrix product.
+TILE_CHUNKS, TILE_QUERIES = 65_536, 16_384
+BLOCK_PAIRS = 1 << 22
+#: (chunk, question) scores that one task of the lexical search adds up, and its least chunks.
+TASK_SCORES, TASK_CHUNKS = 2_000_000, 256
 BM25_K1 = 1.2
 BM25_B = 0.75
 _SCOPE = "_scope"
@@ -49,31 +56,47 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _scored_slice(k: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Best k chunks of one slice for every query of one block."""
+def _scored_tile(k: int, slice_rows: int, query_block: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Best k chunks of one tile for every query of it, a block of queries and a slice of chunks at a time.
+
+    Only similarities that reach a query's k-th best so far are rounded and sorted.  Without a number they
+    come last.
+    """
+
+    def best_of(asked: np.ndarray, corpus: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, places, values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        limit = np.full(len(asked), -np.inf)
+        for start in range(0, len(corpus), slice_rows):
+            raw = asked @ corpus[start : start + slice_rows].T
+            raw[np.isnan(raw)] = -np.inf
+            if start == 0 and raw.shape[1] > k:
+                limit = np.partition(raw, raw.shape[1] - k, axis=1)[:, raw.shape[1] - k]
+            r, c = np.nonzero(raw >= limit[:, None] - 1e-6)
+            rows, places = np.r_[rows, r], np.r_[places, start + c]
+            values = np.r_[values, np.round(raw[r, c], 6)]
+            order = np.lexsort((places, -values, rows))
+            rows, places, values = rows[order], places[order], values[order]
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+            kept = nth < k
+            rows, places, values, nth = rows[kept], places[kept], values[kept], nth[kept]
+            limit[rows[nth == k - 1]] = values[nth == k - 1]
+        return rows, places, np.where(np.isinf(values), np.nan, values)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table(
-                {
-                    names[0]: left.column("query_id").slice(0, 0),
-                    names[1]: right.column("chunk_id").slice(0, 0),
-                    names[2]: pa.array([], pa.float64()),
-                }
-            )
-        order = right.column("chunk_id").combine_chunks().argsort() if hasattr(
-            pa.ChunkedArray, "argsort"
-        ) else pa.compute.array_sort_indices(right.column("chunk_id"))
-        right = right.take(order)
-        similarity = np.round(_matrix(left.column("vector")) @ _matrix(right.column("embedding")).T, 6)
-        keep = min(k, similarity.shape[1])
-        best = np.argsort(-similarity, axis=1, kind="stable")[:, :keep]
-        rows = np.repeat(np.arange(similarity.shape[0]), keep)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            right = right.take(pa.compute.sort_indices(right.column("chunk_id")))
+            corpus = _matrix(right.column("embedding"))
+            step = max(1, min(query_block, BLOCK_PAIRS // min(slice_rows, len(corpus))))
+            for start in range(0, left.num_rows, step):
+                rows, places, values = best_of(_matrix(left.column("vector").slice(start, step)), corpus)
+                found.append((start + rows, places, values))
+        rows, places, values = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table(
             {
                 names[0]: left.column("query_id").take(pa.array(rows)),
-                names[1]: right.column("chunk_id").take(pa.array(best.ravel())),
-                names[2]: pa.array(np.take_along_axis(similarity, best, axis=1).ravel()),
+                names[1]: right.column("chunk_id").take(pa.array(places)),
+                names[2]: pa.array(values, from_pandas=False),
             }
         )
 
@@ -89,21 +112,25 @@ def _with_scope(df: DataFrame, scope: Sequence[str]) -> DataFrame:
 def _best_per_slice(
     asked: DataFrame, vectors: DataFrame, k: int, slice_rows: int, query_block: int
 ) -> DataFrame:
-    """Candidate rows (query_id, chunk_id, similarity): k per query, slice and block.
+    """Candidate rows (query_id, chunk_id, similarity): k per query and tile of chunks.
 
-    Both sides carry `_scope`.  A scope is cut into slices of chunks and blocks
-    of queries whose number follows its size, and every (slice, block) is one
-    small matrix product in its own task; pairs never leave it.
+    Both sides carry `_scope`.  A scope is cut into tiles of chunks and of
+    queries whose number follows its size; every pair of tiles is one group, and
+    `slice_rows` and `query_block` bound the matrix products inside it.  A vector
+    travels once for each tile of the other side, so tiles are as large as a task
+    holds, and smaller only while that leaves cores without work.
     """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    busy = math.ceil(math.sqrt(3 * cores))
+
+    def tiles(size: int, least: int) -> Column:
+        n = F.count(F.lit(1))
+        return F.greatest(F.ceil(n / max(size, least)), F.least(F.ceil(n / least), F.lit(busy))).cast("int")
+
     sizes, scopes = checkpointed_count(
         vectors.groupBy(_SCOPE)
-        .agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("_slices"))
-        .join(
-            asked.groupBy(_SCOPE).agg(
-                F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("_blocks")
-            ),
-            _SCOPE,
-        ),
+        .agg(tiles(TILE_CHUNKS, slice_rows).alias("_slices"))
+        .join(asked.groupBy(_SCOPE).agg(tiles(TILE_QUERIES, query_block).alias("_blocks")), _SCOPE),
         F.lit(True),
     )
     sizes = small(sizes, scopes)
@@ -132,7 +159,7 @@ def _best_per_slice(
     return (
         left.groupBy(*key)
         .cogroup(right.groupBy(*key))
-        .applyInArrow(_scored_slice(k, schema.fieldNames()), schema)
+        .applyInArrow(_scored_tile(k, slice_rows, query_block, schema.fieldNames()), schema)
     )
 
 
@@ -274,21 +301,24 @@ def sparse_topk(
     asked = terms.select(*key).distinct()
     if few:
         terms = F.broadcast(terms)
-    if isinstance(chunks, LexicalIndex):
+    indexed = isinstance(chunks, LexicalIndex)
+    parts = _placements(queries, chunks.lengths.read() if indexed else chunks)
+    if indexed:
         counted, sized = chunks.counted(asked), chunks.lengths.read()
+        placed = counted.repartition(parts, "chunk_id")
     else:
-        counted = (
+        counted = placed = (
             postings(chunks, scope)
             .join(F.broadcast(asked) if few else asked, key)
-            .repartition("chunk_id")
+            .repartition(parts, "chunk_id")
             .groupBy("chunk_id", "chunk_length", *key)
             .agg(F.count(F.lit(1)).alias("tf"))
         )
         sized = chunks.where(F.col("tokens").isNotNull()).withColumn("chunk_length", F.size("tokens"))
     if mode == "tf":
-        matched, score = counted, F.sum("tf")
+        matched, score = placed, F.sum("tf")
     elif mode == "bm25":
-        matched, score = _with_bm25(counted, sized, scope, key, few), F.round(F.sum("_weight"), 6)
+        matched, score = _with_bm25(placed, counted, sized, scope, key, few), F.round(F.sum("_weight"), 6)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     scored = matched.join(terms, key).groupBy("chunk_id", "query_id").agg(score.alias("score"))
@@ -298,8 +328,19 @@ def sparse_topk(
     )
 
 
+def _placements(queries: DataFrame, chunks: DataFrame) -> int:
+    """Parts in which chunks meet questions: a part's scores are bounded, however many chunks there are.
+
+    Postings are short rows that grow by the questions with their token, which AQE does not see when it
+    merges parts; so their number is fixed in front.
+    """
+    n, asked = chunks.select("chunk_id").count(), queries.count()
+    least = 3 * chunks.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(math.ceil(n / TASK_CHUNKS), max(least, math.ceil(n * asked / TASK_SCORES))))
+
+
 def _with_bm25(
-    counted: DataFrame, sized: DataFrame, scope: Sequence[str], key: list[str], few: bool
+    placed: DataFrame, counted: DataFrame, sized: DataFrame, scope: Sequence[str], key: list[str], few: bool
 ) -> DataFrame:
     """BM25 weight per (chunk, token); the weight table has one row per asked token at most."""
     totals = _with_scope(sized, scope).groupBy(_SCOPE).agg(
@@ -313,7 +354,7 @@ def _with_bm25(
         .select(*key, "_avg", idf.alias("_idf"))
     )
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("chunk_length") / F.col("_avg"))
-    return counted.join(F.broadcast(weights) if few else weights, key).withColumn(
+    return placed.join(F.broadcast(weights) if few else weights, key).withColumn(
         "_weight", F.col("_idf") * F.col("tf") * (BM25_K1 + 1) / norm
     )
 

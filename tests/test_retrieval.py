@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -215,3 +216,22 @@ def test_an_evaluation_scores_every_kind_of_case(spark):
     assert got == {"who-right": True, "who-wrong": False, "silent": True, "deep": False, "gap": True, "cites": True, "down": None}
     text = evalkit.report_markdown(results, "Title")
     assert "250ms" in text and all(c["id"] in text for c in cases)
+
+
+def test_candidates_follow_tiles_and_not_slices(spark):
+    """Slices bound the products inside a group; each question keeps k rows for a tile of many slices."""
+    chunks = vector_table(spark, np.random.default_rng(5).uniform(-1, 1, (600, 8)).astype(np.float32))
+    asked, corpus = (retrieval._with_scope(t, ()) for t in (as_queries(chunks, 600), chunks))
+    found = retrieval._best_per_slice(asked, corpus, 5, 10, 10).count()
+    assert found <= 600 * 5 * math.ceil(math.sqrt(3 * spark.sparkContext.defaultParallelism))
+
+
+def test_chunks_meet_questions_in_a_number_of_parts_that_follows_them(spark, monkeypatch):
+    chunks, queries = word_corpus(spark), ask(spark, "w1 w2", "w3")
+    want = sorted(map(tuple, retrieval.sparse_topk(queries, chunks, 10).collect()))
+    monkeypatch.setattr(retrieval, "TASK_SCORES", 2)
+    monkeypatch.setattr(retrieval, "TASK_CHUNKS", 1)
+    hits = retrieval.sparse_topk(queries, chunks, 10)
+    assert "REPARTITION_BY_NUM" in hits._jdf.queryExecution().executedPlan().toString()
+    assert retrieval._placements(queries, chunks) == chunks.count()
+    assert sorted(map(tuple, hits.collect())) == want
