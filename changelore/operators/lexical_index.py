@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelore.runtime import checkpointed, is_small
+from changelore.runtime import checkpointed, checkpointed_count, is_small, small
 from changelore.sources.bucketed import BucketedTable
 
 BUCKETS = 64
@@ -87,11 +87,18 @@ def add(index: LexicalIndex, chunks: DataFrame, batch: int) -> None:
     longer token list.  Lengths are written last: they tell which chunks are known.
     """
     known = index.lengths.others(batch).select("chunk_id")
-    once = chunks.where(F.col("tokens").isNotNull()).groupBy("chunk_id").agg(
-        F.max_by(F.struct(*index.scope, "tokens"), F.struct(F.size("tokens"), "tokens")).alias("c")
+    given = chunks.where(F.col("tokens").isNotNull()).select("chunk_id", *index.scope, "tokens")
+    fresh = checkpointed(given.join(known, "chunk_id", "left_anti"))
+    # Ids alone tell which come twice; only their token lists are compared, the others are not sorted.
+    twice, ids = checkpointed_count(
+        fresh.groupBy(F.col("chunk_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id"), F.lit(True)
     )
-    fresh = once.select("chunk_id", *[f"c.{x}" for x in index.scope], "c.tokens").join(known, "chunk_id", "left_anti")
-    fresh = checkpointed(fresh)
+    if ids:
+        same = F.col("chunk_id").eqNullSafe(F.col("_id"))
+        best = F.max_by(F.struct(*index.scope, "tokens"), F.struct(F.size("tokens"), "tokens")).alias("c")
+        longest = fresh.join(small(twice, ids), same, "left_semi").groupBy("chunk_id").agg(best)
+        longest = longest.select("chunk_id", *[f"c.{x}" for x in index.scope], "c.tokens")
+        fresh = fresh.join(small(twice, ids), same, "left_anti").unionByName(longest)
     index.postings.write(counted_tokens(fresh, index.scope), batch)
     index.lengths.write(fresh.select("chunk_id", *index.scope, F.size("tokens").alias("chunk_length")), batch)
 

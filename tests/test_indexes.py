@@ -152,3 +152,26 @@ def test_hybrid_search_over_stored_indexes(spark, tmp_path):
     )
     with pytest.raises(ValueError):
         retrieval.hybrid_search(queries, shown, vectors=near, scope=["repo_id"])
+
+
+def test_questions_of_a_cell_are_dealt_into_blocks(spark, tmp_path, monkeypatch):
+    chunks = vector_table(spark, np.random.default_rng(8).uniform(-1, 1, (90, 6)).astype(np.float32))
+    index = vector_index.open_index(spark, f"{tmp_path}/v", bits=0, buckets=4)
+    vector_index.add(index, chunks, batch=0)
+    queries = as_queries(chunks, 60)
+    want = rows_of(vector_index.topk(queries, index, 5))
+    monkeypatch.setattr(vector_index, "CELL_QUESTIONS", 16)
+    seen = []
+    meeting = vector_index._one_pass
+    monkeypatch.setattr(vector_index, "_one_pass", lambda *a: seen.append(a[3]) or meeting(*a))
+    assert rows_of(vector_index.topk(queries, index, 5)) == want
+    assert seen == [4]
+
+
+def test_chunk_ids_that_come_twice_or_are_null_count_once(spark, tmp_path):
+    rows = [(1, ["a"]), (1, ["a", "b"]), (2, ["a"]), (None, ["c", "c"]), (None, ["c"]), (3, None)]
+    index = lexical_index.open_index(spark, f"{tmp_path}/i", buckets=4)
+    lexical_index.add(index, spark.createDataFrame(rows, "chunk_id BIGINT, tokens ARRAY<STRING>"), batch=0)
+    got = index.lengths.read().select("chunk_id", "chunk_length").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 2), (2, 1), (None, 2)]
+    assert index.postings.read().count() == 4
