@@ -227,11 +227,12 @@ def test_candidates_follow_tiles_and_not_slices(spark):
 
 
 def test_chunks_meet_questions_in_a_number_of_parts_that_follows_them(spark, monkeypatch):
-    chunks, queries = word_corpus(spark), ask(spark, "w1 w2", "w3")
+    texts, chunks = word_corpus(spark)
+    queries = ask(spark, texts[0], texts[1])
     want = sorted(map(tuple, retrieval.sparse_topk(queries, chunks, 10).collect()))
     monkeypatch.setattr(retrieval, "TASK_SCORES", 2)
     monkeypatch.setattr(retrieval, "TASK_CHUNKS", 1)
     hits = retrieval.sparse_topk(queries, chunks, 10)
     assert "REPARTITION_BY_NUM" in hits._jdf.queryExecution().executedPlan().toString()
-    assert retrieval._placements(queries, chunks) == chunks.count()
+    assert retrieval._placements(queries, chunks) == len(texts)
     assert sorted(map(tuple, hits.collect())) == want
