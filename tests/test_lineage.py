@@ -272,6 +272,52 @@ def test_order_time_is_the_latest_time_an_ancestor_forces(spark):
     assert {r["sha"]: r["order_time"] for r in got} == {f"c{k}": t for k, t in want.items()}
 
 
+def test_ordinary_histories_are_settled_by_single_hops(spark, monkeypatch):
+    """Skewed dates on a shallow graph need no spans; with few rounds allowed the spans give the same times."""
+    import datetime
+    import random
+
+    rng = random.Random(5)
+    day = {k: rng.randint(0, 400) for k in range(600)}
+    stamp = lambda k: datetime.datetime(2020, 1, 1) + datetime.timedelta(seconds=day[k])
+    commits = spark.createDataFrame(
+        [(6, f"c{k}", stamp(k)) for k in day] + [(6, "c0", stamp(0)), (6, None, stamp(0)), (None, "c1", stamp(1))],
+        "repo_id INT, sha STRING, committed_at TIMESTAMP",
+    )
+    edges = [(k, k // n, n - 2) for k in range(1, 600) for n in (2, 3)]
+    base, times = int(commits.where("sha = 'c0'").selectExpr("unix_seconds(committed_at)").first()[0]) - day[0], {}
+    for k in day:
+        times[k] = max([day[k], *[times[k // n] + 1 for n in (2, 3) if k]])
+    want = sorted([(6, f"c{k}", base + t) for k, t in times.items()] + [(6, None, base + day[0]), (None, "c1", base + day[1])], key=str)
+
+    spans = []
+    real = graph._doubled
+    monkeypatch.setattr(graph, "_doubled", lambda *a: spans.append(1) or real(*a))
+    for rounds, doubled in ((graph.NEAR_ROUNDS, 0), (2, 1)):
+        monkeypatch.setattr(graph, "NEAR_ROUNDS", rounds)
+        got = graph.topological_order(commits, edges_of(spark, edges)).collect()
+        assert sorted(((r["repo_id"], r["sha"], r["order_time"]) for r in got), key=str) == want
+        assert len(spans) == doubled
+
+
+def test_ancestors_place_the_jumps_once(spark, monkeypatch):
+    """The search numbers commits and writes no table of distinct jumps; heads that no edge names reach themselves."""
+    monkeypatch.setattr(graph, "shortcuts", None)
+    edges = [(k, k // n, n - 2) for k in range(1, 200) for n in (2, 3)]
+    heads = spark.createDataFrame([(6, "c150"), (6, "c7"), (6, "c7"), (6, "x"), (9, "c5")], "repo_id INT, head_sha STRING")
+    got = [(r["repo_id"], r["head_sha"], r["sha"]) for r in graph.ancestors(heads, edges_of(spark, edges)).collect()]
+    want = {(6, "x", "x"), (9, "c5", "c5")}
+    for head in (150, 7):
+        seen, todo = set(), [head]
+        while todo:
+            k = todo.pop()
+            if k not in seen:
+                seen.add(k)
+                todo += [k // 2, k // 3] if k else []
+        want |= {(6, f"c{head}", f"c{k}") for k in seen}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_a_long_line_without_times_takes_few_rounds(spark, monkeypatch):
     rounds = []
     real = graph.checkpointed_count
