@@ -38,8 +38,11 @@ QUERY_BLOCK = 2_048
 #: Rows of a tile of chunks and of questions that meet in one group; scores of one matrix product.
 TILE_CHUNKS, TILE_QUERIES = 65_536, 16_384
 BLOCK_PAIRS = 1 << 22
-#: (chunk, question) scores that one task of the lexical search adds up, and its least chunks.
-TASK_SCORES, TASK_CHUNKS = 2_000_000, 256
+#: (chunk, question) scores that one task of the lexical search adds up, at most, and its least chunks.
+TASK_SCORES, TASK_CHUNKS = 4_000_000, 256
+#: Scores of a task while there are few parts, and how many these are: a task that deals its rows out to no
+#: more of them writes a file for each (`spark.shuffle.sort.bypassMergeThreshold`) and holds none in memory.
+FEW_SCORES, FEW_PARTS = 500_000, 200
 BM25_K1 = 1.2
 BM25_B = 0.75
 _SCOPE = "_scope"
@@ -332,11 +335,13 @@ def _placements(queries: DataFrame, chunks: DataFrame) -> int:
     """Parts in which chunks meet questions: a part's scores are bounded, however many chunks there are.
 
     Postings are short rows that grow by the questions with their token, which AQE does not see when it
-    merges parts; so their number is fixed in front.
+    merges parts; so their number is fixed in front.  More parts than `FEW_PARTS` come only with scores that
+    these cannot hold: then positions are held where they are dealt out.
     """
     n, asked = chunks.select("chunk_id").count(), queries.count()
     least = 3 * chunks.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(math.ceil(n / TASK_CHUNKS), max(least, math.ceil(n * asked / TASK_SCORES))))
+    light = min(FEW_PARTS, math.ceil(n * asked / FEW_SCORES))
+    return max(1, min(math.ceil(n / TASK_CHUNKS), max(least, light, math.ceil(n * asked / TASK_SCORES))))
 
 
 def _with_bm25(

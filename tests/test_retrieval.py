@@ -236,3 +236,13 @@ def test_chunks_meet_questions_in_a_number_of_parts_that_follows_them(spark, mon
     assert "REPARTITION_BY_NUM" in hits._jdf.queryExecution().executedPlan().toString()
     assert retrieval._placements(queries, chunks) == len(texts)
     assert sorted(map(tuple, hits.collect())) == want
+
+
+def test_a_part_holds_few_scores_and_few_parts_are_dealt_out(spark):
+    def parts(chunks: int, questions: int) -> int:
+        return retrieval._placements(spark.range(questions), spark.range(chunks).withColumnRenamed("id", "chunk_id"))
+
+    assert 100_000 * 400 / parts(100_000, 400) <= 500_000
+    # so many scores that light parts would be very many: tasks would hold the rows that they deal out
+    assert parts(2_000_000, 300) == 200
+    assert 2_000_000 * 2_000 / parts(2_000_000, 2_000) <= 4_000_000
