@@ -9,6 +9,8 @@ any common order of tokens: the l-prefix.  A longer prefix costs more lookups an
    shingle is one row per block.
 3. The others order their tokens by true document frequency, rarest first, and each chooses its l by the
    estimated cost of its lists.  A pair must share min(l, l') tokens of these prefixes to be verified.
+   Sketches of whole sets bound what they differ by, so a pair that only shares frequent tokens ends inside
+   the join that finds it.
 4. In a few rounds, documents that share a minimum hash are compared with one leader only, one document
    of each component; what that links is contracted, and lists held by one component make no pairs.  All
    other candidates are verified, so no link between components is lost and groups of near copies never
@@ -37,12 +39,15 @@ BLOCK_CHARS = 2_000_000
 FIRST_EXTRA = 10
 #: Choices of l, in percent of the set (1 match at least).
 EXTRA_CHOICES = (0, 2, 5, 10, 15)
-#: Cost of verifying one pair, in list entries read.
-VERIFY_COST = 50
+#: Cost of verifying one pair, in list entries read; sketches turn most of them down inside the join.
+VERIFY_COST = 1
 #: Rounds of comparing components with leaders; fewer when a round links nothing.
 TURNS = 9
 #: Rows that a document is dealt out to where others are compared with it.
 SALTS = 8
+#: Columns of a set's sketch, 64 bits each.
+SKETCH = [f"b{k}" for k in range(8)]
+_BITS = ", ".join(f"{c} long" for c in SKETCH)
 
 
 def shingle_set(text: str | None, known: ByteHashes, width: int = SHINGLE) -> np.ndarray:
@@ -63,6 +68,18 @@ def _needed(n: int, percent: int = SIMILAR) -> int:
     return -(-percent * n // 100)
 
 
+def sketch(tokens: np.ndarray) -> list[int]:
+    """Per value of a token's last bits, whether an odd number of the set's tokens has it."""
+    odd = np.bincount((tokens & 511).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """False only for sets that are not similar: every bit that differs is a token that one of the two lacks."""
+    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH), F.lit(0))
+    return differ * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
+
+
 def linked(a: Column, b: Column, n_a: Column, n_b: Column, percent: int = SIMILAR) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return 100 * shared >= percent * (n_a + n_b - shared)
@@ -95,7 +112,7 @@ def _first_prefix(n: int, percent: int) -> tuple[int, int]:
 
 
 def _picked(blocked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(id, k1, n, tokens) of each class's first document; tokens only where the set may have a partner."""
+    """(id, k1, n, tokens, sketch) of each class's first document; tokens only where the set may have a partner."""
 
     def report(frame: pd.DataFrame) -> pd.DataFrame:
         known, tokens, owner = ByteHashes(), [], []
@@ -152,17 +169,17 @@ def _picked(blocked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 upto, extra = _first_prefix(len(s), percent)
                 s = s.view(np.int64)
                 enough = len(s) and member(s[:upto], hot).sum() >= extra
-                out.append((int(i), int(k), len(s), s if enough else None))
-        return pd.DataFrame(out, columns=["id", "k1", "n", "tokens"])
+                out.append((int(i), int(k), len(s), s if enough else None, *(sketch(s) if enough else [0] * len(SKETCH))))
+        return pd.DataFrame(out, columns=["id", "k1", "n", "tokens", *SKETCH])
 
     told = recurring.unionByName(firsts)
     return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
-        pick, "id long, k1 long, n int, tokens array<long>"
+        pick, f"id long, k1 long, n int, tokens array<long>, {_BITS}"
     )
 
 
 def _prefixes(sets: DataFrame, n_blocks: int, percent: int) -> DataFrame:
-    """(h, id, n, level, chosen): the tokens of each document's chosen prefix, rarest first."""
+    """(h, id, n, level, chosen, sketch): the tokens of each document's chosen prefix, rarest first."""
     dealt = sets.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
@@ -178,7 +195,7 @@ def _prefixes(sets: DataFrame, n_blocks: int, percent: int) -> DataFrame:
         rows = []
         order = np.argsort(frequent["h"].to_numpy(np.int64), kind="stable")
         h, f = frequent["h"].to_numpy(np.int64)[order], frequent["df"].to_numpy(np.int64)[order]
-        for i, n, tokens in zip(frame["id"], frame["n"], frame["tokens"], strict=True):
+        for i, n, tokens, *bits in zip(*(frame[c] for c in ["id", "n", "tokens", *SKETCH]), strict=True):
             tokens = np.asarray(tokens, dtype=np.int64)
             if not len(h):
                 continue
@@ -202,35 +219,38 @@ def _prefixes(sets: DataFrame, n_blocks: int, percent: int) -> DataFrame:
                 rows.append(
                     pd.DataFrame(
                         {"h": tokens[:upto][useful], "id": i, "n": n, "level": level[useful], "chosen": best[1]}
+                        | dict(zip(SKETCH, bits, strict=True))
                     )
                 )
-        return pd.concat(rows) if rows else pd.DataFrame({"h": [], "id": [], "n": [], "level": [], "chosen": []})
+        return pd.concat(rows) if rows else pd.DataFrame({c: [] for c in ["h", "id", "n", "level", "chosen", *SKETCH]})
 
     return dealt.groupBy("block").cogroup(df.groupBy("block")).applyInPandas(
-        choose, "h long, id long, n int, level int, chosen int"
+        choose, f"h long, id long, n int, level int, chosen int, {_BITS}"
     )
 
 
-def _round_pairs(sets: DataFrame, known: DataFrame | None, n_known: int, turn: int) -> DataFrame:
-    """(a, b): per minimum hash a leader, and one document of each other component beside it.
+def _round_pairs(sets: DataFrame, known: DataFrame | None, n_known: int, turn: int, percent: int) -> DataFrame:
+    """(a, b): per minimum hash a leader, and one document of each other component that may be similar.
 
     Hash function, leader and documents are drawn anew each turn, so two components of a group of near
     copies that miss each other once have independent chances later.
     """
-    keyed = sets.select("id", F.array_min(F.transform("tokens", _seeded(turn))).alias("key"))
+    keyed = sets.select("id", F.struct("id", "n", *SKETCH).alias("set"), F.array_min(F.transform("tokens", _seeded(turn))).alias("key"))
     if known is None:
         keyed = keyed.withColumn("comp", F.col("id"))
     else:
         keyed = keyed.join(small(known, n_known), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     draw = lambda salt: F.struct(F.xxhash64(F.lit(turn), F.lit(salt), "id"), "id")
-    drawn = keyed.groupBy("key", "comp").agg(F.min_by("id", draw(1)).alias("b"), F.min(draw(2)).alias("d"))
+    drawn = keyed.groupBy("key", "comp").agg(
+        F.min_by("set", draw(1)).alias("b"), F.min_by("set", draw(2)).alias("a"), F.min(draw(2)).alias("d")
+    )
     leaders = drawn.groupBy("key").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("comp", F.col("d.id").alias("id")), "d").alias("leader")
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("comp", "a"), "d").alias("leader")
     ).where(F.col("lo") < F.col("hi"))
     return (
-        drawn.join(leaders, "key")
-        .where(F.col("comp") != F.col("leader.comp"))
-        .select(F.col("leader.id").alias("a"), "b")
+        drawn.drop("a").join(leaders, "key")
+        .where((F.col("comp") != F.col("leader.comp")) & _may_link("leader.a", "b", percent))
+        .select(F.col("leader.a.id").alias("a"), F.col("b.id").alias("b"))
         .distinct()
     )
 
@@ -239,7 +259,7 @@ def _contracted(sets: DataFrame, n_sets: int, percent: int) -> tuple[DataFrame,
     """Links (a, b) found beside leaders, and the components (id, component) they make."""
     links, known, seen = None, None, 0
     for turn in range(TURNS):
-        pairs, n = checkpointed_count(filled(_round_pairs(sets, known, seen, turn), max(n_sets, seen)), F.lit(True))
+        pairs, n = checkpointed_count(filled(_round_pairs(sets, known, seen, turn, percent), max(n_sets, seen)), F.lit(True))
         if n == 0:
             break
         found, n = checkpointed_count(filled(_verified(pairs, n, sets, percent), n), F.lit(True))
@@ -270,7 +290,8 @@ def _cross_pairs(prefixes: DataFrame, known: DataFrame, percent: int) -> DataFra
         & (F.col("a.id") < F.col("b.id"))
         & (F.col("a.comp") != F.col("b.comp"))
         & (F.col("a.n") * 100 >= F.col("b.n") * percent)
-        & (F.col("b.n") * 100 >= F.col("a.n") * percent),
+        & (F.col("b.n") * 100 >= F.col("a.n") * percent)
+        & _may_link("a", "b", percent),
     ).select(
         F.col("a.id").alias("a"),
         F.col("b.id").alias("b"),
@@ -307,7 +328,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
             yield pd.DataFrame({"n_shingles": [len(shingle_set(t, words)) for t in frame["text"]]})
 
     picked, n_sets = checkpointed_count(_picked(blocked, classes, percent), F.col("tokens").isNotNull())
-    sets = picked.where(F.col("tokens").isNotNull()).select("id", "n", "tokens")
+    sets = picked.where(F.col("tokens").isNotNull()).select("id", "n", "tokens", *SKETCH)
     links, known = _contracted(sets, n_sets, percent)
     prefixes = _prefixes(sets, max(1, n_blocks // 4), percent)
     pairs, n_pairs = checkpointed_count(_cross_pairs(prefixes, known, percent), F.lit(True))
