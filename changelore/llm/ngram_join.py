@@ -11,10 +11,10 @@ any common order of tokens: the l-prefix.  A longer prefix costs more lookups an
    estimated cost of its lists.  A pair must share min(l, l') tokens of these prefixes to be verified.
    Sketches of whole sets bound what they differ by, so a pair that only shares frequent tokens ends inside
    the join that finds it.
-4. In a few rounds, documents that share a minimum hash are compared with one leader only, one document
-   of each component; what that links is contracted, and lists held by one component make no pairs.  All
-   other candidates are verified, so no link between components is lost and groups of near copies never
-   become all their pairs.
+4. In a few rounds, documents that share a minimum hash, then those that share a token of their prefixes,
+   are compared with one leader only, one document of each component; what that links is contracted, and
+   lists held by one component make no pairs.  All other candidates are verified, so no link between
+   components is lost and groups of near copies never become all their pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from changelore.llm.components import components, filled
 from changelore.llm.shingles import ByteHashes, member, runs
-from changelore.runtime import checkpointed, checkpointed_count, small
+from changelore.runtime import BROADCAST_ROWS, checkpointed, checkpointed_count, small
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -41,13 +41,20 @@ FIRST_EXTRA = 10
 EXTRA_CHOICES = (0, 2, 5, 10, 15)
 #: Cost of verifying one pair, in list entries read; sketches turn most of them down inside the join.
 VERIFY_COST = 1
-#: Rounds of comparing components with leaders; fewer when a round links nothing.
-TURNS = 9
+#: Minimum hashes of a set that each round of comparing components with leaders uses, more as fewer components
+#: are left; no further rounds when one links nothing.
+TURN_KEYS = (1, 2, 5)
+#: Further rounds that compare components which share a token of a chosen prefix.
+PREFIX_TURNS = 4
+#: Tokens that are multiplied at once for the minimum hashes.
+MIN_TOKENS = 16_384
 #: Rows that a document is dealt out to where others are compared with it.
 SALTS = 8
 #: Columns of a set's sketch, 64 bits each.
 SKETCH = [f"b{k}" for k in range(8)]
 _BITS = ", ".join(f"{c} long" for c in SKETCH)
+#: An odd factor for each minimum hash: the products of well mixed tokens are orders of their own.
+_FACTORS = np.random.default_rng(8).integers(0, 1 << 63, sum(TURN_KEYS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | None, known: ByteHashes, width: int = SHINGLE) -> np.ndarray:
@@ -74,6 +81,15 @@ def sketch(tokens: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def min_hashes(tokens: np.ndarray) -> list[int]:
+    """The minimum hashes of a set, one for each factor."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
+    for start in range(0, len(tokens), MIN_TOKENS):
+        part = tokens[start : start + MIN_TOKENS].view(np.uint64)
+        np.minimum(least, (_FACTORS[:, None] * part[None, :]).min(axis=1), out=least)
+    return least.view(np.int64).tolist()
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """False only for sets that are not similar: every bit that differs is a token that one of the two lacks."""
     differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH), F.lit(0))
@@ -112,7 +128,7 @@ def _first_prefix(n: int, percent: int) -> tuple[int, int]:
 
 
 def _picked(blocked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(id, k1, n, tokens, sketch) of each class's first document; tokens only where the set may have a partner."""
+    """(id, k1, n, tokens, keys, sketch) of each class's first document; tokens only where it may have a partner."""
 
     def report(frame: pd.DataFrame) -> pd.DataFrame:
         known, tokens, owner = ByteHashes(), [], []
@@ -169,12 +185,13 @@ def _picked(blocked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 upto, extra = _first_prefix(len(s), percent)
                 s = s.view(np.int64)
                 enough = len(s) and member(s[:upto], hot).sum() >= extra
-                out.append((int(i), int(k), len(s), s if enough else None, *(sketch(s) if enough else [0] * len(SKETCH))))
-        return pd.DataFrame(out, columns=["id", "k1", "n", "tokens", *SKETCH])
+                found = (s, min_hashes(s), *sketch(s)) if enough else (None, None, *[0] * len(SKETCH))
+                out.append((int(i), int(k), len(s), *found))
+        return pd.DataFrame(out, columns=["id", "k1", "n", "tokens", "keys", *SKETCH])
 
     told = recurring.unionByName(firsts)
     return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
-        pick, f"id long, k1 long, n int, tokens array<long>, {_BITS}"
+        pick, f"id long, k1 long, n int, tokens array<long>, keys array<long>, {_BITS}"
     )
 
 
@@ -229,18 +246,20 @@ def _prefixes(sets: DataFrame, n_blocks: int, percent: int) -> DataFrame:
     )
 
 
-def _round_pairs(sets: DataFrame, known: DataFrame | None, n_known: int, turn: int, percent: int) -> DataFrame:
-    """(a, b): per minimum hash a leader, and one document of each other component that may be similar.
+def _with_comp(rows: DataFrame, known: DataFrame | None, n_known: int) -> DataFrame:
+    """Rows (id, ...) with `comp`, what their document has become so far."""
+    if known is None:
+        return rows.withColumn("comp", F.col("id"))
+    return rows.join(small(known, n_known), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+
+def _leader_pairs(keyed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b) of rows (key, comp, set): per key a leader, and one document of each other component that may be similar.
 
-    Hash function, leader and documents are drawn anew each turn, so two components of a group of near
-    copies that miss each other once have independent chances later.
+    Leader and documents are drawn anew for each key and turn, so two components of a group of near copies
+    that miss each other once have independent chances with others.
     """
-    keyed = sets.select("id", F.struct("id", "n", *SKETCH).alias("set"), F.array_min(F.transform("tokens", _seeded(turn))).alias("key"))
-    if known is None:
-        keyed = keyed.withColumn("comp", F.col("id"))
-    else:
-        keyed = keyed.join(small(known, n_known), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    draw = lambda salt: F.struct(F.xxhash64(F.lit(turn), F.lit(salt), "id"), "id")
+    draw = lambda salt: F.struct(F.xxhash64("key", F.lit(2 * turn + salt), "set.id"), "set.id")
     drawn = keyed.groupBy("key", "comp").agg(
         F.min_by("set", draw(1)).alias("b"), F.min_by("set", draw(2)).alias("a"), F.min(draw(2)).alias("d")
     )
@@ -255,34 +274,52 @@ def _round_pairs(sets: DataFrame, known: DataFrame | None, n_known: int, turn: i
     )
 
 
-def _contracted(sets: DataFrame, n_sets: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) found beside leaders, and the components (id, component) they make."""
-    links, known, seen = None, None, 0
-    for turn in range(TURNS):
-        pairs, n = checkpointed_count(filled(_round_pairs(sets, known, seen, turn, percent), max(n_sets, seen)), F.lit(True))
-        if n == 0:
-            break
-        found, n = checkpointed_count(filled(_verified(pairs, n, sets, percent), n), F.lit(True))
-        if n == 0:
+def _linked_more(
+    keyed: DataFrame, n_rows: int, sets: DataFrame, known: DataFrame | None, seen: int, turn: int, percent: int
+) -> tuple[DataFrame | None, int, bool]:
+    """The components and their number of ids after one turn, and whether it linked any."""
+    pairs, n = checkpointed_count(filled(_leader_pairs(keyed, turn, percent), max(n_rows, seen)), F.lit(True))
+    if n == 0:
+        return known, seen, False
+    found, n = checkpointed_count(filled(_verified(pairs, n, sets, percent), n), F.lit(True))
+    if n == 0:
+        return known, seen, False
+    # what was linked before hangs on its smallest document: few steps are left
+    links = found if known is None else _star(known).unionByName(found)
+    return *checkpointed_count(components(links), F.lit(True)), True
+
+
+def _star(known: DataFrame) -> DataFrame:
+    return known.select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
+def _contracted(sets: DataFrame, n_sets: int, percent: int) -> tuple[DataFrame | None, int]:
+    """The components (id, component) that links to leaders of equal minimum hashes make, and their number of ids."""
+    known, seen = None, 0
+    for turn, width in enumerate(TURN_KEYS):
+        keys = F.slice("keys", sum(TURN_KEYS[:turn]) + 1, width)
+        keyed = sets.select("id", F.struct("id", "n", *SKETCH).alias("set"), F.explode(keys).alias("key"))
+        known, seen, more = _linked_more(_with_comp(keyed, known, seen), n_sets, sets, known, seen, turn, percent)
+        if not more:
             break
-        # a component is told by its links to what it had become
-        links = found if links is None else links.unionByName(found)
-        known, seen = checkpointed_count(components(links), F.lit(True))
-    none = sets.sparkSession.createDataFrame([], "id long, component long")
-    if links is None or known is None:
-        return none.select(F.col("id").alias("a"), F.col("component").alias("b")), none
-    return links, known
+    return known, seen
 
 
-def _seeded(seed: int):
-    return lambda t: F.xxhash64(F.lit(seed), t)
+def _mixed(prefixes: DataFrame, known: DataFrame | None, n_known: int) -> DataFrame:
+    """The tokens of prefixes that several components hold, with the component of each row."""
+    token = W.partitionBy("h")
+    return (
+        _with_comp(prefixes, known, n_known)
+        .withColumn("lo", F.min("comp").over(token))
+        .withColumn("hi", F.max("comp").over(token))
+        .where(F.col("lo") < F.col("hi"))
+        .drop("lo", "hi")
+    )
 
 
-def _cross_pairs(prefixes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(prefixes: DataFrame, known: DataFrame | None, percent: int, n_known: int = BROADCAST_ROWS + 1) -> DataFrame:
     """Candidate pairs of different components that share enough prefix tokens."""
-    rows = prefixes.join(known, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi"))
-    rows = rows.join(mixed.select("h"), "h")
+    rows = _mixed(prefixes, known, n_known)
     a, b = rows.alias("a"), rows.alias("b")
     both = a.join(
         b,
@@ -328,10 +365,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
             yield pd.DataFrame({"n_shingles": [len(shingle_set(t, words)) for t in frame["text"]]})
 
     picked, n_sets = checkpointed_count(_picked(blocked, classes, percent), F.col("tokens").isNotNull())
-    sets = picked.where(F.col("tokens").isNotNull()).select("id", "n", "tokens", *SKETCH)
-    links, known = _contracted(sets, n_sets, percent)
-    prefixes = _prefixes(sets, max(1, n_blocks // 4), percent)
-    pairs, n_pairs = checkpointed_count(_cross_pairs(prefixes, known, percent), F.lit(True))
+    sets = picked.where(F.col("tokens").isNotNull()).select("id", "n", "tokens", "keys", *SKETCH)
+    known, seen = _contracted(sets, n_sets, percent)
+    prefixes, n_rows = checkpointed_count(_mixed(_prefixes(sets, max(1, n_blocks // 4), percent), known, seen).drop("comp"), F.lit(True))
+    for turn in range(PREFIX_TURNS):
+        listed = prefixes.select("id", F.struct("id", "n", *SKETCH).alias("set"), F.col("h").alias("key"))
+        known, seen, more = _linked_more(_with_comp(listed, known, seen), n_rows, sets, known, seen, turn, percent)
+        if not more:
+            break
+        prefixes, n_rows = checkpointed_count(_mixed(prefixes, known, seen).drop("comp"), F.lit(True))
+    pairs, n_pairs = checkpointed_count(_cross_pairs(prefixes, known, percent, seen), F.lit(True))
     cross = checkpointed(_verified(pairs, n_pairs, sets, percent))
     # copies hang on their class, classes on their component; a key with several texts ties their classes
     sized = classes.join(picked.select(F.col("id").alias("rep"), "k1", "n"), ["rep", "k1"])
@@ -339,7 +382,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     full = member.where(F.col("n") > 0)
     several = full.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b"))
     tied = full.join(several.select("id"), "id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    final = components(links.unionByName(cross).unionByName(tied.where(F.col("a") != F.col("b"))))
+    cross = cross if known is None else _star(known).unionByName(cross)
+    final = components(cross.unionByName(tied.where(F.col("a") != F.col("b"))))
     lowest = (
         full.groupBy("id")
         .agg(F.min("rep").alias("rep"))
