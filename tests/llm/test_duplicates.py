@@ -106,6 +106,21 @@ def test_sketches_lose_no_similar_pair(spark):
                 assert (i, j) in kept
 
 
+def test_minimum_hashes_agree_as_often_as_sets_are_similar(monkeypatch):
+    """Orders of their own, whatever the pieces that tokens are multiplied in."""
+    draw = np.random.default_rng(6)
+    agree = []
+    for _ in range(200):
+        whole = draw.integers(0, 1 << 63, 110, np.uint64) * np.uint64(2)
+        one, other = ngram_join.min_hashes(whole[:100]), ngram_join.min_hashes(whole[10:])
+        with monkeypatch.context() as m:
+            m.setattr(ngram_join, "MIN_TOKENS", 7)
+            assert ngram_join.min_hashes(whole[:100].view(np.int64)) == one
+        agree.append(np.mean(np.equal(one, other)))
+    assert len(one) == sum(ngram_join.TURN_KEYS)
+    assert abs(np.mean(agree) - 90 / 110) < 0.05
+
+
 def test_ngram_groups_of_nothing(table_of):
     docs = table_of([(1, None, "", "", 1), (2, "", "", "", 1), (3, " ", "", "", 1)], DOC_SCHEMA)
     assert {tuple(r) for r in ngram_join.groups(docs).collect()} == {(1, 0, 1), (2, 0, 2), (3, 0, 3)}
