@@ -25,6 +25,7 @@ from changelore.functions import text as X
 from changelore.operators import lexical, skew, snapshot, vector_index
 from changelore.operators.lexical_index import LexicalIndex
 from changelore.operators.vector_index import VectorIndex
+from changelore.operators.vectors import Nearest, product_error
 from changelore.runtime import (
     BROADCAST_ROWS,
     broadcast_if_small,
@@ -35,9 +36,10 @@ from changelore.runtime import (
 
 SLICE_ROWS = 32_768
 QUERY_BLOCK = 2_048
-#: Rows of a tile of chunks and of questions that meet in one group; scores of one matrix product.
-TILE_CHUNKS, TILE_QUERIES = 65_536, 16_384
-BLOCK_PAIRS = 1 << 22
+#: Rows of a tile of chunks and of questions that meet in one group, more chunks while their vectors are short
+#: (at most so many rows and values); scores of one matrix product, and its chunks.
+TILE_CHUNKS, TILE_QUERIES, WIDE_CHUNKS, TILE_VALUES = 65_536, 16_384, 262_144, 1 << 24
+BLOCK_PAIRS, PRODUCT_ROWS = 1 << 22, 4_096
 #: (chunk, question) scores that one task of the lexical search adds up, at most, and its least chunks.
 TASK_SCORES, TASK_CHUNKS = 4_000_000, 256
 #: Scores of a task while there are few parts, and how many these are: a task that deals its rows out to no
@@ -62,27 +64,22 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def _scored_tile(k: int, slice_rows: int, query_block: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Best k chunks of one tile for every query of it, a block of queries and a slice of chunks at a time.
 
-    Only similarities that reach a query's k-th best so far are rounded and sorted.  Without a number they
-    come last.
+    Products are float32; only pairs whose product can reach a query's k-th best so far are scored with all
+    digits, rounded and sorted.  Similarities without a number come last.
     """
-
-    def best_of(asked: np.ndarray, corpus: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows, places, values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        limit = np.full(len(asked), -np.inf)
-        for start in range(0, len(corpus), slice_rows):
-            raw = asked @ corpus[start : start + slice_rows].T
-            raw[np.isnan(raw)] = -np.inf
-            if start == 0 and raw.shape[1] > k:
-                limit = np.partition(raw, raw.shape[1] - k, axis=1)[:, raw.shape[1] - k]
-            r, c = np.nonzero(raw >= limit[:, None] - 1e-6)
-            rows, places = np.r_[rows, r], np.r_[places, start + c]
-            values = np.r_[values, np.round(raw[r, c], 6)]
-            order = np.lexsort((places, -values, rows))
-            rows, places, values = rows[order], places[order], values[order]
-            nth = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
-            kept = nth < k
-            rows, places, values, nth = rows[kept], places[kept], values[kept], nth[kept]
-            limit[rows[nth == k - 1]] = values[nth == k - 1]
+    width = min(slice_rows, PRODUCT_ROWS)
+
+    def best_of(asked: np.ndarray, corpus: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        near = Nearest(len(asked), k, lambda r, c: np.einsum("ij,ij->i", asked[r], corpus[c]))
+        every, wanted = np.arange(len(asked)), asked.astype(np.float32)
+        room = np.full(len(asked), product_error(asked.shape[1]))
+        whole = np.isfinite(wanted).all() and np.isfinite(short).all()
+        for start in range(0, len(corpus), width):
+            raw = wanted @ short[start : start + width].T
+            if not whole:
+                raw[np.isnan(raw)] = -np.inf
+            near.offer(every, start, raw, room)
+        rows, places, values = near.best()
         return rows, places, np.where(np.isinf(values), np.nan, values)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -90,9 +87,10 @@ def _scored_tile(k: int, slice_rows: int, query_block: int, names: list[str]) ->
         if left.num_rows and right.num_rows:
             right = right.take(pa.compute.sort_indices(right.column("chunk_id")))
             corpus = _matrix(right.column("embedding"))
-            step = max(1, min(query_block, BLOCK_PAIRS // min(slice_rows, len(corpus))))
+            short = corpus.astype(np.float32)
+            step = max(1, min(query_block, BLOCK_PAIRS // min(width, len(corpus))))
             for start in range(0, left.num_rows, step):
-                rows, places, values = best_of(_matrix(left.column("vector").slice(start, step)), corpus)
+                rows, places, values = best_of(_matrix(left.column("vector").slice(start, step)), corpus, short)
                 found.append((start + rows, places, values))
         rows, places, values = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table(
@@ -121,19 +119,21 @@ def _best_per_slice(
     queries whose number follows its size; every pair of tiles is one group, and
     `slice_rows` and `query_block` bound the matrix products inside it.  A vector
     travels once for each tile of the other side, so tiles are as large as a task
-    holds, and smaller only while that leaves cores without work.
+    holds; those of questions are smaller while that leaves cores without work.
     """
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    busy = math.ceil(math.sqrt(3 * cores))
-
-    def tiles(size: int, least: int) -> Column:
-        n = F.count(F.lit(1))
-        return F.greatest(F.ceil(n / max(size, least)), F.least(F.ceil(n / least), F.lit(busy))).cast("int")
-
+    groups = F.lit(3 * vectors.sparkSession.sparkContext.defaultParallelism)
+    n = F.count(F.lit(1))
+    # chunks of a tile: more while vectors are short, as each question keeps k rows for every tile
+    short = F.floor(F.lit(TILE_VALUES) / F.greatest(F.max(F.size("embedding")), F.lit(1)))
+    wide = F.least(F.greatest(short, F.lit(TILE_CHUNKS)), F.lit(max(WIDE_CHUNKS, TILE_CHUNKS)))
+    sides = vectors.groupBy(_SCOPE).agg(F.ceil(n / F.greatest(wide, F.lit(slice_rows))).alias("_least"), F.ceil(n / slice_rows).alias("_most")).join(
+        asked.groupBy(_SCOPE).agg(F.ceil(n / max(TILE_QUERIES, query_block)).alias("_few"), F.ceil(n / query_block).alias("_many")), _SCOPE
+    )
+    fill = F.ceil(groups / F.greatest("_few", F.least(F.col("_many"), groups)))
     sizes, scopes = checkpointed_count(
-        vectors.groupBy(_SCOPE)
-        .agg(tiles(TILE_CHUNKS, slice_rows).alias("_slices"))
-        .join(asked.groupBy(_SCOPE).agg(tiles(TILE_QUERIES, query_block).alias("_blocks")), _SCOPE),
+        sides.withColumn("_slices", F.greatest("_least", F.least(F.col("_most"), fill)).cast("int"))
+        .withColumn("_blocks", F.greatest("_few", F.least(F.col("_many"), F.ceil(groups / F.col("_slices")))).cast("int"))
+        .select(_SCOPE, "_slices", "_blocks"),
         F.lit(True),
     )
     sizes = small(sizes, scopes)

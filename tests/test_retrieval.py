@@ -246,3 +246,31 @@ def test_a_part_holds_few_scores_and_few_parts_are_dealt_out(spark):
     # so many scores that light parts would be very many: tasks would hold the rows that they deal out
     assert parts(2_000_000, 300) == 200
     assert 2_000_000 * 2_000 / parts(2_000_000, 2_000) <= 4_000_000
+
+
+def test_pairs_out_of_reach_are_not_scored_with_all_digits():
+    """Also for vectors without a number and for ties, which are cut by their place."""
+    from changelore.operators.vectors import Nearest, product_error
+
+    rng = np.random.default_rng(21)
+    asked, corpus = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rng.normal(size=(24, 16)), rng.normal(size=(3_000, 16))))
+    corpus[1_500:2_500] = corpus[7]
+    corpus[40] = np.nan
+    seen = []
+
+    def exact(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        seen.append(len(rows))
+        return np.einsum("ij,ij->i", asked[rows], corpus[places])
+
+    near = Nearest(24, 5, exact)
+    for start in range(0, 3_000, 250):
+        raw = asked.astype(np.float32) @ corpus[start : start + 250].astype(np.float32).T
+        raw[np.isnan(raw)] = -np.inf
+        near.offer(np.arange(24), start, raw, np.full(24, product_error(16)))
+    rows, places, values = near.best()
+    whole = np.round(asked @ corpus.T, 6)
+    whole[np.isnan(whole)] = -np.inf
+    want = np.argsort(-whole, axis=1, kind="stable")[:, :5]
+    assert (places.reshape(24, 5) == want).all() and (rows == np.repeat(np.arange(24), 5)).all()
+    assert (values.reshape(24, 5) == np.take_along_axis(whole, want, 1)).all()
+    assert sum(seen) < 24 * 3_000 / 2
