@@ -175,3 +175,26 @@ def test_chunk_ids_that_come_twice_or_are_null_count_once(spark, tmp_path):
     got = index.lengths.read().select("chunk_id", "chunk_length").collect()
     assert sorted(map(tuple, got), key=str) == [(1, 2), (2, 1), (None, 2)]
     assert index.postings.read().count() == 4
+
+
+@pytest.mark.parametrize(("bits", "probes"), [(3, 9), (9, 40)])
+def test_a_question_finds_the_best_of_all_cells_it_probes(spark, tmp_path, monkeypatch, bits, probes):
+    """One row a question travels, and a chunk that several tables hold counts once against the others."""
+    monkeypatch.setattr(vector_index, "PIECE", 7)
+    monkeypatch.setattr(vector_index, "TILE_ROWS", 50)
+    made = np.random.default_rng(12).normal(size=(120, 10)).astype(np.float32)
+    chunks = vector_table(spark, made)
+    index = vector_index.open_index(spark, f"{tmp_path}/v", bits=bits, probes=probes, buckets=4)
+    vector_index.add(index, chunks, batch=0)
+    queries = as_queries(chunks, 120)
+    assert vector_index._probed(index, queries).count() == 120
+    unit = vector_index._unit(made.astype(np.float64))
+    held = vector_index.patterns_of(unit, bits, index.tables, index.seed)
+    order = vector_index.probe_order(unit, bits, index.tables, index.seed, probes)
+    near = np.round(unit @ unit.T, 6)
+    want = set()
+    for q in range(120):
+        met = [c for c in range(120) if set(held[c].tolist()) & set(order[q].tolist())]
+        want |= {(q, c, r) for r, c in enumerate(sorted(met, key=lambda c: (-near[q, c], c))[:6], 1)}
+    got = vector_index.topk(queries, index, 6).select("query_id", "chunk_id", "rank")
+    assert {tuple(r) for r in got.collect()} == want
