@@ -10,6 +10,7 @@ from changelore.functions import text as X
 from changelore.operators import citations, lexical, retrieval, router, vector_index, vectors
 from changelore.plans import adapters as A
 from changelore.plans.registry import query
+from changelore.runtime import checkpointed
 
 STOP = A.sql_list(C.STOP_WORDS)
 
@@ -238,8 +239,9 @@ def dense_topk_approx(spark: SparkSession, folder: str) -> DataFrame:
 def approx_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Recall of the stored patterns against brute force has a floor, and what they find is scored exactly."""
     asked, corpus = _vector_queries(spark, folder), _vector_chunks(spark, folder)
-    exact = retrieval.dense_topk(asked, corpus, k=10)
-    found = dense_topk_approx(spark, folder)
+    # either is read twice
+    exact = checkpointed(retrieval.dense_topk(asked, corpus, k=10))
+    found = checkpointed(dense_topk_approx(spark, folder))
     recall = retrieval.recall_against(exact, found)
     same = exact.join(found.select("query_id", "chunk_id", F.col("similarity").alias("_s")), ["query_id", "chunk_id"])
     off = same.agg(F.coalesce(F.max(F.abs(F.col("similarity") - F.col("_s"))), F.lit(0.0)).alias("_off"))
